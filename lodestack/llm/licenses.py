@@ -67,8 +67,8 @@ def _bands(shingles: list[str]) -> dict[int, int]:
 def scan(documents: DataFrame, templates: dict[str, str] | None = None, containment: float = CONTAINMENT) -> DataFrame:
     """``doc_id, license, containment, first_word``: a row for each document and template it holds.
 
-    ``containment`` is the greatest share of the template in a window and ``first_word`` the place of the first window
-    that reaches it.  Null and empty texts and texts under five words hold none.  Rows that share an id give one row for each
+    ``containment`` is the greatest share of the template in a window and ``first_word`` the place of the
+    first of its shingles in a window that holds it.  Null and empty texts and texts under five words hold none.  Rows that share an id give one row for each
     template; rows with a null id give rows with a null id.  An empty table, or no templates, give no rows.  Other columns are not read.
     """
     spark = documents.sparkSession
@@ -107,12 +107,15 @@ def scan(documents: DataFrame, templates: dict[str, str] | None = None, containm
     met = sketched.join(table, (F.col("size") == F.col("size_")) & (F.col("band") == F.col("band_")) & (F.col("least") == F.col("least_")))
     exact = F.broadcast(spark.createDataFrame(known, "license_ string, size__ int, shingles array<string>"))
     own = f"transform(sequence(1, size(words) - {WORDS - 1}), i -> concat_ws(' ', slice(words, i, {WORDS})))"
-    verified = met.join(exact, F.col("license") == F.col("license_")).select(
-        "doc_id", "license", "at", F.expr(f"size(array_intersect(shingles, {own})) / size(shingles)").alias("share")
+    compared = met.join(exact, F.col("license") == F.col("license_")).select("doc_id", "license", "at", "shingles", F.expr(own).alias("own"))
+    verified = compared.select(
+        "doc_id",
+        "license",
+        F.expr("size(array_intersect(shingles, own)) / size(shingles)").alias("share"),
+        F.expr("at + array_min(filter(sequence(0, size(own) - 1), i -> array_contains(shingles, own[i])))").alias("word"),
     )
     return (
         verified.where(F.col("share") >= containment)
         .groupBy("doc_id", "license")
-        .agg(F.max("share").alias("containment"), F.expr("min_by(at, struct(-share, at))").cast("long").alias("first_word"))
-        .select("doc_id", "license", F.round("containment", 6).alias("containment"), "first_word")
+        .agg(F.round(F.max("share"), 6).alias("containment"), F.min("word").cast("long").alias("first_word"))
     )

@@ -127,8 +127,9 @@ WITH t(license, c, sh) AS (VALUES {', '.join(values)}),
 d AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM documents),
 s AS (SELECT doc_id, list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i+4], ' ')) AS sh FROM d WHERE len(w) >= 5),
 k AS (SELECT s.doc_id, t.license, t.c, t.sh AS want, s.sh AS own, unnest(generate_series(0, (len(s.sh) - 1) // t.c)) AS k FROM s, t WHERE list_has_any(s.sh, t.sh)),
-v AS (SELECT doc_id, license, k * c AS place, len(list_intersect(want, own[k * c + 1 : k * c + 2 * c])) / len(want) AS share FROM k)
-SELECT doc_id, license, round(max(share), 6) AS containment, CAST(arg_min(place, -share * 1000000000 + place) AS BIGINT) AS first_word
+v AS (SELECT doc_id, license, len(list_intersect(want, own[k * c + 1 : k * c + 2 * c])) / len(want) AS share,
+  list_min(list_filter(generate_series(k * c, least(k * c + 2 * c, len(own)) - 1), lambda i: list_contains(want, own[i + 1]))) AS word FROM k)
+SELECT doc_id, license, round(max(share), 6) AS containment, CAST(min(word) AS BIGINT) AS first_word
 FROM v WHERE share >= 0.8 GROUP BY doc_id, license
 """
 
