@@ -2,10 +2,775 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import fixtures
+from .functions import geometry as geo
+from .functions import scalars as sca
+from .operators import dedup, matching, metrics, relations, selection
+from .plans import rules
 
-def oracle_sql() -> dict:
-    return {}
+MODELS = ["det_a", "det_b"]
+THRESHOLDS = [0.25, 0.5]
+CLASSES = ["quadcopter", "uav", "drone"]
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with the SQL that gives the same rows."""
+
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = fixtures.with_relations(sql)
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return fixtures.table(spark, d, name)
+
+
+# Evaluation ------------------------------------------------------------------------------------------------
+
+
+def _truth(spark, d):
+    return t(spark, d, "fx_gt").withColumn("gi", F.lit(0))
+
+
+def _predictions(spark, d):
+    p = t(spark, d, "fx_pred")
+    return p.where(sca.drone_like("ultralytics_yolo", F.col("pred_class_name"), CLASSES))
+
+
+def _facts(spark, d):
+    return matching.image_facts(t(spark, d, "fx_meta"), _truth(spark, d), _predictions(spark, d), MODELS, THRESHOLDS)
+
+
+POLICY = "lower(trim(pred_class_name)) IN ('quadcopter', 'uav', 'drone')"
+IOU = """CASE WHEN least(p.x + p.w, g.x + g.w) > greatest(p.x, g.x) AND least(p.y + p.h, g.y + g.h) > greatest(p.y, g.y) THEN
+  CAST((least(p.x + p.w, g.x + g.w) - greatest(p.x, g.x)) * (least(p.y + p.h, g.y + g.h) - greatest(p.y, g.y)) AS DOUBLE)
+  / CAST(p.w * p.h + g.w * g.h - (least(p.x + p.w, g.x + g.w) - greatest(p.x, g.x)) * (least(p.y + p.h, g.y + g.h) - greatest(p.y, g.y)) AS DOUBLE) ELSE 0.0 END"""
+FACTS = f"""WITH fp AS (SELECT * FROM fx_pred WHERE {POLICY}),
+th AS (SELECT unnest([0.25, 0.5]) :: DOUBLE AS iou_threshold), mo AS (SELECT unnest(['det_a', 'det_b']) AS model_name),
+pr AS (SELECT p.image_id, p.model_name, p.pi, CAST(p.confidence AS DOUBLE) AS confidence, {IOU} AS iou FROM fp p JOIN fx_gt g ON g.image_id = p.image_id),
+mt AS (SELECT * FROM (SELECT pr.*, iou_threshold, row_number() OVER (PARTITION BY image_id, model_name, iou_threshold ORDER BY iou DESC, pi DESC) AS rk FROM pr, th WHERE iou >= iou_threshold AND iou > 0) WHERE rk = 1),
+pc AS (SELECT image_id, model_name, count(*) AS pred_count, sum(CAST(confidence AS DOUBLE)) AS conf_all FROM fp GROUP BY ALL),
+facts AS (SELECT m.*, mo.model_name, th.iou_threshold, CASE WHEN m.target_present THEN 1 ELSE 0 END AS gt_count, coalesce(pc.pred_count, 0) AS pred_count,
+  CASE WHEN mt.pi IS NULL THEN 0 ELSE 1 END AS tp, CASE WHEN m.target_present AND mt.pi IS NULL THEN 1 ELSE 0 END AS fn,
+  coalesce(pc.pred_count, 0) - CASE WHEN mt.pi IS NULL THEN 0 ELSE 1 END AS fp,
+  CASE WHEN m.target_present AND mt.pi IS NOT NULL THEN 1 ELSE 0 END AS detected, CASE WHEN m.target_present AND mt.pi IS NULL THEN 1 ELSE 0 END AS missed,
+  CASE WHEN NOT m.target_present AND coalesce(pc.pred_count, 0) > 0 THEN 1 ELSE 0 END AS false_positive_image,
+  coalesce(mt.iou, 0.0) AS best_iou, coalesce(mt.confidence, 0.0) AS matched_conf,
+  CASE WHEN coalesce(pc.pred_count, 0) - CASE WHEN mt.pi IS NULL THEN 0 ELSE 1 END > 0
+    THEN round((pc.conf_all - coalesce(mt.confidence, 0.0)) / (pc.pred_count - CASE WHEN mt.pi IS NULL THEN 0 ELSE 1 END), 6) ELSE 0.0 END AS fp_conf_mean
+  FROM fx_meta m CROSS JOIN mo CROSS JOIN th LEFT JOIN pc ON pc.image_id = m.image_id AND pc.model_name = mo.model_name
+  LEFT JOIN mt ON mt.image_id = m.image_id AND mt.model_name = mo.model_name AND mt.iou_threshold = th.iou_threshold)
+"""
+SUMMARY = """SELECT model_name, iou_threshold, count(*) AS n_images, CAST(sum(CASE WHEN target_present THEN 1 ELSE 0 END) AS BIGINT) AS n_target,
+  CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fn) AS BIGINT) AS fn, CAST(sum(fp) AS BIGINT) AS fp,
+  round(avg(CASE WHEN target_present THEN detected END), 6) AS recall, round(avg(CASE WHEN target_present THEN best_iou END), 6) AS mean_best_iou,
+  CAST(sum(false_positive_image) AS BIGINT) AS false_positive_images, round(avg(CASE WHEN NOT target_present THEN false_positive_image END), 6) AS false_positive_rate
+"""
+RECALL = """count(*) AS n_images, CAST(sum(detected) AS BIGINT) AS detected, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fn) AS BIGINT) AS fn,
+  round(avg(best_iou), 6) AS mean_best_iou, round(avg(matched_conf), 6) AS mean_matched_conf, round(sum(tp) / nullif(sum(tp) + sum(fn), 0), 6) AS recall"""
+FALSE = """count(*) AS n_images, CAST(sum(false_positive_image) AS BIGINT) AS false_positive_images, CAST(sum(fp) AS BIGINT) AS fp_count,
+  round(avg(fp_conf_mean), 6) AS mean_fp_conf, round(sum(false_positive_image) / count(*), 6) AS false_positive_rate"""
+
+
+@query(f"{FACTS} {SUMMARY} FROM facts GROUP BY model_name, iou_threshold")
+def eval_summary_corrected(spark, d):
+    return metrics.model_summary(_facts(spark, d))
+
+
+@query(f"{FACTS} {SUMMARY} FROM facts WHERE pred_count > 0 GROUP BY model_name, iou_threshold")
+def eval_summary_uncorrected(spark, d):
+    return metrics.model_summary(metrics.predicted_only(_facts(spark, d)))
+
+
+@query(f"{FACTS} SELECT image_id, model_name, iou_threshold, CAST(gt_count AS BIGINT) AS gt_count, CAST(pred_count AS BIGINT) AS pred_count, CAST(tp AS BIGINT) AS tp, CAST(fn AS BIGINT) AS fn, CAST(fp AS BIGINT) AS fp, detected, missed, false_positive_image, best_iou, matched_conf, fp_conf_mean FROM facts")
+def image_level_metrics(spark, d):
+    f = _facts(spark, d)
+    whole = ("gt_count", "pred_count", "tp", "fn", "fp")
+    return f.select("image_id", "model_name", "iou_threshold", *[F.col(c).cast("long").alias(c) for c in whole], "detected", "missed", "false_positive_image", "best_iou", "matched_conf", "fp_conf_mean")
+
+
+@query(f"""{FACTS}, x AS (SELECT mt.image_id, mt.model_name, mt.iou_threshold, mt.pi, mt.iou, mt.confidence FROM mt)
+SELECT x.*, 0 AS gi, g.x AS gt_x1, g.y AS gt_y1, g.x + g.w AS gt_x2, g.y + g.h AS gt_y2, p.pred_class_name, p.x AS pred_x1, p.y AS pred_y1, p.x + p.w AS pred_x2, p.y + p.h AS pred_y2
+FROM x JOIN fx_gt g ON g.image_id = x.image_id JOIN fp p ON p.image_id = x.image_id AND p.pi = x.pi""")
+def matched_predictions(spark, d):
+    truth, preds = _truth(spark, d), _predictions(spark, d)
+    return matching.matched_pairs(truth, preds, matching.match_single(truth, preds, THRESHOLDS)).withColumn("confidence", F.col("confidence").cast("double"))
+
+
+@query(f"SELECT p.image_id, p.model_name, 0 AS gi, p.pi, CAST(p.confidence AS DOUBLE) AS confidence, {IOU} AS iou FROM fx_pred p JOIN fx_gt g ON g.image_id = p.image_id WHERE {IOU} > 0")
+def iou_pairs(spark, d):
+    return matching.iou_pairs(_truth(spark, d), t(spark, d, "fx_pred")).withColumn("confidence", F.col("confidence").cast("double"))
+
+
+@query()
+def greedy_match_multi(spark, d):
+    truth = t(spark, d, "fx_pred").where("model_name = 'det_a'").select("image_id", F.col("pi").alias("gi"), "x", "y", "w", "h")
+    preds = t(spark, d, "fx_pred").where("model_name = 'det_b'")
+    return matching.match_greedy(truth, preds, THRESHOLDS)
+
+
+@query(f"{FACTS} SELECT model_name, iou_threshold, subset, {RECALL} FROM facts GROUP BY ALL")
+def recall_by_subset(spark, d):
+    return metrics.group_recall(_facts(spark, d), ["model_name", "iou_threshold", "subset"])
+
+
+@query(f"{FACTS} SELECT model_name, iou_threshold, drone_size_px, gaussian_noise_sigma, blur_level, {RECALL} FROM facts WHERE target_present GROUP BY ALL")
+def recall_by_size_noise_blur(spark, d):
+    return metrics.group_recall(_facts(spark, d).where("target_present"), ["model_name", "iou_threshold", "drone_size_px", "gaussian_noise_sigma", "blur_level"])
+
+
+@query(f"{FACTS} SELECT model_name, iou_threshold, distractor_present, {RECALL} FROM facts WHERE target_present GROUP BY ALL")
+def recall_by_distractor_present(spark, d):
+    return metrics.group_recall(_facts(spark, d).where("target_present"), ["model_name", "iou_threshold", "distractor_present"])
+
+
+@query(f"{FACTS} SELECT model_name, iou_threshold, distractor_type, {FALSE} FROM facts GROUP BY ALL")
+def fp_by_distractor_type(spark, d):
+    return metrics.group_false_positives(_facts(spark, d), ["model_name", "iou_threshold", "distractor_type"])
+
+
+DIMENSIONS = ["subset", "drone_size_px", "gaussian_noise_sigma", "blur_level", "background_type", "distractor_type"]
+_FAN = " UNION ALL ".join(f"SELECT facts.*, '{c}' AS dimension, CAST({c} AS VARCHAR) AS level FROM facts" for c in DIMENSIONS)
+
+
+@query(f"""{FACTS}, fan AS ({_FAN}), a AS (SELECT model_name, iou_threshold, dimension, level, {RECALL} FROM fan WHERE target_present GROUP BY ALL),
+b AS (SELECT model_name, iou_threshold, dimension, level, {FALSE} FROM fan WHERE NOT target_present GROUP BY ALL)
+SELECT *, 'recall' AS part FROM a UNION ALL BY NAME SELECT *, 'false_positive' AS part FROM b""")
+def grouped_metrics(spark, d):
+    return metrics.robustness(_facts(spark, d), DIMENSIONS)
+
+
+@query(f"{FACTS} SELECT model_name, iou_threshold, drone_size_px, round(avg(detected), 6) AS recall, count(*) AS n_images FROM facts WHERE target_present GROUP BY ALL")
+def recall_vs_size(spark, d):
+    return metrics.detection_rate(_facts(spark, d), ["model_name", "iou_threshold", "drone_size_px"])
+
+
+@query(f"{FACTS} SELECT model_name, iou_threshold, blur_level, round(avg(detected), 6) AS recall, count(*) AS n_images FROM facts WHERE target_present GROUP BY ALL")
+def recall_by_blur(spark, d):
+    return metrics.detection_rate(_facts(spark, d), ["model_name", "iou_threshold", "blur_level"])
+
+
+@query(f"""{FACTS} SELECT model_name, iou_threshold, drone_size_px, round(avg(CASE WHEN gaussian_noise_sigma = 0 THEN detected END), 6) AS "0",
+round(avg(CASE WHEN gaussian_noise_sigma = 10 THEN detected END), 6) AS "10", round(avg(CASE WHEN gaussian_noise_sigma = 20 THEN detected END), 6) AS "20" FROM facts WHERE target_present GROUP BY 1, 2, 3""")
+def recall_heatmap_pivot(spark, d):
+    return metrics.recall_heatmap(_facts(spark, d), ["model_name", "iou_threshold", "drone_size_px"], "gaussian_noise_sigma", [0, 10, 20])
+
+
+@query("SELECT model_name, CAST(least(floor(CAST(confidence AS DOUBLE) / (1.0::DOUBLE / 30)), 29) AS INT) AS bin, count(*) AS n FROM fx_pred WHERE confidence BETWEEN 0 AND 1 GROUP BY ALL")
+def confidence_histogram(spark, d):
+    p = t(spark, d, "fx_pred").withColumn("confidence", F.col("confidence").cast("double"))
+    return metrics.histogram(p, "confidence", ["model_name"])
+
+
+@query(f"""{FACTS}, r AS (SELECT model_name, iou_threshold, subset, {RECALL} FROM facts GROUP BY ALL)
+SELECT model_name, iou_threshold, max(CASE WHEN subset = 'synthetic_drone_positive' THEN recall END) AS synthetic_drone_positive,
+max(CASE WHEN subset = 'synthetic_drone_plus_distractor' THEN recall END) AS synthetic_drone_plus_distractor FROM r GROUP BY ALL""")
+def metrics_pivot_first(spark, d):
+    r = metrics.group_recall(_facts(spark, d), ["model_name", "iou_threshold", "subset"])
+    return metrics.pivot_first(r, ["model_name", "iou_threshold"], "subset", ["synthetic_drone_positive", "synthetic_drone_plus_distractor"], "recall")
+
+
+@query(f"""{FACTS}, s AS (SELECT model_name, iou_threshold, subset AS kind_, CAST(sum(tp) AS BIGINT) AS tp, round(avg(best_iou), 6) AS mean_best_iou, count(*) AS prediction_unique_images FROM facts WHERE pred_count > 0 GROUP BY ALL),
+n AS (SELECT subset AS kind_, count(*) AS total FROM fx_meta GROUP BY 1)
+SELECT model_name, iou_threshold, CASE s.kind_ WHEN 'synthetic_drone_positive' THEN 'positive' WHEN 'synthetic_distractor_only' THEN 'hard_negative' ELSE 'mixed' END AS kind, tp, mean_best_iou, prediction_unique_images, total AS metadata_total_images,
+CASE WHEN s.kind_ <> 'synthetic_distractor_only' THEN total END AS n_target, CASE WHEN s.kind_ <> 'synthetic_distractor_only' THEN total - tp END AS fn,
+CASE WHEN s.kind_ <> 'synthetic_distractor_only' THEN tp / total END AS recall, CASE WHEN s.kind_ = 'synthetic_distractor_only' THEN prediction_unique_images / total END AS false_positive_rate
+FROM s JOIN n ON n.kind_ = s.kind_""")
+def denominator_correction(spark, d):
+    kind = F.when(F.col("subset") == "synthetic_drone_positive", "positive").when(F.col("subset") == "synthetic_distractor_only", "hard_negative").otherwise("mixed")
+    seen = metrics.predicted_only(_facts(spark, d)).groupBy("model_name", "iou_threshold", kind.alias("kind"))
+    summary = seen.agg(F.sum("tp").cast("long").alias("tp"), F.round(F.avg("best_iou"), 6).alias("mean_best_iou"), F.count("*").alias("prediction_unique_images"))
+    totals = t(spark, d, "fx_meta").groupBy(kind.alias("kind")).agg(F.count("*").alias("metadata_total_images"))
+    return metrics.correct_denominators(summary.join(totals, "kind"))
+
+
+@query("""SELECT m.image_id, m.subset, CAST(coalesce(c.n, 0) AS BIGINT) AS n_predictions FROM fx_meta m LEFT JOIN (SELECT image_id, count(*) AS n FROM fx_pred GROUP BY 1) c ON c.image_id = m.image_id""")
+def predictions_per_image(spark, d):
+    counts = t(spark, d, "fx_pred").groupBy("image_id").agg(F.count("*").alias("n_predictions"))
+    return t(spark, d, "fx_meta").select("image_id", "subset").join(counts, "image_id", "left").na.fill(0, ["n_predictions"])
+
+
+@query("""SELECT m.subset, g.model_name, count(DISTINCT p.image_id) AS predicted_images, count(DISTINCT m.image_id) AS images FROM fx_meta m CROSS JOIN (SELECT unnest(['det_a', 'det_b']) AS model_name) g
+LEFT JOIN fx_pred p ON p.image_id = m.image_id AND p.model_name = g.model_name GROUP BY ALL""")
+def zero_prediction_models(spark, d):
+    grid = t(spark, d, "fx_meta").select("image_id", "subset").withColumn("model_name", F.explode(F.array(*[F.lit(m) for m in MODELS])))
+    seen = t(spark, d, "fx_pred").select("image_id", "model_name").distinct().withColumn("hit", F.lit(1))
+    return grid.join(seen, ["image_id", "model_name"], "left").groupBy("subset", "model_name").agg(F.count("hit").alias("predicted_images"), F.count("*").alias("images"))
+
+
+# Geometry and scalars --------------------------------------------------------------------------------------
+
+
+@query("""WITH b AS (SELECT *, least(greatest(x, 0), image_width) AS x1, least(greatest(y, 0), image_height) AS y1, least(greatest(x + w, 0), image_width) AS x2, least(greatest(y + h, 0), image_height) AS y2 FROM fx_ann)
+SELECT image_id, line, l_partkey, l_suppkey, x1 AS cx, y1 AS cy, greatest(x2 - x1, 0) AS cw, greatest(y2 - y1, 0) AS ch, greatest(x2 - x1, 0) <= 0 OR greatest(y2 - y1, 0) <= 0 AS gone,
+CASE WHEN w <= 0 OR h <= 0 THEN 'non_positive_size' WHEN x >= image_width OR y >= image_height OR x + w <= 0 OR y + h <= 0 THEN 'outside_image' WHEN greatest(w, h) < 40 THEN 'below_min_bbox_px' END AS problem FROM b""")
+def bbox_clip_validate(spark, d):
+    a = t(spark, d, "fx_ann")
+    b, size = geo.box(), (F.col("image_width"), F.col("image_height"))
+    c = geo.clip(b, *size)
+    return a.select("image_id", "line", "l_partkey", "l_suppkey", *[v.alias(n) for v, n in zip(c, ("cx", "cy", "cw", "ch"))], geo.clipped_away(c).alias("gone"), geo.problem(b, *size, 40).alias("problem"))
+
+
+@query("""WITH b AS (SELECT *, least(greatest(x, 0), image_width - 1) AS x1, least(greatest(y, 0), image_height - 1) AS y1 FROM fx_ann)
+SELECT image_id, line, l_partkey, l_suppkey, x1 AS cx, y1 AS cy, greatest(1, least(w, image_width - x1)) AS cw, greatest(1, least(h, image_height - y1)) AS ch FROM b""")
+def bbox_clamp(spark, d):
+    c = geo.clamp(geo.box(), F.col("image_width"), F.col("image_height"))
+    return t(spark, d, "fx_ann").select("image_id", "line", "l_partkey", "l_suppkey", *[v.alias(n) for v, n in zip(c, ("cx", "cy", "cw", "ch"))])
+
+
+@query("""SELECT image_id, line, l_partkey, l_suppkey, printf('%d %.6f %.6f %.6f %.6f', line, round((x + w / 2) / image_width, 6), round((y + h / 2) / image_height, 6), round(w / image_width, 6), round(h / image_height, 6)) AS label, x, y, w, h FROM fx_ann""")
+def yolo_roundtrip(spark, d):
+    a = t(spark, d, "fx_ann")
+    size = (F.col("image_width"), F.col("image_height"))
+    lines = a.select("image_id", "line", "l_partkey", "l_suppkey", *size, geo.yolo_line(F.col("line"), geo.box(), *size).alias("label"))
+    n = [F.split("label", " ")[i].cast("double") for i in range(1, 5)]
+    back = geo.yolo_to_pixels(*n, *size)
+    return lines.select("image_id", "line", "l_partkey", "l_suppkey", "label", *[v.alias(c) for v, c in zip(back, "xywh")])
+
+
+@query("""WITH b AS (SELECT *, greatest(0, CAST(round_even(x - w * 0.1::DOUBLE, 0) AS INT)) AS x1, greatest(0, CAST(round_even(y - h * 0.1::DOUBLE, 0) AS INT)) AS y1,
+least(image_width, CAST(round_even(x + w + w * 0.1::DOUBLE, 0) AS INT)) AS x2, least(image_height, CAST(round_even(y + h + h * 0.1::DOUBLE, 0) AS INT)) AS y2 FROM fx_ann)
+SELECT image_id, line, l_partkey, l_suppkey, x1 AS ex, y1 AS ey, greatest(1, x2 - x1) AS ew, greatest(1, y2 - y1) AS eh FROM b""")
+def bbox_expand(spark, d):
+    e = geo.expand(geo.box(), 0.1, F.col("image_width"), F.col("image_height"))
+    return t(spark, d, "fx_ann").select("image_id", "line", "l_partkey", "l_suppkey", *[v.alias(n) for v, n in zip(e, ("ex", "ey", "ew", "eh"))])
+
+
+@query("""WITH b AS (SELECT image_id, drone_size_px AS s, greatest(0, 640 - drone_size_px - 4) AS m FROM fx_meta),
+c AS (SELECT *, greatest(least(4, m), CAST(ceil(640 * 0.2::DOUBLE - s / 2) AS INT)) AS lo, least(m, CAST(floor(640 * 0.8::DOUBLE - s / 2) AS INT)) AS hi FROM b)
+SELECT image_id, CASE WHEN lo <= hi THEN lo ELSE least(greatest(hi, 0), m) END AS x_min, CASE WHEN lo <= hi THEN hi ELSE least(greatest(hi, 0), m) END AS x_max FROM c""")
+def placement_bounds(spark, d):
+    lo, hi = geo.placement_range(F.col("drone_size_px"), F.lit(640), 0.2, 0.8, 4)
+    return t(spark, d, "fx_meta").select("image_id", lo.alias("x_min"), hi.alias("x_max"))
+
+
+@query("""SELECT image_id, line, l_partkey, l_suppkey, w * h / CAST(image_width * image_height AS DOUBLE) AS area_ratio, greatest(w, h) / CAST(least(image_width, image_height) AS DOUBLE) AS max_dim_ratio,
+(y + h / 2) / image_height AS cy, (y + h) / image_height AS bottom, w * h / CAST(image_width * image_height AS DOUBLE) >= 0.10 OR greatest(w, h) / CAST(least(image_width, image_height) AS DOUBLE) >= 0.28 AS large FROM fx_ann""")
+def scene_geometry(spark, d):
+    f = geo.scene_features(geo.box(), F.col("image_width"), F.col("image_height"))
+    return t(spark, d, "fx_ann").select("image_id", "line", "l_partkey", "l_suppkey", *[c.alias(n) for n, c in f.items()])
+
+
+@query("""WITH p AS (SELECT *, CASE WHEN drone_size_px <= 15 THEN 2 WHEN drone_size_px <= 30 THEN 1 ELSE 0 END + CASE WHEN gaussian_noise_sigma >= 20 THEN 2 WHEN gaussian_noise_sigma >= 10 THEN 1 ELSE 0 END
++ CASE WHEN blur_level <> 'none' THEN 1 ELSE 0 END AS points FROM fx_meta)
+SELECT image_id, CASE WHEN drone_size_px >= 60 THEN 'near' WHEN drone_size_px >= 30 THEN 'medium' WHEN drone_size_px >= 15 THEN 'far' ELSE 'very_far' END AS distance_bin,
+CASE WHEN points >= 4 THEN 'hard' WHEN points >= 2 THEN 'medium' ELSE 'easy' END AS difficulty FROM p""")
+def distance_bin_difficulty(spark, d):
+    bins = {"near": 60, "medium": 30, "far": 15, "very_far": 8}
+    return t(spark, d, "fx_meta").select(
+        "image_id", geo.distance_bin(F.col("drone_size_px"), bins).alias("distance_bin"), geo.difficulty(F.col("drone_size_px"), F.col("gaussian_noise_sigma"), F.col("blur_level"), F.col("subset")).alias("difficulty")
+    )
+
+
+_LABEL = lambda c: f"CASE WHEN lower(trim({c})) NOT IN ('', 'nan', 'none') THEN lower(trim({c})) END"
+_QA_LABELS = ("qa_final_label", "quality_label", "mask_quality_label")
+QA_LABELS_SQL = f"""SELECT doc_id, path, extraction_failed, n_chars, coalesce({', '.join(_LABEL(c) for c in _QA_LABELS)}) AS label,
+CASE {' '.join(f"WHEN {_LABEL(c)} IS NOT NULL THEN '{c}'" for c in _QA_LABELS)} END AS label_source FROM fx_qa"""
+
+
+def _qa(spark, d):
+    label, source = sca.qa_label(*_QA_LABELS)
+    return t(spark, d, "fx_qa").select("doc_id", "path", "extraction_failed", "n_chars", label.alias("label"), source.alias("label_source"))
+
+
+@query(f"SELECT doc_id, label, label_source FROM ({QA_LABELS_SQL})")
+def qa_label_coalesce(spark, d):
+    return _qa(spark, d).select("doc_id", "label", "label_source")
+
+
+@query(f"SELECT path, min(doc_id) AS doc_id FROM ({QA_LABELS_SQL}) WHERE NOT extraction_failed AND label = 'accept' GROUP BY path")
+def approved_assets(spark, d):
+    return _qa(spark, d).where("not extraction_failed and label = 'accept'").groupBy("path").agg(F.min("doc_id").alias("doc_id"))
+
+
+@query("""WITH r AS (SELECT event_id, regexp_replace(regexp_replace(trim(reply), '^```[a-z]*\\s*', ''), '\\s*```$', '') AS j FROM fx_llm),
+x AS (SELECT event_id, CASE WHEN json_valid(j) THEN json_extract_string(j, '$.decision') END AS decision, CASE WHEN json_valid(j) THEN json_extract_string(j, '$.sky') END AS sky FROM r)
+SELECT event_id, CASE WHEN lower(trim(decision)) IN ('accept', 'reject', 'review') THEN lower(trim(decision)) WHEN lower(trim(decision)) = 'maybe' THEN 'review' END AS decision, sky,
+CASE WHEN lower(trim(decision)) = 'reject' AND sky IN ('large', 'medium') THEN 'accept_candidate' WHEN lower(trim(decision)) = 'reject' THEN 'review' WHEN lower(trim(decision)) IN ('accept', 'review', 'maybe') THEN 'accept_candidate' ELSE 'error' END AS corrected FROM x""")
+def vision_triage(spark, d):
+    parsed = F.from_json(sca.reply_json(F.col("reply")), "decision string, sky string")
+    x = t(spark, d, "fx_llm").select("event_id", parsed.alias("p")).select("event_id", sca.alias(F.col("p.decision"), sca.DECISIONS).alias("decision"), F.col("p.sky").alias("sky"))
+    corrected = (
+        F.when((F.col("decision") == "reject") & F.col("sky").isin("large", "medium"), "accept_candidate")
+        .when(F.col("decision") == "reject", "review")
+        .when(F.col("decision").isin("accept", "review"), "accept_candidate")
+        .otherwise("error")
+    )
+    return x.withColumn("corrected", corrected)
+
+
+@query("""SELECT event_id, CASE WHEN e IN ('accept', 'accepted', 'approve', 'approved', 'keep', 'yes') THEN 'accept' WHEN e IN ('reject', 'rejected', 'drop', 'no') THEN 'reject' WHEN e IN ('review', 'maybe', 'uncertain') THEN 'review' END AS decision
+FROM (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'approved' WHEN 1 THEN 'no' WHEN 2 THEN 'uncertain' WHEN 3 THEN 'keep' WHEN 4 THEN 'drop' ELSE lower(event_type) END AS e FROM events)""")
+def decision_normalize(spark, d):
+    word = F.expr("case event_id % 6 when 0 then ' Approved' when 1 then 'NO ' when 2 then 'uncertain' when 3 then 'Keep' when 4 then 'drop' else event_type end")
+    return t(spark, d, "events").select("event_id", sca.alias(word, sca.DECISIONS).alias("decision"))
+
+
+@query("SELECT p_partkey, regexp_replace(lower(trim(p_type)), '\\s+', ' ', 'g') AS class_name, regexp_replace(regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM part")
+def class_normalize(spark, d):
+    return t(spark, d, "part").select("p_partkey", sca.class_name(F.col("p_type")).alias("class_name"), sca.slug(F.col("p_name")).alias("slug"))
+
+
+@query("SELECT page_id, substr(sha256(concat_ws('|', CAST(page_id AS VARCHAR), url)), 1, 12) AS short_id, concat('img_', lpad(CAST(page_id AS VARCHAR), 6, '0')) AS name FROM pages")
+def sha_ids(spark, d):
+    return t(spark, d, "pages").select("page_id", sca.short_id(12, F.col("page_id"), F.col("url")).alias("short_id"), F.format_string("img_%06d", F.col("page_id")).alias("name"))
+
+
+@query("""SELECT doc_id, CASE WHEN n = 0 THEN source ELSE concat(source, '_', CAST(n AS VARCHAR)) END AS unique_id FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n FROM documents)""")
+def safe_ids(spark, d):
+    return dedup.numbered_ids(t(spark, d, "documents").select("doc_id", "source"), "source", ["doc_id"]).select("doc_id", "unique_id")
+
+
+@query("SELECT event_id, sequence_key, CAST(row_number() OVER (PARTITION BY sequence_key ORDER BY event_id) AS INT) AS place FROM fx_frames")
+def natural_sort(spark, d):
+    f = t(spark, d, "fx_frames")
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("sequence_key").orderBy(sca.natural_key(F.col("filename")))
+    return f.select("event_id", "sequence_key", F.row_number().over(order).alias("place"))
+
+
+@query("""SELECT event_id, coalesce(TRY_CAST(j AS INT[]), []) AS boxes FROM (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'oops' ELSE concat('[', CAST(event_id % 100 AS VARCHAR), ',', CAST(user_id % 100 AS VARCHAR), ']') END AS j FROM events)""")
+def json_lists(spark, d):
+    text = F.expr("case when event_id % 5 = 0 then 'oops' else concat('[', event_id % 100, ',', user_id % 100, ']') end")
+    return t(spark, d, "events").select("event_id", sca.int_list(text).alias("boxes"))
+
+
+# Rule cascades ---------------------------------------------------------------------------------------------
+
+
+def _cascade(name: str, cascade, table: str, keep: str, before=()):
+    """Register a cascade; ``before`` are cascades whose outputs it needs."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        df = t(spark, d, table)
+        for c in before:
+            df = c.apply(df)
+        return cascade.apply(df).select(*keep.split(", "), *cascade.outputs)
+
+    run.__name__ = name
+    relation = table
+    for c in before:
+        relation = f"({c.sql(relation, '*')})"
+    query(cascade.sql(relation, keep))(run)
+
+
+_cascade("scene_filter_heuristic", rules.SCENE, "fx_feat", "id")
+_cascade("scene_merge_asset", rules.SCENE_ASSET, "fx_feat", "id, disposition", (rules.SCENE,))
+_cascade("scene_merge_real_eval", rules.SCENE_EVAL, "fx_feat", "id, disposition", (rules.SCENE,))
+_cascade("background_classify", rules.BACKGROUND, "fx_feat", "id")
+_cascade("background_merge_v1", rules.BACKGROUND_V1, "fx_feat", "id, status", (rules.BACKGROUND,))
+_cascade("coco_strict_decision", rules.COCO_STRICT, "fx_feat", "id", (rules.BACKGROUND,))
+_cascade("coco_permissive_decision", rules.COCO_PERMISSIVE, "fx_feat", "id", (rules.BACKGROUND,))
+_cascade("hard_negative_filter", rules.HARD_NEGATIVE, "fx_hard", "id, cls", (rules.HARD_NEGATIVE_BASE,))
+_cascade("distractor_semantic", rules.DISTRACTOR, "fx_asset", "id, cls")
+
+
+@query(rules.PLACES.sql("(SELECT *, CASE WHEN id % 4 = 0 THEN 'runway' ELSE 'sky' END AS mapped FROM (SELECT id, u, width + 300 AS width, height + 300 AS height FROM fx_feat))", "id"))
+def places_light_filter(spark, d):
+    f = t(spark, d, "fx_feat").selectExpr("id", "u", "width + 300 as width", "height + 300 as height", "case when id % 4 = 0 then 'runway' else 'sky' end as mapped")
+    return rules.PLACES.apply(f).select("id", "status", "reason")
+
+
+def _overlay_sql() -> str:
+    status, why = "status", "reason"
+    rel = rules.BACKGROUND.sql("fx_feat", "id, u, bri, upper_tex, green, dark")
+    rel = f"(SELECT *, status AS s, reason AS why FROM ({rel}))"
+    for condition, new, reason in rules.OVERLAY:
+        rel = f"(SELECT * EXCLUDE (s, why), CASE WHEN {condition} THEN '{new}' ELSE s END AS s, CASE WHEN {condition} THEN concat(why, ';{reason}') ELSE why END AS why FROM {rel})"
+    return f"SELECT id, {status}, s AS qa_status, why AS qa_reasons FROM {rel}"
+
+
+@query(_overlay_sql())
+def background_qa_overlay(spark, d):
+    return rules.overlay(rules.BACKGROUND.apply(t(spark, d, "fx_feat"))).select("id", "status", "qa_status", "qa_reasons")
+
+
+_MASK_BAD = "('empty_mask', 'mask_too_small', 'likely_background_blob', 'mask_touches_many_borders')"
+
+
+@query(f"""WITH x AS (SELECT id, area, r, k, sam2, {rules.reasons_sql(*rules.MASK_REASONS)} AS reasons FROM fx_asset)
+SELECT id, reasons, CASE WHEN area = 0 OR (area > 0 AND r < 0.01) OR r > 0.95 OR k >= 3 THEN 'reject' WHEN reasons <> '' THEN 'review' WHEN sam2 THEN 'accept' ELSE 'review' END AS label,
+CASE WHEN area = 0 OR r < 0.01 THEN 0.0 ELSE CAST(round_even(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE - (CASE WHEN r < 0.05 THEN 0.25::DOUBLE WHEN r > 0.80 THEN 0.20::DOUBLE ELSE 0.0::DOUBLE END
++ CASE WHEN r > 0.95 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END + 0.12::DOUBLE * k))), 3) AS DOUBLE) END AS score FROM x""")
+def mask_qa(spark, d):
+    return rules.mask_quality(t(spark, d, "fx_asset")).select("id", "reasons", "label", "score")
+
+
+@query(f"""SELECT id, {rules.reasons_sql(*rules.SEGMENT_REASONS)} AS reasons, CASE WHEN r > 0.95 OR k >= 3 THEN 'reject' WHEN {rules.reasons_sql(*rules.SEGMENT_REASONS)} <> '' THEN 'review' ELSE 'accept' END AS label FROM fx_asset""")
+def seg_mask_qa(spark, d):
+    return rules.segment_quality(t(spark, d, "fx_asset")).select("id", "reasons", "label")
+
+
+@query(f"""WITH x AS (SELECT id, {rules.reasons_sql(*rules.ASSET_REJECT)} AS no, {rules.reasons_sql(*rules.ASSET_REVIEW)} AS maybe FROM fx_asset)
+SELECT id, CASE WHEN no <> '' THEN 'reject' WHEN maybe <> '' THEN 'review' ELSE 'accept' END AS auto_label, CASE WHEN no <> '' THEN no WHEN maybe <> '' THEN maybe ELSE 'auto_accept' END AS auto_reasons FROM x""")
+def asset_qa(spark, d):
+    return rules.asset_quality(t(spark, d, "fx_asset")).select("id", "auto_label", "auto_reasons")
+
+
+@query(f"""WITH x AS (SELECT id, {rules.reasons_sql(*rules.ASSET_REJECT)} AS no FROM fx_asset) SELECT reason, count(*) AS n FROM (SELECT unnest(string_split(no, ';')) AS reason FROM x) WHERE reason <> '' GROUP BY 1""")
+def asset_reject_reasons(spark, d):
+    q = rules.asset_quality(t(spark, d, "fx_asset")).where("auto_label = 'reject'")
+    return metrics.reason_counts(q, "auto_reasons")
+
+
+@query("""WITH s AS (SELECT id, k, comps, area, r, expand, centre, inverted, CASE WHEN area = 0 THEN -1.0 ELSE 1.0::DOUBLE - CASE WHEN r > 0.60 THEN 0.55::DOUBLE WHEN r > 0.45 THEN 0.20::DOUBLE WHEN r < 0.02 THEN 0.50::DOUBLE ELSE 0.0::DOUBLE END
+- CASE WHEN k >= 3 THEN 0.35::DOUBLE WHEN k = 2 THEN 0.12::DOUBLE ELSE 0.0::DOUBLE END - CASE WHEN expand > 2.5 THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END
++ CASE WHEN centre < 0.25 THEN -0.30::DOUBLE ELSE 0.15::DOUBLE * centre END + 0.10::DOUBLE * (1.0::DOUBLE - abs(r - 0.25::DOUBLE)) - CASE WHEN inverted THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END END AS score FROM fx_asset),
+z AS (SELECT id, id // 3 AS image, round(CAST(score AS DOUBLE), 6) AS score, area > 0 AND r >= 0.02 AND r <= 0.60 AND k < 3 AND centre >= 0.35 AS may_invert FROM s)
+SELECT image, id, score, may_invert FROM (SELECT *, row_number() OVER (PARTITION BY image ORDER BY score DESC, id) AS rk FROM z) WHERE rk = 1""")
+def best_mask(spark, d):
+    scored = rules.mask_candidate_score(t(spark, d, "fx_asset")).withColumn("image", F.expr("id div 3"))
+    return selection.best_by(scored, "image", F.col("score"), ["id"]).select("image", "id", "score", "may_invert")
+
+
+# Annotations -----------------------------------------------------------------------------------------------
+
+_LINE_SQL = """WITH p AS (SELECT image_id, line, string_split(trim(line_text), ' ') AS tk, line_text FROM fx_label_text),
+c AS (SELECT *, TRY_CAST(tk[1] AS INT) AS cls, TRY_CAST(tk[2] AS DOUBLE) AS cx, TRY_CAST(tk[3] AS DOUBLE) AS cy, TRY_CAST(tk[4] AS DOUBLE) AS w, TRY_CAST(tk[5] AS DOUBLE) AS h FROM p),
+r AS (SELECT *, CASE WHEN starts_with(line_text, '#') OR len(tk) < 5 THEN 'malformed' WHEN cls IS NULL OR cx IS NULL OR cy IS NULL OR w IS NULL OR h IS NULL THEN 'parse_error' WHEN cls NOT IN (0, 1, 2) THEN 'class_not_exported'
+  WHEN w * 640 < 30 AND h * 480 < 30 THEN 'too_small' END AS reason FROM c)"""
+
+
+def label_lines(df: DataFrame, text: str = "line_text", classes=(0, 1, 2), width: int = 640, height: int = 480, least: int = 30) -> DataFrame:
+    """Label lines parsed, with the reason why a line is left out, or null."""
+    parts = F.split(F.trim(text), " ")
+    df = df.withColumn("n_", F.size(parts)).withColumn("cls", F.get(parts, F.lit(0)).try_cast("int"))
+    for i, c in enumerate(("cx", "cy", "w", "h")):
+        df = df.withColumn(c, F.get(parts, F.lit(i + 1)).try_cast("double"))
+    bad = F.col("cls").isNull() | F.col("cx").isNull() | F.col("cy").isNull() | F.col("w").isNull() | F.col("h").isNull()
+    small = (F.col("w") * width < least) & (F.col("h") * height < least)
+    reason = F.when(F.col(text).startswith("#") | (F.col("n_") < 5), "malformed").when(bad, "parse_error").when(~F.col("cls").isin(*classes), "class_not_exported").when(small, "too_small")
+    return df.withColumn("reason", reason).drop("n_")
+
+
+@query(f"{_LINE_SQL} SELECT coalesce(reason, 'exported') AS reason, count(*) AS n FROM r GROUP BY 1")
+def annotation_filter_reasons(spark, d):
+    return label_lines(t(spark, d, "fx_label_text")).groupBy(F.coalesce("reason", F.lit("exported")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(f"{_LINE_SQL} SELECT image_id, cls, count(*) AS n, round(sum(w * h), 6) AS area FROM r WHERE reason IS NULL GROUP BY ALL")
+def annotation_export(spark, d):
+    return label_lines(t(spark, d, "fx_label_text")).where("reason is null").groupBy("image_id", "cls").agg(F.count("*").alias("n"), F.round(F.sum(F.col("w") * F.col("h")), 6).alias("area"))
+
+
+_GROUPS = {"person": ["Brand#11", "Brand#12"], "food": ["Brand#21", "Brand#22"], "vehicle": ["Brand#31", "Brand#32", "Brand#33"]}
+
+
+def _group_sql() -> str:
+    cols = []
+    for n, members in _GROUPS.items():
+        m = ", ".join(f"'{x}'" for x in members)
+        cols.append(f"round(sum(CASE WHEN category IN ({m}) THEN total ELSE 0.0 END), 6) AS {n}_sum, round(max(CASE WHEN category IN ({m}) THEN most ELSE 0.0 END), 6) AS {n}_max")
+    return ", ".join(cols)
+
+
+@query(f"""WITH p AS (SELECT image_id, category, sum(area / CAST(image_width * image_height AS DOUBLE)) AS total, max(area / CAST(image_width * image_height AS DOUBLE)) AS most FROM fx_ann GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY round(total, 9) DESC, category) AS rk FROM p)
+SELECT image_id, round(max(most), 6) AS largest, {_group_sql()}, coalesce(string_agg(category, ',' ORDER BY rk) FILTER (WHERE rk <= 5 AND total > 0.01), '') AS leading FROM k GROUP BY image_id""")
+def coco_scene_stats(spark, d):
+    return metrics.scene_statistics(t(spark, d, "fx_ann"), _GROUPS)
+
+
+@query("""SELECT image_id, arg_max(class_name, (area, -line, -l_partkey, -l_suppkey)) AS largest_class, array_to_string(list_sort(list(DISTINCT class_name)), ',') AS classes, count(*) AS n,
+CAST(bool_and(greatest(w, h) < 60) AS INT) AS all_small FROM fx_ann GROUP BY image_id""")
+def hard_negative_candidates(spark, d):
+    return metrics.image_candidates(t(spark, d, "fx_ann"), 60)
+
+
+# Selection, split, design ----------------------------------------------------------------------------------
+
+_H = lambda seed, c: f"sha256(concat_ws('|', '{seed}', CAST({c} AS VARCHAR)))"
+
+
+@query("""SELECT p_partkey, CASE WHEN p_retailprice < 1200 THEN 'low_score' WHEN row_number() OVER (PARTITION BY p_brand, p_retailprice >= 1200 ORDER BY p_retailprice DESC, p_size DESC, p_partkey) <= 5 THEN 'selected_top_k' ELSE 'below_top_k' END AS selection FROM part""")
+def topk_per_category(spark, d):
+    return selection.top_k(t(spark, d, "part"), "p_brand", "p_retailprice", [F.col("p_size").desc(), F.col("p_partkey")], 5, 1200.0).select("p_partkey", "selection")
+
+
+@query(f"""WITH a AS (SELECT p_partkey, p_brand, CASE WHEN row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) <= 4 THEN 'head' ELSE 'tail' END AS part FROM part),
+b AS (SELECT *, row_number() OVER (PARTITION BY p_brand, part ORDER BY {_H(42, 'p_partkey')}, p_partkey) AS dr FROM a) SELECT p_partkey, p_brand, part FROM b WHERE part = 'head' OR dr <= 3""")
+def quota_select(spark, d):
+    return selection.quota(t(spark, d, "part").select("p_partkey", "p_brand", "p_retailprice"), "p_brand", [F.col("p_retailprice").desc()], 7, 42, "p_partkey").select("p_partkey", "p_brand", "part")
+
+
+@query(f"""WITH a AS (SELECT o_orderkey, o_orderpriority AS grp, o_custkey % 50 AS image, o_totalprice, row_number() OVER (PARTITION BY o_orderpriority, o_custkey % 50 ORDER BY o_totalprice DESC, o_orderkey) = 1 AS best FROM orders),
+b AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY best DESC, CASE WHEN best THEN '' ELSE {_H(7, 'o_orderkey')} END, o_totalprice DESC, o_orderkey) AS turn FROM a) SELECT o_orderkey, grp, image, best AS best_of_image FROM b WHERE turn <= 70""")
+def diverse_select(spark, d):
+    o = t(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("grp"), F.expr("o_custkey % 50").alias("image"), "o_totalprice")
+    return selection.diverse(o, "grp", "image", [F.col("o_totalprice").desc()], 70, 7, "o_orderkey").drop("o_totalprice")
+
+
+@query(f"SELECT image_id, target_present FROM (SELECT image_id, target_present, row_number() OVER (PARTITION BY target_present ORDER BY {_H(3, 'image_id')}, image_id) AS rk FROM fx_meta) WHERE rk <= 50")
+def balanced_sample(spark, d):
+    return selection.balanced(t(spark, d, "fx_meta").select("image_id", "target_present"), "target_present", 100, 3, "image_id")
+
+
+@query(f"SELECT image_id FROM fx_meta ORDER BY {_H(9, 'image_id')}, image_id LIMIT 60")
+def seeded_sample(spark, d):
+    return selection.sample(t(spark, d, "fx_meta").select("image_id"), 60, 9, "image_id")
+
+
+@query("""WITH s AS (SELECT image_id, pi, CAST(confidence AS DOUBLE) * sqrt(w * h) * (1.0::DOUBLE - 0.35::DOUBLE * (abs(x + w / 2 - 320) / 640 + abs(y + h / 2 - 240) / 480)) AS score FROM fx_pred)
+SELECT image_id, pi, score FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, pi) AS rk FROM s) WHERE rk = 1""")
+def best_detection(spark, d):
+    cx, cy = geo.centre(geo.box())
+    score = selection.detection_score(F.col("confidence").cast("double"), F.col("w"), F.col("h"), cx, cy, F.lit(640), F.lit(480))
+    return selection.best_by(t(spark, d, "fx_pred"), "image_id", score, ["pi"]).select("image_id", "pi", "score")
+
+
+@query("SELECT event_id, sequence_key FROM (SELECT event_id, sequence_key, row_number() OVER (PARTITION BY sequence_key ORDER BY ts, event_id) AS n FROM fx_frames) WHERE (n - 1) % 5 = 0")
+def temporal_stride(spark, d):
+    return selection.stride(t(spark, d, "fx_frames"), "sequence_key", ["ts", "event_id"], 5).select("event_id", "sequence_key")
+
+
+@query("SELECT doc_id, source, CAST(floor(n / 12) AS INT) AS page, CAST(n % 12 AS INT) AS tile FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n FROM documents)")
+def tile_pages(spark, d):
+    return selection.pages(t(spark, d, "documents").select("doc_id", "source"), ["doc_id"], 12, "source")
+
+
+def _split_sql(whole: str) -> str:
+    return f"""WITH s AS (SELECT image_id, subset, count(*) OVER (PARTITION BY subset) AS n, row_number() OVER (PARTITION BY subset ORDER BY {_H(42, 'image_id')}, image_id) AS rk FROM fx_meta),
+split_ AS (SELECT image_id, subset, CASE WHEN rk <= {whole.format('n * 0.7::DOUBLE')} THEN 'train' WHEN rk <= {whole.format('n * 0.7::DOUBLE')} + {whole.format('n * 0.15::DOUBLE')} THEN 'val' ELSE 'test' END AS split FROM s)"""
+
+
+def _split(spark, d, rounded=False):
+    return selection.stratified_split(t(spark, d, "fx_meta").select("image_id", "subset"), "subset", "image_id", 42, rounded=rounded)
+
+
+@query(_split_sql("floor({})") + " SELECT * FROM split_")
+def stratified_split(spark, d):
+    return _split(spark, d)
+
+
+@query(_split_sql("round_even({}, 0)") + " SELECT * FROM split_")
+def stratified_split_rounded(spark, d):
+    return _split(spark, d, True)
+
+
+@query(_split_sql("floor({})") + """ SELECT subset, count(*) FILTER (WHERE split = 'train') AS train, count(*) FILTER (WHERE split = 'val') AS val, count(*) FILTER (WHERE split = 'test') AS test FROM split_ GROUP BY 1""")
+def split_crosstab(spark, d):
+    return metrics.crosstab(_split(spark, d), "subset", "split", ["train", "val", "test"])
+
+
+@query(_split_sql("floor({})") + " SELECT image_id, subset FROM split_ WHERE split = 'test' AND subset = 'synthetic_distractor_only'")
+def eval_subsets(spark, d):
+    return _split(spark, d).where("split = 'test' and subset = 'synthetic_distractor_only'").select("image_id", "subset")
+
+
+def _even_sql(rank: str, values: list, total: int) -> str:
+    base, extra = divmod(total, len(values))
+    out, upto = "CASE", 0
+    for i, v in enumerate(values):
+        upto += base + (i < extra)
+        out += f" WHEN {rank} < {upto} THEN {v!r}"
+    return out + " END"
+
+
+_AXES = {"size_px": [8, 15, 30, 60], "noise": [0, 10, 20], "blur": ["none", "mild"], "contrast": ["low", "normal"]}
+_DESIGN = 1205
+
+
+@query(f"SELECT id, {', '.join(_even_sql(f'r{i}', v, _DESIGN) + ' AS ' + n for i, (n, v) in enumerate(_AXES.items()))} FROM (SELECT id, {', '.join(f'row_number() OVER (ORDER BY {_H(42 + i, chr(105) + chr(100))}, id) - 1 AS r{i}' for i in range(len(_AXES)))} FROM range({_DESIGN}) x(id))")
+def balanced_schedule(spark, d):
+    return selection.balanced_schedule(spark.range(_DESIGN), "id", _DESIGN, _AXES, 42)
+
+
+@query(f"""SELECT id, CASE WHEN r < 361 THEN 'positive' WHEN r < 722 THEN 'negative' ELSE 'mixed' END AS subset FROM (SELECT id, row_number() OVER (ORDER BY {_H(5, 'id')}, id) - 1 AS r FROM range({_DESIGN}) x(id))""")
+def subset_assignment(spark, d):
+    return selection.assign_by_ratio(spark.range(_DESIGN), "id", _DESIGN, {"positive": 0.3, "negative": 0.3, "mixed": 0.4}, 5)
+
+
+_PICK = lambda seed, what, n: f"CAST(('0x' || substr(sha256(concat_ws('|', '{seed}', CAST(id AS VARCHAR), '{what}')), 1, 8)) AS BIGINT) % {n}"
+
+
+@query(f"""WITH p AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS k FROM part), s AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS k FROM supplier),
+g AS (SELECT id, {_PICK(42, 'bg', '(SELECT count(*) FROM part)')} AS bk, {_PICK(42, 'asset', '(SELECT count(*) FROM supplier)')} AS ak FROM range(3600) x(id))
+SELECT id, printf('img_%06d', id) AS image_id, p_partkey AS background_id, s_suppkey AS asset_id FROM g JOIN p ON p.k = bk JOIN s ON s.k = ak""")
+def generation_plan(spark, d):
+    from pyspark.sql import Window
+
+    pools = {"bg": ("part", "p_partkey", "background_id"), "asset": ("supplier", "s_suppkey", "asset_id")}
+    plan = spark.range(3600).withColumn("image_id", F.format_string("img_%06d", F.col("id")))
+    for what, (name, key, out) in pools.items():
+        pool = t(spark, d, name).select(F.col(key).alias(out), (F.row_number().over(Window.orderBy(key)) - 1).alias("k_" + what))
+        size = F.broadcast(pool.agg(F.count("*").alias("n_" + what)))
+        plan = plan.crossJoin(size).withColumn("k_" + what, selection.pick(42, "id", what, F.col("n_" + what))).join(pool, "k_" + what)
+    return plan.select("id", "image_id", "background_id", "asset_id")
+
+
+@query(f"""WITH a AS (SELECT image_id AS id, drone_size_px AS w, gx, gy, unnest(generate_series(1, 50)) AS attempt FROM fx_meta WHERE image_id % 10 = 1),
+b AS (SELECT *, CAST(('0x' || substr(sha256(concat_ws('|', '8', CAST(id AS VARCHAR), CAST(attempt AS VARCHAR), 'x')), 1, 8)) AS BIGINT) % 561 AS px, CAST(('0x' || substr(sha256(concat_ws('|', '8', CAST(id AS VARCHAR), CAST(attempt AS VARCHAR), 'y')), 1, 8)) AS BIGINT) % 321 AS py FROM a),
+c AS (SELECT *, greatest(0, least(px + w, gx + 60) - greatest(px, gx)) * greatest(0, least(py + w, gy + 60) - greatest(py, gy)) AS i FROM b),
+e AS (SELECT *, i / CAST(w * w + 3600 - i AS DOUBLE) <= 0.05 AND sqrt((px + w / 2 - gx - 30) * (px + w / 2 - gx - 30) + (py + w / 2 - gy - 30) * (py + w / 2 - gy - 30)) >= 20 AS good FROM c),
+f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY good DESC, CASE WHEN good THEN attempt ELSE -attempt END) AS rk FROM e)
+SELECT id AS image_id, CAST(attempt AS INT) AS attempt, px, py FROM f WHERE rk = 1""")
+def placement_sampling(spark, d):
+    m = t(spark, d, "fx_meta").where("image_id % 10 = 1").withColumn("s", F.lit(60))
+    return selection.rejection_placement(m, "image_id", 8, (0, 560), (0, 320), "drone_size_px", ("gx", "gy", "s", "s"))
+
+
+@query("SELECT s_suppkey, copy FROM (SELECT s_suppkey, unnest(generate_series(0, s_suppkey % 4 - 1)) AS copy FROM supplier)")
+def schedule_expansion(spark, d):
+    return selection.expand_counts(t(spark, d, "supplier").withColumn("n", F.expr("s_suppkey % 4")), "n").select("s_suppkey", "copy")
+
+
+# Summaries -------------------------------------------------------------------------------------------------
+
+_SUMMARY = ["subset", "distractor_type", "blur_level", "background_type"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS dimension, CAST({c} AS VARCHAR) AS value, count(*) AS n FROM fx_meta GROUP BY {c}" for c in _SUMMARY))
+def dataset_summary(spark, d):
+    return metrics.value_counts(t(spark, d, "fx_meta"), _SUMMARY)
+
+
+@query("SELECT category, min(greatest(w, h)) AS least, round(median(greatest(w, h)), 6) AS median, max(greatest(w, h)) AS greatest, round(avg(greatest(w, h)), 6) AS mean FROM fx_ann GROUP BY 1")
+def report_min_med_max(spark, d):
+    return metrics.spread(t(spark, d, "fx_ann"), F.greatest("w", "h"), ["category"])
+
+
+@query(f"SELECT disposition AS before, final_disposition AS after, count(*) AS n FROM ({rules.SCENE_ASSET.sql('(' + rules.SCENE.sql('fx_feat', '*') + ')', 'id, disposition')}) GROUP BY ALL")
+def transition_counts(spark, d):
+    return metrics.transitions(rules.SCENE_ASSET.apply(rules.SCENE.apply(t(spark, d, "fx_feat"))), "disposition", "final_disposition")
+
+
+# Near-duplicates and scorers -------------------------------------------------------------------------------
+
+_HASH = "SELECT vec_id, label, (SELECT sum(CASE WHEN embedding[i + 1] > 0 THEN 1::HUGEINT << i ELSE 0 END) FROM range(64) r(i)) AS h FROM embeddings"
+
+
+def _hashes(spark, d):
+    """The signs of the 64 dimensions as a signed long."""
+    e = t(spark, d, "embeddings")
+    h = F.expr("aggregate(sequence(0, 63), 0L, (a, i) -> a | if(embedding[i] > 0, shiftleft(1L, i), 0L))")
+    return e.select("vec_id", "label", h.alias("h"))
+
+
+_D = "bit_count(CAST(xor(a.h, b.h) % 4294967296 AS BIGINT)) + bit_count(CAST(xor(a.h, b.h) // 4294967296 AS BIGINT))"
+
+
+@query(f"WITH e AS ({_HASH}) SELECT a.vec_id AS a, b.vec_id AS b, CAST({_D} AS INT) AS d FROM e a JOIN e b ON a.vec_id < b.vec_id WHERE {_D} <= 16")
+def phash_pairs(spark, d):
+    return dedup.near_pairs(_hashes(spark, d), "vec_id", "h", 16)
+
+
+def _first_fit_sql(within: str) -> str:
+    return f"""WITH RECURSIVE e AS MATERIALIZED (SELECT vec_id, label, h, CAST(row_number() OVER (ORDER BY vec_id) AS INT) AS n FROM ({_HASH})),
+p AS MATERIALIZED (SELECT b.n AS n, list(a.n) AS before FROM e a JOIN e b ON a.vec_id < b.vec_id {within} AND {_D} <= 16 GROUP BY b.n),
+w AS (SELECT 0 AS n, CAST([] AS INT[]) AS reps UNION ALL SELECT w.n + 1, CASE WHEN len(list_intersect(coalesce(p.before, []), w.reps)) = 0 THEN list_append(w.reps, w.n + 1) ELSE w.reps END FROM w LEFT JOIN p ON p.n = w.n + 1 WHERE w.n < (SELECT max(n) FROM e)),
+r AS (SELECT reps FROM w ORDER BY n DESC LIMIT 1)
+SELECT e.vec_id, coalesce((SELECT f.vec_id FROM e f WHERE f.n = list_min(list_intersect(p.before, r.reps))), e.vec_id) AS representative FROM e LEFT JOIN p ON p.n = e.n CROSS JOIN r"""
+
+
+@query(_first_fit_sql(""))
+def phash_dedup_global(spark, d):
+    return dedup.first_fit(_hashes(spark, d), "vec_id", "h", 16)
+
+
+@query(_first_fit_sql("AND a.label = b.label"))
+def phash_dedup_by_type(spark, d):
+    return dedup.first_fit(_hashes(spark, d), "vec_id", "h", 16, "label")
+
+
+_COS = "list_sum(list_transform(list_zip(i.embedding, p.embedding), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
+
+
+def _prompt_scores(spark, d):
+    """Cosines of images with the eight prompts, which are a bounded table."""
+    e = t(spark, d, "embeddings")
+    prompts = e.where("vec_id < 8").select(F.col("vec_id").alias("prompt"), F.col("embedding").alias("pe"))
+    dot = F.expr("aggregate(zip_with(embedding, pe, (x, y) -> double(x) * double(y)), 0D, (a, x) -> a + x)")
+    return e.where("vec_id >= 8").crossJoin(F.broadcast(prompts)).select("vec_id", "prompt", F.expr("concat('group_', prompt % 4)").alias("grp"), F.round(dot, 6).alias("s"))
+
+
+_SCORES = f"WITH s AS (SELECT i.vec_id, p.vec_id AS prompt, concat('group_', CAST(p.vec_id % 4 AS VARCHAR)) AS grp, round({_COS}, 6) AS s FROM embeddings i JOIN embeddings p ON p.vec_id < 8 AND i.vec_id >= 8)"
+
+
+@query(f"""{_SCORES}, b AS (SELECT vec_id, grp, max(s) AS s, arg_max(prompt, (s, -prompt)) AS prompt FROM s GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, grp) AS rk FROM b)
+SELECT a.vec_id, a.grp AS first_group, round(a.s, 6) AS first_score, a.prompt AS first_prompt, c.grp AS second_group, round(c.s, 6) AS second_score, round(a.s - c.s, 6) AS margin FROM r a JOIN r c ON c.vec_id = a.vec_id AND a.rk = 1 AND c.rk = 2""")
+def clip_group_scores(spark, d):
+    return metrics.group_scores(_prompt_scores(spark, d), "vec_id", "grp", "s", "prompt")
+
+
+@query(f"{_SCORES} SELECT vec_id, round(max(CASE WHEN prompt < 4 THEN s END) - max(CASE WHEN prompt >= 4 THEN s END), 6) AS suitability FROM s GROUP BY 1")
+def clip_suitability(spark, d):
+    s = _prompt_scores(spark, d)
+    pick = lambda c: F.max(F.when(F.expr(c), F.col("s")))
+    return s.groupBy("vec_id").agg(F.round(pick("prompt < 4") - pick("prompt >= 4"), 6).alias("suitability"))
+
+
+@query("SELECT text, max(doc_id) AS doc_id FROM documents GROUP BY text")
+def exact_dedup_keep_last(spark, d):
+    return t(spark, d, "documents").groupBy("text").agg(F.max("doc_id").alias("doc_id"))
+
+
+# Joins and validation --------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT item_id * 3 FROM benchmark)")
+def keep_list_join(spark, d):
+    ids = t(spark, d, "benchmark").select((F.col("item_id") * 3).alias("doc_id"))
+    return relations.kept(t(spark, d, "documents").select("doc_id", "source"), ids, "doc_id")
+
+
+@query("SELECT item_id * 60 AS doc_id FROM benchmark WHERE item_id * 60 NOT IN (SELECT doc_id FROM documents)")
+def keep_list_missing(spark, d):
+    ids = t(spark, d, "benchmark").select((F.col("item_id") * 60).alias("doc_id"))
+    return relations.missing(ids, t(spark, d, "documents").select("doc_id"), "doc_id")
+
+
+@query("""SELECT p.page_id, coalesce(a.quality, b.quality, c.quality) AS quality FROM pages p LEFT JOIN labels a ON a.doc_id = p.page_id LEFT JOIN labels b ON b.doc_id = p.page_id + 100 LEFT JOIN labels c ON c.doc_id = p.page_id + 200""")
+def metadata_lookup_fallback(spark, d):
+    known = t(spark, d, "labels").select("doc_id", "quality")
+    keys = [F.col("page_id") + k for k in (0, 100, 200)]
+    return relations.fallback_join(t(spark, d, "pages").select("page_id"), [(k, known, "doc_id") for k in keys], "quality", "quality")
+
+
+@query(f"""SELECT n.doc_id, CASE WHEN o.qa_final_label IS NOT NULL AND trim(o.qa_final_label) <> '' THEN o.qa_final_label ELSE n.qa_final_label END AS qa_final_label FROM (SELECT doc_id, 'auto' AS qa_final_label FROM documents) n LEFT JOIN (SELECT doc_id, qa_final_label FROM fx_qa WHERE doc_id % 2 = 0) o ON o.doc_id = n.doc_id""")
+def qa_upsert(spark, d):
+    new = t(spark, d, "documents").select("doc_id", F.lit("auto").alias("qa_final_label"))
+    old = t(spark, d, "fx_qa").where("doc_id % 2 = 0").select("doc_id", "qa_final_label")
+    return relations.upsert(new, old, "doc_id", ["qa_final_label"])
+
+
+_CHECKS = {"no_label": ("warning", "label is null"), "not_accepted": ("error", "label is not null and label <> 'accept'"), "extraction_failed": ("error", "extraction_failed"), "short": ("warning", "n_chars < 100")}
+
+
+@query(f"""WITH x AS MATERIALIZED ({QA_LABELS_SQL}) {' UNION ALL '.join(f"SELECT '{n}' AS check, '{lv}' AS level, count(*) FILTER (WHERE {c}) AS n FROM x" for n, (lv, c) in _CHECKS.items())}
+UNION ALL SELECT 'duplicate_path', 'error', coalesce(CAST(sum(c) AS BIGINT), 0) FROM (SELECT count(*) AS c FROM x GROUP BY path HAVING count(*) > 1)""")
+def pack_validation(spark, d):
+    return relations.checks(_qa(spark, d), _CHECKS, ["path"])
+
+
+@query("""SELECT p.page_id, CASE WHEN b.doc_id IS NOT NULL THEN 'first' WHEN c.doc_id IS NOT NULL THEN 'second' END AS resolved FROM pages p LEFT JOIN (SELECT doc_id FROM labels WHERE quality = 1) b ON b.doc_id = p.page_id LEFT JOIN (SELECT doc_id FROM labels WHERE quality = 0) c ON c.doc_id = p.page_id""")
+def path_resolution(spark, d):
+    there = t(spark, d, "labels").select(F.concat(F.when(F.col("quality") == 1, "good/").otherwise("bad/"), F.col("doc_id").cast("string")).alias("path"))
+    p = t(spark, d, "pages").select("page_id", F.concat(F.lit("good/"), "page_id").alias("a"), F.concat(F.lit("bad/"), "page_id").alias("b"))
+    found = relations.resolve_paths(p, "page_id", ["a", "b"], there)
+    return found.select("page_id", F.when(F.col("resolved") == F.col("a"), "first").when(F.col("resolved") == F.col("b"), "second").alias("resolved"))
+
+
+@query("SELECT doc_id, printf('cand_%06d', row_number() OVER (ORDER BY source, doc_id) - 1) AS candidate_id FROM documents")
+def candidate_ids(spark, d):
+    return relations.ids_in_order(t(spark, d, "documents").select("doc_id", "source"), ["source", "doc_id"], "cand_%06d", "candidate_id").select("doc_id", "candidate_id")
