@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 from .common import only, small_batches
 from .merges import MergeTable, WordCache
 
-SLICE_BYTES = 24_000_000
-CACHE_WORDS = 800_000
+SLICE_BYTES = 8_000_000
+CACHE_WORDS = 300_000
 
 
 class ByteBpe:
@@ -39,9 +39,17 @@ class ByteBpe:
         self.odd = re.compile(r" \s| $")
         self.cache = WordCache(CACHE_WORDS)
 
+    def _words(self, chunk: str) -> list[str]:
+        """Matches of the pattern; letters after a space, with a mark behind them or not, need no search."""
+        if chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
+            return [chunk]
+        if chunk[-1] in ".,;:" and chunk[1:-1].isalpha() and chunk[0] == " ":
+            return [chunk[:-1], chunk[-1]]
+        return self.pattern.findall(chunk)
+
     def _pack(self, chunks: list[str]) -> list[bytes]:
         """Ids of chunks of text, each cut by the pattern into words."""
-        cut = list(map(self.pattern.findall, chunks))
+        cut = [self._words(c) for c in chunks]
         words = dict.fromkeys(itertools.chain.from_iterable(cut))
         packed = dict(zip(words, self.table.encode([w.encode("utf-8", "surrogatepass") for w in words])))
         return [packed[ws[0]] if len(ws) == 1 else b"".join([packed[w] for w in ws]) for ws in cut]

@@ -36,7 +36,7 @@ from .bpe import SLICE_BYTES, slices
 from .common import only, small_batches, stage
 from .merges import MergeTable, WordCache
 
-CACHE_WORDS = 800_000
+CACHE_WORDS = 300_000
 WINDOW = 4096
 QUANTUM = 256
 
@@ -61,10 +61,18 @@ class WordBpe:
         self.cache = WordCache(CACHE_WORDS)
 
     def _pack(self, chunks: list[str]) -> list[bytes]:
-        cut = list(map(self.pattern.findall, chunks))
+        cut = [self._words(c) for c in chunks]
         words = dict.fromkeys(itertools.chain.from_iterable(cut))
         packed = dict(zip(words, self.table.encode([w.encode("utf-8") for w in words], "<u4")))
-        return [b"".join([packed[w] for w in ws]) for ws in cut]
+        return [packed[ws[0]] if len(ws) == 1 else b"".join([packed[w] for w in ws]) for ws in cut]
+
+    def _words(self, chunk: str) -> list[str]:
+        """Matches of the pattern; letters, with a mark behind them or not, need no search."""
+        if chunk.isalpha():
+            return [chunk]
+        if chunk[-1] in ".,;:" and chunk[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return self.pattern.findall(chunk)
 
     def _plain(self, text: str) -> bool:
         from unicodedata import is_normalized
