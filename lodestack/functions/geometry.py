@@ -52,8 +52,15 @@ def yolo_to_pixels(cx: Column, cy: Column, w: Column, h: Column, width: Column,
 
 
 def yolo_line(class_id: Column, b: Box, width: Column, height: Column) -> Column:
-    """The label line of a box, six decimals."""
-    return F.format_string("%d %.6f %.6f %.6f %.6f", class_id, (b[0] + b[2] / 2) / width, (b[1] + b[3] / 2) / height, b[2] / width, b[3] / height)
+    """The label line of a box, six decimals, halves up; computed in whole numbers, so that it is the same everywhere."""
+
+    def share(twice: Column, full: Column) -> list[Column]:
+        top = twice.cast("long") * 1000000 + full.cast("long")
+        micro = (top - F.pmod(top, full.cast("long") * 2)) / (full * 2)
+        return [F.floor(micro / 1000000), F.pmod(micro.cast("long"), F.lit(1000000))]
+
+    parts = [*share(b[0] * 2 + b[2], width), *share(b[1] * 2 + b[3], height), *share(b[2] * 2, width), *share(b[3] * 2, height)]
+    return F.format_string("%d %d.%06d %d.%06d %d.%06d %d.%06d", class_id, *parts)
 
 
 def clip(b: Box, width: Column, height: Column) -> Box:

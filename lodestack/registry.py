@@ -238,7 +238,7 @@ def bbox_clamp(spark, d):
     return t(spark, d, "fx_ann").select("image_id", "line", "l_partkey", "l_suppkey", *[v.alias(n) for v, n in zip(c, ("cx", "cy", "cw", "ch"))])
 
 
-@query("""SELECT image_id, line, l_partkey, l_suppkey, printf('%d %.6f %.6f %.6f %.6f', line, round((x + w / 2) / image_width, 6), round((y + h / 2) / image_height, 6), round(w / image_width, 6), round(h / image_height, 6)) AS label, x, y, w, h FROM fx_ann""")
+@query("""SELECT image_id, line, l_partkey, l_suppkey, printf('%d %d.%06d %d.%06d %d.%06d %d.%06d', line, (((2 * x + w) * 1000000::BIGINT + image_width) // (2 * image_width)) // 1000000, ((((2 * x + w) * 1000000::BIGINT + image_width) // (2 * image_width)) % 1000000 + 1000000) % 1000000, (((2 * y + h) * 1000000::BIGINT + image_height) // (2 * image_height)) // 1000000, ((((2 * y + h) * 1000000::BIGINT + image_height) // (2 * image_height)) % 1000000 + 1000000) % 1000000, (((2 * w) * 1000000::BIGINT + image_width) // (2 * image_width)) // 1000000, ((((2 * w) * 1000000::BIGINT + image_width) // (2 * image_width)) % 1000000 + 1000000) % 1000000, (((2 * h) * 1000000::BIGINT + image_height) // (2 * image_height)) // 1000000, ((((2 * h) * 1000000::BIGINT + image_height) // (2 * image_height)) % 1000000 + 1000000) % 1000000) AS label, x, y, w, h FROM fx_ann""")
 def yolo_roundtrip(spark, d):
     a = t(spark, d, "fx_ann")
     size = (F.col("image_width"), F.col("image_height"))
