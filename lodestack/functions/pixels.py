@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def rgb(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
@@ -152,7 +153,7 @@ def png(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6 if c == 4 else 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
-FEATURES = "u double, l double, f double, tex double, bri double, phash string"
+FEATURES = T.StructType([T.StructField(n, T.DoubleType()) for n in ("u", "l", "f", "tex", "bri")] + [T.StructField("phash", T.StringType())])
 
 
 @F.pandas_udf(FEATURES)

@@ -238,12 +238,12 @@ def bbox_clamp(spark, d):
     return t(spark, d, "fx_ann").select("image_id", "line", "l_partkey", "l_suppkey", *[v.alias(n) for v, n in zip(c, ("cx", "cy", "cw", "ch"))])
 
 
-@query("""SELECT image_id, line, l_partkey, l_suppkey, printf('%d %d.%06d %d.%06d %d.%06d %d.%06d', line, (((2 * x + w) * 1000000::BIGINT + image_width) // (2 * image_width)) // 1000000, ((((2 * x + w) * 1000000::BIGINT + image_width) // (2 * image_width)) % 1000000 + 1000000) % 1000000, (((2 * y + h) * 1000000::BIGINT + image_height) // (2 * image_height)) // 1000000, ((((2 * y + h) * 1000000::BIGINT + image_height) // (2 * image_height)) % 1000000 + 1000000) % 1000000, (((2 * w) * 1000000::BIGINT + image_width) // (2 * image_width)) // 1000000, ((((2 * w) * 1000000::BIGINT + image_width) // (2 * image_width)) % 1000000 + 1000000) % 1000000, (((2 * h) * 1000000::BIGINT + image_height) // (2 * image_height)) // 1000000, ((((2 * h) * 1000000::BIGINT + image_height) // (2 * image_height)) % 1000000 + 1000000) % 1000000) AS label, x, y, w, h FROM (SELECT * EXCLUDE (x, y, w, h), greatest(x, 0) AS x, greatest(y, 0) AS y, least(x + w, image_width) - greatest(x, 0) AS w, least(y + h, image_height) - greatest(y, 0) AS h FROM fx_ann)""")
+@query("""SELECT image_id, line, l_partkey, l_suppkey, printf('%d %d.%06d %d.%06d %d.%06d %d.%06d', line, (((2 * x + w) * 1000000::BIGINT + image_width) // (2 * image_width)) // 1000000, ((((2 * x + w) * 1000000::BIGINT + image_width) // (2 * image_width)) % 1000000 + 1000000) % 1000000, (((2 * y + h) * 1000000::BIGINT + image_height) // (2 * image_height)) // 1000000, ((((2 * y + h) * 1000000::BIGINT + image_height) // (2 * image_height)) % 1000000 + 1000000) % 1000000, (((2 * w) * 1000000::BIGINT + image_width) // (2 * image_width)) // 1000000, ((((2 * w) * 1000000::BIGINT + image_width) // (2 * image_width)) % 1000000 + 1000000) % 1000000, (((2 * h) * 1000000::BIGINT + image_height) // (2 * image_height)) // 1000000, ((((2 * h) * 1000000::BIGINT + image_height) // (2 * image_height)) % 1000000 + 1000000) % 1000000) AS label, x, y, w, h FROM (SELECT * EXCLUDE (x, y, w, h), greatest(x, 0) AS x, greatest(y, 0) AS y, least(x + w, image_width) - greatest(x, 0) AS w, least(y + h, image_height) - greatest(y, 0) AS h FROM fx_ann) WHERE w > 0 AND h > 0""")
 def yolo_roundtrip(spark, d):
     a = t(spark, d, "fx_ann")
     size = (F.col("image_width"), F.col("image_height"))
     inside = geo.clip(geo.box(), *size)
-    lines = a.select("image_id", "line", "l_partkey", "l_suppkey", *size, geo.yolo_line(F.col("line"), inside, *size).alias("label"))
+    lines = a.where(~geo.clipped_away(inside)).select("image_id", "line", "l_partkey", "l_suppkey", *size, geo.yolo_line(F.col("line"), inside, *size).alias("label"))
     n = [F.split("label", " ")[i].cast("double") for i in range(1, 5)]
     back = geo.yolo_to_pixels(*n, *size)
     return lines.select("image_id", "line", "l_partkey", "l_suppkey", "label", *[v.alias(c) for v, c in zip(back, "xywh")])
