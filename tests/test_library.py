@@ -114,6 +114,7 @@ def test_pixels(spark, tmp_path):
     df = tables.images(spark, str(tmp_path))
     r = df.select(pixels.image_features("data", "height", "width", "nChannels").alias("f")).select("f.*").first()
     assert (r.u, r.l, r.tex) == (1.0, 0.0, 0.0) and len(r.phash) == 16
+    assert (r.blue, r.cloud, r.green, r.dark, r.bri) == (1.0, 1.0, 0.0, 0.0, 115.5)
     mask = np.zeros((10, 10), bool)
     mask[1:6, 1:6] = mask[6:10, 6:10] = True
     assert pixels.components(mask) == [41] and pixels.mask_box(mask) == (1, 1, 9, 9)
@@ -121,6 +122,71 @@ def test_pixels(spark, tmp_path):
     assert pixels.run_lengths_to_mask([2, 3, 4], 3, 3).sum() == 3
 
 
+def test_canny_edges():
+    step = np.zeros((8, 10), int)
+    step[:, 5:] = 200
+    assert np.nonzero(pixels.edges(step, 50, 140).all(0))[0].tolist() == [4] and pixels.edges(step, 50, 140).sum() == 8
+    assert np.nonzero(pixels.edges(step.T, 50, 140).all(1))[0].tolist() == [4]
+    assert not pixels.edges(np.full((5, 5), 9), 50, 140).any()
+    # A weak edge stays only where it meets a strong one.
+    weak = np.zeros((12, 10), int)
+    weak[:, 5:] = 25
+    assert not pixels.edges(weak, 50, 140).any()
+    weak[:3, 5:] = 200
+    assert pixels.edges(weak, 50, 140)[6:, 4].all()
+    diagonal = np.add.outer(np.arange(12), np.arange(12))
+    assert pixels.edges(np.where(diagonal > 11, 200, 0), 50, 140).any()
+
+
+def test_edges_grow_like_a_walk_over_all_pixels():
+    rng = np.random.default_rng(3)
+    within = rng.random((15, 17)) < 0.5
+    start = within & (rng.random((15, 17)) < 0.03)
+    want = start.copy()
+    for _ in range(within.size):
+        p = np.pad(want, 1)
+        want = within & np.any([p[i : i + 15, j : j + 17] for i in range(3) for j in range(3)], axis=0)
+    assert (pixels.reached(start, within) == want).all()
+
+
+def test_blur_and_resize():
+    dot = np.zeros((7, 7, 3), np.uint8)
+    dot[3, 3] = 160
+    assert pixels.blurred(dot, 3)[2:5, 2:5, 0].tolist() == [[10, 20, 10], [20, 40, 20], [10, 20, 10]]
+    assert (pixels.blurred(dot, 2) == pixels.blurred(dot, 3)).all() and pixels.blurred(dot, 0) is dot
+    for size in (5, 7, 9, 31):
+        assert (pixels.blurred(np.full((4, 1, 3), 77, np.uint8), size) == 77).all()
+    board = np.arange(16, dtype=np.uint8).reshape(4, 4, 1) * 10
+    assert pixels.resized(board, 2)[..., 0].tolist() == [[25, 45], [105, 125]] and pixels.resized(board, 4) is board
+    assert pixels.resized(board, 8)[::2, ::2, 0].tolist() == board[..., 0].tolist()
+    assert pixels.resized(np.zeros((1, 9, 4), np.uint8), 3).shape == (1, 3, 4)
+    with pytest.raises(ValueError):
+        pixels.resized(board, 0)
+
+
+def test_pasting_cuts_at_borders_and_alpha_is_cleaned():
+    base = np.full((4, 4, 3), 100, np.uint8)
+    paste = np.dstack([np.full((3, 3, 3), 201, np.uint8), np.full((3, 3), 128, np.uint8)])
+    out = pixels.composite(base, paste, -2, 3)
+    assert out[3, 0].tolist() == [150] * 3 and (out[:3] == 100).all() and (out[3, 1:] == 100).all()
+    assert (pixels.composite(base, paste, 9, 0) == base).all()
+    rgba = pixels.cropped(base, (1, 1, 2, 2))
+    assert rgba.shape == (2, 2, 4) and (rgba[..., 3] == 255).all() and pixels.cropped(base, (9, 9, 2, 2)) is None
+    assert not pixels.without_corner_colour(rgba)[..., 3].any() and (pixels.without_white(rgba, 101)[..., 3] == 255).all()
+    cleaned, notes = pixels.clean_alpha(paste, 129, 0.5)
+    assert not cleaned[..., 3].any() and notes == ["threshold<129_zeroed", "low_alpha_fraction=0.0000"] and (paste[..., 3] == 128).all()
+    assert pixels.on_checkerboard(np.zeros((24, 24, 4), np.uint8))[[0, 0], [0, 12], 0].tolist() == [192, 240]
+
+
+def test_mask_facts():
+    mask = np.zeros((20, 20), bool)
+    mask[5:15, 5:15] = True
+    got = pixels.mask_facts(mask, (5, 5, 10, 10))
+    assert (got["area"], got["r"], got["k"], got["centre"], got["expansion"], got["x"], got["h"]) == (100, 0.25, 0, 1.0, 1.0, 5, 10)
+    none = pixels.mask_facts(np.zeros((4, 4), bool), (50, 50, 2, 2))
+    assert none["area"] == 0 and none["centre"] == 0.0 and none["w"] == 0
+
+
 def test_every_query_with_sql_has_a_name():
     import __spark_entry__ as entry
 
