@@ -1,11 +1,12 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from lodestack.functions import geometry as geo
 from lodestack.functions import pixels
 from lodestack.functions import scalars as sca
-from lodestack.operators import dedup, matching, metrics, selection
+from lodestack.operators import dedup, matching, metrics, models, selection
 from lodestack.plans import rules
 from lodestack.sources import tables
 
@@ -191,3 +192,22 @@ def test_every_query_with_sql_has_a_name():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) >= 80
+
+
+def test_models_run_once_and_resume(spark):
+    table = {1: [("drone", 0.1234567, 10.0, 20.0, 4.0, 6.0)], 2: [("bird", 0.01, 0.0, 0.0, 1.0, 1.0)]}
+
+    def make():
+        def run(batch):
+            rows = [(i, "m", *p) for i in batch.image_id for p in table.get(i, [])]
+            return pd.DataFrame(rows, columns=["image_id", "model_name", "pred_class_name", "confidence", "x1", "y1", "x2", "y2"])
+
+        return run
+
+    todo = models.unfinished(spark.createDataFrame([(1,), (2,), (3,)], "image_id long"), spark.createDataFrame([(3,)], "image_id long"), "image_id")
+    raw = models.run_model(todo, make, models.PREDICTIONS)
+    [r] = models.shaped(raw, 0.05, centred=True).collect()
+    assert (r.image_id, r.confidence, r.x1, r.y1, r.x2, r.y2, r.width, r.height) == (1, 0.123457, 8.0, 17.0, 12.0, 23.0, 4.0, 6.0)
+    assert models.run_model(todo.where("false"), make, models.PREDICTIONS).count() == 0
+    full = models.with_fallback(todo, models.shaped(raw, 0.05), "image_id", {"pred_class_name": "none", "confidence": 0.0})
+    assert sorted(tuple(x) for x in full.collect()) == [(1, "drone", 0.123457), (2, "none", 0.0)]
