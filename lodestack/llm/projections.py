@@ -7,8 +7,9 @@ links that join two groups of the rows at hand, so a group of thousands of near
 member and not one for each pair.  Numbers of direct links are then counted exactly inside the components, in
 tiles of bounded size, of which only counts leave.
 
-The windows decide which components are found; see the README for measured recall.  They do not cross
-partition borders, which lie elsewhere in every pass.
+Large or crowded tables need more passes and wider windows than small ones: rounds of new passes follow, each with a
+window twice as wide, until a round joins no two components that were apart.  Windows do not cross partition borders,
+which lie elsewhere in every pass; see the README for measured recall.
 """
 
 from __future__ import annotations
@@ -27,7 +28,11 @@ from .neighbours import _inner, vectors_of
 PASSES = 16
 BITS = 48
 WINDOW = 48
+#: Passes of each round after the first.
+MORE = 8
 TILE_ROWS = 512
+#: Rows of a block of the window products.
+BLOCK = 512
 
 
 def _usable(v: str) -> F.Column:
@@ -41,8 +46,8 @@ def _unit(column: pa.Array) -> np.ndarray:
     return x / np.sqrt(_inner(x, x))[:, None]
 
 
-def _sorted_passes(classes: DataFrame, passes: int, bits: int, seed: int) -> DataFrame:
-    """Every class under its key in every pass."""
+def _sorted_passes(classes: DataFrame, passes: int, bits: int, seed: int, turn: int = 0) -> DataFrame:
+    """Every class under its key in every pass of a round."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -52,7 +57,7 @@ def _sorted_passes(classes: DataFrame, passes: int, bits: int, seed: int) -> Dat
             for dim in sorted({len(v) for v in vs}):
                 rows = [i for i, v in enumerate(vs) if len(v) == dim]
                 if dim not in planes:
-                    planes[dim] = np.random.default_rng([seed, dim]).standard_normal((dim, passes * bits))
+                    planes[dim] = np.random.default_rng([seed, dim, turn] if turn else [seed, dim]).standard_normal((dim, passes * bits))
                 signs = (np.array([vs[i] for i in rows]) @ planes[dim]) >= 0
                 keys = signs.reshape(len(rows), passes, bits) @ weight
                 part = b.take(pa.array(rows))
@@ -95,15 +100,21 @@ def _window_links(rows: DataFrame, threshold: float, window: int) -> DataFrame:
                     return i
 
                 out = []
-                for shift in range(1, min(window, len(c) - 1) + 1):
-                    first = max(0, old - shift)
-                    if first >= len(c) - shift:
-                        continue
-                    for i in (np.flatnonzero(_inner(x[first : len(c) - shift], x[first + shift :]) >= threshold) + first).tolist():
-                        one, two = find(i), find(i + shift)
+                for s in range(max(0, old - window), len(c) - 1, BLOCK):
+                    e, upto = min(s + BLOCK, len(c)), min(s + BLOCK + window, len(c))
+                    new = max(s, old)  # pairs of old rows were compared before
+                    near = x[s:e] @ x[new:upto].T
+                    for i, j in np.argwhere(near >= threshold - 1e-9).tolist():
+                        a, z = s + i, new + j
+                        if not 0 < z - a <= window:
+                            continue
+                        # Products of matrix routines may differ in the last bits.
+                        if near[i, j] < threshold + 1e-9 and _inner(x[a : a + 1], x[z : z + 1])[0] < threshold:
+                            continue
+                        one, two = find(a), find(z)
                         if one != two:
                             root[max(one, two)] = min(one, two)
-                            out.append((c[i], c[i + shift]))
+                            out.append((c[a], c[z]))
                 held = (r, c[-window:], x[-window:])
                 if out:
                     uv = np.array(out, np.int64)
@@ -160,6 +171,27 @@ def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | N
     yield None
 
 
+def _roots(classes: DataFrame, threshold: float, passes: int, bits: int, window: int, seed: int) -> DataFrame:
+    """``node`` and ``root`` of the classes that rounds of passes link."""
+    width = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    roots, turn = None, 0
+    while True:
+        keyed = _sorted_passes(classes, MORE if turn else passes, bits, seed, turn)
+        ordered = keyed.repartitionByRange(width, "pass", "dim", "key", "cls").sortWithinPartitions("pass", "dim", "key", "cls")
+        links = _window_links(ordered, threshold, window)
+        if turn:
+            # Only links between components that are apart so far are new.
+            of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias("root_" + side))
+            links = links.join(of("u"), "u", "left").join(of("v"), "v", "left")
+            links = links.select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v")).where("u <> v").distinct()
+        links = stage(links, "links")
+        if turn and links.isEmpty():
+            return roots
+        known = links if roots is None else links.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
+        roots = components(known)
+        turn, window = turn + 1, 2 * window
+
+
 def near_duplicates(
     df: DataFrame,
     threshold: float = 0.9,
@@ -181,10 +213,7 @@ def near_duplicates(
     small_batches(df.sparkSession)
     rows = only(df, id_col, vector_col).toDF("id", "v").withColumn("ok", _usable("v") & F.col("id").isNotNull())
     classes = stage(rows.where("ok").groupBy("v").agg(F.min("id").alias("cls"), F.count("*").alias("w")), "classes")
-    keyed = _sorted_passes(classes, passes, bits, seed)
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = keyed.repartitionByRange(width, "pass", "dim", "key", "cls").sortWithinPartitions("pass", "dim", "key", "cls")
-    roots = components(_window_links(ordered, threshold, window))
+    roots = _roots(classes, threshold, passes, bits, window, seed)
     members = classes.join(roots, F.col("cls") == F.col("node")).select("root", "cls", "w", "v")
     counts = _exact_counts(members, threshold)
     named = (

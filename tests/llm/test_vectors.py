@@ -73,3 +73,31 @@ def test_counts_over_several_tiles(spark, monkeypatch):
     u /= np.linalg.norm(u, axis=1)[:, None]
     want = (u @ u.T >= 0.9).sum(1) - 1
     assert {r.vec_id: r.n_links for r in got} == dict(enumerate(want.tolist()))
+
+
+def test_rounds_go_on_while_they_find_links(spark):
+    """Pairs in a crowded cone, which a single narrow pass loses."""
+    rng = np.random.default_rng(5)
+    axis = rng.standard_normal(64)
+    axis /= np.linalg.norm(axis)
+
+    def around(n):
+        y = rng.standard_normal((n, 64))
+        y -= (y @ axis)[:, None] * axis
+        return y / np.linalg.norm(y, axis=1)[:, None]
+
+    x = np.sqrt(0.6) * axis + np.sqrt(0.4) * around(4000)
+    noise = rng.standard_normal((200, 64))
+    near = x[:200]
+    noise -= (noise * near).sum(1)[:, None] * near
+    noise /= np.linalg.norm(noise, axis=1)[:, None]
+    x = np.concatenate((x, 0.92 * near + np.sqrt(1 - 0.92**2) * noise)).astype(np.float32)
+    got = {r.vec_id: r for r in projections.near_duplicates(table(spark, list(enumerate(x.tolist()))), passes=1, window=4).collect()}
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    want = (u @ u.T >= 0.9).sum(1) - 1
+    assert want.sum() >= 400
+    found = sum(got[i].n_links for i in range(len(x)))
+    print("recall", found / want.sum())
+    assert found >= 0.99 * want.sum()
+    assert all(got[i].n_links <= want[i] for i in range(len(x)))
