@@ -23,7 +23,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that earlier documents hold are cut out; ``n_chars`` follows the text."""
-    out = paragraphs.remove_repeats(docs)
+    out = paragraphs.remove_repeats(docs, within_lines=True)
     return out.withColumn("n_chars", F.when(F.size("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 

@@ -6,6 +6,10 @@ components.  In a component the first paragraph, by document and line, is the or
 consecutive copies if the run has at least ``min_words`` words; so a passage that spans several lines goes as a whole, and
 single short lines that happen to recur stay.
 
+With ``within_lines``, passages need not be whole lines: words of every run of ``min_words`` words that stands verbatim (in lower case) earlier in the
+table go as well, wherever in lines it begins and ends.  Hashes of half-length pieces are winnowed, so that each run names one
+piece; runs meet under their piece and are compared by hash.
+
 Bands are tuned from threshold and wanted recall.  Texts move twice, and only those of documents that a
 fixed-size filter names.  In a band's bucket, members come by size and are dropped when too short to reach the
 threshold; members already connected are not compared, so near copies cost about one comparison each.
@@ -14,10 +18,13 @@ threshold; members already connected are not compared, so near copies cost about
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -212,6 +219,132 @@ def removals(
     return long_runs.groupBy("place").agg(F.array_sort(F.flatten(F.collect_list("lines"))).alias("lines"))
 
 
+def _word_hashes(words: list[str], seen: dict[str, int]) -> list[int]:
+    digest, out = xxhash.xxh3_64_intdigest, []
+    for w in words:
+        if (h := seen.get(w)) is None:
+            h = seen[w] = digest(w.encode("utf-8", "surrogatepass"))
+        out.append(h)
+    return out
+
+
+def _runs(h: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the runs of ``n`` words within texts that end at ``ends``, the hash of each and that of its piece."""
+    half = max(n // 2, 1)
+    base, back = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+    if len(h) < n:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    power = lambda x: np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(h) - 1, x))), dtype=np.uint64)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * power(back), dtype=np.uint64)))
+    up = power(base)
+    of = lambda k: _mix(_mix((total[k:] - total[:-k]) * up[: len(h) - k + 1]))
+    piece, run = of(half), of(n)
+    # The least piece of a run names it.
+    names = np.lib.stride_tricks.sliding_window_view(piece, n - half + 1).min(1)
+    at = np.arange(len(run))
+    inside = at + n <= ends[np.searchsorted(ends, at, "right")]
+    return at[inside], run[inside], names[inside]
+
+
+def _run_rows(staged: DataFrame, id_col: str, text_col: str, place: str, n: int) -> DataFrame:
+    """For each piece and text, the runs that it names: number of the first word, and 32 bits of the hash of each."""
+    source = staged.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"), F.col(place).alias("place"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, int] = {}
+        for b in batches:
+            texts, s = b.column(1).to_pylist(), 0
+            while s < b.num_rows:  # a bounded number of words at once
+                if len(seen) > 500_000:
+                    seen.clear()
+                flat, ends, e = [], [], s
+                while e < b.num_rows and len(flat) < 100_000:
+                    flat += _word_hashes(words_of(texts[e] or ""), seen)
+                    ends.append(len(flat))
+                    e += 1
+                ends = np.array(ends)
+                at, hashes, names = _runs(np.array(flat, np.uint64), ends, n)
+                if len(at):
+                    doc = np.searchsorted(ends, at, "right")
+                    cuts = np.flatnonzero((names[1:] != names[:-1]) | (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1])) + 1
+                    first = np.concatenate(([0], cuts))
+                    row = pa.array(doc[first] + s)
+                    begin = np.concatenate(([0], ends[:-1]))[doc[first]]
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.array((hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(names[first].view(np.int64)), b.column(0).take(row), b.column(2).take(row), pa.array((at[first] - begin).astype(np.int32)), lists],
+                        names=["piece", "doc", "place", "start", "runs"],
+                    )
+                s = e
+
+    fields = [T.StructField("piece", T.LongType()), source.schema["doc"], T.StructField("place", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("runs", T.ArrayType(T.IntegerType()))]
+    return source.mapInArrow(run, T.StructType(fields))
+
+
+def repeated_spans(staged: DataFrame, id_col: str, text_col: str, place: str, n: int) -> DataFrame:
+    """``place`` and ``spans``, the ranges of words in runs of ``n`` words that stand verbatim before, in another text or
+    without overlap in the same."""
+    rows = _run_rows(staged, id_col, text_col, place, n).repartition("piece").sortWithinPartitions("piece", "doc", "place", "start")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, known = None, {}
+        for b in batches:
+            pieces, places, starts, lists = b.column("piece").to_numpy(), b.column("place").to_numpy(), b.column("start").to_numpy(), b.column("runs")
+            again = pieces[1:] == pieces[:-1]
+            met = np.zeros(len(pieces), bool)
+            met[1:] |= again
+            met[:-1] |= again
+            met |= pa.compute.list_value_length(lists).to_numpy() > n  # it may repeat itself
+            if len(met):
+                met[0] |= pieces[0] == now
+                met[-1] = True  # it may go on in the next batch
+            out = []
+            for i in np.flatnonzero(met).tolist():
+                if pieces[i] != now:
+                    now, known = pieces[i], {}
+                here, start, begin, last = int(places[i]), int(starts[i]), None, None
+                for k, h in enumerate(lists[i].as_py(), start):
+                    where, at = known.setdefault(h, (here, k))
+                    if where != here or k - at >= n:
+                        if begin is None:
+                            begin = k
+                        elif k > last + n:
+                            out.append((here, begin, last + n))
+                            begin = k
+                        last = k
+                if begin is not None:
+                    out.append((here, begin, last + n))
+            if out:
+                x = np.array(out, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1].astype(np.int32)), pa.array(x[:, 2].astype(np.int32))], names=["place", "a", "z"])
+
+    found = rows.select("piece", "place", "start", "runs").mapInArrow(run, "place long, a int, z int")
+    return found.groupBy("place").agg(F.array_sort(F.collect_list(F.array("a", "z"))).alias("spans"))
+
+
+def cut_text(text: str, lines: list[int], spans: list[list[int]]) -> tuple[str, list[int]]:
+    """``text`` without these lines and ranges of words, and the numbers of the lines that lost any word."""
+    whole, out, lost, nth, s = set(lines), [], [], 0, 0
+    for number, line in enumerate(text.split("\n")):
+        words = list(re.finditer(r"\S+", line))
+        gone = []
+        for i in range(nth, nth + len(words)):
+            while s < len(spans) and spans[s][1] <= i:
+                s += 1
+            gone.append(s < len(spans) and spans[s][0] <= i)
+        nth += len(words)
+        if number in whole or (gone and all(gone)):
+            lost.append(number)
+        elif any(gone):
+            lost.append(number)
+            edges = [w.start() for w in words] + [len(line)]
+            left = line[: edges[0]] + "".join(line[edges[i] : edges[i + 1]] for i, g in enumerate(gone) if not g)
+            out.append(left.rstrip() if gone[-1] else left)
+        else:
+            out.append(line)
+    return "\n".join(out), lost
+
+
 def remove_repeats(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -221,10 +354,12 @@ def remove_repeats(
     min_words: int = 50,
     recall: float = RECALL,
     seed: int = 11,
+    within_lines: bool = False,
 ) -> DataFrame:
-    """All columns of ``df``, with copied passages removed from the text, and ``removed_lines`` (array of int).
+    """All columns of ``df``, with copied passages removed from the text, and ``removed_lines`` (array of int), the numbers
+    of the lines that lost all or some of their words.
 
-    Lines count from 0.  Null texts stay null and empty ones empty; neither loses lines.  Of passages in rows that share an
+    Only whole lines go, unless ``within_lines`` asks for every verbatim run of ``min_words`` words. Lines count from 0.  Null texts stay null and empty ones empty; neither loses lines.  Of passages in rows that share an
     id, or within one row, the first stays, rows in the order of their places in the input.  Null ids come before others.
     An empty table gives an empty one.  Clashing column names get underscores.
     """
@@ -232,14 +367,25 @@ def remove_repeats(
     bands = bands_for(threshold, recall=recall)
     place, facts, lines = free_name(df, "place_"), free_name(df, "facts_"), free_name(df, "removed_lines")
     staged = stage(_paragraphs(df, id_col, text_col, bands, ROWS, words_per_shingle, seed), "paragraphs")
-    gone = stage(removals(staged, id_col, text_col, place, facts, threshold, words_per_shingle, min_words), "removals")
+    by_line = removals(staged, id_col, text_col, place, facts, threshold, words_per_shingle, min_words)
+    if within_lines:
+        by_word = repeated_spans(staged, id_col, text_col, place, min_words).withColumnRenamed("place", "p")
+        both = by_line.join(by_word, F.col("place") == F.col("p"), "full")
+    else:
+        both = by_line.select("place", F.col("place").alias("p"), "lines", F.array().cast("array<array<int>>").alias("spans"))
+    gone = stage(both.select(F.coalesce("place", "p").alias("place"), "lines", "spans"), "removals")
     named = maybe_in(df.sparkSession, gone.select("place"))
     slim = staged.select(*[F.col(f"`{c}`") for c in df.columns], place).withColumn("maybe_", named(place))
     none = F.array().cast("array<int>")
     untouched = slim.where("not maybe_").select(*[F.col(f"`{c}`") for c in df.columns], none.alias(lines))
-    joined = slim.where("maybe_").join(gone.select(F.col("place").alias("gone_place_"), F.col("lines").alias("gone_lines_")), F.col(place) == F.col("gone_place_"), "left")
-    cut = F.when(F.col("gone_lines_").isNull(), F.col(f"`{text_col}`")).otherwise(
-        F.expr(f"array_join(filter(split(`{text_col}`, '\\n'), (x, i) -> not array_contains(gone_lines_, i)), '\\n')")
-    )
-    columns = [cut.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns]
-    return untouched.unionByName(joined.select(*columns, F.coalesce("gone_lines_", none).alias(lines)))
+    found = gone.select(F.col("place").alias("gone_place_"), F.coalesce("lines", none).alias("gone_lines_"), F.coalesce("spans", F.array().cast("array<array<int>>")).alias("gone_spans_"))
+    joined = slim.where("maybe_").join(found, F.col(place) == F.col("gone_place_"), "left")
+
+    @F.pandas_udf("text string, lines array<int>")
+    def cut(text: pd.Series, lines: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        rows = [(x, []) if x is None or a is None else cut_text(x, list(a), [list(y) for y in z]) for x, a, z in zip(text, lines, spans)]
+        return pd.DataFrame(rows, columns=["text", "lines"])
+
+    done = joined.withColumn("gone_cut_", cut(F.col(f"`{text_col}`"), "gone_lines_", "gone_spans_"))
+    columns = [F.col("gone_cut_.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns]
+    return untouched.unionByName(done.select(*columns, F.col("gone_cut_.lines").alias(lines)))

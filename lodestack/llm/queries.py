@@ -40,7 +40,7 @@ def op5_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = paragraphs.remove_repeats(_table(spark, sf_dir, "documents"))
+    out = paragraphs.remove_repeats(_table(spark, sf_dir, "documents"), within_lines=True)
     return out.select("doc_id", "text", "removed_lines", F.size("removed_lines").alias("n_removed"))
 
 

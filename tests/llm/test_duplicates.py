@@ -4,7 +4,7 @@ import re
 import pytest
 import xxhash
 
-from lodestack.llm import paragraphs, simhash
+from lodestack.llm import paragraphs, queries, simhash
 from lodestack.llm.components import components
 
 
@@ -160,3 +160,29 @@ def test_repeated_rows_keep_one_passage(spark):
 def test_bands_reach_the_recall(j):
     b = paragraphs.bands_for(0.8)
     assert 1 - (1 - j**paragraphs.ROWS) ** b >= paragraphs.RECALL
+
+
+def test_passages_within_lines_go(spark, tmp_path):
+    """Copied passages that begin and end inside lines, against brute force over runs of 50 words."""
+    rng = random.Random(6)
+    shared = words(rng, 66)
+    rows = []
+    for i in range(12):
+        a, z = words(rng, rng.randint(30, 90)), words(rng, rng.randint(30, 90))
+        part = shared if i % 3 else shared[: rng.choice([49, 50, 51])]
+        one = " ".join([*a, *part[:20]]) + ("\n" if i % 2 else " ") + " ".join([*part[20:], *z])
+        rows.append((i, one.title() if i == 5 else one))
+    rows += [(20, "again and " * 150), (21, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op6_paragraphs(spark, str(tmp_path)).collect()}
+    known = {}
+    for i, text in rows:
+        ws = (text or "").lower().split()
+        gone = set()
+        for k in range(len(ws) - 49):
+            where, at = known.setdefault(tuple(ws[k : k + 50]), (i, k))
+            if where != i or k - at >= 50:
+                gone |= set(range(k, k + 50))
+        assert (got[i].text or "").lower().split() == [w for k, w in enumerate(ws) if k not in gone], i
+        assert bool(got[i].removed_lines) == bool(gone)
+    assert got[21].text is None and got[20].text.split() == ["again", "and"] * 25
