@@ -6,7 +6,7 @@ import public_tokenizers as public
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import common, packing, paragraphs, quality, simhash
+from lodestack.llm import common, near_copies as similar, packing, paragraphs, quality, simhash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -17,8 +17,9 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the smallest id stays."""
-    return simhash.keep_first(docs).select(*COLUMNS)
+    """Of each group of near-duplicates, by SimHash and then by similarity 0.8 of five-word shingles, the document with the
+    smallest id stays."""
+    return similar.keep_first(common.stage(simhash.keep_first(docs), "simhash-kept")).select(*COLUMNS)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -186,3 +186,27 @@ def test_passages_within_lines_go(spark, tmp_path):
         assert (got[i].text or "").lower().split() == [w for k, w in enumerate(ws) if k not in gone], i
         assert bool(got[i].removed_lines) == bool(gone)
     assert got[21].text is None and got[20].text.split() == ["again", "and"] * 25
+
+
+def test_pipeline_drops_similar_documents(spark):
+    """Near copies at a five-word similarity of 0.8 or more, which SimHash at two bits lets pass."""
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    rows = []
+    for g in range(15):
+        base = words(rng, 200)
+        rows.append((100 * g, base))
+        for i in range(1, 4):
+            near = list(base)
+            for at in rng.sample(range(200), 3 if i < 3 else 30):
+                near[at] = "changed"
+            rows.append((100 * g + i, near))
+    rows += [(9000, []), (9001, ["one"])]
+    sets = [paragraphs.shingles(ws, 5) for _, ws in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if rows[a][1] and rows[b][1] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    root = brute_components(len(rows), links)
+    want = [i for k, (i, _) in enumerate(rows) if root[k] == k]
+    df = spark.createDataFrame([(i, " ".join(ws), "en", "s", 1) for i, ws in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, df, "").collect()) == want
+    assert len(want) < len(rows) - 15
