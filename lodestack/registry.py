@@ -631,6 +631,13 @@ def placement_sampling(spark, d):
     return selection.rejection_placement(m, "image_id", 8, (0, 560), (0, 320), "drone_size_px", ("gx", "gy", "s", "s"))
 
 
+@query()
+def placement_sampling_all(spark, d):
+    """Every image; the SQL of ``placement_sampling`` holds a tenth of them."""
+    m = t(spark, d, "fx_meta").withColumn("s", F.lit(60))
+    return selection.rejection_placement(m, "image_id", 8, (0, 560), (0, 320), "drone_size_px", ("gx", "gy", "s", "s"))
+
+
 @query("SELECT s_suppkey, copy FROM (SELECT s_suppkey, unnest(generate_series(0, s_suppkey % 4 - 1)) AS copy FROM supplier)")
 def schedule_expansion(spark, d):
     return selection.expand_counts(t(spark, d, "supplier").withColumn("n", F.expr("s_suppkey % 4")), "n").select("s_suppkey", "copy")

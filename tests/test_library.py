@@ -211,3 +211,24 @@ def test_models_run_once_and_resume(spark):
     assert models.run_model(todo.where("false"), make, models.PREDICTIONS).count() == 0
     full = models.with_fallback(todo, models.shaped(raw, 0.05), "image_id", {"pred_class_name": "none", "confidence": 0.0})
     assert sorted(tuple(x) for x in full.collect()) == [(1, "drone", 0.123457), (2, "none", 0.0)]
+
+
+def test_every_image_gets_a_placement(spark):
+    import hashlib
+    import math
+
+    from lodestack import registry
+
+    d = "/root/testdata/sf0.001"
+    images = registry.t(spark, d, "fx_meta").select("image_id", "drone_size_px", "gx", "gy").collect()
+    got = {r.image_id: (r.attempt, r.px, r.py) for r in registry.queries()["placement_sampling_all"](spark, d).collect()}
+    assert len(got) == len(images)
+    for i, w, gx, gy in images:
+        if None in (w, gx, gy):
+            continue
+        for attempt in range(1, 51):
+            x, y = (int(hashlib.sha256(f"8|{i}|{attempt}|{axis}".encode()).hexdigest()[:8], 16) % n for axis, n in (("x", 561), ("y", 321)))
+            both = max(0, min(x + w, gx + 60) - max(x, gx)) * max(0, min(y + w, gy + 60) - max(y, gy))
+            if both / (w * w + 3600 - both) <= 0.05 and math.hypot(x + w / 2 - gx - 30, y + w / 2 - gy - 30) >= 20:
+                break
+        assert got[i] == (attempt, x, y)
