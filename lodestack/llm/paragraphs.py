@@ -182,6 +182,17 @@ def _bucket_links(rows: DataFrame, threshold: float, k: int) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long")
 
 
+def _by_size(texts: DataFrame, k: int) -> DataFrame:
+    """``key``, ``cls`` and ``text`` by key and number of distinct shingles, which the pruning in a bucket goes by."""
+
+    @F.pandas_udf("int")
+    def size(text: pd.Series) -> pd.Series:
+        return text.map(lambda x: len(shingles(words_of(x), k))).astype("int32")
+
+    rows = texts.withColumn("size", size("text")).select(F.explode("keys").alias("key"), "cls", "text", "size")
+    return rows.repartition("key").sortWithinPartitions("key", "size", "cls").drop("size")
+
+
 def removals(
     staged: DataFrame, id_col: str, text_col: str, place: str, facts: str, threshold: float, k: int, min_words: int
 ) -> DataFrame:
@@ -203,10 +214,8 @@ def removals(
     named = maybe_in(spark, met.select("place").distinct())
     holders = staged.where(named(place)).select(F.col(place).alias("h"), F.split(F.col(f"`{text_col}`"), "\n").alias("texts"))
     texts = met.join(holders, F.col("place") == F.col("h"))
-    texts = texts.select(F.explode("keys").alias("key"), "cls", F.element_at("texts", F.col("line") + 1).alias("text"))
-    size = F.size(F.split(F.trim(F.col("text")), r"\s+"))
-    buckets = texts.withColumn("size", size).repartition("key").sortWithinPartitions("key", "size", "cls").drop("size")
-    roots = components(_bucket_links(buckets, threshold, k))
+    texts = texts.select("keys", "cls", F.element_at("texts", F.col("line") + 1).alias("text"))
+    roots = components(_bucket_links(_by_size(texts, k), threshold, k))
     grouped = classes.join(roots, F.col("cls") == F.col("node"), "left").select("same", "first", "copies", F.coalesce("root", "cls").alias("root"))
     whole = grouped.groupBy("root").agg(F.min("first").alias("original"), F.sum("copies").alias("times")).where("times > 1")
     copied = grouped.join(whole.select(F.col("root").alias("r"), "original"), F.col("root") == F.col("r")).select(F.col("same").alias("s"), "original")

@@ -210,3 +210,12 @@ def test_pipeline_drops_similar_documents(spark):
     df = spark.createDataFrame([(i, " ".join(ws), "en", "s", 1) for i, ws in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, df, "").collect()) == want
     assert len(want) < len(rows) - 15
+
+
+def test_buckets_go_by_distinct_shingles(spark):
+    """A line of repeated words is long in words and small in distinct shingles."""
+    first = [f"w{i}" for i in range(79)]
+    rows = [(1, first), (2, [f"x{i}" for i in range(100)]), (3, first[:74] * 2)]
+    df = spark.createDataFrame([([5], i, " ".join(ws)) for i, ws in rows], "keys array<long>, cls long, text string")
+    links = paragraphs._bucket_links(paragraphs._by_size(df, 5), 0.8, 5).collect()
+    assert [sorted(r) for r in links] == [[1, 3]]
