@@ -1,7 +1,7 @@
 """Near copies of whole texts: MinHash bands of word shingles, verified by exact Jaccard similarity.
 
 SimHash distances of two bits reach almost identical texts only.  Here texts whose bands collide are compared by the
-similarity of their shingle sets, as the lines of operator 6 are, and links are closed to components.
+similarity of their shingle sets, as the paragraphs of operator 6 are, and links are closed to components.
 """
 
 from __future__ import annotations
@@ -11,37 +11,53 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, only, small_batches, stage
+from .common import free_name, maybe_in, only, small_batches, stage
 from .components import components
-from .paragraphs import RECALL, ROWS, Sketcher, _bucket_links, bands_for, shingles, words_of
+from .jaccard import CROWD, similar_links
+from .paragraphs import RECALL, ROWS, Sketcher, WordHashes, bands_for, segment_shingles, shingle_hashes, words_of
 
 
 def _sketches(df: DataFrame, id_col: str, text_col: str, bands: int, k: int, seed: int) -> DataFrame:
-    """``cls``, a number of its own, id, text, number of distinct shingles and band keys of every text that has words."""
+    """``cls``, a number of its own, id, text and band keys of every text that has words."""
     source = only(df, id_col, text_col).toDF("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, place = Sketcher(bands, ROWS, k, seed), TaskContext.get().partitionId() << 40
+        seen, sketch, place = WordHashes(), Sketcher(bands, ROWS, seed), TaskContext.get().partitionId() << 40
         for b in batches:
-            for s in range(0, b.num_rows, 250):
-                part = b.slice(s, 250)
-                words = [words_of(x or "") for x in part.column(1).to_pylist()]
-                at = [i for i, ws in enumerate(words) if ws]
-                if not at:
-                    continue
-                keys = sketch.keys([words[i] for i in at]).view(np.int64)
-                some = part.take(pa.array(at))
-                sizes = pa.array([len(shingles(words[i], k)) for i in at], pa.int32())
+            rows, keys = [], []
+            for i, text in enumerate(b.column(1).to_pylist()):
+                h = seen.of(words_of(text or ""))
+                if len(h):
+                    rows.append(i)
+                    keys.append(sketch.keys(*segment_shingles(h, shingle_hashes(h, k), np.array([0]), np.array([len(h)]), k))[0].view(np.int64))
+            if rows:
+                some = b.take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(place, place + len(at))), some.column(0), some.column(1), sizes, pa.array(keys.tolist(), pa.list_(pa.int64()))],
-                    names=["cls", "id", "text", "size", "keys"],
+                    [pa.array(np.arange(place, place + len(rows))), some.column(0), some.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["cls", "id", "text", "keys"]
                 )
-                place += len(at)
+                place += len(rows)
 
-    return source.mapInArrow(run, f"cls long, id {source.schema['id'].dataType.simpleString()}, text string, size int, keys array<long>")
+    return source.mapInArrow(run, f"cls long, id {source.schema['id'].dataType.simpleString()}, text string, keys array<long>")
+
+
+def _sets(texts: DataFrame, k: int) -> DataFrame:
+    """``cls`` and ``sh``, the hashes of the distinct shingles of ``text``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = WordHashes()
+        for b in batches:
+            for s in range(0, b.num_rows, 50):
+                part, sets = b.slice(s, 50), []
+                for text in part.column(1).to_pylist():
+                    h = seen.of(words_of(text))
+                    own, _ = segment_shingles(h, shingle_hashes(h, k), np.array([0]), np.array([len(h)]), k)
+                    sets.append(np.unique(own.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["cls", "sh"])
+
+    return texts.select("cls", "text").mapInArrow(run, "cls long, sh array<long>")
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, words_per_shingle: int = 5, recall: float = RECALL, seed: int = 13) -> DataFrame:
@@ -51,12 +67,12 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     """
     small_batches(df.sparkSession, 1000)
     texts = stage(_sketches(df, id_col, text_col, bands_for(threshold, recall=recall), words_per_shingle, seed), "sketches")
-    postings = texts.select("cls", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("key"), "cls")
-    bucket = Window.partitionBy("key")
-    crowded = postings.select("key", "cls", F.min("cls").over(bucket).alias("a"), F.max("cls").over(bucket).alias("b")).where("a <> b")
-    met = texts.select("cls", "text", "size").join(crowded.select("key", "cls"), "cls").select("key", "cls", "text", "size")
-    buckets = met.repartition("key").sortWithinPartitions("key", "size", "cls").drop("size")
-    roots = components(_bucket_links(buckets, threshold, words_per_shingle))
+    postings = texts.select(F.explode("keys").alias("key"), "cls")
+    shared = postings.groupBy("key").agg(F.min("cls").alias("a"), F.max("cls").alias("z"), F.count("*").alias("n")).where("a <> z")
+    shared = stage(shared.select("key", (F.col("n") > CROWD).alias("crowd")), "buckets")
+    met = stage(postings.where(maybe_in(df.sparkSession, shared.select("key"))("key")).join(shared, "key").distinct(), "met")
+    held = texts.where(maybe_in(df.sparkSession, met.select("cls"))("cls"))
+    roots = components(similar_links(met.join(_sets(held, words_per_shingle), "cls"), threshold))
     named = roots.join(texts.select("cls", "id"), F.col("node") == F.col("cls")).select("root", "id")
     least = named.groupBy("root").agg(F.min("id").alias("least"))
     name = free_name(df, "id_")

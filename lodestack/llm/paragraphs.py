@@ -1,18 +1,17 @@
 """Operator 6: substring dedup by paragraph MinHash banding.
 
-Paragraphs are the non-empty lines of a text.  Equal ones (lower-case words) are one class; classes
-whose MinHash bands collide are compared by the exact Jaccard similarity of their word shingles, and links are closed to
-components.  In a component the first paragraph, by document and line, is the original.  A document loses a run of
-consecutive copies if the run has at least ``min_words`` words; so a passage that spans several lines goes as a whole, and
-single short lines that happen to recur stay.
-
-With ``within_lines``, passages need not be whole lines: words of every run of ``min_words`` words that stands verbatim (in lower case) earlier in the
-table go as well, wherever in lines it begins and ends.  Hashes of half-length pieces are winnowed, so that each run names one
-piece; runs meet under their piece and are compared by hash.
-
-Bands are tuned from threshold and wanted recall.  Texts move twice, and only those of documents that a
-fixed-size filter names.  In a band's bucket, members come by size and are dropped when too short to reach the
-threshold; members already connected are not compared, so near copies cost about one comparison each.
+Paragraphs are of two kinds: the non-empty lines of a text and, with ``within_lines``, overlapping runs of half of ``min_words`` words that begin at
+content-defined places, wherever lines begin and end.  A run begins at the least five-word shingle of each stretch of as many
+places as leave it inside ``min_words`` words, so every passage of ``min_words`` words holds a run that all its copies hold too.
+
+Equal paragraphs (in lower case) are one class.  Classes whose MinHash bands collide are verified by exact Jaccard similarity of their
+word shingles (``jaccard``), and links are closed to components.  In a component the first paragraph, by document and place, is the original; the
+others are copies.  Runs with equal copies are extended word by word: words of each stretch of ``min_words`` words that stands
+verbatim earlier are copied too.  A document loses what copies cover, if it is a passage of at least ``min_words`` words; copies of
+the same earlier text join across less than a shingle of other words.
+
+Equal texts are one text: the first row keeps it, all others lose it whole if it has ``min_words`` words.  Texts are known by a
+digest, never written, and read again only where a filter of fixed size names them.
 """
 
 from __future__ import annotations
@@ -20,22 +19,29 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import free_name, maybe_in, small_batches, stage
 from .components import components
+from .jaccard import CROWD, similar_links
 
 ROWS = 3
 RECALL = 0.998
+#: Bands and rows of runs: a passage holds several, and equal ones need no band.
+RUN_BANDS, RUN_ROWS = 3, 2
+#: Copies of a run that are compared in one task; more are counted by aggregations.
+HOT = 4096
+#: Words that are hashed at once, unless one text has more.
+WORDS = 100_000
+
+_TIMES = np.uint64(0x100000001B3)
 
 
 def bands_for(threshold: float, rows: int = ROWS, recall: float = RECALL) -> int:
@@ -53,287 +59,350 @@ def shingles(words: list[str], k: int) -> set:
     return set(zip(*[words[i:] for i in range(k)])) if len(words) >= k else {tuple(words)}
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(27))
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, remembered up to a bound."""
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """Their hashes."""
+        if len(self) > 500_000:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash of the ``k`` words that begin at each word; the last ones go on with a value that stands for no word."""
+    padded = np.concatenate((h, np.ones(k - 1, np.uint64)))
+    value = np.zeros(len(h), np.uint64)
+    for i in range(k):
+        value = _mix(value * _TIMES + padded[i : i + len(h)])
+    return value
+
+
+def segment_shingles(h: np.ndarray, value: np.ndarray, starts: np.ndarray, lengths: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of segments one after another, and where each segment's begin; short ones have one shingle."""
+    counts = np.maximum(lengths - k + 1, 1)
+    first = np.concatenate(([0], np.cumsum(counts)[:-1]))
+    out = value[np.arange(int(counts.sum())) - np.repeat(first, counts) + np.repeat(starts, counts)]
+    short = np.flatnonzero(lengths < k)
+    if len(short):
+        own = np.zeros(len(short), np.uint64)
+        last = len(h) - 1
+        for i in range(k):
+            word = h[np.minimum(starts[short] + i, last)]
+            own = _mix(own * _TIMES + np.where(i < lengths[short], word, np.uint64(1)))
+        out[first[short]] = own
+    return out, first
+
+
 class Sketcher:
-    """Band keys of paragraphs: least values of hashed shingles under random affine maps."""
+    """Band keys: least values of hashed shingles under random affine maps."""
 
-    def __init__(self, bands: int, rows: int, k: int, seed: int):
+    def __init__(self, bands: int, rows: int, seed: int):
         rng = np.random.default_rng(seed)
-        self.bands, self.rows, self.k = bands, rows, k
+        self.bands, self.rows = bands, rows
         self.a = rng.integers(1, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.b = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
-        self.seen: dict[str, int] = {}
-
-    def keys(self, paragraphs: list[list[str]]) -> np.ndarray:
-        """A row of band keys for each list of words."""
-        if len(self.seen) > 500_000:
-            self.seen.clear()
-        seen, digest = self.seen, xxhash.xxh3_64_intdigest
-        for ws in paragraphs:
-            for w in ws:
-                if w not in seen:
-                    seen[w] = digest(w.encode("utf-8", "surrogatepass"))
-        out = np.zeros((len(paragraphs), self.bands * self.rows), np.uint64)
-        s = 0
-        while s < len(paragraphs):  # a bounded number of words at once
-            e, total = s, 0
-            while e < len(paragraphs) and (e == s or total + len(paragraphs[e]) < 100_000):
-                total += len(paragraphs[e])
-                e += 1
-            self._some([[seen[w] for w in ws] for ws in paragraphs[s:e]], out[s:e])
-            s = e
-        key = np.zeros((len(paragraphs), self.bands), np.uint64)
+        self.names = _mix(rng.integers(0, 1 << 63, bands, dtype=np.uint64))
+
+    def keys(self, value: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """A row of band keys for each of the sets that begin at ``first``."""
+        least = np.empty((len(first), len(self.a)), np.uint64)
+        for j in range(len(self.a)):
+            h = value * self.a[j] + self.b[j]
+            least[:, j] = np.minimum.reduceat(h ^ (h >> np.uint64(32)), first)
+        return self._joined(least)
+
+    def square_keys(self, value: np.ndarray) -> np.ndarray:
+        """The same of sets of equal size, one in each row."""
+        least = np.empty((len(value), len(self.a)), np.uint64)
+        for j in range(len(self.a)):
+            h = value * self.a[j] + self.b[j]
+            least[:, j] = (h ^ (h >> np.uint64(32))).min(1)
+        return self._joined(least)
+
+    def _joined(self, least: np.ndarray) -> np.ndarray:
+        key = np.repeat(self.names[None, :], len(least), 0)
         for r in range(self.rows):
-            key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + out[:, r :: self.rows])
+            key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + least[:, r :: self.rows])
         return key
 
-    def _some(self, hashed: list[list[int]], out: np.ndarray) -> None:
-        k = self.k
-        counts = np.array([max(len(h) - k + 1, 1) for h in hashed])
-        # Short ones are padded with a value that stands for no word.
-        flat = np.array([x for h in hashed for x in (h if len(h) >= k else h + [1] * (k - len(h)))], np.uint64)
-        lengths = np.array([max(len(h), k) for h in hashed])
-        starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        value = np.zeros(len(flat) - k + 1, np.uint64)
-        for i in range(k):
-            value = _mix(value * np.uint64(0x100000001B3) + flat[i : len(flat) - k + 1 + i])
-        first = np.concatenate(([0], np.cumsum(counts)[:-1]))
-        own = np.arange(int(counts.sum())) - np.repeat(first, counts) + np.repeat(starts, counts)
-        value = value[own]
-        for j in range(self.bands * self.rows):
-            h = value * self.a[j] + self.b[j]
-            out[:, j] = np.minimum.reduceat(h ^ (h >> np.uint64(32)), first)
 
+def _least(a: np.ndarray, w: int, step: int = 1 << 23) -> np.ndarray:
+    """For each stretch of ``w`` values the place of the first least one, by their high 40 bits."""
+    low = np.uint64((1 << 24) - 1)
+    out = np.empty(max(len(a) - w + 1, 0), np.int64)
+    for s in range(0, len(out), step):
+        x = a[s : s + step + w - 1]
+        m, k = (x & ~low) | np.arange(len(x), dtype=np.uint64), 1
+        while 2 * k <= w:
+            m, k = np.minimum(m[:-k], m[k:]), 2 * k
+        n = len(x) - w + 1
+        out[s : s + step] = (np.minimum(m[:n], m[w - k : w - k + n]) & low).astype(np.int64) + s
+    return out
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(27))
 
+def _stretch_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the ``n`` words that begin at each word."""
+    power, k, out, done = h, 1, None, 0
+    while k <= n:
+        if n & k:
+            out = power if out is None else _mix(out[: len(power) - done] * _TIMES + power[done:])
+            done += k
+        if 2 * k <= n:
+            power = _mix(power[:-k] * _TIMES + power[k:])
+        k *= 2
+    return _mix(out)
 
-def _paragraphs(df: DataFrame, id_col: str, text_col: str, bands: int, rows: int, k: int, seed: int) -> DataFrame:
-    """Every row with its place and its paragraphs' facts."""
-    at = df.columns.index(text_col)
-    fact = "array<struct<line:int,nth:int,words:int,same:binary,keys:array<long>>>"
-    names = [free_name(df, "place_"), free_name(df, "facts_")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = Sketcher(bands, rows, k, seed)
-        place = TaskContext.get().partitionId() << 40
-        kind = pa.list_(
-            pa.struct([("line", pa.int32()), ("nth", pa.int32()), ("words", pa.int32()), ("same", pa.binary()), ("keys", pa.list_(pa.int64()))])
-        )
-        for b in batches:
-            for s in range(0, b.num_rows, 250):
-                part = b.slice(s, 250)
-                split = [[(i, ws) for i, line in enumerate((x or "").split("\n")) if (ws := words_of(line))] for x in part.column(at).to_pylist()]
-                flat = [ws for doc in split for _, ws in doc]
-                keys = sketch.keys(flat).view(np.int64).tolist() if flat else []
-                facts, n = [], 0
-                for doc in split:
-                    out = []
-                    for nth, (line, ws) in enumerate(doc):
-                        same = xxhash.xxh3_128_digest(" ".join(ws).encode("utf-8", "surrogatepass"))
-                        out.append({"line": line, "nth": nth, "words": len(ws), "same": same, "keys": keys[n]})
-                        n += 1
-                    facts.append(out)
-                places = pa.array(np.arange(place, place + part.num_rows))
-                place += part.num_rows
-                yield pa.RecordBatch.from_arrays([*part.columns, places, pa.array(facts, kind)], names=[*part.schema.names, *names])
-
-    schema = T.StructType([*df.schema.fields, T.StructField(names[0], T.LongType()), T.StructField(names[1], T._parse_datatype_string(fact))])
-    return df.mapInArrow(run, schema)
-
-
-def _bucket_links(rows: DataFrame, threshold: float, k: int) -> DataFrame:
-    """Verified links that join different groups within a bucket; rows come by key and size."""
+def run_words(min_words: int) -> int:
+    """Words of a run."""
+    return max(min_words // 2, 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, groups = None, []
-        for b in batches:
-            out = []
-            for key, cls, text in zip(b.column("key").to_pylist(), b.column("cls").to_pylist(), b.column("text").to_pylist()):
-                if key != now:
-                    now, groups = key, []
-                own = shingles(words_of(text), k)
-                least = threshold * len(own) * (1 - 1e-12)
-                joined = [(cls, own)]
-                left = []
-                for g in groups:
-                    # Members come by size: a smaller one that cannot reach the threshold now never will.
-                    g = [m for m in g if len(m[1]) >= least]
-                    if not g:
-                        continue
-                    hit = None
-                    for other, theirs in reversed(g):
-                        both = len(own & theirs)
-                        if both >= threshold * (len(own) + len(theirs) - both):
-                            hit = other
-                            break
-                    if hit is None:
-                        left.append(g)
-                    else:
-                        out.append((hit, cls))
-                        joined = g + joined
-                left.append(joined)
-                groups = left
-            if out:
-                uv = np.array(out, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(uv[:, 0]), pa.array(uv[:, 1])], names=["u", "v"])
 
-    return rows.mapInArrow(run, "u long, v long")
+def _anchors(value: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places where runs begin, and the first and last stretch of ``n`` words that each stands for.  ``ends``: of texts."""
+    place = _least(value, n - run_words(n) + 1)
+    s = np.arange(len(place))
+    text = np.searchsorted(ends, s, "right")
+    inside = np.flatnonzero((text < len(ends)) & (s + n <= ends[np.minimum(text, len(ends) - 1)]))
+    if not len(inside):
+        return inside, inside, inside
+    p, t = place[inside], text[inside]
+    cuts = np.flatnonzero((p[1:] != p[:-1]) | (t[1:] != t[:-1])) + 1
+    return p[np.concatenate(([0], cuts))], inside[np.concatenate(([0], cuts))], inside[np.concatenate((cuts - 1, [len(p) - 1]))]
 
 
-def _by_size(texts: DataFrame, k: int) -> DataFrame:
-    """``key``, ``cls`` and ``text`` by key and number of distinct shingles, which the pruning in a bucket goes by."""
+def _square(x: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    return x[starts[:, None] + np.arange(n)[None, :]]
 
-    @F.pandas_udf("int")
-    def size(text: pd.Series) -> pd.Series:
-        return text.map(lambda x: len(shingles(words_of(x), k))).astype("int32")
 
-    rows = texts.withColumn("size", size("text")).select(F.explode("keys").alias("key"), "cls", "text", "size")
-    return rows.repartition("key").sortWithinPartitions("key", "size", "cls").drop("size")
+def _run_classes(h: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    own = np.full(len(starts), 7, np.uint64)
+    for i in range(n):
+        own = _mix(own * _TIMES + h[starts + i])
+    return own
 
 
-def removals(
-    staged: DataFrame, id_col: str, text_col: str, place: str, facts: str, threshold: float, k: int, min_words: int
-) -> DataFrame:
-    """``place`` and ``lines``, the numbers of the lines to remove, of the documents that lose any."""
-    spark = staged.sparkSession
-    paras = staged.select(F.col(f"`{id_col}`").alias("doc"), F.col(place).alias("place"), F.explode(facts).alias("p"))
-    paras = paras.select("doc", "place", F.col("p.line").alias("line"), F.col("p.nth").alias("nth"), F.col("p.words").alias("words"), F.col("p.same").alias("same"), F.col("p.keys").alias("keys"))
-    # A class is named by 64 bits of its 128-bit digest; two of 10**9 classes share a name with probability 0.03.
-    where = F.struct("doc", "place", "line")
-    classes = stage(
-        paras.groupBy("same").agg(F.min(where).alias("first"), F.count("*").alias("copies"), F.first("keys").alias("keys")).withColumn("cls", F.xxhash64("same")),
-        "classes",
-    )
-    postings = classes.select("cls", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("key"), "cls")
-    bucket = Window.partitionBy("key")
-    crowded = postings.select("key", "cls", F.min("cls").over(bucket).alias("a"), F.max("cls").over(bucket).alias("b")).where("a <> b")
-    keys = crowded.groupBy("cls").agg(F.collect_set("key").alias("keys"))  # at most one for each band
-    met = stage(keys.join(classes.select("cls", F.col("first.place").alias("place"), F.col("first.line").alias("line")), "cls"), "met")
-    named = maybe_in(spark, met.select("place").distinct())
-    holders = staged.where(named(place)).select(F.col(place).alias("h"), F.split(F.col(f"`{text_col}`"), "\n").alias("texts"))
-    texts = met.join(holders, F.col("place") == F.col("h"))
-    texts = texts.select("keys", "cls", F.element_at("texts", F.col("line") + 1).alias("text"))
-    roots = components(_bucket_links(_by_size(texts, k), threshold, k))
-    grouped = classes.join(roots, F.col("cls") == F.col("node"), "left").select("same", "first", "copies", F.coalesce("root", "cls").alias("root"))
-    whole = grouped.groupBy("root").agg(F.min("first").alias("original"), F.sum("copies").alias("times")).where("times > 1")
-    copied = grouped.join(whole.select(F.col("root").alias("r"), "original"), F.col("root") == F.col("r")).select(F.col("same").alias("s"), "original")
-    later = paras.select("doc", "place", "line", "nth", "words", "same").join(copied, F.col("same") == F.col("s"))
-    later = later.where(~F.struct("doc", "place", "line").eqNullSafe(F.col("original")))
-    # Runs of consecutive copies: the number of a paragraph less its rank among the copies.
-    per_doc = later.groupBy("place").agg(F.sort_array(F.collect_list(F.struct("nth", "line", "words"))).alias("c"))
-    runs = per_doc.select("place", F.posexplode("c").alias("rank", "c")).select("place", (F.col("c.nth") - F.col("rank")).alias("run"), F.col("c.line").alias("line"), F.col("c.words").alias("words"))
-    long_runs = runs.groupBy("place", "run").agg(F.collect_list("line").alias("lines"), F.sum("words").alias("n")).where(f"n >= {min_words}")
-    return long_runs.groupBy("place").agg(F.array_sort(F.flatten(F.collect_list("lines"))).alias("lines"))
-
-
-def _word_hashes(words: list[str], seen: dict[str, int]) -> list[int]:
-    digest, out = xxhash.xxh3_64_intdigest, []
-    for w in words:
-        if (h := seen.get(w)) is None:
-            h = seen[w] = digest(w.encode("utf-8", "surrogatepass"))
-        out.append(h)
-    return out
+def _grouped(sizes: Iterator[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of items of bounded total size."""
+    s, total, e = 0, 0, 0
+    for e, n in enumerate(sizes):
+        if total and total + n > WORDS:
+            yield s, e
+            s, total = e, 0
+        total += n
+    if total or e >= s:
+        yield s, e + 1
 
 
-def _runs(h: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of the runs of ``n`` words within texts that end at ``ends``, the hash of each and that of its piece."""
-    half = max(n // 2, 1)
-    base, back = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-    if len(h) < n:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    power = lambda x: np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(h) - 1, x))), dtype=np.uint64)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * power(back), dtype=np.uint64)))
-    up = power(base)
-    of = lambda k: _mix(_mix((total[k:] - total[:-k]) * up[: len(h) - k + 1]))
-    piece, run = of(half), of(n)
-    # The least piece of a run names it.
-    names = np.lib.stride_tricks.sliding_window_view(piece, n - half + 1).min(1)
-    at = np.arange(len(run))
-    inside = at + n <= ends[np.searchsorted(ends, at, "right")]
-    return at[inside], run[inside], names[inside]
-
-
-def _run_rows(staged: DataFrame, id_col: str, text_col: str, place: str, n: int) -> DataFrame:
-    """For each piece and text, the runs that it names: number of the first word, and 32 bits of the hash of each."""
-    source = staged.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"), F.col(place).alias("place"))
+def _units(texts: DataFrame, bands: int, rows: int, k: int, seed: int, min_words: int, within_lines: bool) -> DataFrame:
+    """The paragraphs of ``doc``, ``place``, ``text``: first word, words, kind, class and band keys."""
+    length = run_words(min_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, int] = {}
+        seen, of_lines, of_runs = WordHashes(), Sketcher(bands, rows, seed), Sketcher(RUN_BANDS, RUN_ROWS, seed + 1)
+
+        def unit_rows(b, row, starts, lengths, kind, classes, keys):
+            some = pa.array(row)
+            held = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
+            return pa.RecordBatch.from_arrays(
+                [b.column(0).take(some), b.column(1).take(some), pa.array(starts.astype(np.int32)), pa.array(lengths.astype(np.int32)), pa.array(np.full(len(row), kind)), pa.array(classes.view(np.int64)), held],
+                names=["doc", "place", "start", "words", "run", "cls", "keys"],
+            )
+
         for b in batches:
-            texts, s = b.column(1).to_pylist(), 0
-            while s < b.num_rows:  # a bounded number of words at once
-                if len(seen) > 500_000:
-                    seen.clear()
-                flat, ends, e = [], [], s
-                while e < b.num_rows and len(flat) < 100_000:
-                    flat += _word_hashes(words_of(texts[e] or ""), seen)
-                    ends.append(len(flat))
-                    e += 1
-                ends = np.array(ends)
-                at, hashes, names = _runs(np.array(flat, np.uint64), ends, n)
+            split = [[line.split() for line in x.lower().split("\n")] for x in b.column(2).to_pylist()]
+            for s, e in _grouped(sum(map(len, x)) for x in split):
+                flat = list(chain.from_iterable(chain.from_iterable(split[s:e])))
+                if not flat:
+                    continue
+                h = seen.of(flat)
+                value = shingle_hashes(h, k)
+                lines = [(i, ws) for i in range(s, e) for ws in split[i] if ws]
+                lengths = np.fromiter((len(ws) for _, ws in lines), np.int64, len(lines))
+                starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+                row = np.fromiter((i for i, _ in lines), np.int64, len(lines))
+                ends = np.cumsum([sum(map(len, split[i])) for i in range(s, e)])
+                begins = np.concatenate(([0], ends[:-1]))
+                classes = np.fromiter((xxhash.xxh3_64_intdigest(" ".join(ws).encode("utf-8", "surrogatepass")) for _, ws in lines), np.uint64, len(lines))
+                yield unit_rows(b, row, starts - begins[row - s], lengths, False, classes, of_lines.keys(*segment_shingles(h, value, starts, lengths, k)))
+                if not within_lines:
+                    continue
+                at, _, _ = _anchors(value, ends, min_words)
                 if len(at):
-                    doc = np.searchsorted(ends, at, "right")
-                    cuts = np.flatnonzero((names[1:] != names[:-1]) | (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1])) + 1
-                    first = np.concatenate(([0], cuts))
-                    row = pa.array(doc[first] + s)
-                    begin = np.concatenate(([0], ends[:-1]))[doc[first]]
-                    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.array((hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(names[first].view(np.int64)), b.column(0).take(row), b.column(2).take(row), pa.array((at[first] - begin).astype(np.int32)), lists],
-                        names=["piece", "doc", "place", "start", "runs"],
-                    )
-                s = e
-
-    fields = [T.StructField("piece", T.LongType()), source.schema["doc"], T.StructField("place", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("runs", T.ArrayType(T.IntegerType()))]
-    return source.mapInArrow(run, T.StructType(fields))
-
-
-def repeated_spans(staged: DataFrame, id_col: str, text_col: str, place: str, n: int) -> DataFrame:
-    """``place`` and ``spans``, the ranges of words in runs of ``n`` words that stand verbatim before, in another text or
-    without overlap in the same."""
-    rows = _run_rows(staged, id_col, text_col, place, n).repartition("piece").sortWithinPartitions("piece", "doc", "place", "start")
+                    row = np.searchsorted(ends, at, "right")
+                    keys = of_runs.square_keys(_square(value, at, length - k + 1))
+                    yield unit_rows(b, row + s, at - begins[row], np.full(len(at), length), True, _run_classes(h, at, length), keys)
+
+    doc = texts.schema["doc"].dataType.simpleString()
+    return texts.select("doc", "place", "text").mapInArrow(run, f"doc {doc}, place binary, start int, words int, run boolean, cls long, keys array<long>")
+
+
+def _details(wanted: DataFrame, k: int, min_words: int) -> DataFrame:
+    """For each wanted paragraph of ``place``, ``text``: its shingles, or the stretches that it stands for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = WordHashes()
+        for b in batches:
+            out = {n: [] for n in ("cls", "place", "doc", "start", "sh", "stretches")}
+            for doc, place, text, wants in zip(*[b.column(n) for n in ("doc", "place", "text", "wants")]):
+                h = seen.of(words_of(text.as_py()))
+                value = shingle_hashes(h, k)
+                anchors = stretches = None
+                for want in wants.as_py():
+                    start = want["start"]
+                    row = {"cls": want["cls"], "place": place.as_py(), "doc": doc.as_py(), "start": start, "sh": None, "stretches": None}
+                    if want["sh"]:
+                        own, _ = segment_shingles(h, value, np.array([start]), np.array([want["words"]]), k)
+                        row["sh"] = np.unique(own.view(np.int64))
+                    if want["copied"]:
+                        if anchors is None:
+                            anchors = _anchors(value, np.array([len(h)]), min_words)
+                            stretches = (_stretch_hashes(h, min_words) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                        at = int(np.searchsorted(anchors[0], start))
+                        row["start"] = int(anchors[1][at])
+                        row["stretches"] = stretches[anchors[1][at] : anchors[2][at] + 1]
+                    for n, x in row.items():
+                        out[n].append(x)
+                if len(out["cls"]) >= 2000:
+                    yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in kind], schema=kind)
+                    out = {n: [] for n in out}
+            if out["cls"]:
+                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in kind], schema=kind)
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = pa.schema([("cls", pa.int64()), ("place", pa.binary()), ("doc", to_arrow_type(wanted.schema["doc"].dataType)), ("start", pa.int32()), ("sh", pa.list_(pa.int64())), ("stretches", pa.list_(pa.int32()))])
+    doc = wanted.schema["doc"].dataType.simpleString()
+    return wanted.mapInArrow(run, f"cls long, place binary, doc {doc}, start int, sh array<long>, stretches array<int>")
+
+
+def _verbatim(rows: DataFrame, n: int) -> DataFrame:
+    """Ranges of words in stretches of ``n`` words that stand verbatim before, in another text or without overlap in the same."""
+    columns = "place binary, a int, z int, source binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, known = None, {}
         for b in batches:
-            pieces, places, starts, lists = b.column("piece").to_numpy(), b.column("place").to_numpy(), b.column("start").to_numpy(), b.column("runs")
-            again = pieces[1:] == pieces[:-1]
-            met = np.zeros(len(pieces), bool)
-            met[1:] |= again
-            met[:-1] |= again
-            met |= pa.compute.list_value_length(lists).to_numpy() > n  # it may repeat itself
-            if len(met):
-                met[0] |= pieces[0] == now
-                met[-1] = True  # it may go on in the next batch
             out = []
-            for i in np.flatnonzero(met).tolist():
-                if pieces[i] != now:
-                    now, known = pieces[i], {}
-                here, start, begin, last = int(places[i]), int(starts[i]), None, None
-                for k, h in enumerate(lists[i].as_py(), start):
-                    where, at = known.setdefault(h, (here, k))
-                    if where != here or k - at >= n:
+            for cls, here, start, hashes in zip(b.column("cls").to_pylist(), b.column("place").to_pylist(), b.column("start").to_pylist(), b.column("stretches").to_pylist()):
+                if cls != now:
+                    now, known = cls, {}
+                begin = last = source = None
+                for at, h in enumerate(hashes, start):
+                    where, k = known.setdefault(h, (here, at))
+                    if where != here or at - k >= n:
+                        if begin is not None and (at > last + 1 or where != source):
+                            out.append((here, begin, last + n, source))
+                            begin = None
                         if begin is None:
-                            begin = k
-                        elif k > last + n:
-                            out.append((here, begin, last + n))
-                            begin = k
-                        last = k
+                            begin, source = at, where
+                        last = at
                 if begin is not None:
-                    out.append((here, begin, last + n))
+                    out.append((here, begin, last + n, source))
             if out:
-                x = np.array(out, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1].astype(np.int32)), pa.array(x[:, 2].astype(np.int32))], names=["place", "a", "z"])
-
-    found = rows.select("piece", "place", "start", "runs").mapInArrow(run, "place long, a int, z int")
-    return found.groupBy("place").agg(F.array_sort(F.collect_list(F.array("a", "z"))).alias("spans"))
+                place, a, z, source = zip(*out)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(place, pa.binary()), pa.array(a, pa.int32()), pa.array(z, pa.int32()), pa.array(source, pa.binary())], names=["place", "a", "z", "source"]
+                )
+
+    few = rows.where("not hot").repartition("cls").sortWithinPartitions("cls", "doc", "place", "start")
+    found = few.select("cls", "place", "start", "stretches").mapInArrow(run, columns)
+    # Many copies: the first of each stretch by an aggregation, which combines before it shuffles.
+    each = rows.where("hot").select("cls", "doc", "place", "start", F.posexplode("stretches").alias("more", "h"))
+    each = each.select("cls", "h", "doc", "place", (F.col("start") + F.col("more")).alias("a"))
+    first = each.groupBy("cls", "h").agg(F.min(F.struct("doc", "place", "a")).alias("first"), F.count("*").alias("times")).where("times > 1")
+    again = each.join(first, ["cls", "h"]).where((F.col("place") != F.col("first.place")) | (F.col("a") - F.col("first.a") >= n))
+    return found.unionByName(again.select("place", "a", (F.col("a") + n).alias("z"), F.col("first.place").alias("source")))
+
+
+def _heads(source: DataFrame, twice: DataFrame) -> DataFrame:
+    """One row for each text: the first of those that stand ``twice`` or more.  Copies combine before they are shuffled."""
+    repeated = maybe_in(source.sparkSession, twice.select("place"))
+    known = source.withColumn("twice", repeated("place"))
+    first = known.where("twice").groupBy("place").agg(F.min(F.struct("doc", "text")).alias("first"))
+    return known.where("not twice").select("doc", "place", "text").unionByName(first.select("first.doc", "place", "first.text"))
+
+
+def _edge(n: int, threshold: float) -> int:
+    """Words at either end of a run of ``n`` shingles that a run at the threshold may lack; a change further in breaks more shingles."""
+    return int(n * (1 - threshold) / (1 + threshold) + 1e-9)
+
+
+def copied_spans(source: DataFrame, bands: int, threshold: float, k: int, min_words: int, seed: int, within_lines: bool) -> DataFrame:
+    """``place``, ``head`` (the first document of a repeated text, else null) and ``spans``, the ranges of words that are
+    copies, of the texts that lose any words.  ``source``: ``doc``, ``place`` and ``text``, without null texts."""
+    spark = source.sparkSession
+    twice = stage(source.groupBy("place").agg(F.min(F.struct("doc")).alias("first"), F.count("*").alias("rows")).where("rows > 1"), "twice")
+    heads = _heads(source, twice)
+    units = stage(_units(heads, bands, ROWS, k, seed, min_words, within_lines), "units")
+
+    # Classes that share a band with another one.
+    postings = units.select(F.explode("keys").alias("key"), "cls")
+    shared = postings.groupBy("key").agg(F.min("cls").alias("a"), F.max("cls").alias("z"), F.count("*").alias("n")).where("a <> z")
+    shared = stage(shared.select("key", (F.col("n") > CROWD).alias("crowd")), "buckets")
+    in_bucket = maybe_in(spark, shared.select("key"))
+    met = stage(postings.where(in_bucket("key")).join(shared, "key").distinct(), "met")
+
+    # Where classes stand that are repeated or met.
+    repeated = units.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1")
+    known = stage(repeated.join(met.select("cls", F.lit(True).alias("met")).distinct(), "cls", "full").select("cls", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("met", F.lit(False)).alias("met")), "classes")
+    named = maybe_in(spark, known.select("cls"))
+    places = stage(units.drop("keys").where(named("cls")).join(known, "cls"), "places")
+    first = stage(places.groupBy("cls", "met").agg(F.min(F.struct("doc", "place", "start")).alias("first"), F.max("words").alias("words")), "first")
+
+    # Their texts once more: shingles of met classes, stretches around repeated runs.
+    sets = first.where("met").select(F.col("first.place").alias("p"), F.col("first.start").alias("start"), "words", "cls", F.lit(True).alias("sh"), F.lit(False).alias("copied"))
+    copied = places.where("run and n > 1").select(F.col("place").alias("p"), "start", "words", "cls", F.lit(False).alias("sh"), F.lit(True).alias("copied"))
+    wants = stage(sets.unionByName(copied).groupBy("p").agg(F.collect_list(F.struct("start", "words", "cls", "sh", "copied")).alias("wants")), "wants")
+    asked = maybe_in(spark, wants.select("p"))
+    details = stage(_details(heads.where(asked("place")).join(wants, F.col("place") == F.col("p")).select("doc", "place", "text", "wants"), k, min_words), "details")
+
+    # Near copies, by components of verified links.
+    members = met.join(details.where("sh is not null").select("cls", "sh").dropDuplicates(["cls"]), "cls")
+    roots = components(similar_links(members, threshold))
+    classes = first.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
+    originals = classes.groupBy("root").agg(F.min("first").alias("original"))
+    original = stage(classes.join(originals, "root").select("cls", "original", (F.col("first") != F.col("original")).alias("near")), "originals")
+    spans = places.join(original, "cls").where(
+        (F.col("place") != F.col("original.place"))
+        | (F.col("start") >= F.col("original.start") + F.when(F.col("run"), min_words).otherwise(F.col("words")))
+    )
+    edge = F.when(F.col("run") & F.col("near"), _edge(run_words(min_words) - k + 1, threshold)).otherwise(0)
+    spans = spans.select("place", (F.col("start") + edge).alias("a"), (F.col("start") + F.col("words") - edge).alias("z"), F.col("original.place").alias("source"))
+    if within_lines:
+        again = details.where("stretches is not null").join(known.select("cls", (F.col("n") > HOT).alias("hot")), "cls")
+        spans = spans.unionByName(_verbatim(again, min_words))
+    held = spans.groupBy("place").agg(F.collect_set(F.struct("a", "z", "source")).alias("spans"))
+    both = held.join(twice.select(F.col("place").alias("p"), "first"), F.col("place") == F.col("p"), "full")
+    return both.select(F.coalesce("place", "p").alias("place"), "first", "spans")
+
+
+def joined_spans(spans: list[tuple[int, int, bytes]], k: int, min_words: int) -> list[list[int]]:
+    """Passages that spans cover, if they have ``min_words`` words; spans of one source join across fewer than ``k`` words."""
+    out, source = [], None
+    for a, z, own in sorted(spans):
+        if out and (a <= out[-1][1] or (own == source and a - out[-1][1] < k)):
+            if z >= out[-1][1]:
+                out[-1][1], source = z, own
+        else:
+            out.append([a, z])
+            source = own
+    return [x for x in out if x[1] - x[0] >= min_words]
 
 
-def cut_text(text: str, lines: list[int], spans: list[list[int]]) -> tuple[str, list[int]]:
-    """``text`` without these lines and ranges of words, and the numbers of the lines that lost any word."""
-    whole, out, lost, nth, s = set(lines), [], [], 0, 0
+def cut_text(text: str, spans: list[list[int]]) -> tuple[str, list[int]]:
+    """``text`` without these ranges of words, and the numbers of the lines that lost any word."""
+    out, lost, nth, s = [], [], 0, 0
     for number, line in enumerate(text.split("\n")):
         words = list(re.finditer(r"\S+", line))
         gone = []
@@ -342,7 +411,7 @@ def cut_text(text: str, lines: list[int], spans: list[list[int]]) -> tuple[str,
                 s += 1
             gone.append(s < len(spans) and spans[s][0] <= i)
         nth += len(words)
-        if number in whole or (gone and all(gone)):
+        if gone and all(gone):
             lost.append(number)
         elif any(gone):
             lost.append(number)
@@ -368,33 +437,44 @@ def remove_repeats(
     """All columns of ``df``, with copied passages removed from the text, and ``removed_lines`` (array of int), the numbers
     of the lines that lost all or some of their words.
 
-    Only whole lines go, unless ``within_lines`` asks for every verbatim run of ``min_words`` words. Lines count from 0.  Null texts stay null and empty ones empty; neither loses lines.  Of passages in rows that share an
-    id, or within one row, the first stays, rows in the order of their places in the input.  Null ids come before others.
+    Only whole lines go, unless ``within_lines`` asks for runs of words, too.  Lines count from 0.  Null texts stay null and empty ones empty; neither loses lines.  Of passages in rows that share an
+    id, the first by a digest of the text stays; within one row, the first.  Rows that repeat an id and its text are one row and stay alike.  Null ids come before others.
     An empty table gives an empty one.  Clashing column names get underscores.
     """
+    if min_words < 2 * words_per_shingle:
+        raise ValueError("a passage must have at least two shingles' words")
     small_batches(df.sparkSession, 1000)
     bands = bands_for(threshold, recall=recall)
-    place, facts, lines = free_name(df, "place_"), free_name(df, "facts_"), free_name(df, "removed_lines")
-    staged = stage(_paragraphs(df, id_col, text_col, bands, ROWS, words_per_shingle, seed), "paragraphs")
-    by_line = removals(staged, id_col, text_col, place, facts, threshold, words_per_shingle, min_words)
-    if within_lines:
-        by_word = repeated_spans(staged, id_col, text_col, place, min_words).withColumnRenamed("place", "p")
-        both = by_line.join(by_word, F.col("place") == F.col("p"), "full")
-    else:
-        both = by_line.select("place", F.col("place").alias("p"), "lines", F.array().cast("array<array<int>>").alias("spans"))
-    gone = stage(both.select(F.coalesce("place", "p").alias("place"), "lines", "spans"), "removals")
+    taken = df.limit(0)
+    names = {}
+    for wanted in ("place", "removed_lines", "maybe", "gone_place", "gone_first", "gone_spans", "gone_cut"):
+        names[wanted] = free_name(taken, wanted)
+        taken = taken.withColumn(names[wanted], F.lit(0))
+    place, lines, maybe, p, first, spans, cut_ = (names[n] for n in ("place", "removed_lines", "maybe", "gone_place", "gone_first", "gone_spans", "gone_cut"))
+    digest = F.unhex(F.md5(F.col(f"`{text_col}`")))
+    source = df.select(F.col(f"`{id_col}`").alias("doc"), digest.alias("place"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
+    gone = stage(copied_spans(source, bands, threshold, words_per_shingle, min_words, seed, within_lines), "removals")
     named = maybe_in(df.sparkSession, gone.select("place"))
-    slim = staged.select(*[F.col(f"`{c}`") for c in df.columns], place).withColumn("maybe_", named(place))
-    none = F.array().cast("array<int>")
-    untouched = slim.where("not maybe_").select(*[F.col(f"`{c}`") for c in df.columns], none.alias(lines))
-    found = gone.select(F.col("place").alias("gone_place_"), F.coalesce("lines", none).alias("gone_lines_"), F.coalesce("spans", F.array().cast("array<array<int>>")).alias("gone_spans_"))
-    joined = slim.where("maybe_").join(found, F.col(place) == F.col("gone_place_"), "left")
+    known = df.withColumn(place, digest)
+    known = known.withColumn(maybe, F.coalesce(named(f"`{place}`"), F.lit(False)) & F.col(place).isNotNull())
+    own = [F.col(f"`{c}`") for c in df.columns]
+    untouched = known.where(f"not `{maybe}`").select(*own, F.array().cast("array<int>").alias(lines))
+    found = gone.select(F.col("place").alias(p), F.col("first").alias(first), F.col("spans").alias(spans))
+    joined = known.where(f"`{maybe}`").join(found, F.col(place) == F.col(p), "left")
+    later = F.col(first).isNotNull() & ~F.col(f"`{first}`.doc").eqNullSafe(F.col(f"`{id_col}`"))
 
     @F.pandas_udf("text string, lines array<int>")
-    def cut(text: pd.Series, lines: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        rows = [(x, []) if x is None or a is None else cut_text(x, list(a), [list(y) for y in z]) for x, a, z in zip(text, lines, spans)]
+    def cut(text: pd.Series, spans: pd.Series, later: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x, held, whole in zip(text, spans, later):
+            if whole:
+                n = len(x.split())
+                passages = [[0, n]] if n >= min_words else []
+            else:
+                passages = [] if held is None else joined_spans([(y["a"], y["z"], bytes(y["source"])) for y in held], words_per_shingle if within_lines else 1, min_words)
+            rows.append(cut_text(x, passages) if passages else (x, []))
         return pd.DataFrame(rows, columns=["text", "lines"])
 
-    done = joined.withColumn("gone_cut_", cut(F.col(f"`{text_col}`"), "gone_lines_", "gone_spans_"))
-    columns = [F.col("gone_cut_.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns]
-    return untouched.unionByName(done.select(*columns, F.col("gone_cut_.lines").alias(lines)))
+    done = joined.withColumn(cut_, cut(F.col(f"`{text_col}`"), F.col(spans), later))
+    columns = [F.col(f"`{cut_}`.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns]
+    return untouched.unionByName(done.select(*columns, F.col(f"`{cut_}`.lines").alias(lines)))

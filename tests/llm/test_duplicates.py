@@ -4,7 +4,7 @@ import re
 import pytest
 import xxhash
 
-from lodestack.llm import paragraphs, queries, simhash
+from lodestack.llm import jaccard, paragraphs, queries, simhash
 from lodestack.llm.components import components
 
 
@@ -212,10 +212,87 @@ def test_pipeline_drops_similar_documents(spark):
     assert len(want) < len(rows) - 15
 
 
+def as_set(ws, k=5):
+    return sorted({int.from_bytes(xxhash.xxh3_64_digest(" ".join(x)), "little", signed=True) for x in paragraphs.shingles(ws, k)})
+
+
 def test_buckets_go_by_distinct_shingles(spark):
     """A line of repeated words is long in words and small in distinct shingles."""
     first = [f"w{i}" for i in range(79)]
     rows = [(1, first), (2, [f"x{i}" for i in range(100)]), (3, first[:74] * 2)]
-    df = spark.createDataFrame([([5], i, " ".join(ws)) for i, ws in rows], "keys array<long>, cls long, text string")
-    links = paragraphs._bucket_links(paragraphs._by_size(df, 5), 0.8, 5).collect()
-    assert [sorted(r) for r in links] == [[1, 3]]
+    df = spark.createDataFrame([(5, i, as_set(ws), False) for i, ws in rows], "key long, cls long, sh array<long>, crowd boolean")
+    assert [sorted(r) for r in jaccard.similar_links(df, 0.8).collect()] == [[1, 3]]
+
+
+@pytest.mark.parametrize("tile", [16, 512])
+def test_crowded_buckets_lose_no_link(spark, monkeypatch, tile):
+    """Large buckets (centres, prefixes, tiles) against all pairs: near copies, half copies and strangers."""
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(25)]
+    rows = []
+    for i in range(160):
+        ws = list(base)
+        kind = i % 4
+        if kind == 0:  # differs at one end
+            ws[rng.choice([0, 1, 23, 24])] = f"x{rng.randrange(6)}"
+        elif kind == 1:  # a tail of its own
+            n = rng.randrange(2, 12)
+            ws[25 - n :] = [f"y{rng.randrange(4)}_{j}" for j in range(n)]
+        elif kind == 2:
+            ws = [f"z{rng.randrange(3)}_{j}" for j in range(rng.randrange(3, 30))]
+        rows.append(ws)
+    sets = [set(as_set(ws)) for ws in rows]
+    n = len(rows)
+    links = [(a, b) for a in range(n) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = brute_components(n, links)
+    df = spark.createDataFrame([(key, i, sorted(x), True) for key in (1, 2) for i, x in enumerate(sets)], "key long, cls long, sh array<long>, crowd boolean")
+    got = [(r.u, r.v) for r in jaccard.similar_links(df, 0.8).collect()]
+    assert all(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in got)
+    assert brute_components(n, got) == want and 3 < len(set(want)) < n - 10
+
+
+def test_passages_with_changed_words_and_hot_ones(spark, monkeypatch):
+    """Copies join across a changed word; passages of many copies are counted by aggregations, with the same result."""
+    rng = random.Random(9)
+    shared = words(rng, 160)
+    rows = []
+    for i in range(14):
+        own = list(shared) if i % 2 or not i else shared[20:90]
+        if i in (3, 5):
+            own[80] = "changed"
+        rows.append((i, "\n".join([" ".join(words(rng, 41)), " ".join([*words(rng, 25), *own, *words(rng, 30)])])))
+    df = spark.createDataFrame([*rows, (50, None)], "doc_id long, text string")
+    left = {}
+    for hot in (4096, 2):
+        monkeypatch.setattr(paragraphs, "HOT", hot)
+        left[hot] = {r.doc_id: r.text for r in paragraphs.remove_repeats(df, within_lines=True).collect()}
+    assert left[4096] == left[2]
+    known = {}
+    for i, text in rows:
+        ws = text.lower().split()
+        gone = set()
+        for k in range(len(ws) - 49):
+            if known.setdefault(tuple(ws[k : k + 50]), i) != i:
+                gone |= set(range(k, k + 50))
+        kept = left[2][i].lower().split()
+        if i in (3, 5):
+            assert "changed" not in kept
+            gone |= {ws.index("changed")}
+        assert kept == [w for k, w in enumerate(ws) if k not in gone], i
+
+
+def test_anchors_are_the_least_places():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n, w in ((30, 26), (300, 26), (300, 7), (64, 64), (90, 33)):
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64) >> np.uint64(int(rng.integers(0, 40)))
+        high = a >> np.uint64(24)
+        want = [s + int(np.argmin(high[s : s + w])) for s in range(n - w + 1)]
+        assert paragraphs._least(a, w).tolist() == want == paragraphs._least(a, w, step=50).tolist()
+    h = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    h[120:170] = h[10:60]
+    for n in (1, 7, 50):
+        got = paragraphs._stretch_hashes(h, n)
+        assert len(got) == 201 - n and got[120] == got[10] and len(set(got.tolist())) == 201 - n - (51 - n)
