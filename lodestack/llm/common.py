@@ -17,11 +17,13 @@ BATCH_ROWS = 2000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the cluster's ``spark.checkpoint.dir``.  Only where that is unset, as in
-    tests on one machine, a temporary folder is made and remembered in the session.
+    It is the cluster's ``spark.checkpoint.dir``.  Only where that is unset and everything runs in one process, as in
+    tests, a temporary folder is made and remembered in the session.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lodestack-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -44,6 +46,49 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Staged tables of one computation, which go when it ends.
+
+    Use it only around work whose result is staged elsewhere: what is read later must not be scratch.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.made = spark, fresh_path(spark, name), 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._delete(self.path)
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        """As ``stage``.  The files of shuffles that nothing needs any more go, too."""
+        self.made += 1
+        path = f"{self.path}/{name}-{self.made}"
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        sweep(self.spark)
+        return out
+
+    def drop(self, name: str) -> None:
+        """Delete the tables of this name."""
+        jvm = self.spark.sparkContext._jvm
+        for found in self._files(self.path).globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}-*")) or []:
+            self._delete(found.getPath().toString())
+
+    def _files(self, path: str):
+        context = self.spark.sparkContext
+        return context._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(context._jsc.hadoopConfiguration())
+
+    def _delete(self, path: str) -> None:
+        self._files(path).delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished steps: it does so when the driver's JVM finds their plans unused."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Keep Arrow batches of whole texts small (a session setting)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

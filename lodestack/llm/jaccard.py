@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import Scratch, maybe_in
 
 #: Members that one task compares without further division.
 CROWD = 256
@@ -93,11 +93,11 @@ def _prefixes(members: DataFrame, threshold: float) -> DataFrame:
     return kept.where("many > 0").select("key", "cls", F.explode(F.expr("slice(shared.part, 1, many)")).alias("part"))
 
 
-def _crowded(members: DataFrame, threshold: float) -> DataFrame:
+def _crowded(members: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """Links of the members of large buckets."""
     centres = members.groupBy("key").agg(F.min_by("sh", "cls").alias("middle"), F.min("cls").alias("centre"))
     both = members.join(centres, "key").withColumn("both", F.size(F.array_intersect("sh", "middle")))
-    starred = stage(
+    starred = scratch.stage(
         both.select("key", "cls", "sh", "centre", _reaches(threshold, "both", "size(sh)", "size(middle)").alias("near")),
         "starred",
     )
@@ -106,7 +106,7 @@ def _crowded(members: DataFrame, threshold: float) -> DataFrame:
     rest = starred.join(apart, "key", "left_semi")
     if rest.isEmpty():
         return links
-    under = stage(_prefixes(rest, threshold).join(rest.select("key", "cls", "near"), ["key", "cls"]), "prefixes")
+    under = scratch.stage(_prefixes(rest, threshold).join(rest.select("key", "cls", "near"), ["key", "cls"]), "prefixes")
     groups = under.groupBy("key", "part").agg(F.count("*").alias("n"), F.min("near").alias("all_near")).where("n > 1 and not all_near")
     groups = groups.select("key", "part", F.ceil(F.col("n") / TILE).alias("tiles"))
     placed = under.join(groups, ["key", "part"]).withColumn("own", F.pmod(F.xxhash64("cls"), "tiles"))
@@ -116,15 +116,30 @@ def _crowded(members: DataFrame, threshold: float) -> DataFrame:
     return links.unionByName(_compare(sides, ["key", "part", "i", "j"], threshold))
 
 
-def similar_links(members: DataFrame, threshold: float) -> DataFrame:
+def bucket_rows(postings: DataFrame, scratch: Scratch) -> DataFrame:
+    """``key``, ``cls`` and ``crowd`` of the buckets that hold different classes, once each, from ``key`` and ``cls``.
+
+    Of buckets with the same members one stays: near copies share most of their bands.
+    """
+    spark = postings.sparkSession
+    shared = postings.groupBy("key").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a <> z").select("key")
+    shared = scratch.stage(shared, "buckets")
+    met = scratch.stage(postings.where(maybe_in(spark, shared)("key")).join(shared, "key").distinct(), "met")
+    mixed = F.xxhash64(F.col("cls"), F.lit(1))
+    marks = met.groupBy("key").agg(F.count("*").alias("n"), F.expr("bit_xor(cls)").alias("x"), F.bit_xor(mixed).alias("y"), F.min("cls").alias("least"))
+    kept = marks.groupBy("n", "x", "y", "least").agg(F.min("key").alias("key")).select("key", (F.col("n") > CROWD).alias("crowd"))
+    return scratch.stage(met.join(kept, "key"), "kept")
+
+
+def similar_links(members: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """Links ``u``, ``v`` that connect all ``cls`` that share a ``key`` and whose sets ``sh`` reach the similarity.
 
     ``members`` has ``key``, ``cls``, ``sh`` (sorted distinct longs) and ``crowd``, true in all rows of a bucket of more
     than ``CROWD`` members.  A set without elements links with nothing.  Repeated rows do no harm.
     """
-    members = stage(members.where("size(sh) > 0").select("key", "cls", "sh", "crowd"), "members")
-    plain = _compare(members.where("not crowd").withColumn("near", F.lit(False)), ["key"], threshold)
+    members = scratch.stage(members.where("size(sh) > 0").select("key", "cls", "sh", "crowd"), "members")
+    plain = scratch.stage(_compare(members.where("not crowd").withColumn("near", F.lit(False)), ["key"], threshold), "plain")
     crowd = members.where("crowd").drop("crowd")
     if crowd.isEmpty():
         return plain
-    return plain.unionByName(_crowded(crowd, threshold))
+    return plain.unionByName(_crowded(crowd, threshold, scratch))

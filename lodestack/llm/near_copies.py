@@ -14,9 +14,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, maybe_in, only, small_batches, stage
+from .common import Scratch, free_name, maybe_in, only, small_batches, stage
 from .components import components
-from .jaccard import CROWD, similar_links
+from .jaccard import bucket_rows, similar_links
 from .paragraphs import RECALL, ROWS, Sketcher, WordHashes, bands_for, segment_shingles, shingle_hashes, words_of
 
 
@@ -66,15 +66,13 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     Texts without words link with nothing.  Rows with a null id stay.
     """
     small_batches(df.sparkSession, 1000)
-    texts = stage(_sketches(df, id_col, text_col, bands_for(threshold, recall=recall), words_per_shingle, seed), "sketches")
-    postings = texts.select(F.explode("keys").alias("key"), "cls")
-    shared = postings.groupBy("key").agg(F.min("cls").alias("a"), F.max("cls").alias("z"), F.count("*").alias("n")).where("a <> z")
-    shared = stage(shared.select("key", (F.col("n") > CROWD).alias("crowd")), "buckets")
-    met = stage(postings.where(maybe_in(df.sparkSession, shared.select("key"))("key")).join(shared, "key").distinct(), "met")
-    held = texts.where(maybe_in(df.sparkSession, met.select("cls"))("cls"))
-    roots = components(similar_links(met.join(_sets(held, words_per_shingle), "cls"), threshold))
-    named = roots.join(texts.select("cls", "id"), F.col("node") == F.col("cls")).select("root", "id")
-    least = named.groupBy("root").agg(F.min("id").alias("least"))
-    name = free_name(df, "id_")
-    gone = named.join(least, "root").where("id <> least").select(F.col("id").alias(name)).distinct()
+    with Scratch(df.sparkSession, "near-copies") as scratch:
+        texts = scratch.stage(_sketches(df, id_col, text_col, bands_for(threshold, recall=recall), words_per_shingle, seed), "sketches")
+        met = bucket_rows(texts.select(F.explode("keys").alias("key"), "cls"), scratch)
+        held = texts.where(maybe_in(df.sparkSession, met.select("cls"))("cls"))
+        roots = components(similar_links(met.join(_sets(held, words_per_shingle), "cls"), threshold, scratch))
+        named = roots.join(texts.select("cls", "id"), F.col("node") == F.col("cls")).select("root", "id")
+        least = named.groupBy("root").agg(F.min("id").alias("least"))
+        name = free_name(df, "id_")
+        gone = stage(named.join(least, "root").where("id <> least").select(F.col("id").alias(name)).distinct(), "copies")
     return df.join(gone, df[id_col] == gone[name], "left_anti")

@@ -28,14 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, maybe_in, small_batches, stage
+from .common import Scratch, free_name, maybe_in, small_batches, stage
 from .components import components
-from .jaccard import CROWD, similar_links
+from .jaccard import bucket_rows, similar_links
 
 ROWS = 3
 RECALL = 0.998
-#: Bands and rows of runs: a passage holds several, and equal ones need no band.
-RUN_BANDS, RUN_ROWS = 3, 2
+#: Bands of runs.  A band is the shingle at which a run begins, itself the least of its stretch, and one more least value; so runs
+#: that overlap in a text do not meet.  Runs at similarity 0.8 that begin alike meet with probability 0.992; equal ones need no band.
+RUN_BANDS = 3
 #: Copies of a run that are compared in one task; more are counted by aggregations.
 HOT = 4096
 #: Words that are hashed at once, unless one text has more.
@@ -209,7 +210,7 @@ def _units(texts: DataFrame, bands: int, rows: int, k: int, seed: int, min_words
     length = run_words(min_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, of_lines, of_runs = WordHashes(), Sketcher(bands, rows, seed), Sketcher(RUN_BANDS, RUN_ROWS, seed + 1)
+        seen, of_lines, of_runs = WordHashes(), Sketcher(bands, rows, seed), Sketcher(RUN_BANDS, 1, seed + 1)
 
         def unit_rows(b, row, starts, lengths, kind, classes, keys):
             some = pa.array(row)
@@ -240,48 +241,48 @@ def _units(texts: DataFrame, bands: int, rows: int, k: int, seed: int, min_words
                 at, _, _ = _anchors(value, ends, min_words)
                 if len(at):
                     row = np.searchsorted(ends, at, "right")
-                    keys = of_runs.square_keys(_square(value, at, length - k + 1))
+                    keys = _mix(of_runs.square_keys(_square(value, at, length - k + 1)) ^ value[at][:, None])
                     yield unit_rows(b, row + s, at - begins[row], np.full(len(at), length), True, _run_classes(h, at, length), keys)
 
     doc = texts.schema["doc"].dataType.simpleString()
     return texts.select("doc", "place", "text").mapInArrow(run, f"doc {doc}, place binary, start int, words int, run boolean, cls long, keys array<long>")
 
 
+def _lists(items: list[np.ndarray], present: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """Lists, null where none is present."""
+    lengths = np.zeros(len(present), np.int64)
+    lengths[present] = [len(x) for x in items]
+    flat = np.concatenate(items) if items else np.zeros(0, kind.to_pandas_dtype())
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(flat, kind), mask=pa.array(~present))
+
+
 def _details(wanted: DataFrame, k: int, min_words: int) -> DataFrame:
     """For each wanted paragraph of ``place``, ``text``: its shingles, or the stretches that it stands for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = WordHashes()
         for b in batches:
-            out = {n: [] for n in ("cls", "place", "doc", "start", "sh", "stretches")}
-            for doc, place, text, wants in zip(*[b.column(n) for n in ("doc", "place", "text", "wants")]):
+            starts_of, words_of_, classes_of, sets_of = (b.column(n) for n in ("starts", "words", "classes", "sets"))
+            for i, text in enumerate(b.column("text")):
                 h = seen.of(words_of(text.as_py()))
                 value = shingle_hashes(h, k)
-                anchors = stretches = None
-                for want in wants.as_py():
-                    start = want["start"]
-                    row = {"cls": want["cls"], "place": place.as_py(), "doc": doc.as_py(), "start": start, "sh": None, "stretches": None}
-                    if want["sh"]:
-                        own, _ = segment_shingles(h, value, np.array([start]), np.array([want["words"]]), k)
-                        row["sh"] = np.unique(own.view(np.int64))
-                    if want["copied"]:
-                        if anchors is None:
-                            anchors = _anchors(value, np.array([len(h)]), min_words)
-                            stretches = (_stretch_hashes(h, min_words) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                        at = int(np.searchsorted(anchors[0], start))
-                        row["start"] = int(anchors[1][at])
-                        row["stretches"] = stretches[anchors[1][at] : anchors[2][at] + 1]
-                    for n, x in row.items():
-                        out[n].append(x)
-                if len(out["cls"]) >= 2000:
-                    yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in kind], schema=kind)
-                    out = {n: [] for n in out}
-            if out["cls"]:
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in kind], schema=kind)
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    kind = pa.schema([("cls", pa.int64()), ("place", pa.binary()), ("doc", to_arrow_type(wanted.schema["doc"].dataType)), ("start", pa.int32()), ("sh", pa.list_(pa.int64())), ("stretches", pa.list_(pa.int32()))])
+                starts, lengths, classes = (c[i].values.to_numpy() for c in (starts_of, words_of_, classes_of))
+                wants_set = sets_of[i].values.to_numpy(zero_copy_only=False)
+                own, first = segment_shingles(h, value, starts[wants_set], lengths[wants_set], k) if wants_set.any() else (value[:0], np.zeros(0, np.int64))
+                sets = [np.unique(x) for x in np.split(own.view(np.int64), first[1:])] if len(first) else []
+                starts, stretches = starts.copy(), []
+                if not wants_set.all():
+                    at, s, e = _anchors(value, np.array([len(h)]), min_words)
+                    every = (_stretch_hashes(h, min_words) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    which = np.searchsorted(at, starts[~wants_set])
+                    starts[~wants_set] = s[which]
+                    stretches = [every[x : y + 1] for x, y in zip(s[which].tolist(), e[which].tolist())]
+                row = pa.array(np.full(len(starts), i))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(classes), b.column("place").take(row), b.column("doc").take(row), pa.array(starts), _lists(sets, wants_set, pa.int64()), _lists(stretches, ~wants_set, pa.int32())],
+                    names=["cls", "place", "doc", "start", "sh", "stretches"],
+                )
+
     doc = wanted.schema["doc"].dataType.simpleString()
     return wanted.mapInArrow(run, f"cls long, place binary, doc {doc}, start int, sh array<long>, stretches array<int>")
 
@@ -342,49 +343,46 @@ def copied_spans(source: DataFrame, bands: int, threshold: float, k: int, min_wo
     """``place``, ``head`` (the first document of a repeated text, else null) and ``spans``, the ranges of words that are
     copies, of the texts that lose any words.  ``source``: ``doc``, ``place`` and ``text``, without null texts."""
     spark = source.sparkSession
-    twice = stage(source.groupBy("place").agg(F.min(F.struct("doc")).alias("first"), F.count("*").alias("rows")).where("rows > 1"), "twice")
-    heads = _heads(source, twice)
-    units = stage(_units(heads, bands, ROWS, k, seed, min_words, within_lines), "units")
-
-    # Classes that share a band with another one.
-    postings = units.select(F.explode("keys").alias("key"), "cls")
-    shared = postings.groupBy("key").agg(F.min("cls").alias("a"), F.max("cls").alias("z"), F.count("*").alias("n")).where("a <> z")
-    shared = stage(shared.select("key", (F.col("n") > CROWD).alias("crowd")), "buckets")
-    in_bucket = maybe_in(spark, shared.select("key"))
-    met = stage(postings.where(in_bucket("key")).join(shared, "key").distinct(), "met")
-
-    # Where classes stand that are repeated or met.
-    repeated = units.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1")
-    known = stage(repeated.join(met.select("cls", F.lit(True).alias("met")).distinct(), "cls", "full").select("cls", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("met", F.lit(False)).alias("met")), "classes")
-    named = maybe_in(spark, known.select("cls"))
-    places = stage(units.drop("keys").where(named("cls")).join(known, "cls"), "places")
-    first = stage(places.groupBy("cls", "met").agg(F.min(F.struct("doc", "place", "start")).alias("first"), F.max("words").alias("words")), "first")
-
-    # Their texts once more: shingles of met classes, stretches around repeated runs.
-    sets = first.where("met").select(F.col("first.place").alias("p"), F.col("first.start").alias("start"), "words", "cls", F.lit(True).alias("sh"), F.lit(False).alias("copied"))
-    copied = places.where("run and n > 1").select(F.col("place").alias("p"), "start", "words", "cls", F.lit(False).alias("sh"), F.lit(True).alias("copied"))
-    wants = stage(sets.unionByName(copied).groupBy("p").agg(F.collect_list(F.struct("start", "words", "cls", "sh", "copied")).alias("wants")), "wants")
-    asked = maybe_in(spark, wants.select("p"))
-    details = stage(_details(heads.where(asked("place")).join(wants, F.col("place") == F.col("p")).select("doc", "place", "text", "wants"), k, min_words), "details")
-
-    # Near copies, by components of verified links.
-    members = met.join(details.where("sh is not null").select("cls", "sh").dropDuplicates(["cls"]), "cls")
-    roots = components(similar_links(members, threshold))
-    classes = first.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
-    originals = classes.groupBy("root").agg(F.min("first").alias("original"))
-    original = stage(classes.join(originals, "root").select("cls", "original", (F.col("first") != F.col("original")).alias("near")), "originals")
-    spans = places.join(original, "cls").where(
-        (F.col("place") != F.col("original.place"))
-        | (F.col("start") >= F.col("original.start") + F.when(F.col("run"), min_words).otherwise(F.col("words")))
-    )
-    edge = F.when(F.col("run") & F.col("near"), _edge(run_words(min_words) - k + 1, threshold)).otherwise(0)
-    spans = spans.select("place", (F.col("start") + edge).alias("a"), (F.col("start") + F.col("words") - edge).alias("z"), F.col("original.place").alias("source"))
-    if within_lines:
-        again = details.where("stretches is not null").join(known.select("cls", (F.col("n") > HOT).alias("hot")), "cls")
-        spans = spans.unionByName(_verbatim(again, min_words))
-    held = spans.groupBy("place").agg(F.collect_set(F.struct("a", "z", "source")).alias("spans"))
-    both = held.join(twice.select(F.col("place").alias("p"), "first"), F.col("place") == F.col("p"), "full")
-    return both.select(F.coalesce("place", "p").alias("place"), "first", "spans")
+    with Scratch(spark, "paragraphs") as scratch:
+        twice = scratch.stage(source.groupBy("place").agg(F.min(F.struct("doc")).alias("first"), F.count("*").alias("rows")).where("rows > 1"), "twice")
+        heads = _heads(source, twice)
+        units = scratch.stage(_units(heads, bands, ROWS, k, seed, min_words, within_lines), "units")
+        met = bucket_rows(units.select(F.explode("keys").alias("key"), "cls"), scratch)
+
+        # Where classes stand that are repeated or met.
+        repeated = units.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1")
+        known = repeated.join(met.select("cls", F.lit(True).alias("met")).distinct(), "cls", "full")
+        known = scratch.stage(known.select("cls", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("met", F.lit(False)).alias("met")), "classes")
+        places = scratch.stage(units.drop("keys").where(maybe_in(spark, known.select("cls"))("cls")).join(known, "cls"), "places")
+        scratch.drop("units")
+        first = scratch.stage(places.groupBy("cls", "met").agg(F.min(F.struct("doc", "place", "start")).alias("first"), F.max("words").alias("words")), "first")
+
+        # Their texts once more: shingles of met classes, stretches around repeated runs.
+        sets = first.where("met").select(F.col("first.place").alias("p"), F.col("first.start").alias("start"), "words", "cls", F.lit(True).alias("sh"))
+        copied = places.where("run and n > 1").select(F.col("place").alias("p"), "start", "words", "cls", F.lit(False).alias("sh"))
+        wants = sets.unionByName(copied).groupBy("p").agg(F.collect_list(F.struct("start", "words", "cls", "sh")).alias("w"))
+        wants = scratch.stage(wants.select("p", F.col("w.start").alias("starts"), F.col("w.words").alias("words"), F.col("w.cls").alias("classes"), F.col("w.sh").alias("sets")), "wants")
+        asked = heads.where(maybe_in(spark, wants.select("p"))("place")).join(wants, F.col("place") == F.col("p")).drop("p")
+        details = scratch.stage(_details(asked, k, min_words), "details")
+
+        # Near copies, by components of verified links.
+        members = met.join(details.where("sh is not null").select("cls", "sh").dropDuplicates(["cls"]), "cls")
+        roots = components(similar_links(members, threshold, scratch))
+        classes = first.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
+        originals = classes.groupBy("root").agg(F.min("first").alias("original"))
+        original = scratch.stage(classes.join(originals, "root").select("cls", "original", (F.col("first") != F.col("original")).alias("near")), "originals")
+        spans = places.join(original, "cls").where(
+            (F.col("place") != F.col("original.place"))
+            | (F.col("start") >= F.col("original.start") + F.when(F.col("run"), min_words).otherwise(F.col("words")))
+        )
+        edge = F.when(F.col("run") & F.col("near"), _edge(run_words(min_words) - k + 1, threshold)).otherwise(0)
+        spans = spans.select("place", (F.col("start") + edge).alias("a"), (F.col("start") + F.col("words") - edge).alias("z"), F.col("original.place").alias("source"))
+        if within_lines:
+            again = details.where("stretches is not null").join(known.select("cls", (F.col("n") > HOT).alias("hot")), "cls")
+            spans = spans.unionByName(_verbatim(again, min_words))
+        held = spans.groupBy("place").agg(F.collect_set(F.struct("a", "z", "source")).alias("spans"))
+        both = held.join(twice.select(F.col("place").alias("p"), "first"), F.col("place") == F.col("p"), "full")
+        return stage(both.select(F.coalesce("place", "p").alias("place"), "first", "spans"), "removals")
 
 
 def joined_spans(spans: list[tuple[int, int, bytes]], k: int, min_words: int) -> list[list[int]]:
@@ -453,7 +451,7 @@ def remove_repeats(
     place, lines, maybe, p, first, spans, cut_ = (names[n] for n in ("place", "removed_lines", "maybe", "gone_place", "gone_first", "gone_spans", "gone_cut"))
     digest = F.unhex(F.md5(F.col(f"`{text_col}`")))
     source = df.select(F.col(f"`{id_col}`").alias("doc"), digest.alias("place"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
-    gone = stage(copied_spans(source, bands, threshold, words_per_shingle, min_words, seed, within_lines), "removals")
+    gone = copied_spans(source, bands, threshold, words_per_shingle, min_words, seed, within_lines)
     named = maybe_in(df.sparkSession, gone.select("place"))
     known = df.withColumn(place, digest)
     known = known.withColumn(maybe, F.coalesce(named(f"`{place}`"), F.lit(False)) & F.col(place).isNotNull())

@@ -4,7 +4,7 @@ import re
 import pytest
 import xxhash
 
-from lodestack.llm import jaccard, paragraphs, queries, simhash
+from lodestack.llm import common, jaccard, paragraphs, queries, simhash
 from lodestack.llm.components import components
 
 
@@ -221,7 +221,8 @@ def test_buckets_go_by_distinct_shingles(spark):
     first = [f"w{i}" for i in range(79)]
     rows = [(1, first), (2, [f"x{i}" for i in range(100)]), (3, first[:74] * 2)]
     df = spark.createDataFrame([(5, i, as_set(ws), False) for i, ws in rows], "key long, cls long, sh array<long>, crowd boolean")
-    assert [sorted(r) for r in jaccard.similar_links(df, 0.8).collect()] == [[1, 3]]
+    with common.Scratch(spark, "test") as scratch:
+        assert [sorted(r) for r in jaccard.similar_links(df, 0.8, scratch).collect()] == [[1, 3]]
 
 
 @pytest.mark.parametrize("tile", [16, 512])
@@ -247,7 +248,8 @@ def test_crowded_buckets_lose_no_link(spark, monkeypatch, tile):
     links = [(a, b) for a in range(n) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     want = brute_components(n, links)
     df = spark.createDataFrame([(key, i, sorted(x), True) for key in (1, 2) for i, x in enumerate(sets)], "key long, cls long, sh array<long>, crowd boolean")
-    got = [(r.u, r.v) for r in jaccard.similar_links(df, 0.8).collect()]
+    with common.Scratch(spark, "test") as scratch:
+        got = [(r.u, r.v) for r in jaccard.similar_links(df, 0.8, scratch).collect()]
     assert all(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in got)
     assert brute_components(n, got) == want and 3 < len(set(want)) < n - 10
 
