@@ -5,8 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,26 +92,36 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def maybe_in(spark: SparkSession, keys: DataFrame, bits: int = 24):
-    """A filter of fixed size for the long column of ``keys``: false only where a value is not in it.
+class Maybe:
+    """A filter of fixed size for values: rows whose value is not among them mostly go.
 
-    The filter has ``2 ** bits`` bits however many keys there are, so it may be broadcast.  It only
-    spares work: rows that it lets through wrongly are dealt with by the join that follows.
+    It has ``2 ** bits`` bits however many values there are, in at most ``2 ** bits / 64`` rows, so it may be broadcast.  It only
+    spares work: rows that it lets through wrongly are dealt with by the join that follows.  Beyond some hundred million
+    values it lets nearly all rows through.
     """
-    mask = (1 << bits) - 1
-    place = F.expr(f"xxhash64({keys.columns[0]}) & {mask}")
-    words = keys.select(place.alias("b")).groupBy(F.expr("cast(b div 64 as int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("v"))
-    found = words.toPandas()
-    table = np.zeros((1 << bits) // 64, np.int64)
-    table[found["w"].to_numpy()] = found["v"].to_numpy()
-    held = spark.sparkContext.broadcast(table)
-
-    @F.pandas_udf("boolean")
-    def test(b: pd.Series) -> pd.Series:
-        x = b.to_numpy()
-        return pd.Series((held.value[x // 64] >> (x % 64)) & 1 == 1)
-
-    return lambda column: test(F.expr(f"xxhash64({column}) & {mask}"))
+
+    def __init__(self, values: DataFrame, bits: int = 24):
+        self.mask = (1 << bits) - 1
+        place = self._place(values.columns[0])
+        words = values.select(place.alias("b")).groupBy(F.expr("b div 64").alias("word_")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("bits_"))
+        self.words = F.broadcast(stage(words, "filter"))
+
+    def _place(self, column: str) -> F.Column:
+        return F.xxhash64(F.col(column)).bitwiseAND(F.lit(self.mask))
+
+    def _joined(self, df: DataFrame, column: str, how: str) -> DataFrame:
+        known = df.withColumn("at_", self._place(column))
+        return known.join(self.words, F.expr("at_ div 64") == F.col("word_"), how)
+
+    def of(self, df: DataFrame, column: str) -> DataFrame:
+        """The rows of ``df`` whose value may be among the filter's."""
+        hit = F.expr("bits_ & shiftleft(1L, cast(at_ % 64 as int)) <> 0")
+        return self._joined(df, column, "inner").where(hit).select(*[F.col(f"`{c}`") for c in df.columns])
+
+    def beside(self, df: DataFrame, column: str) -> DataFrame:
+        """The rows whose value is certainly not among them; those that ``of`` leaves out."""
+        miss = F.expr("coalesce(bits_ & shiftleft(1L, cast(at_ % 64 as int)), 0L) = 0")
+        return self._joined(df, column, "left").where(miss).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, maybe_in
+from .common import Maybe, Scratch
 
 #: Members that one task compares without further division.
 CROWD = 256
@@ -121,10 +121,9 @@ def bucket_rows(postings: DataFrame, scratch: Scratch) -> DataFrame:
 
     Of buckets with the same members one stays: near copies share most of their bands.
     """
-    spark = postings.sparkSession
     shared = postings.groupBy("key").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a <> z").select("key")
     shared = scratch.stage(shared, "buckets")
-    met = scratch.stage(postings.where(maybe_in(spark, shared)("key")).join(shared, "key").distinct(), "met")
+    met = scratch.stage(Maybe(shared).of(postings, "key").join(shared, "key").distinct(), "met")
     mixed = F.xxhash64(F.col("cls"), F.lit(1))
     marks = met.groupBy("key").agg(F.count("*").alias("n"), F.expr("bit_xor(cls)").alias("x"), F.bit_xor(mixed).alias("y"), F.min("cls").alias("least"))
     kept = marks.groupBy("n", "x", "y", "least").agg(F.min("key").alias("key")).select("key", (F.col("n") > CROWD).alias("crowd"))

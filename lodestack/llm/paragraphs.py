@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, free_name, maybe_in, small_batches, stage
+from .common import Maybe, Scratch, free_name, small_batches, stage
 from .components import components
 from .jaccard import bucket_rows, similar_links
 
@@ -118,16 +118,14 @@ class Sketcher:
         """A row of band keys for each of the sets that begin at ``first``."""
         least = np.empty((len(first), len(self.a)), np.uint64)
         for j in range(len(self.a)):
-            h = value * self.a[j] + self.b[j]
-            least[:, j] = np.minimum.reduceat(h ^ (h >> np.uint64(32)), first)
+            least[:, j] = np.minimum.reduceat(value * self.a[j] + self.b[j], first)
         return self._joined(least)
 
     def square_keys(self, value: np.ndarray) -> np.ndarray:
         """The same of sets of equal size, one in each row."""
         least = np.empty((len(value), len(self.a)), np.uint64)
         for j in range(len(self.a)):
-            h = value * self.a[j] + self.b[j]
-            least[:, j] = (h ^ (h >> np.uint64(32))).min(1)
+            least[:, j] = (value * self.a[j] + self.b[j]).min(1)
         return self._joined(least)
 
     def _joined(self, least: np.ndarray) -> np.ndarray:
@@ -193,6 +191,12 @@ def _run_classes(h: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     return own
 
 
+def _line_classes(h: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hashes of the words of segments, in their order."""
+    place = (np.arange(len(h)) - np.repeat(starts, lengths)).astype(np.uint64)
+    return _mix(np.add.reduceat(_mix(_mix(h + place * _TIMES)), starts) * _TIMES + lengths.astype(np.uint64))
+
+
 def _grouped(sizes: Iterator[int]) -> Iterator[tuple[int, int]]:
     """Ranges of items of bounded total size."""
     s, total, e = 0, 0, 0
@@ -228,13 +232,14 @@ def _units(texts: DataFrame, bands: int, rows: int, k: int, seed: int, min_words
                     continue
                 h = seen.of(flat)
                 value = shingle_hashes(h, k)
-                lines = [(i, ws) for i in range(s, e) for ws in split[i] if ws]
-                lengths = np.fromiter((len(ws) for _, ws in lines), np.int64, len(lines))
+                lines = [np.fromiter(map(len, split[i]), np.int64, len(split[i])) for i in range(s, e)]
+                ends = np.cumsum([x.sum() for x in lines])
+                row = np.repeat(np.arange(s, e), [np.count_nonzero(x) for x in lines])
+                lengths = np.concatenate(lines)
+                lengths = lengths[lengths > 0]
                 starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-                row = np.fromiter((i for i, _ in lines), np.int64, len(lines))
-                ends = np.cumsum([sum(map(len, split[i])) for i in range(s, e)])
                 begins = np.concatenate(([0], ends[:-1]))
-                classes = np.fromiter((xxhash.xxh3_64_intdigest(" ".join(ws).encode("utf-8", "surrogatepass")) for _, ws in lines), np.uint64, len(lines))
+                classes = _line_classes(h, starts, lengths)
                 yield unit_rows(b, row, starts - begins[row - s], lengths, False, classes, of_lines.keys(*segment_shingles(h, value, starts, lengths, k)))
                 if not within_lines:
                     continue
@@ -248,12 +253,15 @@ def _units(texts: DataFrame, bands: int, rows: int, k: int, seed: int, min_words
     return texts.select("doc", "place", "text").mapInArrow(run, f"doc {doc}, place binary, start int, words int, run boolean, cls long, keys array<long>")
 
 
-def _lists(items: list[np.ndarray], present: np.ndarray, kind: pa.DataType) -> pa.Array:
-    """Lists, null where none is present."""
-    lengths = np.zeros(len(present), np.int64)
-    lengths[present] = [len(x) for x in items]
-    flat = np.concatenate(items) if items else np.zeros(0, kind.to_pandas_dtype())
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(flat, kind), mask=pa.array(~present))
+def _ranges(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers of ranges that begin at ``first``, one range after another."""
+    return np.arange(int(counts.sum())) + np.repeat(first - np.concatenate(([0], np.cumsum(counts)[:-1])), counts)
+
+
+def _lists(flat: list[np.ndarray], lengths: np.ndarray, present: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """Lists of the given lengths, null where none is present."""
+    values = pa.array(np.concatenate(flat) if flat else np.zeros(0, kind.to_pandas_dtype()), kind)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), values, mask=pa.array(~present))
 
 
 def _details(wanted: DataFrame, k: int, min_words: int) -> DataFrame:
@@ -262,34 +270,66 @@ def _details(wanted: DataFrame, k: int, min_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = WordHashes()
         for b in batches:
-            starts_of, words_of_, classes_of, sets_of = (b.column(n) for n in ("starts", "words", "classes", "sets"))
+            starts_of, words_in, classes_of, sets_of = (b.column(n) for n in ("starts", "words", "classes", "sets"))
+            edges = starts_of.offsets.to_numpy() - starts_of.offsets[0].as_py()
+            all_starts, all_words, all_classes = (c.flatten().to_numpy() for c in (starts_of, words_in, classes_of))
+            all_sets = sets_of.flatten().to_numpy(zero_copy_only=False)
+            begin, held = 0, ([], [], [], [])
+
+            def batch(upto: int) -> pa.RecordBatch:
+                rows = slice(int(edges[begin]), int(edges[upto]))
+                own = pa.array(np.repeat(np.arange(begin, upto), np.diff(edges[begin : upto + 1])))
+                sizes, wants_set = np.concatenate(held[3]), all_sets[rows]
+                return pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(all_classes[rows]), b.column("place").take(own), b.column("doc").take(own), pa.array(np.concatenate(held[0]).astype(np.int32)),
+                        _lists(held[1], np.where(wants_set, sizes, 0), wants_set, pa.int64()), _lists(held[2], np.where(wants_set, 0, sizes), ~wants_set, pa.int32()),
+                    ],
+                    names=["cls", "place", "doc", "start", "sh", "stretches"],
+                )
+
             for i, text in enumerate(b.column("text")):
                 h = seen.of(words_of(text.as_py()))
                 value = shingle_hashes(h, k)
-                starts, lengths, classes = (c[i].values.to_numpy() for c in (starts_of, words_of_, classes_of))
-                wants_set = sets_of[i].values.to_numpy(zero_copy_only=False)
-                own, first = segment_shingles(h, value, starts[wants_set], lengths[wants_set], k) if wants_set.any() else (value[:0], np.zeros(0, np.int64))
-                sets = [np.unique(x) for x in np.split(own.view(np.int64), first[1:])] if len(first) else []
-                starts, stretches = starts.copy(), []
+                rows = slice(int(edges[i]), int(edges[i + 1]))
+                starts, lengths, wants_set = all_starts[rows].copy(), all_words[rows], all_sets[rows]
+                sizes = np.zeros(len(starts), np.int64)
+                if wants_set.any():
+                    own, first = segment_shingles(h, value, starts[wants_set], lengths[wants_set], k)
+                    sets = [np.unique(x) for x in np.split(own.view(np.int64), first[1:])]
+                    sizes[wants_set] = [len(x) for x in sets]
+                    held[1].extend(sets)
                 if not wants_set.all():
                     at, s, e = _anchors(value, np.array([len(h)]), min_words)
                     every = (_stretch_hashes(h, min_words) >> np.uint64(32)).astype(np.uint32).view(np.int32)
                     which = np.searchsorted(at, starts[~wants_set])
                     starts[~wants_set] = s[which]
-                    stretches = [every[x : y + 1] for x, y in zip(s[which].tolist(), e[which].tolist())]
-                row = pa.array(np.full(len(starts), i))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(classes), b.column("place").take(row), b.column("doc").take(row), pa.array(starts), _lists(sets, wants_set, pa.int64()), _lists(stretches, ~wants_set, pa.int32())],
-                    names=["cls", "place", "doc", "start", "sh", "stretches"],
-                )
+                    sizes[~wants_set] = e[which] - s[which] + 1
+                    held[2].append(every[_ranges(s[which], sizes[~wants_set])])
+                held[0].append(starts)
+                held[3].append(sizes)
+                if edges[i + 1] - edges[begin] >= 20_000:
+                    yield batch(i + 1)
+                    begin, held = i + 1, ([], [], [], [])
+            if begin < b.num_rows:
+                yield batch(b.num_rows)
 
     doc = wanted.schema["doc"].dataType.simpleString()
     return wanted.mapInArrow(run, f"cls long, place binary, doc {doc}, start int, sh array<long>, stretches array<int>")
 
 
+def _short(place: bytes) -> int:
+    """A number for a text, enough to tell whether two spans have one source."""
+    return int.from_bytes(place[:7], "big")
+
+
+def _short_column(place: str) -> F.Column:
+    return F.conv(F.hex(F.substring(place, 1, 7)), 16, 10).cast("long")
+
+
 def _verbatim(rows: DataFrame, n: int) -> DataFrame:
     """Ranges of words in stretches of ``n`` words that stand verbatim before, in another text or without overlap in the same."""
-    columns = "place binary, a int, z int, source binary"
+    columns = "place binary, a int, z int, source long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, known = None, {}
@@ -303,17 +343,17 @@ def _verbatim(rows: DataFrame, n: int) -> DataFrame:
                     where, k = known.setdefault(h, (here, at))
                     if where != here or at - k >= n:
                         if begin is not None and (at > last + 1 or where != source):
-                            out.append((here, begin, last + n, source))
+                            out.append((here, begin, last + n, _short(source)))
                             begin = None
                         if begin is None:
                             begin, source = at, where
                         last = at
                 if begin is not None:
-                    out.append((here, begin, last + n, source))
+                    out.append((here, begin, last + n, _short(source)))
             if out:
                 place, a, z, source = zip(*out)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(place, pa.binary()), pa.array(a, pa.int32()), pa.array(z, pa.int32()), pa.array(source, pa.binary())], names=["place", "a", "z", "source"]
+                    [pa.array(place, pa.binary()), pa.array(a, pa.int32()), pa.array(z, pa.int32()), pa.array(source, pa.int64())], names=["place", "a", "z", "source"]
                 )
 
     few = rows.where("not hot").repartition("cls").sortWithinPartitions("cls", "doc", "place", "start")
@@ -323,15 +363,14 @@ def _verbatim(rows: DataFrame, n: int) -> DataFrame:
     each = each.select("cls", "h", "doc", "place", (F.col("start") + F.col("more")).alias("a"))
     first = each.groupBy("cls", "h").agg(F.min(F.struct("doc", "place", "a")).alias("first"), F.count("*").alias("times")).where("times > 1")
     again = each.join(first, ["cls", "h"]).where((F.col("place") != F.col("first.place")) | (F.col("a") - F.col("first.a") >= n))
-    return found.unionByName(again.select("place", "a", (F.col("a") + n).alias("z"), F.col("first.place").alias("source")))
+    return found.unionByName(again.select("place", "a", (F.col("a") + n).alias("z"), _short_column("first.place").alias("source")))
 
 
 def _heads(source: DataFrame, twice: DataFrame) -> DataFrame:
     """One row for each text: the first of those that stand ``twice`` or more.  Copies combine before they are shuffled."""
-    repeated = maybe_in(source.sparkSession, twice.select("place"))
-    known = source.withColumn("twice", repeated("place"))
-    first = known.where("twice").groupBy("place").agg(F.min(F.struct("doc", "text")).alias("first"))
-    return known.where("not twice").select("doc", "place", "text").unionByName(first.select("first.doc", "place", "first.text"))
+    repeated = Maybe(twice.select("place"))
+    first = repeated.of(source, "place").groupBy("place").agg(F.min(F.struct("doc", "text")).alias("first"))
+    return repeated.beside(source, "place").select("doc", "place", "text").unionByName(first.select("first.doc", "place", "first.text"))
 
 
 def _edge(n: int, threshold: float) -> int:
@@ -344,7 +383,8 @@ def copied_spans(source: DataFrame, bands: int, threshold: float, k: int, min_wo
     copies, of the texts that lose any words.  ``source``: ``doc``, ``place`` and ``text``, without null texts."""
     spark = source.sparkSession
     with Scratch(spark, "paragraphs") as scratch:
-        twice = scratch.stage(source.groupBy("place").agg(F.min(F.struct("doc")).alias("first"), F.count("*").alias("rows")).where("rows > 1"), "twice")
+        counts = source.groupBy("place").agg(F.min("doc").alias("least"), F.count("*").alias("rows"), F.count("doc").alias("named")).where("rows > 1")
+        twice = scratch.stage(counts.select("place", F.struct(F.when(F.col("rows") == F.col("named"), F.col("least")).alias("doc")).alias("first")), "twice")
         heads = _heads(source, twice)
         units = scratch.stage(_units(heads, bands, ROWS, k, seed, min_words, within_lines), "units")
         met = bucket_rows(units.select(F.explode("keys").alias("key"), "cls"), scratch)
@@ -353,7 +393,7 @@ def copied_spans(source: DataFrame, bands: int, threshold: float, k: int, min_wo
         repeated = units.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1")
         known = repeated.join(met.select("cls", F.lit(True).alias("met")).distinct(), "cls", "full")
         known = scratch.stage(known.select("cls", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("met", F.lit(False)).alias("met")), "classes")
-        places = scratch.stage(units.drop("keys").where(maybe_in(spark, known.select("cls"))("cls")).join(known, "cls"), "places")
+        places = scratch.stage(Maybe(known.select("cls")).of(units.drop("keys"), "cls").join(known, "cls"), "places")
         scratch.drop("units")
         first = scratch.stage(places.groupBy("cls", "met").agg(F.min(F.struct("doc", "place", "start")).alias("first"), F.max("words").alias("words")), "first")
 
@@ -362,7 +402,7 @@ def copied_spans(source: DataFrame, bands: int, threshold: float, k: int, min_wo
         copied = places.where("run and n > 1").select(F.col("place").alias("p"), "start", "words", "cls", F.lit(False).alias("sh"))
         wants = sets.unionByName(copied).groupBy("p").agg(F.collect_list(F.struct("start", "words", "cls", "sh")).alias("w"))
         wants = scratch.stage(wants.select("p", F.col("w.start").alias("starts"), F.col("w.words").alias("words"), F.col("w.cls").alias("classes"), F.col("w.sh").alias("sets")), "wants")
-        asked = heads.where(maybe_in(spark, wants.select("p"))("place")).join(wants, F.col("place") == F.col("p")).drop("p")
+        asked = Maybe(wants.select("p")).of(heads, "place").join(wants, F.col("place") == F.col("p")).drop("p")
         details = scratch.stage(_details(asked, k, min_words), "details")
 
         # Near copies, by components of verified links.
@@ -376,16 +416,16 @@ def copied_spans(source: DataFrame, bands: int, threshold: float, k: int, min_wo
             | (F.col("start") >= F.col("original.start") + F.when(F.col("run"), min_words).otherwise(F.col("words")))
         )
         edge = F.when(F.col("run") & F.col("near"), _edge(run_words(min_words) - k + 1, threshold)).otherwise(0)
-        spans = spans.select("place", (F.col("start") + edge).alias("a"), (F.col("start") + F.col("words") - edge).alias("z"), F.col("original.place").alias("source"))
+        spans = spans.select("place", (F.col("start") + edge).alias("a"), (F.col("start") + F.col("words") - edge).alias("z"), _short_column("original.place").alias("source"))
         if within_lines:
             again = details.where("stretches is not null").join(known.select("cls", (F.col("n") > HOT).alias("hot")), "cls")
             spans = spans.unionByName(_verbatim(again, min_words))
-        held = spans.groupBy("place").agg(F.collect_set(F.struct("a", "z", "source")).alias("spans"))
+        held = spans.groupBy("place").agg(F.collect_list(F.struct("a", "z", "source")).alias("spans"))
         both = held.join(twice.select(F.col("place").alias("p"), "first"), F.col("place") == F.col("p"), "full")
         return stage(both.select(F.coalesce("place", "p").alias("place"), "first", "spans"), "removals")
 
 
-def joined_spans(spans: list[tuple[int, int, bytes]], k: int, min_words: int) -> list[list[int]]:
+def joined_spans(spans: list[tuple[int, int, int]], k: int, min_words: int) -> list[list[int]]:
     """Passages that spans cover, if they have ``min_words`` words; spans of one source join across fewer than ``k`` words."""
     out, source = [], None
     for a, z, own in sorted(spans):
@@ -402,22 +442,24 @@ def cut_text(text: str, spans: list[list[int]]) -> tuple[str, list[int]]:
     """``text`` without these ranges of words, and the numbers of the lines that lost any word."""
     out, lost, nth, s = [], [], 0, 0
     for number, line in enumerate(text.split("\n")):
-        words = list(re.finditer(r"\S+", line))
-        gone = []
-        for i in range(nth, nth + len(words)):
-            while s < len(spans) and spans[s][1] <= i:
-                s += 1
-            gone.append(s < len(spans) and spans[s][0] <= i)
-        nth += len(words)
-        if gone and all(gone):
-            lost.append(number)
-        elif any(gone):
-            lost.append(number)
-            edges = [w.start() for w in words] + [len(line)]
-            left = line[: edges[0]] + "".join(line[edges[i] : edges[i + 1]] for i, g in enumerate(gone) if not g)
-            out.append(left.rstrip() if gone[-1] else left)
-        else:
+        n = len(line.split())
+        begin, nth = nth, nth + n
+        while s < len(spans) and spans[s][1] <= begin:
+            s += 1
+        if not n or s == len(spans) or spans[s][0] >= nth:
             out.append(line)
+            continue
+        lost.append(number)
+        if spans[s][0] <= begin and spans[s][1] >= nth:
+            continue
+        gone = [False] * n
+        for a, z in spans[s:]:
+            if a >= nth:
+                break
+            gone[max(a - begin, 0) : z - begin] = [True] * (min(z - begin, n) - max(a - begin, 0))
+        edges = [w.start() for w in re.finditer(r"\S+", line)] + [len(line)]
+        left = line[: edges[0]] + "".join(line[edges[i] : edges[i + 1]] for i, g in enumerate(gone) if not g)
+        out.append(left.rstrip() if gone[-1] else left)
     return "\n".join(out), lost
 
 
@@ -445,20 +487,18 @@ def remove_repeats(
     bands = bands_for(threshold, recall=recall)
     taken = df.limit(0)
     names = {}
-    for wanted in ("place", "removed_lines", "maybe", "gone_place", "gone_first", "gone_spans", "gone_cut"):
+    for wanted in ("place", "removed_lines", "gone_place", "gone_first", "gone_spans", "gone_cut"):
         names[wanted] = free_name(taken, wanted)
         taken = taken.withColumn(names[wanted], F.lit(0))
-    place, lines, maybe, p, first, spans, cut_ = (names[n] for n in ("place", "removed_lines", "maybe", "gone_place", "gone_first", "gone_spans", "gone_cut"))
+    place, lines, p, first, spans, cut_ = (names[n] for n in ("place", "removed_lines", "gone_place", "gone_first", "gone_spans", "gone_cut"))
     digest = F.unhex(F.md5(F.col(f"`{text_col}`")))
     source = df.select(F.col(f"`{id_col}`").alias("doc"), digest.alias("place"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
     gone = copied_spans(source, bands, threshold, words_per_shingle, min_words, seed, within_lines)
-    named = maybe_in(df.sparkSession, gone.select("place"))
-    known = df.withColumn(place, digest)
-    known = known.withColumn(maybe, F.coalesce(named(f"`{place}`"), F.lit(False)) & F.col(place).isNotNull())
+    named, known = Maybe(gone.select("place")), df.withColumn(place, digest)
     own = [F.col(f"`{c}`") for c in df.columns]
-    untouched = known.where(f"not `{maybe}`").select(*own, F.array().cast("array<int>").alias(lines))
+    untouched = named.beside(known, place).select(*own, F.array().cast("array<int>").alias(lines))
     found = gone.select(F.col("place").alias(p), F.col("first").alias(first), F.col("spans").alias(spans))
-    joined = known.where(f"`{maybe}`").join(found, F.col(place) == F.col(p), "left")
+    joined = named.of(known, place).join(found, F.col(place) == F.col(p), "left")
     later = F.col(first).isNotNull() & ~F.col(f"`{first}`.doc").eqNullSafe(F.col(f"`{id_col}`"))
 
     @F.pandas_udf("text string, lines array<int>")
@@ -469,7 +509,7 @@ def remove_repeats(
                 n = len(x.split())
                 passages = [[0, n]] if n >= min_words else []
             else:
-                passages = [] if held is None else joined_spans([(y["a"], y["z"], bytes(y["source"])) for y in held], words_per_shingle if within_lines else 1, min_words)
+                passages = [] if held is None else joined_spans([(y["a"], y["z"], y["source"]) for y in held], words_per_shingle if within_lines else 1, min_words)
             rows.append(cut_text(x, passages) if passages else (x, []))
         return pd.DataFrame(rows, columns=["text", "lines"])
 

@@ -23,7 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, only, small_batches, stage
+from .common import Maybe, fresh_path, only, small_batches, stage
 
 #: Fixed value: the profile of revisits with identical payloads in WARC 1.1.
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -62,6 +62,14 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return z.compress(raw) + z.flush()
 
 
+def information(file: str, date: str) -> bytes:
+    """The record that opens an archive and describes it; no index row points to it."""
+    block = b"software: lodestack\r\nformat: WARC File Format 1.1\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}", f"WARC-Filename: {file}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return z.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + z.flush()
+
+
 def _name(page_id: int | None) -> uuid.UUID:
     return uuid.uuid4() if page_id is None else uuid.uuid5(uuid.NAMESPACE_OID, f"page {page_id}")
 
@@ -97,10 +105,17 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, date: str = "2024-01-
     small_batches(spark)
     text = F.coalesce("html", F.lit(""))
     rows = only(pages, "page_id", "url", "html").select("page_id", "url", text.alias("html"), F.sha1(F.encode(text, "UTF-8")).alias("sha"), F.octet_length(text).alias("bytes"))
-    firsts = rows.where(f"bytes >= {least_bytes}").groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("times")).where("times > 1")
-    typed = rows.join(firsts.select(F.col("sha").alias("s"), "first"), F.col("sha") == F.col("s"), "left")
+    # Payloads stay out of the search for equal ones; the first pages are dealt out anew, so that a common payload's rows can be split.
+    slim = rows.where(f"bytes >= {least_bytes}").select("page_id", "sha")
+    firsts = slim.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("times")).where("times > 1").select(F.col("sha").alias("s"), "first").hint("rebalance")
     # Rows that share the smallest id cannot be told apart, so each is a response.
-    typed = typed.select("page_id", "url", "html", F.expr("if(page_id <=> first, null, first)").alias("refers_to"))
+    again = slim.join(firsts, F.col("sha") == F.col("s")).where("not page_id <=> first").select(F.xxhash64("page_id", "sha").alias("k"), F.col("page_id").alias("p"), "s", "first").distinct()
+    again = stage(again, "revisits")
+    known = rows.withColumn("k_", F.xxhash64("page_id", "sha"))
+    maybe = Maybe(again.select("k"))
+    new = maybe.beside(known, "k_").select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to"))
+    old = maybe.of(known, "k_").join(again, (F.col("k_") == F.col("k")) & F.col("page_id").eqNullSafe(F.col("p")) & (F.col("sha") == F.col("s")), "left")
+    typed = new.unionByName(old.select("page_id", "url", "html", F.col("first").alias("refers_to")))
     folder = fresh_path(spark, "warc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +127,10 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, date: str = "2024-01-
             for r in b.to_pylist():
                 if out is None:
                     name = f"{folder}/{uuid.uuid4().hex}.warc.gz"
-                    out, at = store.open_output_stream(f"{top}/{name.rpartition('/')[2]}", compression=None), 0
+                    out = store.open_output_stream(f"{top}/{name.rpartition('/')[2]}", compression=None)
+                    about = information(name.rpartition("/")[2], date)
+                    out.write(about)
+                    at = len(about)
                 payload = r["html"].encode("utf-8", "surrogatepass")
                 digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
                 member = record(r["page_id"], r["url"], payload, digest, r["refers_to"], date)
@@ -135,7 +153,7 @@ def read_archives(index: DataFrame) -> DataFrame:
     """The records of index rows: ``page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload``.
 
     The payload of a revisit is null; its length and digest are those its record states.  A response whose payload
-    does not have the stated digest raises an error.
+    does not have the stated digest raises an error, and so does a record whose name, kind or reference is not the index's.
     """
     columns = ["page_id", "file", "offset", "length", "refers_to"]
     width = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -176,6 +194,9 @@ def read_archives(index: DataFrame) -> DataFrame:
                 response = warc["warc-type"] == "response"
                 if response and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
                     raise ValueError(f"{opened} at {r['offset']}: the payload is not what its digest says")
+                told = {"warc-record-id": r["page_id"], "warc-refers-to": r["refers_to"]}
+                if any(i is not None and warc.get(h) != f"<urn:uuid:{_name(i)}>" for h, i in told.items()) or response != (r["refers_to"] is None):
+                    raise ValueError(f"{opened} at {r['offset']}: the record is not what the index says")
                 size = len(payload) if response else int(http["content-length"])
                 out.append([r["page_id"], warc.get("warc-target-uri"), warc["warc-type"], r["refers_to"], size, digest, payload if response else None])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)

@@ -155,3 +155,24 @@ def test_quality_learns_and_handles_odd_rows(spark):
     assert "score" in quality.keep_good(d, y).columns
     assert all(r.predicted == 1 for r in quality.classify(d, y.limit(0)).collect())
     assert quality.classify(d.limit(0), y).count() == 0
+
+
+def test_warc_notices_records_that_differ_from_the_index(spark, tmp_path):
+    page = warc.record(1, "u", b"abc", base64.b32encode(hashlib.sha1(b"abc").digest()).decode(), None, "2024-01-01T00:00:00Z")
+    again = warc.record(2, "u", b"abc", base64.b32encode(hashlib.sha1(b"abc").digest()).decode(), 1, "2024-01-01T00:00:00Z")
+    (tmp_path / "a.warc.gz").write_bytes(page + again)
+    rows = lambda first, refers: [(first, str(tmp_path / "a.warc.gz"), 0, len(page), "u", "", "", None), (2, str(tmp_path / "a.warc.gz"), len(page), len(again), "u", "", "", refers)]
+    assert warc.read_archives(spark.createDataFrame(rows(1, 1), warc.INDEX_DDL)).count() == 2
+    for first, refers in ((3, 1), (1, 5), (1, None)):
+        with pytest.raises(Exception, match="not what the index says"):
+            warc.read_archives(spark.createDataFrame(rows(first, refers), warc.INDEX_DDL)).collect()
+
+
+def test_warc_archives_open_with_a_description(spark):
+    index = warc.write_archives(spark.createDataFrame([(1, "u", "x"), (2, "v", "x"), (2, "v", "x"), (None, "w", "x")], "page_id long, url string, html string"))
+    at = index.agg({"offset": "min"}).first()[0]
+    path = index.first().file.removeprefix("file://")
+    with open(path, "rb") as f:
+        fields, _, _ = warc.parse(f.read(at))
+    assert fields["warc-type"] == "warcinfo" and fields["warc-filename"] == path.rpartition("/")[2]
+    assert sorted((str(r.page_id), r.record_type, r.refers_to) for r in warc.read_archives(index).collect()) == [("1", "response", None), ("2", "revisit", 1), ("2", "revisit", 1), ("None", "revisit", 1)]
