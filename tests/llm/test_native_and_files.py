@@ -170,8 +170,8 @@ def test_warc_notices_records_that_differ_from_the_index(spark, tmp_path):
 
 def test_warc_archives_open_with_a_description(spark):
     index = warc.write_archives(spark.createDataFrame([(1, "u", "x"), (2, "v", "x"), (2, "v", "x"), (None, "w", "x")], "page_id long, url string, html string"))
-    at = index.agg({"offset": "min"}).first()[0]
-    path = index.first().file.removeprefix("file://")
+    first = min(index.collect(), key=lambda r: (r.file, r.offset))
+    at, path = first.offset, first.file.removeprefix("file://")
     with open(path, "rb") as f:
         fields, _, _ = warc.parse(f.read(at))
     assert fields["warc-type"] == "warcinfo" and fields["warc-filename"] == path.rpartition("/")[2]
