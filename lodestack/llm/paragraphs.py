@@ -24,6 +24,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -327,43 +328,148 @@ def _short_column(place: str) -> F.Column:
     return F.conv(F.hex(F.substring(place, 1, 7)), 16, 10).cast("long")
 
 
-def _verbatim(rows: DataFrame, n: int) -> DataFrame:
-    """Ranges of words in stretches of ``n`` words that stand verbatim before, in another text or without overlap in the same."""
-    columns = "place binary, a int, z int, source long"
+_SPANS = "place binary, a int, z int, source long"
+
+
+def _spans_of(row: np.ndarray, at: np.ndarray, copied: np.ndarray, source: np.ndarray, places: pa.Array, n: int) -> pa.RecordBatch:
+    """Ranges of words: neighbouring copied stretches of ``n`` words of one row and one source are one."""
+    row, at, source = row[copied], at[copied], source[copied]
+    cuts = np.flatnonzero((row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1) | (source[1:] != source[:-1])) + 1
+    first, last = np.concatenate(([0], cuts)), np.concatenate((cuts - 1, [len(row) - 1]))
+    columns = [places.take(pa.array(row[first])), pa.array(at[first].astype(np.int32)), pa.array((at[last] + n).astype(np.int32)), pa.array(source[first])]
+    return pa.RecordBatch.from_arrays(columns, names=["place", "a", "z", "source"])
+
+
+def _flat(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first word and hash of every stretch."""
+    lists = t["stretches"].combine_chunks()
+    counts = np.diff(lists.offsets.to_numpy())
+    row = np.repeat(np.arange(len(counts)), counts)
+    first = np.concatenate(([0], np.cumsum(counts)[:-1])) if len(counts) else counts
+    at = np.arange(len(row)) - first[row] + t["start"].to_numpy()[row]
+    return row, at, lists.flatten().to_numpy()
+
+
+def _complete_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Rows that come sorted by ``keys``, in tables of whole groups."""
+    held: pa.Table | None = None
+    for b in chain(batches, [None]):
+        if b is not None:
+            held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+        if held is None or not held.num_rows:
+            continue
+        key = np.stack([held[k].to_numpy() for k in keys], 1)
+        cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+        upto = held.num_rows if b is None else (int(cuts[-1]) if len(cuts) else 0)
+        if upto:
+            yield held.slice(0, upto)
+            held = held.slice(upto)
+
+
+def _first_of(group: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """For each item the place of the first one with its group and hash."""
+    order = np.lexsort((np.arange(len(h)), h, group))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (group[order][1:] != group[order][:-1])
+    out = np.empty(len(h), np.int64)
+    out[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    return out
+
+
+def _verbatim(rows: DataFrame, n: int, scratch: Scratch) -> DataFrame:
+    """Ranges of words in stretches of ``n`` words that stand verbatim before, in another text or without overlap in the same.
+
+    Runs of up to ``HOT`` copies are compared in one task each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, known = None, {}
+        for t in _complete_groups(batches, ["cls"]):
+            row, at, h = _flat(t)
+            places = t["place"].combine_chunks()
+            known = places.dictionary_encode()
+            place, names = known.indices.to_numpy(), np.array([_short(x) for x in known.dictionary.to_pylist()], np.int64)
+            first = _first_of(t["cls"].to_numpy()[row], h)
+            copied = (place[row[first]] != place[row]) | (at - at[first] >= n)
+            if copied.any():
+                yield _spans_of(row, at, copied, names[place[row[first]]], places, n)
+
+    few = rows.where("not hot").repartition("cls").sortWithinPartitions("cls", "doc", "place", "start")
+    found = few.select("cls", "place", "start", "stretches").mapInArrow(run, _SPANS)
+    hot = rows.where("hot").drop("hot")
+    return found if hot.isEmpty() else found.unionByName(_verbatim_hot(hot, n, scratch))
+
+
+def _verbatim_hot(rows: DataFrame, n: int, scratch: Scratch) -> DataFrame:
+    """The same for runs of very many copies: every batch passes on its first occurrences only, dealt out by slices of the
+    hashes; what stands twice comes back to the rows by a join that Spark can split."""
+    slices = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = ["cls", "doc", "place", "start", "stretches"]
+    kind = rows.schema["doc"].dataType.simpleString()
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for cls, here, start, hashes in zip(b.column("cls").to_pylist(), b.column("place").to_pylist(), b.column("start").to_pylist(), b.column("stretches").to_pylist()):
+            t = pa.Table.from_batches([b]).sort_by([(c, "ascending") for c in ("cls", "doc", "place", "start")])
+            # Nulls come before others, as in the order of documents elsewhere.
+            none = t.filter(pa.compute.is_null(t["doc"]))
+            t = pa.concat_tables([none, t.filter(pa.compute.is_valid(t["doc"]))])
+            row, at, h = _flat(t)
+            cls = t["cls"].to_numpy()[row]
+            first = _first_of(cls, h)
+            chosen, times = np.unique(first, return_counts=True)
+            part = (h[chosen].view(np.uint32) % np.uint32(slices)).astype(np.int32)
+            order = np.lexsort((chosen, part, cls[chosen]))
+            chosen, times, part = chosen[order], times[order], part[order]
+            cuts = np.concatenate(([0], np.flatnonzero((cls[chosen][1:] != cls[chosen][:-1]) | (part[1:] != part[:-1])) + 1, [len(chosen)])).astype(np.int32)
+            lists = lambda x: pa.ListArray.from_arrays(pa.array(cuts), x)
+            own = pa.array(row[chosen])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(cls[chosen][cuts[:-1]]), pa.array(part[cuts[:-1]]), lists(pa.array(h[chosen])), lists(t["doc"].combine_chunks().take(own)), lists(t["place"].combine_chunks().take(own)),
+                    lists(pa.array(at[chosen].astype(np.int32))), lists(pa.array(times.astype(np.int32))),
+                ],
+                names=["cls", "slice", "h", "docs", "places", "at", "times"],
+            )
+
+    packed = rows.select(*columns).mapInArrow(firsts, f"cls long, slice int, h array<int>, docs array<{kind}>, places array<binary>, at array<int>, times array<int>")
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _complete_groups(batches, ["cls", "slice"]):
+            counts = np.diff(t["h"].combine_chunks().offsets.to_numpy())
+            group = np.repeat(np.arange(len(counts)), counts)
+            cls = t["cls"].to_numpy()[group]
+            flat = {c: t[c].combine_chunks().flatten() for c in ("h", "docs", "places", "at", "times")}
+            h = flat["h"].to_numpy()
+            docs = flat["docs"].to_pylist()
+            key = list(zip(*[cls.tolist(), h.tolist(), [d is not None for d in docs], [d if d is not None else 0 for d in docs], flat["places"].to_pylist(), flat["at"].to_pylist()]))
+            order = np.array(sorted(range(len(key)), key=key.__getitem__), np.int64)
+            new = np.ones(len(order), bool)
+            new[1:] = (h[order][1:] != h[order][:-1]) | (cls[order][1:] != cls[order][:-1])
+            begins = np.flatnonzero(new)
+            twice = np.add.reduceat(flat["times"].to_numpy()[order], begins) > 1
+            kept = order[begins[twice]]
+            if len(kept):
+                own = pa.array(kept)
+                yield pa.RecordBatch.from_arrays([pa.array(cls[kept]), pa.array(h[kept]), flat["places"].take(own), flat["at"].take(own)], names=["cls", "h", "first", "at"])
+
+    again = packed.repartition("cls", "slice").sortWithinPartitions("cls", "slice").mapInArrow(shared, "cls long, h int, first binary, at int")
+    known = again.groupBy(F.col("cls").alias("c")).agg(F.collect_list(F.struct("h", "first", "at")).alias("k"))
+    known = scratch.stage(known.select("c", F.col("k.h").alias("hs"), F.col("k.first").alias("firsts"), F.col("k.at").alias("ats")), "shared")
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, table = None, {}
+        for b in batches:
+            rows_, ats, sources = [], [], []
+            for i, (cls, place, start, hs) in enumerate(zip(b.column("cls").to_pylist(), b.column("place").to_pylist(), b.column("start").to_pylist(), b.column("stretches").to_pylist())):
                 if cls != now:
-                    now, known = cls, {}
-                begin = last = source = None
-                for at, h in enumerate(hashes, start):
-                    where, k = known.setdefault(h, (here, at))
-                    if where != here or at - k >= n:
-                        if begin is not None and (at > last + 1 or where != source):
-                            out.append((here, begin, last + n, _short(source)))
-                            begin = None
-                        if begin is None:
-                            begin, source = at, where
-                        last = at
-                if begin is not None:
-                    out.append((here, begin, last + n, _short(source)))
-            if out:
-                place, a, z, source = zip(*out)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(place, pa.binary()), pa.array(a, pa.int32()), pa.array(z, pa.int32()), pa.array(source, pa.int64())], names=["place", "a", "z", "source"]
-                )
+                    now, table = cls, dict(zip(b.column("hs")[i].as_py(), zip(b.column("firsts")[i].as_py(), b.column("ats")[i].as_py())))
+                for at, h in enumerate(hs, start):
+                    if (found := table.get(h)) and (found[0] != place or at - found[1] >= n):
+                        rows_.append(i), ats.append(at), sources.append(_short(found[0]))
+            if rows_:
+                every = np.ones(len(rows_), bool)
+                yield _spans_of(np.array(rows_), np.array(ats), every, np.array(sources, np.int64), b.column("place"), n)
 
-    few = rows.where("not hot").repartition("cls").sortWithinPartitions("cls", "doc", "place", "start")
-    found = few.select("cls", "place", "start", "stretches").mapInArrow(run, columns)
-    # Many copies: the first of each stretch by an aggregation, which combines before it shuffles.
-    each = rows.where("hot").select("cls", "doc", "place", "start", F.posexplode("stretches").alias("more", "h"))
-    each = each.select("cls", "h", "doc", "place", (F.col("start") + F.col("more")).alias("a"))
-    first = each.groupBy("cls", "h").agg(F.min(F.struct("doc", "place", "a")).alias("first"), F.count("*").alias("times")).where("times > 1")
-    again = each.join(first, ["cls", "h"]).where((F.col("place") != F.col("first.place")) | (F.col("a") - F.col("first.a") >= n))
-    return found.unionByName(again.select("place", "a", (F.col("a") + n).alias("z"), _short_column("first.place").alias("source")))
+    return rows.join(known, F.col("cls") == F.col("c")).select("cls", "place", "start", "stretches", "hs", "firsts", "ats").mapInArrow(spans, _SPANS)
 
 
 def _heads(source: DataFrame, twice: DataFrame) -> DataFrame:
@@ -379,7 +485,7 @@ def _edge(n: int, threshold: float) -> int:
 
 
 def copied_spans(source: DataFrame, bands: int, threshold: float, k: int, min_words: int, seed: int, within_lines: bool) -> DataFrame:
-    """``place``, ``head`` (the first document of a repeated text, else null) and ``spans``, the ranges of words that are
+    """``place``, ``first`` (the first document of a repeated text, else null) and ``a``, ``z``, ``source``, the ranges of words that are
     copies, of the texts that lose any words.  ``source``: ``doc``, ``place`` and ``text``, without null texts."""
     spark = source.sparkSession
     with Scratch(spark, "paragraphs") as scratch:
@@ -419,10 +525,11 @@ def copied_spans(source: DataFrame, bands: int, threshold: float, k: int, min_wo
         spans = spans.select("place", (F.col("start") + edge).alias("a"), (F.col("start") + F.col("words") - edge).alias("z"), _short_column("original.place").alias("source"))
         if within_lines:
             again = details.where("stretches is not null").join(known.select("cls", (F.col("n") > HOT).alias("hot")), "cls")
-            spans = spans.unionByName(_verbatim(again, min_words))
+            spans = spans.unionByName(_verbatim(again, min_words, scratch))
         held = spans.groupBy("place").agg(F.collect_list(F.struct("a", "z", "source")).alias("spans"))
         both = held.join(twice.select(F.col("place").alias("p"), "first"), F.col("place") == F.col("p"), "full")
-        return stage(both.select(F.coalesce("place", "p").alias("place"), "first", "spans"), "removals")
+        columns = [F.col(f"spans.{c}").alias(c) for c in ("a", "z", "source")]
+        return stage(both.select(F.coalesce("place", "p").alias("place"), "first", *columns), "removals")
 
 
 def joined_spans(spans: list[tuple[int, int, int]], k: int, min_words: int) -> list[list[int]]:
@@ -487,32 +594,33 @@ def remove_repeats(
     bands = bands_for(threshold, recall=recall)
     taken = df.limit(0)
     names = {}
-    for wanted in ("place", "removed_lines", "gone_place", "gone_first", "gone_spans", "gone_cut"):
+    for wanted in ("place", "removed_lines", "gone_place", "gone_first", "gone_a", "gone_z", "gone_source", "gone_cut"):
         names[wanted] = free_name(taken, wanted)
         taken = taken.withColumn(names[wanted], F.lit(0))
-    place, lines, p, first, spans, cut_ = (names[n] for n in ("place", "removed_lines", "gone_place", "gone_first", "gone_spans", "gone_cut"))
+    place, lines, p, first, cut_ = (names[n] for n in ("place", "removed_lines", "gone_place", "gone_first", "gone_cut"))
+    spans = [names[n] for n in ("gone_a", "gone_z", "gone_source")]
     digest = F.unhex(F.md5(F.col(f"`{text_col}`")))
     source = df.select(F.col(f"`{id_col}`").alias("doc"), digest.alias("place"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
     gone = copied_spans(source, bands, threshold, words_per_shingle, min_words, seed, within_lines)
     named, known = Maybe(gone.select("place")), df.withColumn(place, digest)
     own = [F.col(f"`{c}`") for c in df.columns]
     untouched = named.beside(known, place).select(*own, F.array().cast("array<int>").alias(lines))
-    found = gone.select(F.col("place").alias(p), F.col("first").alias(first), F.col("spans").alias(spans))
+    found = gone.select(F.col("place").alias(p), F.col("first").alias(first), *[F.col(c).alias(n) for c, n in zip(("a", "z", "source"), spans)])
     joined = named.of(known, place).join(found, F.col(place) == F.col(p), "left")
     later = F.col(first).isNotNull() & ~F.col(f"`{first}`.doc").eqNullSafe(F.col(f"`{id_col}`"))
 
     @F.pandas_udf("text string, lines array<int>")
-    def cut(text: pd.Series, spans: pd.Series, later: pd.Series) -> pd.DataFrame:
+    def cut(text: pd.Series, a: pd.Series, z: pd.Series, source: pd.Series, later: pd.Series) -> pd.DataFrame:
         rows = []
-        for x, held, whole in zip(text, spans, later):
+        for x, begin, end, own, whole in zip(text, a, z, source, later):
             if whole:
                 n = len(x.split())
                 passages = [[0, n]] if n >= min_words else []
             else:
-                passages = [] if held is None else joined_spans([(y["a"], y["z"], y["source"]) for y in held], words_per_shingle if within_lines else 1, min_words)
+                passages = [] if begin is None else joined_spans(list(zip(begin.tolist(), end.tolist(), own.tolist())), words_per_shingle if within_lines else 1, min_words)
             rows.append(cut_text(x, passages) if passages else (x, []))
         return pd.DataFrame(rows, columns=["text", "lines"])
 
-    done = joined.withColumn(cut_, cut(F.col(f"`{text_col}`"), F.col(spans), later))
+    done = joined.withColumn(cut_, cut(F.col(f"`{text_col}`"), *[F.col(n) for n in spans], later))
     columns = [F.col(f"`{cut_}`.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns]
     return untouched.unionByName(done.select(*columns, F.col(f"`{cut_}`.lines").alias(lines)))
