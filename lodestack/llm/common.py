@@ -63,7 +63,7 @@ class Scratch:
         """As ``stage``.  The files of shuffles that nothing needs any more go, too."""
         self.made += 1
         path = f"{self.path}/{name}-{self.made}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "lz4_raw").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         sweep(self.spark)
         return out

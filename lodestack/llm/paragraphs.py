@@ -393,15 +393,15 @@ def _verbatim(rows: DataFrame, n: int, scratch: Scratch) -> DataFrame:
             if copied.any():
                 yield _spans_of(row, at, copied, names[place[row[first]]], places, n)
 
-    few = rows.where("not hot").repartition("cls").sortWithinPartitions("cls", "doc", "place", "start")
+    few = rows.where(F.col("n") <= HOT).repartition("cls").sortWithinPartitions("cls", "doc", "place", "start")
     found = few.select("cls", "place", "start", "stretches").mapInArrow(run, _SPANS)
-    hot = rows.where("hot").drop("hot")
+    hot = rows.where(F.col("n") > HOT)
     return found if hot.isEmpty() else found.unionByName(_verbatim_hot(hot, n, scratch))
 
 
 def _verbatim_hot(rows: DataFrame, n: int, scratch: Scratch) -> DataFrame:
     """The same for runs of very many copies: every batch passes on its first occurrences only, dealt out by slices of the
-    hashes; what stands twice comes back to the rows by a join that Spark can split."""
+    hashes; what stands twice comes back to salted groups of the rows."""
     slices = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     columns = ["cls", "doc", "place", "start", "stretches"]
     kind = rows.schema["doc"].dataType.simpleString()
@@ -452,31 +452,43 @@ def _verbatim_hot(rows: DataFrame, n: int, scratch: Scratch) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(cls[kept]), pa.array(h[kept]), flat["places"].take(own), flat["at"].take(own)], names=["cls", "h", "first", "at"])
 
     again = packed.repartition("cls", "slice").sortWithinPartitions("cls", "slice").mapInArrow(shared, "cls long, h int, first binary, at int")
-    known = again.groupBy(F.col("cls").alias("c")).agg(F.collect_list(F.struct("h", "first", "at")).alias("k"))
-    known = scratch.stage(known.select("c", F.col("k.h").alias("hs"), F.col("k.first").alias("firsts"), F.col("k.at").alias("ats")), "shared")
+    known = again.groupBy("cls").agg(F.collect_list(F.struct("h", "first", "at")).alias("k"))
+    known = scratch.stage(known.select("cls", F.col("k.h").alias("stretches"), F.col("k.first").alias("firsts"), F.col("k.at").alias("ats")), "shared")
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, table = None, {}
+        table: dict[int, tuple[bytes, int]] = {}
         for b in batches:
-            rows_, ats, sources = [], [], []
-            for i, (cls, place, start, hs) in enumerate(zip(b.column("cls").to_pylist(), b.column("place").to_pylist(), b.column("start").to_pylist(), b.column("stretches").to_pylist())):
-                if cls != now:
-                    now, table = cls, dict(zip(b.column("hs")[i].as_py(), zip(b.column("firsts")[i].as_py(), b.column("ats")[i].as_py())))
+            found_in, ats, sources = [], [], []
+            for i, (place, start, hs) in enumerate(zip(b.column("place").to_pylist(), b.column("start").to_pylist(), b.column("stretches").to_pylist())):
+                if place is None:  # what the rows that follow share
+                    table = dict(zip(hs, zip(b.column("firsts")[i].as_py(), b.column("ats")[i].as_py())))
+                    continue
                 for at, h in enumerate(hs, start):
                     if (found := table.get(h)) and (found[0] != place or at - found[1] >= n):
-                        rows_.append(i), ats.append(at), sources.append(_short(found[0]))
-            if rows_:
-                every = np.ones(len(rows_), bool)
-                yield _spans_of(np.array(rows_), np.array(ats), every, np.array(sources, np.int64), b.column("place"), n)
+                        found_in.append(i), ats.append(at), sources.append(_short(found[0]))
+            if found_in:
+                every = np.ones(len(ats), bool)
+                yield _spans_of(np.array(found_in), np.array(ats), every, np.array(sources, np.int64), b.column("place"), n)
 
-    return rows.join(known, F.col("cls") == F.col("c")).select("cls", "place", "start", "stretches", "hs", "firsts", "ats").mapInArrow(spans, _SPANS)
+    salts = rows.select("cls", F.ceil(F.col("n") / HOT).alias("salts")).distinct()
+    each = known.join(salts, "cls").select("cls", F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"), F.lit(None).cast("binary").alias("place"), F.lit(0).alias("start"), "stretches", "firsts", "ats")
+    own = rows.select("cls", F.pmod(F.xxhash64("place"), F.ceil(F.col("n") / HOT)).alias("salt"), "place", "start", "stretches", F.lit(None).cast("array<binary>").alias("firsts"), F.lit(None).cast("array<int>").alias("ats"))
+    grouped = each.unionByName(own).repartition("cls", "salt").sortWithinPartitions("cls", "salt", F.col("place").asc_nulls_first())
+    return grouped.select("place", "start", "stretches", "firsts", "ats").mapInArrow(spans, _SPANS)
 
 
-def _heads(source: DataFrame, twice: DataFrame) -> DataFrame:
+def _heads(source: DataFrame, twice: DataFrame, scratch: Scratch) -> DataFrame:
     """One row for each text: the first of those that stand ``twice`` or more.  Copies combine before they are shuffled."""
     repeated = Maybe(twice.select("place"))
     first = repeated.of(source, "place").groupBy("place").agg(F.min(F.struct("doc", "text")).alias("first"))
-    return repeated.beside(source, "place").select("doc", "place", "text").unionByName(first.select("first.doc", "place", "first.text"))
+    first = scratch.stage(first.select("first.doc", "place", "first.text"), "heads")
+    return repeated.beside(source, "place").select("doc", "place", "text").unionByName(first)
+
+
+def _digest(text: F.Column) -> F.Column:
+    """128 bits of a text, from two hashes; null if it is."""
+    word = lambda h: F.lpad(F.hex(h), 16, "0")
+    return F.when(text.isNotNull(), F.unhex(F.concat(word(F.xxhash64(text)), word(F.xxhash64(F.lit(1), text)))))
 
 
 def _edge(n: int, threshold: float) -> int:
@@ -491,7 +503,7 @@ def copied_spans(source: DataFrame, bands: int, threshold: float, k: int, min_wo
     with Scratch(spark, "paragraphs") as scratch:
         counts = source.groupBy("place").agg(F.min("doc").alias("least"), F.count("*").alias("rows"), F.count("doc").alias("named")).where("rows > 1")
         twice = scratch.stage(counts.select("place", F.struct(F.when(F.col("rows") == F.col("named"), F.col("least")).alias("doc")).alias("first")), "twice")
-        heads = _heads(source, twice)
+        heads = _heads(source, twice, scratch)
         units = scratch.stage(_units(heads, bands, ROWS, k, seed, min_words, within_lines), "units")
         met = bucket_rows(units.select(F.explode("keys").alias("key"), "cls"), scratch)
 
@@ -514,9 +526,10 @@ def copied_spans(source: DataFrame, bands: int, threshold: float, k: int, min_wo
         # Near copies, by components of verified links.
         members = met.join(details.where("sh is not null").select("cls", "sh").dropDuplicates(["cls"]), "cls")
         roots = components(similar_links(members, threshold, scratch))
-        classes = first.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
-        originals = classes.groupBy("root").agg(F.min("first").alias("original"))
-        original = scratch.stage(classes.join(originals, "root").select("cls", "original", (F.col("first") != F.col("original")).alias("near")), "originals")
+        linked = scratch.stage(first.join(roots, F.col("cls") == F.col("node")).select("cls", "first", "root"), "linked")
+        originals = linked.groupBy("root").agg(F.min("first").alias("original"))
+        near = linked.join(originals, "root").where(F.col("first") != F.col("original")).select(F.col("cls").alias("c"), "original")
+        original = first.join(near, F.col("cls") == F.col("c"), "left").select("cls", F.coalesce("original", "first").alias("original"), F.col("original").isNotNull().alias("near"))
         spans = places.join(original, "cls").where(
             (F.col("place") != F.col("original.place"))
             | (F.col("start") >= F.col("original.start") + F.when(F.col("run"), min_words).otherwise(F.col("words")))
@@ -524,7 +537,7 @@ def copied_spans(source: DataFrame, bands: int, threshold: float, k: int, min_wo
         edge = F.when(F.col("run") & F.col("near"), _edge(run_words(min_words) - k + 1, threshold)).otherwise(0)
         spans = spans.select("place", (F.col("start") + edge).alias("a"), (F.col("start") + F.col("words") - edge).alias("z"), _short_column("original.place").alias("source"))
         if within_lines:
-            again = details.where("stretches is not null").join(known.select("cls", (F.col("n") > HOT).alias("hot")), "cls")
+            again = details.where("stretches is not null").join(known.select("cls", "n"), "cls")
             spans = spans.unionByName(_verbatim(again, min_words, scratch))
         held = spans.groupBy("place").agg(F.collect_list(F.struct("a", "z", "source")).alias("spans"))
         both = held.join(twice.select(F.col("place").alias("p"), "first"), F.col("place") == F.col("p"), "full")
@@ -599,7 +612,7 @@ def remove_repeats(
         taken = taken.withColumn(names[wanted], F.lit(0))
     place, lines, p, first, cut_ = (names[n] for n in ("place", "removed_lines", "gone_place", "gone_first", "gone_cut"))
     spans = [names[n] for n in ("gone_a", "gone_z", "gone_source")]
-    digest = F.unhex(F.md5(F.col(f"`{text_col}`")))
+    digest = _digest(F.col(f"`{text_col}`"))
     source = df.select(F.col(f"`{id_col}`").alias("doc"), digest.alias("place"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
     gone = copied_spans(source, bands, threshold, words_per_shingle, min_words, seed, within_lines)
     named, known = Maybe(gone.select("place")), df.withColumn(place, digest)

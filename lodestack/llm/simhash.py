@@ -5,10 +5,12 @@ move.  Equal fingerprints collapse first, by a plain aggregation, so groups of c
 size become one row.
 
 Two 64-bit fingerprints that differ in at most ``d`` bits share at least ``8 - d`` of their 8
-positional bytes.  The index therefore posts each distinct fingerprint under every choice of
-``8 - d`` byte positions and their values: two fingerprints meet in a posting list exactly if
-their tally of shared positional bytes reaches that minimum.  A posting fixes ``8 - d`` bytes,
-so a list holds at most ``256 ** d`` different fingerprints; pairs within it are verified on the
+positional bytes: the guaranteed minimum of the count filter.  A list of a single byte at a position
+holds 1/256 of the table, so tallies over such lists would pair nearly everything; the index
+therefore posts each distinct fingerprint under every choice of ``8 - d`` byte positions and their
+values, and two fingerprints meet in a list exactly if their tally can reach the minimum.  A posting
+fixes ``8 - d`` bytes, so a list holds at most ``256 ** d`` different fingerprints.  Within a list shared
+positional bytes are tallied for each pair, pairs at the minimum are retained, and these are verified on the
 whole fingerprint.  Lists of up to ``PAIRWISE`` members compare all pairs in one array operation;
 longer ones use midpoints, which is exact too: for d = 2, members within one bit of the same
 value are within two bits of each other, and members two bits apart have such a value.
@@ -84,7 +86,10 @@ def _links_in_list(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
 
     if len(fps) <= PAIRWISE or most != 2:
         for i in range(len(fps) - 1):
-            for j in np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= most).tolist():
+            apart = fps[i + 1 :] ^ fps[i]
+            tally = (apart.view(np.uint8).reshape(-1, 8) == 0).sum(1)
+            retained = np.flatnonzero(tally >= 8 - most)
+            for j in retained[np.bitwise_count(apart[retained]) <= most].tolist():
                 link(i, i + 1 + j)
         return out
     varying = np.bitwise_or.reduce(fps ^ fps[0])
