@@ -48,12 +48,13 @@ SELECT p_partkey AS id, ((p_partkey * 7) % 1000) / 1000.0 AS u, ((p_partkey * 11
   ((p_partkey * 53) % 1000) / 2000.0 AS max_dim_ratio, ((p_partkey * 59) % 1000) / 5000.0 AS margin, ((p_partkey * 61) % 1000) / 1000.0 * 1200 AS upper_tex,
   CASE p_partkey % 9 WHEN 0 THEN 'ground_to_air' WHEN 1 THEN 'horizon_side_view' WHEN 2 THEN 'top_down' WHEN 3 THEN 'drone_on_ground' WHEN 4 THEN 'product_photo'
     WHEN 5 THEN 'indoor' WHEN 6 THEN 'irrelevant' WHEN 7 THEN 'ambiguous' ELSE NULL END AS clip_scene,
-  CASE p_partkey % 8 WHEN 0 THEN 'clean_sky' WHEN 1 THEN 'cloudy_sky' WHEN 2 THEN 'trees_sky' WHEN 3 THEN 'urban_skyline' WHEN 4 THEN 'horizon'
-    WHEN 5 THEN 'night' WHEN 6 THEN 'reject' ELSE NULL END AS clip_background,
+  CASE p_partkey % 9 WHEN 0 THEN 'clean_sky' WHEN 1 THEN 'cloudy_sky' WHEN 2 THEN 'sky_with_trees' WHEN 3 THEN 'sky_with_buildings' WHEN 4 THEN 'horizon'
+    WHEN 5 THEN 'night_low_light' WHEN 6 THEN 'reject_irrelevant' WHEN 7 THEN 'review_ambiguous' ELSE NULL END AS clip_background,
+  CASE p_partkey % 4 WHEN 0 THEN 'bird' WHEN 1 THEN 'drone' ELSE 'kite' END AS cls,
   CAST(p_partkey % 700 AS INT) AS width, CAST((p_partkey * 3) % 500 AS INT) AS height,
   ((p_partkey * 67) % 1000) / 1000.0 AS bad, ((p_partkey * 71) % 1000) / 1000.0 * 0.5 AS largest, ((p_partkey * 73) % 1000) / 10000.0 AS person_sum,
   ((p_partkey * 79) % 1000) / 12000.0 AS person_max, ((p_partkey * 83) % 1000) / 9000.0 AS food_sum, ((p_partkey * 89) % 1000) / 14000.0 AS indoor_max,
-  ((p_partkey * 97) % 1000) / 4000.0 AS vehicle_max, ((p_partkey * 101) % 1000) / 9000.0 AS animal_sum, ((p_partkey * 103) % 1000) / 8000.0 AS sports_sum
+  ((p_partkey * 97) % 1000) / 4000.0 AS vehicle_max, ((p_partkey * 101) % 1000) / 9000.0 AS animal_top, ((p_partkey * 103) % 1000) / 8000.0 AS sports_top
 FROM part
 """
 ASSET = """
@@ -62,6 +63,10 @@ SELECT p_partkey AS id, p_name AS asset_name,
   CASE p_partkey % 4 WHEN 0 THEN 'bird' WHEN 1 THEN 'airplane' WHEN 2 THEN 'kite' ELSE 'other' END AS cls,
   CASE p_size % 4 WHEN 0 THEN 'accept' WHEN 1 THEN 'review' WHEN 2 THEN 'reject' ELSE '' END AS label,
   CASE p_size % 5 WHEN 0 THEN 'accept' WHEN 1 THEN ' Review ' WHEN 2 THEN 'nan' WHEN 3 THEN '' ELSE NULL END AS qa_label,
+  CASE p_size % 6 WHEN 0 THEN 'reject' WHEN 1 THEN 'review' ELSE 'accept' END AS quality_label,
+  CASE p_partkey % 9 WHEN 0 THEN 'mask_too_large_review' WHEN 1 THEN 'mask_small_review;likely_background_blob' WHEN 2 THEN NULL ELSE '' END AS review_text,
+  CASE p_partkey % 6 WHEN 0 THEN 'used_inverse_mask' WHEN 1 THEN NULL ELSE 'best_score' END AS selection, CASE WHEN p_partkey % 31 = 0 THEN 'empty_image' ELSE '' END AS alpha_error,
+  CASE WHEN p_partkey % 37 = 0 THEN 0 ELSE 1600 END AS crop_area,
   p_partkey % 17 = 0 AS failed, p_partkey % 23 = 0 AS missing, p_partkey % 13 = 0 AS inverted, p_partkey % 2 = 0 AS sam2,
   ((p_partkey * 7) % 1000) / 1000.0 AS r, CAST((p_partkey * 11) % 5 AS INT) AS k, CAST((p_partkey * 13) % 40 AS INT) AS area,
   0.5 + ((p_partkey * 17) % 1000) / 800.0 AS ca, 0.5 + ((p_partkey * 19) % 1000) / 800.0 AS ba, ((p_partkey * 23) % 1000) / 1000.0 AS br,

@@ -45,8 +45,7 @@ def box_to_corners(b: Box) -> Box:
 
 def yolo_to_pixels(cx: Column, cy: Column, w: Column, h: Column, width: Column, height: Column, least: int | None = 1) -> Box:
     """Normalised centre form to pixels; ``least`` is the smallest size, None for no limit."""
-    pw, ph = w * width, h * height
-    out = [F.bround(cx * width - pw / 2), F.bround(cy * height - ph / 2), F.bround(pw), F.bround(ph)]
+    out = [F.bround((cx - w / 2) * width), F.bround((cy - h / 2) * height), F.bround(w * width), F.bround(h * height)]
     out = [c.cast("int") for c in out]
     return (out[0], out[1], *[F.greatest(F.lit(least), c) for c in out[2:]]) if least is not None else tuple(out)
 
@@ -64,11 +63,10 @@ def yolo_line(class_id: Column, b: Box, width: Column, height: Column) -> Column
 
 
 def clip(b: Box, width: Column, height: Column) -> Box:
-    """The part inside the image; sizes may become 0, which ``clipped_away`` tells."""
-    x1, y1, x2, y2 = box_to_corners(b)
-    inside = lambda c, most: F.least(F.greatest(c, F.lit(0)), most)
-    l, t, r, d = inside(x1, width), inside(y1, height), inside(x2, width), inside(y2, height)
-    return l, t, F.greatest(r - l, F.lit(0)), F.greatest(d - t, F.lit(0))
+    """Origin moved into the image, sizes cut to what is left there; sizes may become 0, which ``clipped_away`` tells."""
+    x = F.greatest(F.lit(0), F.least(b[0], width - 1))
+    y = F.greatest(F.lit(0), F.least(b[1], height - 1))
+    return x, y, F.greatest(F.lit(0), F.least(b[2], width - x)), F.greatest(F.lit(0), F.least(b[3], height - y))
 
 
 def clipped_away(b: Box) -> Column:
@@ -86,7 +84,7 @@ def problem(b: Box, width: Column, height: Column, least: int) -> Column:
     """Why a box is unusable, or null."""
     return (
         F.when((b[2] <= 0) | (b[3] <= 0), "non_positive_size")
-        .when((b[0] >= width) | (b[1] >= height) | (b[0] + b[2] <= 0) | (b[1] + b[3] <= 0), "outside_image")
+        .when((b[0] < 0) | (b[1] < 0) | (b[0] + b[2] > width) | (b[1] + b[3] > height), "outside_image")
         .when(F.greatest(b[2], b[3]) < least, "below_min_bbox_px")
     )
 
@@ -98,10 +96,10 @@ def parse(a: Column, b: Column, c: Column, d: Column, form: Column) -> Box:
 
 
 def expand(b: Box, ratio: float, width: Column, height: Column) -> Box:
-    """Grown on every side by a share of its size, within the image, rounded to even halves."""
-    dx, dy = b[2] * ratio, b[3] * ratio
-    x1, y1 = F.greatest(F.lit(0), F.bround(b[0] - dx).cast("int")), F.greatest(F.lit(0), F.bround(b[1] - dy).cast("int"))
-    x2, y2 = F.least(width, F.bround(b[0] + b[2] + dx).cast("int")), F.least(height, F.bround(b[1] + b[3] + dy).cast("int"))
+    """Grown on every side by a share of its size, rounded to even halves, within the image."""
+    px, py = F.bround(b[2] * ratio).cast("int"), F.bround(b[3] * ratio).cast("int")
+    x1, y1 = F.greatest(F.lit(0), b[0] - px), F.greatest(F.lit(0), b[1] - py)
+    x2, y2 = F.least(width, b[0] + b[2] + px), F.least(height, b[1] + b[3] + py)
     return x1, y1, F.greatest(F.lit(1), x2 - x1), F.greatest(F.lit(1), y2 - y1)
 
 
@@ -140,16 +138,20 @@ def aspect(w: Column, h: Column) -> Column:
     return F.bround(F.try_divide(w.cast("double"), h), 4)
 
 
-def placement_range(size: Column, full: Column, low: float, high: float, margin: int = 0) -> tuple[Column, Column]:
-    """First and last origin so that an object's centre lies in a share of the image and the object inside it.
+def placement_bounds(w: Column, h: Column, width: Column, height: Column, across: tuple[float, float], down: tuple[float, float], margin: int = 0) -> tuple[Column, Column, Column, Column]:
+    """First and last origin across and down, so that an object's centre lies in a share of the image and the object inside it.
 
-    Where the range is empty both are the nearest origin inside the image.
+    An empty range gives way to all places inside the margin, downwards no lower than the share allows.
     """
-    most = F.greatest(F.lit(0), full - size - margin)
-    lo = F.greatest(F.least(F.lit(margin), most), F.ceil(full * low - size / 2).cast("int"))
-    hi = F.least(most, F.floor(full * high - size / 2).cast("int"))
-    middle = F.least(F.greatest(hi, F.lit(0)), most)
-    return F.when(lo <= hi, lo).otherwise(middle), F.when(lo <= hi, hi).otherwise(middle)
+    side = F.lit(margin)
+
+    def bounds(size: Column, full: Column, low: float, high: float) -> tuple[Column, Column]:
+        return F.greatest(side, F.ceil(full * low - size / 2).cast("int")), F.least(full - size - margin, F.floor(full * high - size / 2).cast("int"))
+
+    (x1, x2), (y1, y2) = bounds(w, width, *across), bounds(h, height, *down)
+    x_all = F.greatest(side, width - w - margin)
+    y_all = F.greatest(side, F.least(height - h - margin, (height * down[1]).cast("int") - h))
+    return F.when(x1 > x2, side).otherwise(x1), F.when(x1 > x2, x_all).otherwise(x2), F.when(y1 > y2, side).otherwise(y1), F.when(y1 > y2, y_all).otherwise(y2)
 
 
 def resized(w: Column, h: Column, target: Column) -> tuple[Column, Column]:

@@ -191,13 +191,22 @@ def components(mask: np.ndarray, least: int = 16) -> list[int]:
 
 
 def alpha_statistics(alpha: np.ndarray) -> dict[str, float]:
+    """Share of visible pixels, share of these on the edge, parts, the largest part's share, and how much it looks like an
+    uncut rectangle: 0 unless all four edges are touched, the box is filled over 0.88 and the area is over 0.75."""
     mask = alpha > 12
-    area = float(mask.mean())
-    edge = np.concatenate([mask[0], mask[-1], mask[:, 0], mask[:, -1]])
+    n = int(mask.sum())
+    if not n:
+        return {"alpha_area": 0.0, "border": 0.0, "comps": 0, "largest": 0.0, "rectangle": 0.0}
+    area = n / mask.size
+    edge = np.zeros_like(mask)
+    edge[[0, -1]] = edge[:, [0, -1]] = True
     parts = components(mask)
-    rows, cols = np.flatnonzero(mask.any(1)), np.flatnonzero(mask.any(0))
-    filled = float(mask[rows[0] : rows[-1] + 1, cols[0] : cols[-1] + 1].mean()) if len(rows) else 0.0
-    return {"alpha_area": area, "border": float(edge.mean()), "comps": len(parts), "largest": parts[0] / mask.sum() if parts else 0.0, "rectangle": filled * area}
+    x, y, w, h = mask_box(mask)
+    filled = float(mask[y : y + h, x : x + w].mean())
+    around = mask[0].any() and mask[-1].any() and mask[:, 0].any() and mask[:, -1].any()
+    rectangle = min(1.0, filled * area) if around and filled > 0.88 and area > 0.75 else 0.0
+    facts = {"alpha_area": area, "border": (mask & edge).sum() / n, "comps": len(parts), "largest": parts[0] / n if parts else 0.0, "rectangle": rectangle}
+    return {k: v if k == "comps" else round(float(v), 6) for k, v in facts.items()}
 
 
 def alpha_class(alpha: np.ndarray) -> str:

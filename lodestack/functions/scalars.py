@@ -37,32 +37,62 @@ def number(c: Column, default: float | None = None) -> Column:
     return F.coalesce(F.when(~F.isnan(v), v), F.lit(default).cast("double"))
 
 
-def alias(c: Column, table: dict[str, str]) -> Column:
-    """The standard word for an alias; null for unknown ones."""
+def alias(c: Column, table: dict[str, str], unknown: Column) -> Column:
+    """The standard word for an alias, compared trimmed and in lower case; ``unknown`` for other words."""
     key = F.lower(F.trim(c))
-    out = None
-    for word in sorted(set(table.values())):
-        names = sorted(k for k, v in table.items() if v == word)
-        out = F.when(key.isin(*names), word) if out is None else out.when(key.isin(*names), word)
-    return out
+    words = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return F.coalesce(F.element_at(words, key), unknown)
 
 
-#: Decisions that reviewers write, and what they mean.
+#: Decisions that reviewers write into a manifest, and what they mean.
 DECISIONS = {
     "accept": "accept",
-    "accepted": "accept",
-    "approve": "accept",
-    "approved": "accept",
-    "keep": "accept",
     "yes": "accept",
+    "y": "accept",
+    "keep": "accept",
+    "approved": "accept",
     "reject": "reject",
-    "rejected": "reject",
-    "drop": "reject",
     "no": "reject",
+    "n": "reject",
+    "drop": "reject",
+    "rejected": "reject",
+}
+#: Decisions that a model's triage gives, and what they mean.
+TRIAGE = {
+    "accept": "accept_candidate",
+    "accept_candidate": "accept_candidate",
+    "candidate": "accept_candidate",
+    "keep": "accept_candidate",
+    "approved": "accept_candidate",
     "review": "review",
     "maybe": "review",
     "uncertain": "review",
+    "reject": "reject",
+    "drop": "reject",
 }
+SKY_REGIONS = ("large", "medium", "small", "none")
+
+
+def _word(c: Column) -> Column:
+    """Trimmed, in lower case; empty if null or a word for nothing."""
+    t = F.lower(F.trim(F.coalesce(c.cast("string"), F.lit(""))))
+    return F.when(t.isin("nan", "none"), "").otherwise(t)
+
+
+def decision(c: Column) -> Column:
+    """A reviewer's decision; words that are not known pass through."""
+    return alias(_word(c), DECISIONS, _word(c))
+
+
+def triage(c: Column) -> Column:
+    """A triage decision; empty for words that are not known, and errors stay."""
+    return alias(_word(c), TRIAGE, F.when(_word(c) == "error", "error").otherwise(""))
+
+
+def sky_region(c: Column) -> Column:
+    """The size of the usable sky, or empty."""
+    t = F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    return F.when(t.isin(*SKY_REGIONS), t).otherwise("")
 
 
 def class_name(c: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -46,6 +46,8 @@ def _cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         top = "file://" + tempfile.mkdtemp(prefix="lodestack-")
@@ -86,12 +88,15 @@ def first_fit(df: DataFrame, key: str, hash_col: str, most: int, within: str | N
 
 
 def keep_last(df: DataFrame, keys: list[str], position: list[str]) -> DataFrame:
-    """The last row of each key."""
-    order = Window.partitionBy(*keys).orderBy(*[F.col(p).desc() for p in position])
-    return df.withColumn("n_", F.row_number().over(order)).where("n_ = 1").drop("n_")
+    """The last row of each key.  Rows combine before they are shuffled, so a key may have any number of them."""
+    others = [c for c in df.columns if c not in keys]
+    last = F.max_by(F.struct(*others), F.struct(*position)).alias("last_")
+    return df.groupBy(*keys).agg(last).select(*[F.col(c) if c in keys else F.col(f"last_.{c}").alias(c) for c in df.columns])
 
 
 def numbered_ids(df: DataFrame, base: str, order: list[str], out: str = "unique_id") -> DataFrame:
     """``base``, ``base_1``, ``base_2`` and so on for repeated bases."""
-    n = F.row_number().over(Window.partitionBy(base).orderBy(*order)) - 1
-    return df.withColumn(out, F.when(n == 0, F.col(base)).otherwise(F.concat(F.col(base), F.lit("_"), n.cast("string"))))
+    from .selection import ranked
+
+    n = F.col("n_") - 1
+    return ranked(df, [base], order, "n_").withColumn(out, F.when(n == 0, F.col(base)).otherwise(F.concat(F.col(base), F.lit("_"), n.cast("string")))).drop("n_")

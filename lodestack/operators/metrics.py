@@ -17,8 +17,8 @@ def group_recall(facts: DataFrame, keys: list[str]) -> DataFrame:
         F.sum("detected").cast("long").alias("detected"),
         F.sum("tp").cast("long").alias("tp"),
         F.sum("fn").cast("long").alias("fn"),
-        _mean("best_iou").alias("mean_best_iou"),
-        _mean("matched_conf").alias("mean_matched_conf"),
+        F.round(F.avg("best_iou"), 9).alias("mean_best_iou"),
+        F.round(F.avg("matched_conf"), 9).alias("mean_matched_conf"),
         F.round(F.try_divide(F.sum("tp"), F.sum("tp") + F.sum("fn")), 6).alias("recall"),
     )
 
@@ -29,27 +29,58 @@ def group_false_positives(facts: DataFrame, keys: list[str]) -> DataFrame:
         F.count("*").alias("n_images"),
         F.sum("false_positive_image").cast("long").alias("false_positive_images"),
         F.sum("fp").cast("long").alias("fp_count"),
-        _mean("fp_conf_mean").alias("mean_fp_conf"),
-        F.round(F.try_divide(F.sum("false_positive_image"), F.count("*")), 6).alias("false_positive_rate"),
+        F.round(F.avg("fp_conf_mean"), 9).alias("mean_fp_conf"),
+        F.round(F.try_divide(F.sum("false_positive_image"), F.count("*")), 6).alias("false_positive_image_rate"),
     )
 
 
 def model_summary(facts: DataFrame) -> DataFrame:
-    """By model and threshold: recall over images with a target, false alarms over those without."""
+    """By model and threshold: recall over images with a target, false alarms over those without; null over none."""
     there = F.col("target_present")
+    over = lambda where, c: F.when(where, F.col(c))
+    total = lambda where, c: F.coalesce(F.sum(over(where, c)), F.lit(0)).cast("long")
     return facts.groupBy("model_name", "iou_threshold").agg(
-        F.count("*").alias("n_images"),
-        F.sum(F.when(there, 1).otherwise(0)).cast("long").alias("n_target"),
-        F.sum("tp").cast("long").alias("tp"),
-        F.sum("fn").cast("long").alias("fn"),
-        F.sum("fp").cast("long").alias("fp"),
-        _mean(F.when(there, F.col("detected"))).alias("recall"),
-        _mean(F.when(there, F.col("best_iou"))).alias("mean_best_iou"),
-        F.sum("false_positive_image").cast("long").alias("false_positive_images"),
-        _mean(F.when(~there, F.col("false_positive_image"))).alias("false_positive_rate"),
+        F.count_if(there).alias("n_target_present"),
+        F.count_if(~there & (F.col("subset") == "synthetic_distractor_only")).alias("n_distractor_only"),
+        _mean(over(there, "detected")).alias("recall"),
+        total(there, "tp").alias("tp"),
+        total(there, "fn").alias("fn"),
+        _mean(over(there, "best_iou")).alias("mean_best_iou"),
+        _mean(over(~there, "false_positive_image")).alias("false_positive_image_rate"),
+        total(~there, "fp").alias("fp_count"),
     )
 
 
+def grouped_metrics(facts: DataFrame, keys: list[str]) -> DataFrame:
+    """By all ``keys`` together: recall over images with a target, and false alarms over those without; ``part`` tells which.
+
+    Columns that a part lacks are null.
+    """
+    there, away = group_recall(facts.where("target_present"), keys), group_false_positives(facts.where("not target_present"), keys)
+    return there.withColumn("part", F.lit("recall")).unionByName(away.withColumn("part", F.lit("false_positive")), allowMissingColumns=True)
+
+
+def plotted_false_positives(rates: DataFrame, threshold: float) -> DataFrame:
+    """Mean of the rates by model and kind of distractor at one threshold, the first of the table; blank kinds are left out."""
+    told = F.trim(F.coalesce("distractor_type", F.lit(""))) != ""
+    shown = rates.where((F.col("iou_threshold") == threshold) & told)
+    return shown.groupBy("model_name", "distractor_type").agg(_mean("false_positive_image_rate").alias("false_positive_image_rate"))
+
+
+def zero_prediction_rows(meta: DataFrame, predictions: DataFrame, models: list[str], thresholds: list[float]) -> DataFrame:
+    """Summary rows for every subset, model and threshold without any prediction: nothing found, nothing raised."""
+    sizes = meta.groupBy("subset").agg(F.count_if("target_present").alias("n_target_present"), F.count_if(~F.col("target_present")).alias("n_distractor_only"))
+    grid = sizes.withColumn("model_name", F.explode(F.array(*[F.lit(m) for m in models])))
+    seen = predictions.select("image_id", "model_name").distinct().join(meta.select("image_id", "subset"), "image_id").select("subset", "model_name").distinct()
+    none = grid.join(seen, ["subset", "model_name"], "left_anti")
+    none = none.withColumn("iou_threshold", F.explode(F.array(*[F.lit(float(x)) for x in thresholds])))
+    zero, nothing = F.lit(0.0), F.lit(0).cast("long")
+    return none.select(
+        "subset", "model_name", "iou_threshold", "n_target_present", "n_distractor_only", zero.alias("recall"), nothing.alias("tp"), F.col("n_target_present").alias("fn"),
+        zero.alias("mean_best_iou"), zero.alias("false_positive_image_rate"), nothing.alias("fp_count"),
+    )
+
+
 def predicted_only(facts: DataFrame) -> DataFrame:
     """Only images with predictions: the denominator that overstates recall, kept to reproduce it."""
     return facts.where("pred_count > 0")
@@ -123,7 +154,7 @@ def pivot_first(df: DataFrame, keys: list[str], column: str, values: list[str],
 
 def reason_counts(df: DataFrame, column: str, separator: str = ";") -> DataFrame:
     """How often each reason stands in separated lists."""
-    return df.select(F.explode(F.split(column, separator)).alias("reason")).where("reason <> ''").groupBy("reason").agg(F.count("*").alias("n"))
+    return df.select(F.explode_outer(F.split(column, separator)).alias("reason")).where("reason <> ''").groupBy("reason").agg(F.count("*").alias("n"))
 
 
 def spread(df: DataFrame, value: Column, keys: list[str]) -> DataFrame:
@@ -132,7 +163,8 @@ def spread(df: DataFrame, value: Column, keys: list[str]) -> DataFrame:
 
 
 def scene_statistics(annotations: DataFrame, groups: dict[str, list[str]], width: str = "image_width", height: str = "image_height", top: int = 5) -> DataFrame:
-    """By image: the largest box's share, shares summed and greatest by group of categories, and the leading categories.
+    """By image: the largest box's share, shares summed and greatest by group of categories, the greatest
+    sum of one category of the group, and the leading categories.
 
     Categories are added up before images, so an image's annotations are never collected.
     """
@@ -143,7 +175,7 @@ def scene_statistics(annotations: DataFrame, groups: dict[str, list[str]], width
     aggregates = [F.round(F.max("most"), 6).alias("largest")]
     for name, members in groups.items():
         member = F.col("category").isin(*members)
-        aggregates += [F.round(F.sum(F.when(member, F.col("total")).otherwise(0.0)), 6).alias(name + "_sum"), F.round(F.max(F.when(member, F.col("most")).otherwise(0.0)), 6).alias(name + "_max")]
+        aggregates += [F.round(F.sum(F.when(member, F.col("total")).otherwise(0.0)), 6).alias(name + "_sum"), F.round(F.max(F.when(member, F.col("most")).otherwise(0.0)), 6).alias(name + "_max"), F.round(F.max(F.when(member, F.col("total")).otherwise(0.0)), 6).alias(name + "_top")]
     leading = F.sort_array(F.collect_list(F.when((F.col("rank") <= top) & (F.col("total") > 0.01), F.struct("rank", "category"))))
     return ranked.groupBy("image_id").agg(*aggregates, F.array_join(F.transform(leading, lambda x: x["category"]), ",").alias("leading"))
 
@@ -175,5 +207,6 @@ def group_scores(scores: DataFrame, id_col: str, group_col: str, score_col: str,
         pick(1, -F.col("b.p")).alias("first_prompt"),
         pick(2, F.col(group_col)).alias("second_group"),
         F.round(pick(2, F.col("b.s")), 6).alias("second_score"),
+        pick(2, -F.col("b.p")).alias("second_prompt"),
         F.round(pick(1, F.col("b.s")) - pick(2, F.col("b.s")), 6).alias("margin"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -60,23 +60,21 @@ def checks(df: DataFrame, rules: dict[str, tuple[str, str]], unique: list[str])
     return out
 
 
-def append_once(path: str, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows already stored, with those of the same keys replaced; to be written back by the caller.  Running it twice changes nothing."""
+def append_once(path: str, rows: DataFrame, keys: list[str], into: str) -> DataFrame:
+    """Stored rows with those of the same keys replaced, written to the new folder ``into`` and read from there.
+
+    Running it twice changes nothing.  The old folder stays whole until the caller points readers to the new one.
+    """
+    if into.rstrip("/") == path.rstrip("/"):
+        raise ValueError("a table cannot be overwritten while it is read")
     spark = rows.sparkSession
     old = spark.read.schema(rows.schema).parquet(path)
-    return old.join(rows.select(*keys).distinct(), keys, "left_anti").unionByName(rows)
+    old.join(rows.select(*keys).distinct(), keys, "left_anti").unionByName(rows).write.mode("overwrite").parquet(into)
+    return spark.read.schema(rows.schema).parquet(into)
 
 
-def ids_in_order(df: DataFrame, order: list[Column | str], pattern: str, out: str) -> DataFrame:
-    """Identifiers numbered in an order, by a global sort without a window over all rows.
+def ids_in_order(df: DataFrame, order: list[Column | str], pattern: str, out: str, first: int = 0) -> DataFrame:
+    """Identifiers numbered from ``first`` in an order, by a global sort without a window over all rows."""
+    from .selection import ranked
 
-    Rows are range-partitioned; each partition's first number comes from the counts of those before it.
-    """
-    spark = df.sparkSession
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"p_": F.spark_partition_id(), "m_": F.monotonically_increasing_id()})
-    placed = placed.withColumn("m_", F.expr("m_ & ((1L << 33) - 1)"))
-    counts = placed.groupBy("p_").count()
-    base = counts.select(F.col("p_").alias("q_"), (F.sum("count").over(Window.orderBy("p_")) - F.col("count")).alias("base_"))
-    del spark
-    joined = placed.join(F.broadcast(base), F.col("p_") == F.col("q_"))
-    return joined.withColumn(out, F.format_string(pattern, F.col("base_") + F.col("m_"))).drop("p_", "m_", "q_", "base_")
+    return ranked(df, [], order, "n_").withColumn(out, F.format_string(pattern, F.col("n_") + (first - 1))).drop("n_")

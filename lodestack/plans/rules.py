@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars
 from .cascade import Cascade, q, rule
 
 SCENE = Cascade(
@@ -25,7 +26,7 @@ SCENE = Cascade(
         rule("(u + l) / 2 <= 0.06 AND u <= 0.08", "reject", "likely_top_down_or_non_sky", "indoor"),
         rule("large_ AND u < 0.12 AND (low_ OR ground_)", "reject", "likely_product_or_ground_closeup", "product_photo"),
         rule("u < 0.12 AND low_ AND NOT horizon_", "reject", "likely_top_down_or_non_sky", "top_down"),
-        rule("ground_ AND u < 0.18", "reject", "likely_product_or_ground_closeup", "irrelevant"),
+        ("ground_ AND u < 0.18", *q("reject", "likely_product_or_ground_closeup"), "CASE lower(cls) WHEN 'bird' THEN 'bird_on_ground' WHEN 'drone' THEN 'drone_on_ground' ELSE 'irrelevant' END"),
         rule("flying_ AND large_", "review", "large_but_sky_candidate", "ground_to_air"),
         rule("flying_", "accept", "flying_sky_candidate", "ground_to_air"),
         rule("horizon_ AND u >= 0.18 AND large_", "review", "large_but_sky_candidate", "horizon_side_view"),
@@ -115,36 +116,44 @@ BACKGROUND = Cascade(
 )
 
 
+#: What other relations call the kinds of backgrounds, and the first version's categories.
+CANONICAL = {"trees_sky": "sky_with_trees", "urban_skyline": "sky_with_buildings", "review": "review_ambiguous", "reject": "reject_irrelevant"}
+CATEGORY = {"clean_sky": "clear_upper_sky", "cloudy_sky": "cloudy_sky", "sky_with_trees": "sky_with_natural_landscape", "sky_with_buildings": "sky_with_built_environment"}
+
+
+def _arms(column: str, table: dict[str, str]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items())
+
+
 def _v1(label: str) -> str:
     """The first-version category of a background label; horizons are absorbed by what they show."""
-    return (
-        f"CASE WHEN {label} = 'clean_sky' THEN 'clear_sky' WHEN {label} = 'cloudy_sky' THEN 'cloudy_sky' WHEN {label} = 'trees_sky' THEN 'natural_horizon'"
-        f" WHEN {label} = 'urban_skyline' THEN 'built_horizon' WHEN {label} = 'horizon' THEN {ABSORBED} END"
-    )
+    return f"{_arms(label, CATEGORY)} WHEN 'horizon' THEN {ABSORBED} END"
 
 
-ABSORBED = "CASE WHEN cloud >= 0.14 AND u >= 0.18 THEN 'cloudy_sky' WHEN green >= 0.10 THEN 'natural_horizon' WHEN dark >= 0.018 OR tex >= 180 THEN 'built_horizon' WHEN u >= 0.28 THEN 'clear_sky' END"
-_DAY = "('clean_sky', 'cloudy_sky', 'trees_sky', 'urban_skyline', 'horizon')"
+ABSORBED = "CASE WHEN cloud >= 0.14 AND u >= 0.18 THEN 'cloudy_sky' WHEN green >= 0.10 THEN 'sky_with_natural_landscape' WHEN dark >= 0.018 OR tex >= 180 THEN 'sky_with_built_environment' WHEN u >= 0.28 THEN 'clear_upper_sky' END"
+_DAY = "('clean_sky', 'cloudy_sky', 'sky_with_trees', 'sky_with_buildings', 'horizon')"
 
 #: Heuristic and CLIP backgrounds merged to the first version's splits.  Needs BACKGROUND's outputs and clip_background.
 BACKGROUND_V1 = Cascade(
     outputs=("split", "category", "merge_reason"),
     terms={
-        "day_h_": f"type IN {_DAY}",
+        "kind_": f"{_arms('type', CANONICAL)} ELSE type END",
+        "day_h_": f"kind_ IN {_DAY}",
         "day_c_": f"coalesce(clip_background IN {_DAY}, FALSE)",
-        "hv_": _v1("type"),
+        "hv_": _v1("kind_"),
         "cv_": _v1("clip_background"),
         "sh_": "status = 'accept' AND day_h_",
         "useful_": "u >= 0.15",
-        "agrees_": "clip_background IS NULL OR (day_c_ AND (type = clip_background OR type = 'horizon' OR clip_background = 'horizon'))",
+        "agrees_": "clip_background IS NULL OR (day_c_ AND (kind_ = clip_background OR kind_ = 'horizon' OR clip_background = 'horizon'))",
         "none_": ABSORBED,
+        "weak_h_": "kind_ IN ('review_ambiguous', 'reject_irrelevant')",
     },
     rules=(
-        rule("width = 0 OR height = 0 OR (f < 0.02 AND bri < 12) OR (status = 'reject' AND u < 0.08) OR (f < 0.05 AND u < 0.06)", "reject", "reject", "unusable_dark_or_no_scene"),
+        rule("width = 0 OR height = 0 OR (f < 0.02 AND bri < 12) OR (status = 'reject' AND u < 0.08) OR (f < 0.05 AND u < 0.06)", "reject", "reject_irrelevant", "unusable_dark_or_no_scene"),
         rule(
-            "coalesce(clip_background = 'night', FALSE) OR reason LIKE '%night_low_light%' OR (bri < 58 AND f >= 0.04 AND (dark > 0.008 OR tex > 70))",
+            "coalesce(clip_background = 'night_low_light', FALSE) OR reason LIKE '%night_low_light%' OR (bri < 58 AND f >= 0.04 AND (dark > 0.008 OR tex > 70))",
             "holdout_night",
-            "night",
+            "night_low_light",
             "night_low_light_holdout",
         ),
         ("sh_ AND hv_ IS NOT NULL AND agrees_", "'approved_daytime'", "hv_", "'strong_heuristic_accept'"),
@@ -153,35 +162,36 @@ BACKGROUND_V1 = Cascade(
         ("day_h_ AND useful_ AND hv_ IS NOT NULL AND cv_ IS NOT NULL", "'approved_daytime'", "cv_", "'heuristic_useful_compatible_clip'"),
         ("status = 'reject' AND u >= 0.22 AND day_c_ AND cv_ IS NOT NULL", "'approved_daytime'", "cv_", "'salvage_reject_heuristic_clip_daytime'"),
         ("status = 'reject' AND u >= 0.28 AND none_ IS NOT NULL", "'approved_daytime'", "none_", "'salvage_strong_sky_from_reject'"),
-        ("day_c_ AND useful_ AND cv_ IS NOT NULL AND type IN ('review', 'reject')", "'approved_daytime'", "cv_", "'clip_daytime_salvage'"),
-        rule("status = 'reject' AND NOT useful_", "reject", "reject", "heuristic_reject_no_useful_sky"),
-        rule("type IN ('review', 'reject') AND (clip_background IS NULL OR clip_background IN ('review', 'reject')) AND useful_", "review", "review", "borderline_useful_ambiguous"),
-        rule("type IN ('review', 'reject') AND (clip_background IS NULL OR clip_background IN ('review', 'reject'))", "review", "review", "ambiguous_weak_signals"),
-        rule("clip_background = 'reject' AND NOT useful_", "reject", "reject", "clip_reject_no_useful_sky"),
+        ("day_c_ AND useful_ AND cv_ IS NOT NULL AND weak_h_", "'approved_daytime'", "cv_", "'clip_daytime_salvage'"),
+        rule("status = 'reject' AND NOT useful_", "reject", "reject_irrelevant", "heuristic_reject_no_useful_sky"),
+        rule("weak_h_ AND (clip_background IS NULL OR clip_background IN ('review_ambiguous', 'reject_irrelevant')) AND useful_", "review", "review_ambiguous", "borderline_useful_ambiguous"),
+        rule("weak_h_ AND (clip_background IS NULL OR clip_background IN ('review_ambiguous', 'reject_irrelevant'))", "review", "review_ambiguous", "ambiguous_weak_signals"),
+        rule("clip_background = 'reject_irrelevant' AND NOT useful_", "reject", "reject_irrelevant", "clip_reject_no_useful_sky"),
         ("hv_ IS NOT NULL AND useful_", "'approved_daytime'", "hv_", "'default_heuristic_v1'"),
     ),
-    default=q("review", "review", "uncertain_merge"),
+    default=q("review", "review_ambiguous", "uncertain_merge"),
 )
 
-#: Rejects by what annotations cover; the strict and the permissive thresholds.
+#: Rejects by what annotations cover; the strict and the permissive thresholds.  animal_top and sports_top are the greatest
+#: sums of a single category of their group.
 def coco_rejects(person: float, food: float, indoor: float, animal: float, strict: bool) -> tuple[tuple[str, ...], ...]:
     rules = [rule(f"person_sum >= {person}", "reject", "person_dominated")]
     if strict:
         rules.append(rule("person_max >= 0.06", "reject", "person_closeup"))
-    rules += [rule(f"food_sum >= {food}", "reject", "food_dominated"), rule(f"indoor_max >= {indoor}", "reject", "indoor_object")]
+    rules += [rule(f"food_sum >= {food}", "reject", "food_dominated"), rule(f"indoor_max >= {indoor}", "reject", "indoor_object_dominated")]
     if strict:
-        rules.append(rule("vehicle_max >= 0.22", "reject", "vehicle_closeup"))
-    rules.append(rule(f"animal_sum >= {animal}", "reject", "animal_dominated" if strict else "animal_closeup"))
+        rules.append(rule("vehicle_max >= 0.22", "reject", "vehicle_dominated"))
+    rules.append(rule(f"animal_top >= {animal}", "reject", "animal_dominated" if strict else "animal_closeup"))
     if strict:
-        rules.append(rule("sports_sum >= 0.12", "reject", "sports_closeup_dominated"))
+        rules.append(rule("sports_top >= 0.12", "reject", "sports_closeup_dominated"))
     return tuple(rules)
 
 
-_CONTEXT = "u >= 0.25 AND (hz_ OR green >= 0.10 OR dark >= 0.02)"
+_CONTEXT = "hz_ OR green >= 0.10 OR dark >= 0.02"
 #: Needs BACKGROUND's outputs as well.
 COCO_STRICT = Cascade(
     outputs=("decision", "why"),
-    terms={"hz_": "u > greatest(0, 2 * f - u) + 0.06", "v1_": _v1("type")},
+    terms={"hz_": "u > greatest(0, 2 * f - u) + 0.06", "kind_": f"{_arms('type', CANONICAL)} ELSE type END", "v1_": _v1("kind_")},
     rules=(
         *coco_rejects(0.08, 0.10, 0.06, 0.10, True),
         rule("bad > 0.25", "reject", "bad_category_area_high"),
@@ -192,17 +202,18 @@ COCO_STRICT = Cascade(
         rule("u < 0.25", "reject", "insufficient_upper_sky"),
         ("status = 'reject'", "'reject'", "reason"),
         ("status = 'review' OR v1_ IS NULL", "'review'", "reason"),
-        rule("v1_ = 'clear_sky' AND u < 0.45", "review", "below_type_minimum_sky"),
-        rule("v1_ = 'cloudy_sky' AND u < 0.35", "review", "below_type_minimum_sky"),
-        rule(f"v1_ IN ('natural_horizon', 'built_horizon') AND NOT ({_CONTEXT})", "review", "below_type_minimum_sky"),
+        ("u < CASE v1_ WHEN 'clear_upper_sky' THEN 0.45 WHEN 'cloudy_sky' THEN 0.35 ELSE 0.20 END", "'review'", "concat('below_upper_sky_', v1_)"),
+        rule(f"v1_ LIKE 'sky_with_%' AND NOT ({_CONTEXT})", "review", "no_outdoor_horizon_context"),
     ),
     default=("'accept'", "reason"),
 )
 COCO_PERMISSIVE = Cascade(
     outputs=("decision", "why"),
+    terms={"kind_": f"{_arms('type', CANONICAL)} ELSE type END", "v1_": _v1("kind_")},
     rules=(
         *coco_rejects(0.12, 0.14, 0.10, 0.16, False),
         rule("u < 0.12 AND status <> 'reject'", "reject", "no_plausible_upper_sky"),
+        ("status = 'accept' AND v1_ IS NULL", "'review'", "reason"),
     ),
     default=("status", "reason"),
 )
@@ -221,18 +232,18 @@ HARD_NEGATIVE_BASE = Cascade(
         rule("m < 20", "review", "object_tiny_review", "y"),
         rule("a > 0.40", "review", "closeup_large_area_review", "y"),
         rule("indoor_ AND a > 0.30", "review", "indoor_no_sky_review", "y"),
-        rule("cls = 'bird' AND indoor_ AND a > 0.35 AND n < 2", "reject", "bird_indoor_closeup", "n"),
-        rule("cls = 'bird' AND a >= 0.20", "review", "closeup_large_area_review", "n"),
-        rule("cls = 'bird' AND n = 1 AND (a >= 0.12 OR m > 280)", "review", "large_single_object_review", "n"),
+        rule("cls = 'bird' AND indoor_ AND a > 0.35 AND n < 2", "reject", "clearly_unusable", "n"),
+        rule("cls = 'bird' AND a >= 0.20", "review", "bird_closeup_review", "n"),
+        rule("cls = 'bird' AND n = 1 AND (a >= 0.12 OR m > 280)", "review", "bird_large_single_review", "n"),
         rule("cls = 'bird' AND n >= 2 AND (outdoor_ok_ OR u IS NULL)", "approved", "bird_multi_object_sky", "n"),
         rule("cls = 'bird' AND outdoor_ok_ AND m >= 20 AND m <= 250 AND a < 0.20", "approved", "bird_distant_outdoor", "n"),
-        rule("cls = 'airplane' AND a >= 0.25", "review", "closeup_large_area_review", "n"),
-        rule("cls = 'airplane' AND m > 450 AND cy >= 0.72", "review", "large_ground_object_review", "n"),
+        rule("cls = 'airplane' AND a >= 0.25", "review", "airplane_closeup_review", "n"),
+        rule("cls = 'airplane' AND m > 450 AND cy >= 0.72", "review", "airplane_large_ground_review", "n"),
         rule("cls = 'airplane' AND m >= 30 AND m <= 500 AND indoor_", "review", "indoor_no_sky_review", "n"),
         rule("cls = 'airplane' AND m >= 30 AND m <= 500 AND aspect > 1.2", "approved", "airplane_wide_outdoor", "n"),
         rule("cls = 'airplane' AND m >= 30 AND m <= 500", "approved", "airplane_distant_outdoor", "n"),
         rule("cls = 'airplane' AND m >= 30", "approved", "airplane_outdoor_candidate", "n"),
-        rule("cls = 'kite' AND a >= 0.30", "review", "closeup_large_area_review", "n"),
+        rule("cls = 'kite' AND a >= 0.30", "review", "kite_closeup_review", "n"),
         rule("cls = 'kite' AND n >= 2 AND m >= 20", "approved", "kite_multi_object", "n"),
         rule("cls = 'kite' AND m >= 20 AND indoor_ AND a > 0.15", "review", "indoor_no_sky_review", "n"),
         rule("cls = 'kite' AND m >= 20 AND a < 0.15", "approved", "kite_outdoor_scene", "n"),
@@ -251,6 +262,32 @@ HARD_NEGATIVE = Cascade(
     default=("s_", "r_"),
 )
 
+#: How much a reason counts when approved rows are chosen; others count 20.
+HARD_PRIORITY = {
+    "bird_multi_object_sky": 100,
+    "bird_distant_outdoor": 95,
+    "kite_multi_object": 95,
+    "kite_outdoor_scene": 90,
+    "airplane_distant_outdoor": 90,
+    "airplane_wide_outdoor": 85,
+    "sky_boost_approved": 80,
+    "kite_small_outdoor": 75,
+    "bird_outdoor_candidate": 70,
+    "airplane_outdoor_candidate": 70,
+    "bird_closeup_review": 40,
+    "bird_large_single_review": 40,
+    "airplane_closeup_review": 40,
+    "airplane_large_ground_review": 40,
+    "kite_closeup_review": 40,
+    "object_tiny_review": 35,
+    "closeup_large_area_review": 35,
+    "indoor_no_sky_review": 30,
+    "uncertain_review": 25,
+    "image_missing": 0,
+    "image_unreadable": 0,
+    "clearly_unusable": 0,
+}
+
 DISTRACTOR = Cascade(
     outputs=("status", "reason"),
     terms={
@@ -259,13 +296,13 @@ DISTRACTOR = Cascade(
         "flags_": "CASE WHEN k >= 2 THEN 1 ELSE 0 END + CASE WHEN r > 0.75 THEN 1 ELSE 0 END + CASE WHEN ca < 1 THEN 1 ELSE 0 END",
     },
     rules=(
-        rule("cls IN ('bird', 'airplane') AND label = 'reject'", "reject", "technical_reject"),
+        rule("cls IN ('bird', 'airplane') AND label = 'reject'", "reject", "technical_qa_reject"),
         rule("cls = 'bird' AND k >= 3", "reject", "mask_touches_many_borders"),
         rule("cls = 'bird' AND (r > 0.85 OR r < 0.02)", "reject", "extreme_mask_area_ratio"),
         rule("cls = 'bird' AND label = 'accept' AND fly_", "approved", "bird_flying_like_shape"),
         rule("cls = 'bird' AND label = 'accept' AND vert_", "review", "bird_vertical_portrait_like"),
         rule("cls = 'bird' AND label = 'accept'", "review", "bird_ambiguous_shape"),
-        rule("cls = 'bird' AND fly_", "review", "bird_flying_technical_review"),
+        rule("cls = 'bird' AND fly_", "review", "bird_flying_shape_technical_review"),
         rule("cls = 'bird' AND vert_", "review", "bird_vertical_technical_review"),
         rule("cls = 'bird'", "review", "bird_technical_review"),
         rule("cls = 'airplane' AND k >= 2 AND r > 0.75 AND ca < 1", "reject", "airplane_extreme_partial_crop"),
@@ -273,7 +310,8 @@ DISTRACTOR = Cascade(
         rule("cls = 'airplane' AND (ca >= 1.5 OR ba >= 1.5) AND k <= 1 AND r <= 0.75 AND label = 'accept'", "approved", "airplane_wide_full_like"),
         rule("cls = 'airplane' AND (ca >= 1.5 OR ba >= 1.5) AND k <= 1 AND r <= 0.75", "review", "airplane_partial_but_wide"),
         rule("cls = 'airplane' AND flags_ >= 1", "review", "airplane_likely_nose_tail_fragment"),
-        rule("cls = 'airplane'", "review", "airplane_ambiguous_shape"),
+        rule("cls = 'airplane' AND ca < 1", "review", "airplane_narrow_crop"),
+        rule("cls = 'airplane'", "review", "airplane_ambiguous"),
         rule("cls = 'kite' AND (label = 'reject' OR r > 0.95 OR k >= 3)", "reject", "kite_extreme_failure"),
         rule("cls = 'kite' AND label = 'accept' AND r >= 0.03 AND r <= 0.85 AND k >= 2", "review", "kite_border_touch_review"),
         rule("cls = 'kite' AND label = 'accept' AND r >= 0.03 AND r <= 0.85", "approved", "kite_ok"),
@@ -283,14 +321,53 @@ DISTRACTOR = Cascade(
     default=q("reject", "unknown_class"),
 )
 
+#: The same for distractors; others count 0.
+DISTRACTOR_PRIORITY = {
+    "bird_flying_like_shape": 100,
+    "airplane_wide_full_like": 100,
+    "kite_ok": 100,
+    "airplane_partial_but_wide": 70,
+    "bird_flying_shape_technical_review": 65,
+    "kite_border_touch_review": 60,
+    "bird_ambiguous_shape": 50,
+    "airplane_narrow_crop": 45,
+    "bird_vertical_portrait_like": 40,
+    "kite_small_or_fragment": 35,
+    "airplane_likely_nose_tail_fragment": 30,
+    "bird_vertical_technical_review": 25,
+    "kite_technical_review": 20,
+    "airplane_ambiguous": 15,
+    "bird_technical_review": 10,
+}
+
+
+def priority(reason: str, table: dict[str, int], other: int) -> Column:
+    """The priority of the reason in a column."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), F.col(reason)), F.lit(other)).cast("int")
+
+
+#: Fixed value: how technical candidates for distractors were cut out.
+EXTRACTION_METHOD = "coco_segmentation_mask"
+
+
+def technical_candidates(df: DataFrame, labels: tuple[str, ...] = ("accept", "review")) -> DataFrame:
+    """Rows fit for the semantic rules: cut out by segmentation, with alpha, not failed, not empty, and with one of the labels.
+
+    Needs extraction_method, has_alpha, extraction_failed, mask_area_px and mask_quality_label; flags may be text.
+    """
+    yes = lambda c: F.coalesce(F.lower(F.col(c).cast("string")).isin("true", "1", "yes"), F.lit(False))
+    label = F.lower(F.col("mask_quality_label").cast("string")).isin(*labels)
+    return df.where((F.col("extraction_method") == EXTRACTION_METHOD) & yes("has_alpha") & ~yes("extraction_failed") & (F.col("mask_area_px").cast("double") > 0) & label)
+
+
 PLACES = Cascade(
     outputs=("status", "reason"),
     rules=(
         rule("least(width, height) < 512", "reject", "image_too_small"),
         rule("u < 0.10", "reject", "insufficient_upper_sky"),
-        rule("u < CASE WHEN mapped = 'runway' THEN 0.15 ELSE 0.18 END", "review", "low_upper_sky"),
+        rule("u < CASE WHEN mapped = 'runway' THEN 0.15 ELSE 0.18 END", "review", "borderline_upper_sky"),
     ),
-    default=q("accept", "accepted"),
+    default=q("accept", "ok"),
 )
 
 
@@ -314,13 +391,16 @@ MASK_REASONS = (
     ("k >= 3", "mask_touches_many_borders"),
     ("k = 2", "mask_touches_two_borders"),
 )
+_THERE = "crop_area > 0 AND area > 0"
 SEGMENT_REASONS = (
-    ("area < 4", "mask_too_small"),
-    ("area >= 4 AND r < 0.03", "mask_small_review"),
-    ("r > 0.95", "likely_background_blob"),
-    ("r <= 0.95 AND r > 0.85", "mask_too_large_review"),
-    ("k >= 3", "mask_touches_many_borders"),
-    ("k = 2", "mask_touches_two_borders"),
+    ("crop_area = 0", "invalid_crop"),
+    ("crop_area > 0 AND area = 0", "empty_mask"),
+    (f"{_THERE} AND area < 4", "mask_too_small"),
+    (f"{_THERE} AND r > 0.95", "likely_background_blob"),
+    (f"{_THERE} AND r <= 0.95 AND r > 0.85", "mask_too_large_review"),
+    (f"{_THERE} AND r < 0.03", "mask_small_review"),
+    (f"{_THERE} AND k >= 3", "mask_touches_many_borders"),
+    (f"{_THERE} AND k = 2", "mask_touches_two_borders"),
 )
 
 
@@ -335,78 +415,142 @@ def mask_quality(df: DataFrame, sam2: str = "sam2") -> DataFrame:
 
 
 def segment_quality(df: DataFrame) -> DataFrame:
-    """``reasons`` and ``label`` of segmentation masks, from area, r, k."""
+    """``reasons`` and ``label`` of segmentation masks, from crop_area, area, r, k."""
     found = reasons(*SEGMENT_REASONS)
-    bad = F.arrays_overlap(found, F.array(F.lit("likely_background_blob"), F.lit("mask_touches_many_borders")))
+    bad = F.arrays_overlap(found, F.array(*[F.lit(x) for x in ("empty_mask", "invalid_crop", "likely_background_blob", "mask_touches_many_borders")]))
     label = F.when(bad, "reject").when(F.size(found) > 0, "review").otherwise("accept")
     return df.select(*[c for c in df.columns if c not in ("reasons", "label")], F.array_join(found, ";").alias("reasons"), label.alias("label"))
 
 
+#: Words in the notes on a mask that rule an asset out.
+HARD_FAILURES = ("likely_background_blob", "mask_too_large", "missing_proposal", "failed", "no_object")
+_NOTES = "lower(concat(coalesce(review_text, ''), ' ', coalesce(selection, '')))"
+_WEAK = "('center_heuristic', 'largest_detection_fallback')"
+#: Reasons, in the order in which they are told.  Alpha reasons exclude each other.
 ASSET_REJECT = (
     ("failed", "extraction_failed"),
-    ("missing", "file_missing"),
-    ("label = 'reject'", "quality_label_reject"),
+    ("missing", "missing_asset_file"),
+    ("lower(trim(quality_label)) = 'reject'", "quality_label_reject"),
+    ("lower(trim(label)) = 'reject'", "mask_quality_label_reject"),
     ("r > 0.70", "mask_area_ratio_high"),
-    ("br > 0.65", "touches_border_ratio_high"),
+    ("br > 0.65", "mask_touches_border_high"),
     ("bbox_ratio > 4", "mask_bbox_area_ratio_high"),
-    ("alpha_area < 0.005", "alpha_area_tiny"),
-    ("alpha_area >= 0.005 AND rectangle > 0.65", "opaque_rectangle"),
-    ("alpha_area >= 0.005 AND rectangle <= 0.65 AND border > 0.72 AND alpha_area > 0.70", "alpha_border_blob"),
-    ("comps >= 8 AND largest < 0.45", "fragmented_alpha"),
-    ("asset_type = 'drone' AND r > 0.55 AND br > 0.50", "drone_mask_blob"),
-    ("asset_type = 'drone' AND alpha_area > 0.65 AND border > 0.55", "drone_alpha_blob"),
-    ("asset_type = 'drone' AND largest < 0.35 AND comps > 3", "drone_fragmented"),
-    ("asset_type = 'drone' AND proposal IN ('center_heuristic', 'largest_detection_fallback') AND r > 0.50", "drone_weak_proposal"),
-    ("asset_type = 'bird' AND largest < 0.40 AND comps >= 5", "bird_fragmented"),
-    ("asset_type = 'bird' AND r > 0.62 AND br > 0.55", "bird_mask_blob"),
-    ("asset_type = 'bird' AND alpha_area < 0.02", "bird_tiny"),
-    ("asset_type = 'airplane' AND alpha_area < 0.015", "airplane_tiny"),
-    ("asset_type = 'airplane' AND r > 0.75 AND br > 0.70", "airplane_mask_blob"),
-    ("asset_type = 'airplane' AND rectangle > 0.75", "airplane_rectangle"),
+    (" OR ".join(f"{_NOTES} LIKE '%{word}%'" for word in HARD_FAILURES), "mask_review_hard_failure"),
+    ("alpha_error <> ''", "alpha_analysis_error:"),
+    ("coalesce(alpha_error, '') = '' AND coalesce(alpha_area, 0) < 0.005", "alpha_area_tiny"),
+    ("coalesce(alpha_error, '') = '' AND alpha_area >= 0.005 AND rectangle > 0.65", "opaque_background_rectangle"),
+    ("coalesce(alpha_error, '') = '' AND alpha_area >= 0.005 AND coalesce(rectangle, 0) <= 0.65 AND border > 0.72 AND alpha_area > 0.70", "alpha_border_background_blob"),
+    ("comps >= 8 AND coalesce(largest, 0) < 0.45", "alpha_many_fragments"),
+    ("asset_type = 'drone' AND r > 0.55 AND br > 0.50", "drone_large_background_patch"),
+    ("asset_type = 'drone' AND alpha_area > 0.65 AND border > 0.55", "drone_background_residue"),
+    ("asset_type = 'drone' AND coalesce(largest, 0) < 0.35 AND comps > 3", "drone_broken_shape"),
+    (f"asset_type = 'drone' AND proposal IN {_WEAK} AND r > 0.50", "drone_weak_proposal_large_mask"),
+    ("asset_type = 'bird' AND coalesce(largest, 0) < 0.40 AND comps >= 5", "bird_fragmented"),
+    ("asset_type = 'bird' AND r > 0.62 AND br > 0.55", "bird_large_sky_chunk"),
+    ("asset_type = 'bird' AND coalesce(alpha_area, 0) < 0.02", "bird_mostly_missing"),
+    ("asset_type = 'airplane' AND coalesce(alpha_area, 0) < 0.015", "airplane_mostly_missing"),
+    ("asset_type = 'airplane' AND r > 0.75 AND br > 0.70", "airplane_huge_background_blob"),
+    ("asset_type = 'airplane' AND rectangle > 0.75", "airplane_crop_failure"),
 )
 ASSET_REVIEW = (
-    ("label = 'review'", "quality_label_review"),
+    ("lower(trim(quality_label)) = 'review'", "quality_label_review"),
+    ("lower(trim(label)) = 'review'", "mask_quality_label_review"),
     ("inverted", "mask_inverted"),
-    ("r >= 0.45 AND r <= 0.70", "mask_area_ratio_borderline"),
-    ("br >= 0.35 AND br <= 0.65", "touches_border_borderline"),
-    ("bbox_ratio >= 2 AND bbox_ratio <= 4", "mask_bbox_borderline"),
+    ("r >= 0.45 AND r <= 0.70", "mask_area_ratio_mid"),
+    ("br >= 0.35 AND br <= 0.65", "mask_touches_border_mid"),
+    ("bbox_ratio >= 2 AND bbox_ratio <= 4", "mask_bbox_area_ratio_mid"),
     ("asset_type IN ('bird', 'airplane') AND proposal = 'center_heuristic'", "center_heuristic_proposal"),
-    ("asset_type IN ('bird', 'airplane') AND proposal LIKE 'yolo%' AND conf < 0.25", "low_detector_confidence"),
-    ("comps >= 4 AND largest < 0.70", "several_components"),
-    ("border > 0.45 AND alpha_area > 0.40", "alpha_border_review"),
-    ("asset_type = 'drone' AND border > 0.35", "drone_border_review"),
-    ("asset_type = 'bird' AND comps >= 3 AND largest < 0.75", "bird_components_review"),
-    ("asset_type = 'bird' AND border > 0.30", "bird_border_review"),
-    ("asset_type = 'airplane' AND border > 0.55 AND alpha_area > 0.35", "airplane_border_review"),
+    ("asset_type IN ('bird', 'airplane') AND proposal LIKE 'yolo%' AND coalesce(conf, 0) < 0.25", "low_yolo_confidence"),
+    ("lower(selection) LIKE '%inverse%'", "inverse_mask_used"),
+    ("comps >= 4 AND coalesce(largest, 0) < 0.70", "alpha_multiple_components"),
+    ("border > 0.45 AND alpha_area > 0.40", "alpha_border_contact"),
+    (f"asset_type = 'drone' AND proposal IN {_WEAK}", "drone_heuristic_proposal"),
+    ("asset_type = 'drone' AND border > 0.35", "drone_edge_halo"),
+    ("asset_type = 'bird' AND inverted", "bird_mask_inverted"),
+    ("asset_type = 'bird' AND comps >= 3 AND coalesce(largest, 0) < 0.75", "bird_disconnected_alpha"),
+    ("asset_type = 'bird' AND border > 0.30", "bird_edge_artifacts"),
+    ("asset_type = 'airplane' AND inverted", "airplane_mask_inverted"),
+    ("asset_type = 'airplane' AND border > 0.55 AND alpha_area > 0.35", "airplane_strong_crop"),
 )
 
 
 def asset_quality(df: DataFrame) -> DataFrame:
-    """``auto_label`` and ``auto_reasons`` of cut-out assets: reasons to reject, else to review, else accepted."""
-    no, maybe = reasons(*ASSET_REJECT), reasons(*ASSET_REVIEW)
-    label = F.when(F.size(no) > 0, "reject").when(F.size(maybe) > 0, "review").otherwise("accept")
-    why = F.when(F.size(no) > 0, F.array_join(no, ";")).when(F.size(maybe) > 0, F.array_join(maybe, ";")).otherwise("auto_accept")
-    return df.select("*", label.alias("auto_label"), why.alias("auto_reasons"))
+    """``auto_label`` and ``auto_reasons`` of cut-out assets: reasons to reject, else to review, else accepted.
+
+    Needs failed, missing, quality_label, label (of the mask), review_text, selection, alpha_error, asset_type, proposal,
+    inverted and the numbers r, br, bbox_ratio, alpha_area, rectangle, border, comps, largest, conf.  Missing numbers count 0,
+    missing text is empty; labels are compared in lower case.
+    """
+    told = lambda c: F.when(c == "alpha_analysis_error:", F.concat(c, F.col("alpha_error"))).otherwise(c)
+    known = df.withColumns({"no_": F.array_join(F.transform(reasons(*ASSET_REJECT), told), ";"), "maybe_": F.array_join(reasons(*ASSET_REVIEW), ";")})
+    label = F.when(F.col("no_") != "", "reject").when(F.col("maybe_") != "", "review").otherwise("accept")
+    why = F.when(F.col("no_") != "", F.col("no_")).when(F.col("maybe_") != "", F.col("maybe_")).otherwise("auto_accept")
+    return known.withColumns({"auto_label": label, "auto_reasons": why}).drop("no_", "maybe_")
 
 
-#: The conservative overlay on BACKGROUND: condition on the status so far, new status, reason.
+#: The conservative overlay on BACKGROUND: condition on the status so far, new status, reason, category.
 OVERLAY = (
-    ("u < 0.18 AND s <> 'reject'", "review", "low_upper_sky_ratio"),
-    ("bri < 40 AND s = 'accept'", "review", "dark_scene"),
-    ("upper_tex > 900 AND u < 0.30 AND s = 'accept'", "review", "upper_high_texture"),
-    ("green > 0.28 AND u < 0.25 AND s <> 'reject'", "reject", "forest_or_ground_dominant"),
-    ("dark > 0.06 AND u < 0.20 AND s <> 'reject'", "reject", "built_environment_low_sky"),
+    ("u < 0.18 AND s <> 'reject'", "review", "low_upper_sky_ratio", "low_sky_or_contextual"),
+    ("bri < 40 AND s = 'accept'", "review", "dark_scene", "low_sky_or_contextual"),
+    ("upper_tex > 900 AND u < 0.30 AND s = 'accept'", "review", "upper_high_texture", "low_sky_or_contextual"),
+    ("green > 0.28 AND u < 0.25 AND s <> 'reject'", "reject", "forest_or_ground_dominant", "reject"),
+    ("dark > 0.06 AND u < 0.20 AND s <> 'reject'", "reject", "built_environment_low_sky", "reject"),
 )
+#: The category of a kind of background.
+QA_CATEGORY = {
+    "clean_sky": "clear_upper_sky",
+    "cloudy_sky": "cloudy_sky",
+    "trees_sky": "sky_with_natural_landscape",
+    "urban_skyline": "sky_with_built_environment",
+    "horizon": "sky_with_natural_landscape",
+    "review": "low_sky_or_contextual",
+    "reject": "reject",
+}
 
 
 def overlay(df: DataFrame) -> DataFrame:
-    """``qa_status`` and ``qa_reasons``: the overlay's steps in turn, each seeing the status that the last one left."""
-    now = df.withColumn("s", F.col("status")).withColumn("why_", F.array("reason"))
-    for condition, status, why in OVERLAY:
-        hit = F.expr(condition)
-        now = now.withColumn("hit_", hit).withColumn("s", F.when(F.col("hit_"), status).otherwise(F.col("s")))
-        now = now.withColumn("why_", F.when(F.col("hit_"), F.array_append("why_", F.lit(why))).otherwise(F.col("why_")))
-    return now.select(*df.columns, F.col("s").alias("qa_status"), F.array_join("why_", ";").alias("qa_reasons"))
+    """``qa_status``, ``qa_reasons`` and ``background_category``: the overlay's steps in turn, each seeing the status that the last one left."""
+    now = df.withColumn("s", F.col("status")).withColumn("why_", F.array("reason")).withColumn("kind_", F.expr(f"{_arms('type', QA_CATEGORY)} ELSE 'unknown' END"))
+    for condition, status, why, category in OVERLAY:
+        now = now.withColumn("hit_", F.coalesce(F.expr(condition), F.lit(False)))
+        now = now.withColumns(
+            {
+                "s": F.when(F.col("hit_"), status).otherwise(F.col("s")),
+                "why_": F.when(F.col("hit_"), F.array_append("why_", F.lit(why))).otherwise(F.col("why_")),
+                "kind_": F.when(F.col("hit_"), category).otherwise(F.col("kind_")),
+            }
+        )
+    kind = F.when(F.col("s") == "reject", "reject").otherwise(F.col("kind_"))
+    return now.select(*df.columns, F.col("s").alias("qa_status"), F.array_join("why_", ";").alias("qa_reasons"), kind.alias("background_category"))
+
+
+def vision_triage(df: DataFrame) -> DataFrame:
+    """``decision`` and ``sky`` in standard words, ``corrected`` and ``manifest_decision``.
+
+    A reject in spite of a large or medium sky becomes a candidate, one of a small sky a review; the manifest takes
+    candidates and reviews in.
+    """
+    known = df.withColumns({"decision": scalars.triage(F.col("decision")), "sky": scalars.sky_region(F.col("sky"))})
+    reject = F.col("decision") == "reject"
+    corrected = F.when(reject & F.col("sky").isin("large", "medium"), "accept_candidate").when(reject & (F.col("sky") == "small"), "review").otherwise(F.col("decision"))
+    manifest = F.when(F.col("corrected").isin("accept_candidate", "review"), "accept").when(F.col("corrected") == "reject", "reject").otherwise("")
+    return known.withColumn("corrected", corrected).withColumn("manifest_decision", manifest)
+
+
+def accepted(decision: str = "decision", vision: str = "vision_decision", values: tuple[str, ...] = ("accept", "accept_candidate")) -> Column:
+    """Whether a reviewer or the triage takes a row in."""
+    return scalars.decision(F.col(decision)).isin(*values) | scalars.triage(F.col(vision)).isin(*values)
+
+
+def export_category() -> Column:
+    """The corrected category, else the final one, else the mapped one."""
+    return F.coalesce(scalars.first_of(F.col("corrected_category"), F.col("final_category"), F.col("mapped_background_type")), F.lit("uncategorized"))
+
+
+def export_status(df: DataFrame, there: Column) -> DataFrame:
+    """``export_category`` and ``export_status`` of manifest rows; ``there`` says whether the source exists."""
+    status = F.when(~accepted(), "skipped_not_accepted").when(there, "exported").otherwise("missing_source")
+    return df.withColumn("export_category", export_category()).withColumn("export_status", status)
 
 
 def mask_candidate_score(df: DataFrame) -> DataFrame:
@@ -423,3 +567,10 @@ def mask_candidate_score(df: DataFrame) -> DataFrame:
     )
     may = (F.col("area") > 0) & (r >= 0.02) & (r <= 0.60) & (k < 3) & (centre >= 0.35)
     return df.select("*", F.round(F.when(F.col("area") == 0, -1.0).otherwise(score), 6).alias("score"), may.alias("may_invert"))
+
+
+def mask_verdict(df: DataFrame) -> DataFrame:
+    """``verdict`` and ``verdict_reason`` of the chosen candidate, from r, blob, score and the label of ``mask_quality``."""
+    verdict = F.when((F.col("r") > 0.60) | F.col("blob"), "reject").when(F.col("score") < 0.35, "review").otherwise(F.col("label"))
+    reason = F.when(F.col("r") > 0.60, "rejected_background_area").when(~F.col("blob") & (F.col("score") < 0.35), "low_mask_score")
+    return df.withColumn("verdict", verdict).withColumn("verdict_reason", reason)

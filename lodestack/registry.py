@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fixtures
+from . import fixtures, rule_sql
 from .functions import geometry as geo
 from .functions import scalars as sca
-from .operators import dedup, matching, metrics, relations, selection
+from .operators import annotations, dedup, matching, metrics, packs, relations, selection
 from .plans import rules
 
 MODELS = ["det_a", "det_b"]
@@ -81,15 +81,15 @@ facts AS (SELECT m.*, mo.model_name, th.iou_threshold, CASE WHEN m.target_presen
   FROM fx_meta m CROSS JOIN mo CROSS JOIN th LEFT JOIN pc ON pc.image_id = m.image_id AND pc.model_name = mo.model_name
   LEFT JOIN mt ON mt.image_id = m.image_id AND mt.model_name = mo.model_name AND mt.iou_threshold = th.iou_threshold)
 """
-SUMMARY = """SELECT model_name, iou_threshold, count(*) AS n_images, CAST(sum(CASE WHEN target_present THEN 1 ELSE 0 END) AS BIGINT) AS n_target,
-  CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fn) AS BIGINT) AS fn, CAST(sum(fp) AS BIGINT) AS fp,
-  round(avg(CASE WHEN target_present THEN detected END), 6) AS recall, round(avg(CASE WHEN target_present THEN best_iou END), 6) AS mean_best_iou,
-  CAST(sum(false_positive_image) AS BIGINT) AS false_positive_images, round(avg(CASE WHEN NOT target_present THEN false_positive_image END), 6) AS false_positive_rate
+SUMMARY = """SELECT model_name, iou_threshold, count(*) FILTER (WHERE target_present) AS n_target_present, count(*) FILTER (WHERE NOT target_present AND subset = 'synthetic_distractor_only') AS n_distractor_only,
+  round(avg(detected) FILTER (WHERE target_present), 6) AS recall, CAST(coalesce(sum(tp) FILTER (WHERE target_present), 0) AS BIGINT) AS tp, CAST(coalesce(sum(fn) FILTER (WHERE target_present), 0) AS BIGINT) AS fn,
+  round(avg(best_iou) FILTER (WHERE target_present), 6) AS mean_best_iou, round(avg(false_positive_image) FILTER (WHERE NOT target_present), 6) AS false_positive_image_rate,
+  CAST(coalesce(sum(fp) FILTER (WHERE NOT target_present), 0) AS BIGINT) AS fp_count
 """
 RECALL = """count(*) AS n_images, CAST(sum(detected) AS BIGINT) AS detected, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fn) AS BIGINT) AS fn,
-  round(avg(best_iou), 6) AS mean_best_iou, round(avg(matched_conf), 6) AS mean_matched_conf, round(sum(tp) / nullif(sum(tp) + sum(fn), 0), 6) AS recall"""
+  round(avg(best_iou), 9) AS mean_best_iou, round(avg(matched_conf), 9) AS mean_matched_conf, round(sum(tp) / nullif(sum(tp) + sum(fn), 0), 6) AS recall"""
 FALSE = """count(*) AS n_images, CAST(sum(false_positive_image) AS BIGINT) AS false_positive_images, CAST(sum(fp) AS BIGINT) AS fp_count,
-  round(avg(fp_conf_mean), 6) AS mean_fp_conf, round(sum(false_positive_image) / count(*), 6) AS false_positive_rate"""
+  round(avg(fp_conf_mean), 9) AS mean_fp_conf, round(sum(false_positive_image) / count(*), 6) AS false_positive_image_rate"""
 
 
 @query(f"{FACTS} {SUMMARY} FROM facts GROUP BY model_name, iou_threshold")
@@ -149,6 +149,16 @@ def fp_by_distractor_type(spark, d):
     return metrics.group_false_positives(_facts(spark, d), ["model_name", "iou_threshold", "distractor_type"])
 
 
+GROUPED = ["model_name", "subset", "iou_threshold", "drone_size_px", "gaussian_noise_sigma", "blur_level", "distractor_present", "distractor_type", "background_type", "target_present"]
+
+
+@query(f"""{FACTS}, a AS (SELECT {', '.join(GROUPED)}, {RECALL} FROM facts WHERE target_present GROUP BY {', '.join(GROUPED)}),
+b AS (SELECT {', '.join(GROUPED)}, {FALSE} FROM facts WHERE NOT target_present GROUP BY {', '.join(GROUPED)})
+SELECT *, 'recall' AS part FROM a UNION ALL BY NAME SELECT *, 'false_positive' AS part FROM b""")
+def grouped_metrics(spark, d):
+    return metrics.grouped_metrics(_facts(spark, d), GROUPED)
+
+
 DIMENSIONS = ["subset", "drone_size_px", "gaussian_noise_sigma", "blur_level", "background_type", "distractor_type"]
 _FAN = " UNION ALL ".join(f"SELECT facts.*, '{c}' AS dimension, CAST({c} AS VARCHAR) AS level FROM facts" for c in DIMENSIONS)
 
@@ -156,10 +166,17 @@ _FAN = " UNION ALL ".join(f"SELECT facts.*, '{c}' AS dimension, CAST({c} AS VARC
 @query(f"""{FACTS}, fan AS ({_FAN}), a AS (SELECT model_name, iou_threshold, dimension, level, {RECALL} FROM fan WHERE target_present GROUP BY ALL),
 b AS (SELECT model_name, iou_threshold, dimension, level, {FALSE} FROM fan WHERE NOT target_present GROUP BY ALL)
 SELECT *, 'recall' AS part FROM a UNION ALL BY NAME SELECT *, 'false_positive' AS part FROM b""")
-def grouped_metrics(spark, d):
+def metrics_by_dimension(spark, d):
     return metrics.robustness(_facts(spark, d), DIMENSIONS)
 
 
+@query(f"""{FACTS}, g AS (SELECT model_name, iou_threshold, distractor_type, sum(false_positive_image) / count(*) AS rate FROM facts GROUP BY ALL)
+SELECT model_name, distractor_type, round(avg(rate), 6) AS false_positive_image_rate FROM g WHERE iou_threshold = 0.25 AND trim(coalesce(distractor_type, '')) <> '' GROUP BY ALL""")
+def plotted_false_positives(spark, d):
+    rates = metrics.group_false_positives(_facts(spark, d), ["model_name", "iou_threshold", "distractor_type"])
+    return metrics.plotted_false_positives(rates, THRESHOLDS[0])
+
+
 @query(f"{FACTS} SELECT model_name, iou_threshold, drone_size_px, round(avg(detected), 6) AS recall, count(*) AS n_images FROM facts WHERE target_present GROUP BY ALL")
 def recall_vs_size(spark, d):
     return metrics.detection_rate(_facts(spark, d), ["model_name", "iou_threshold", "drone_size_px"])
@@ -210,20 +227,21 @@ def predictions_per_image(spark, d):
     return t(spark, d, "fx_meta").select("image_id", "subset").join(counts, "image_id", "left").na.fill(0, ["n_predictions"])
 
 
-@query("""SELECT m.subset, g.model_name, count(DISTINCT p.image_id) AS predicted_images, count(DISTINCT m.image_id) AS images FROM fx_meta m CROSS JOIN (SELECT unnest(['det_a', 'det_b']) AS model_name) g
-LEFT JOIN fx_pred p ON p.image_id = m.image_id AND p.model_name = g.model_name GROUP BY ALL""")
+@query("""WITH g AS (SELECT subset, model_name, iou_threshold FROM (SELECT DISTINCT subset FROM fx_meta) CROSS JOIN (SELECT unnest(['det_a', 'det_b', 'det_c']) AS model_name) CROSS JOIN (SELECT unnest([0.25, 0.5]) :: DOUBLE AS iou_threshold)),
+s AS (SELECT subset, count(*) FILTER (WHERE target_present) AS n_target_present, count(*) FILTER (WHERE NOT target_present) AS n_distractor_only FROM fx_meta GROUP BY 1),
+p AS (SELECT DISTINCT m.subset, p.model_name FROM fx_pred p JOIN fx_meta m ON m.image_id = p.image_id)
+SELECT g.subset, g.model_name, g.iou_threshold, n_target_present, n_distractor_only, 0.0 :: DOUBLE AS recall, 0 :: BIGINT AS tp, n_target_present AS fn, 0.0 :: DOUBLE AS mean_best_iou,
+0.0 :: DOUBLE AS false_positive_image_rate, 0 :: BIGINT AS fp_count FROM g JOIN s ON s.subset = g.subset WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.subset = g.subset AND p.model_name = g.model_name)""")
 def zero_prediction_models(spark, d):
-    grid = t(spark, d, "fx_meta").select("image_id", "subset").withColumn("model_name", F.explode(F.array(*[F.lit(m) for m in MODELS])))
-    seen = t(spark, d, "fx_pred").select("image_id", "model_name").distinct().withColumn("hit", F.lit(1))
-    return grid.join(seen, ["image_id", "model_name"], "left").groupBy("subset", "model_name").agg(F.count("hit").alias("predicted_images"), F.count("*").alias("images"))
+    return metrics.zero_prediction_rows(t(spark, d, "fx_meta"), t(spark, d, "fx_pred"), [*MODELS, "det_c"], THRESHOLDS)
 
 
 # Geometry and scalars --------------------------------------------------------------------------------------
 
 
-@query("""WITH b AS (SELECT *, least(greatest(x, 0), image_width) AS x1, least(greatest(y, 0), image_height) AS y1, least(greatest(x + w, 0), image_width) AS x2, least(greatest(y + h, 0), image_height) AS y2 FROM fx_ann)
-SELECT image_id, line, l_partkey, l_suppkey, x1 AS cx, y1 AS cy, greatest(x2 - x1, 0) AS cw, greatest(y2 - y1, 0) AS ch, greatest(x2 - x1, 0) <= 0 OR greatest(y2 - y1, 0) <= 0 AS gone,
-CASE WHEN w <= 0 OR h <= 0 THEN 'non_positive_size' WHEN x >= image_width OR y >= image_height OR x + w <= 0 OR y + h <= 0 THEN 'outside_image' WHEN greatest(w, h) < 40 THEN 'below_min_bbox_px' END AS problem FROM b""")
+@query("""WITH b AS (SELECT *, CASE WHEN x < 0 THEN 0 WHEN x >= image_width THEN image_width - 1 ELSE x END AS x1, CASE WHEN y < 0 THEN 0 WHEN y >= image_height THEN image_height - 1 ELSE y END AS y1 FROM fx_ann)
+SELECT image_id, line, l_partkey, l_suppkey, x1 AS cx, y1 AS cy, greatest(0, least(w, image_width - x1)) AS cw, greatest(0, least(h, image_height - y1)) AS ch, least(w, image_width - x1) <= 0 OR least(h, image_height - y1) <= 0 AS gone,
+CASE WHEN w <= 0 OR h <= 0 THEN 'non_positive_size' WHEN NOT (x BETWEEN 0 AND image_width - w AND y BETWEEN 0 AND image_height - h) THEN 'outside_image' WHEN w < 40 AND h < 40 THEN 'below_min_bbox_px' END AS problem FROM b""")
 def bbox_clip_validate(spark, d):
     a = t(spark, d, "fx_ann")
     b, size = geo.box(), (F.col("image_width"), F.col("image_height"))
@@ -238,7 +256,7 @@ def bbox_clamp(spark, d):
     return t(spark, d, "fx_ann").select("image_id", "line", "l_partkey", "l_suppkey", *[v.alias(n) for v, n in zip(c, ("cx", "cy", "cw", "ch"))])
 
 
-@query("""SELECT image_id, line, l_partkey, l_suppkey, printf('%d %d.%06d %d.%06d %d.%06d %d.%06d', line, (((2 * x + w) * 1000000::BIGINT + image_width) // (2 * image_width)) // 1000000, ((((2 * x + w) * 1000000::BIGINT + image_width) // (2 * image_width)) % 1000000 + 1000000) % 1000000, (((2 * y + h) * 1000000::BIGINT + image_height) // (2 * image_height)) // 1000000, ((((2 * y + h) * 1000000::BIGINT + image_height) // (2 * image_height)) % 1000000 + 1000000) % 1000000, (((2 * w) * 1000000::BIGINT + image_width) // (2 * image_width)) // 1000000, ((((2 * w) * 1000000::BIGINT + image_width) // (2 * image_width)) % 1000000 + 1000000) % 1000000, (((2 * h) * 1000000::BIGINT + image_height) // (2 * image_height)) // 1000000, ((((2 * h) * 1000000::BIGINT + image_height) // (2 * image_height)) % 1000000 + 1000000) % 1000000) AS label, x, y, w, h FROM (SELECT * EXCLUDE (x, y, w, h), greatest(x, 0) AS x, greatest(y, 0) AS y, least(x + w, image_width) - greatest(x, 0) AS w, least(y + h, image_height) - greatest(y, 0) AS h FROM fx_ann) WHERE w > 0 AND h > 0""")
+@query("""SELECT image_id, line, l_partkey, l_suppkey, printf('%d %d.%06d %d.%06d %d.%06d %d.%06d', line, (((2 * x + w) * 1000000::BIGINT + image_width) // (2 * image_width)) // 1000000, ((((2 * x + w) * 1000000::BIGINT + image_width) // (2 * image_width)) % 1000000 + 1000000) % 1000000, (((2 * y + h) * 1000000::BIGINT + image_height) // (2 * image_height)) // 1000000, ((((2 * y + h) * 1000000::BIGINT + image_height) // (2 * image_height)) % 1000000 + 1000000) % 1000000, (((2 * w) * 1000000::BIGINT + image_width) // (2 * image_width)) // 1000000, ((((2 * w) * 1000000::BIGINT + image_width) // (2 * image_width)) % 1000000 + 1000000) % 1000000, (((2 * h) * 1000000::BIGINT + image_height) // (2 * image_height)) // 1000000, ((((2 * h) * 1000000::BIGINT + image_height) // (2 * image_height)) % 1000000 + 1000000) % 1000000) AS label, x, y, w, h FROM (SELECT * EXCLUDE (x, y, w, h), least(greatest(x, 0), image_width - 1) AS x, least(greatest(y, 0), image_height - 1) AS y, least(w, image_width - least(greatest(x, 0), image_width - 1)) AS w, least(h, image_height - least(greatest(y, 0), image_height - 1)) AS h FROM fx_ann) WHERE w > 0 AND h > 0""")
 def yolo_roundtrip(spark, d):
     a = t(spark, d, "fx_ann")
     size = (F.col("image_width"), F.col("image_height"))
@@ -249,20 +267,23 @@ def yolo_roundtrip(spark, d):
     return lines.select("image_id", "line", "l_partkey", "l_suppkey", "label", *[v.alias(c) for v, c in zip(back, "xywh")])
 
 
-@query("""WITH b AS (SELECT *, greatest(0, CAST(round_even(x - w * 0.1::DOUBLE, 0) AS INT)) AS x1, greatest(0, CAST(round_even(y - h * 0.1::DOUBLE, 0) AS INT)) AS y1,
-least(image_width, CAST(round_even(x + w + w * 0.1::DOUBLE, 0) AS INT)) AS x2, least(image_height, CAST(round_even(y + h + h * 0.1::DOUBLE, 0) AS INT)) AS y2 FROM fx_ann)
+@query("""WITH p AS (SELECT *, CAST(round_even(w * 0.1::DOUBLE, 0) AS INT) AS px, CAST(round_even(h * 0.1::DOUBLE, 0) AS INT) AS py FROM fx_ann),
+b AS (SELECT *, greatest(0, x - px) AS x1, greatest(0, y - py) AS y1, least(image_width, x + w + px) AS x2, least(image_height, y + h + py) AS y2 FROM p)
 SELECT image_id, line, l_partkey, l_suppkey, x1 AS ex, y1 AS ey, greatest(1, x2 - x1) AS ew, greatest(1, y2 - y1) AS eh FROM b""")
 def bbox_expand(spark, d):
     e = geo.expand(geo.box(), 0.1, F.col("image_width"), F.col("image_height"))
     return t(spark, d, "fx_ann").select("image_id", "line", "l_partkey", "l_suppkey", *[v.alias(n) for v, n in zip(e, ("ex", "ey", "ew", "eh"))])
 
 
-@query("""WITH b AS (SELECT image_id, drone_size_px AS s, greatest(0, 640 - drone_size_px - 4) AS m FROM fx_meta),
-c AS (SELECT *, greatest(least(4, m), CAST(ceil(640 * 0.2::DOUBLE - s / 2) AS INT)) AS lo, least(m, CAST(floor(640 * 0.8::DOUBLE - s / 2) AS INT)) AS hi FROM b)
-SELECT image_id, CASE WHEN lo <= hi THEN lo ELSE least(greatest(hi, 0), m) END AS x_min, CASE WHEN lo <= hi THEN hi ELSE least(greatest(hi, 0), m) END AS x_max FROM c""")
+@query("""WITH b AS (SELECT image_id, drone_size_px * (1 + image_id % 9) AS s FROM fx_meta),
+c AS (SELECT *, greatest(4, CAST(ceil(640 * 0.2::DOUBLE - s / 2.0) AS INT)) AS xl, least(636 - s, CAST(floor(640 * 0.8::DOUBLE - s / 2.0) AS INT)) AS xh, greatest(4, CAST(ceil(480 * 0.1::DOUBLE - s / 2.0) AS INT)) AS yl,
+  least(476 - s, CAST(floor(480 * 0.55::DOUBLE - s / 2.0) AS INT)) AS yh FROM b)
+SELECT image_id, CASE WHEN xl > xh THEN 4 ELSE xl END AS x_min, CASE WHEN xl > xh THEN greatest(4, 636 - s) ELSE xh END AS x_max, CASE WHEN yl > yh THEN 4 ELSE yl END AS y_min,
+  CASE WHEN yl > yh THEN greatest(4, least(476 - s, CAST(trunc(480 * 0.55::DOUBLE) AS INT) - s)) ELSE yh END AS y_max FROM c""")
 def placement_bounds(spark, d):
-    lo, hi = geo.placement_range(F.col("drone_size_px"), F.lit(640), 0.2, 0.8, 4)
-    return t(spark, d, "fx_meta").select("image_id", lo.alias("x_min"), hi.alias("x_max"))
+    size = F.expr("drone_size_px * (1 + image_id % 9)").cast("int")
+    bounds = geo.placement_bounds(size, size, F.lit(640), F.lit(480), (0.2, 0.8), (0.1, 0.55), 4)
+    return t(spark, d, "fx_meta").select("image_id", *[c.alias(n) for c, n in zip(bounds, ("x_min", "x_max", "y_min", "y_max"))])
 
 
 @query("""SELECT image_id, line, l_partkey, l_suppkey, w * h / CAST(image_width * image_height AS DOUBLE) AS area_ratio, greatest(w, h) / CAST(least(image_width, image_height) AS DOUBLE) AS max_dim_ratio,
@@ -305,26 +326,36 @@ def approved_assets(spark, d):
 
 
 @query("""WITH r AS (SELECT event_id, regexp_replace(regexp_replace(trim(reply), '^```[a-z]*\\s*', ''), '\\s*```$', '') AS j FROM fx_llm),
-x AS (SELECT event_id, CASE WHEN json_valid(j) THEN json_extract_string(j, '$.decision') END AS decision, CASE WHEN json_valid(j) THEN json_extract_string(j, '$.sky') END AS sky FROM r)
-SELECT event_id, CASE WHEN lower(trim(decision)) IN ('accept', 'reject', 'review') THEN lower(trim(decision)) WHEN lower(trim(decision)) = 'maybe' THEN 'review' END AS decision, sky,
-CASE WHEN lower(trim(decision)) = 'reject' AND sky IN ('large', 'medium') THEN 'accept_candidate' WHEN lower(trim(decision)) = 'reject' THEN 'review' WHEN lower(trim(decision)) IN ('accept', 'review', 'maybe') THEN 'accept_candidate' ELSE 'error' END AS corrected FROM x""")
+x AS (SELECT event_id, lower(trim(CASE WHEN json_valid(j) THEN json_extract_string(j, '$.decision') END)) AS word, lower(trim(CASE WHEN json_valid(j) THEN json_extract_string(j, '$.sky') END)) AS sky FROM r),
+y AS (SELECT event_id, CASE WHEN word IN ('accept', 'accept_candidate', 'candidate', 'keep', 'approved') THEN 'accept_candidate' WHEN word IN ('review', 'maybe', 'uncertain') THEN 'review'
+  WHEN word IN ('reject', 'drop') THEN 'reject' WHEN word = 'error' THEN 'error' ELSE '' END AS decision, CASE WHEN sky IN ('large', 'medium', 'small', 'none') THEN sky ELSE '' END AS sky FROM x),
+z AS (SELECT *, CASE WHEN decision = 'reject' AND sky IN ('large', 'medium') THEN 'accept_candidate' WHEN decision = 'reject' AND sky = 'small' THEN 'review' ELSE decision END AS corrected FROM y)
+SELECT *, CASE corrected WHEN 'accept_candidate' THEN 'accept' WHEN 'review' THEN 'accept' WHEN 'reject' THEN 'reject' ELSE '' END AS manifest_decision FROM z""")
 def vision_triage(spark, d):
     parsed = F.from_json(sca.reply_json(F.col("reply")), "decision string, sky string")
-    x = t(spark, d, "fx_llm").select("event_id", parsed.alias("p")).select("event_id", sca.alias(F.col("p.decision"), sca.DECISIONS).alias("decision"), F.col("p.sky").alias("sky"))
-    corrected = (
-        F.when((F.col("decision") == "reject") & F.col("sky").isin("large", "medium"), "accept_candidate")
-        .when(F.col("decision") == "reject", "review")
-        .when(F.col("decision").isin("accept", "review"), "accept_candidate")
-        .otherwise("error")
-    )
-    return x.withColumn("corrected", corrected)
+    return rules.vision_triage(t(spark, d, "fx_llm").select("event_id", parsed.alias("p")).select("event_id", "p.decision", "p.sky"))
+
+
+_WORDS = "CASE event_id % 9 WHEN 0 THEN ' Approved' WHEN 1 THEN 'NO ' WHEN 2 THEN 'y' WHEN 3 THEN 'Keep' WHEN 4 THEN 'drop' WHEN 5 THEN 'nan' WHEN 6 THEN ' N' WHEN 7 THEN 'uncertain' ELSE event_type END"
 
 
-@query("""SELECT event_id, CASE WHEN e IN ('accept', 'accepted', 'approve', 'approved', 'keep', 'yes') THEN 'accept' WHEN e IN ('reject', 'rejected', 'drop', 'no') THEN 'reject' WHEN e IN ('review', 'maybe', 'uncertain') THEN 'review' END AS decision
-FROM (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'approved' WHEN 1 THEN 'no' WHEN 2 THEN 'uncertain' WHEN 3 THEN 'keep' WHEN 4 THEN 'drop' ELSE lower(event_type) END AS e FROM events)""")
+@query(f"""SELECT event_id, CASE WHEN e IS NULL OR e IN ('', 'nan', 'none') THEN '' WHEN e IN ('accept', 'yes', 'y', 'keep', 'approved') THEN 'accept' WHEN e IN ('reject', 'no', 'n', 'drop', 'rejected') THEN 'reject' ELSE e END AS decision
+FROM (SELECT event_id, lower(trim({_WORDS})) AS e FROM events)""")
 def decision_normalize(spark, d):
-    word = F.expr("case event_id % 6 when 0 then ' Approved' when 1 then 'NO ' when 2 then 'uncertain' when 3 then 'Keep' when 4 then 'drop' else event_type end")
-    return t(spark, d, "events").select("event_id", sca.alias(word, sca.DECISIONS).alias("decision"))
+    return t(spark, d, "events").select("event_id", sca.decision(F.expr(_WORDS)).alias("decision"))
+
+
+_REVIEWED = f"""SELECT event_id, {_WORDS} AS decision, CASE event_id % 4 WHEN 0 THEN 'accept_candidate' WHEN 1 THEN 'reject' WHEN 2 THEN '' ELSE 'Maybe' END AS vision_decision,
+CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'cloudy_sky' END AS corrected_category, CASE event_id % 5 WHEN 0 THEN ' ' ELSE 'clear_upper_sky' END AS final_category,
+CASE event_id % 10 WHEN 0 THEN '' ELSE 'runway_or_airport' END AS mapped_background_type, event_id % 11 <> 0 AS there FROM events"""
+
+
+@query(f"""WITH m AS ({_REVIEWED}), e AS (SELECT *, lower(trim(decision)) IN ('accept', 'yes', 'y', 'keep', 'approved') OR lower(trim(vision_decision)) = 'accept_candidate' AS ok,
+coalesce(nullif(trim(corrected_category), ''), nullif(trim(final_category), ''), nullif(trim(mapped_background_type), ''), 'uncategorized') AS export_category FROM m)
+SELECT event_id, export_category, CASE WHEN NOT ok THEN 'skipped_not_accepted' WHEN there THEN 'exported' ELSE 'missing_source' END AS export_status FROM e""")
+def export_accepted(spark, d):
+    m = t(spark, d, "events").sparkSession.sql(_REVIEWED.replace("FROM events", "FROM {events}"), events=t(spark, d, "events"))
+    return rules.export_status(m, F.col("there")).select("event_id", "export_category", "export_status")
 
 
 @query("SELECT p_partkey, regexp_replace(lower(trim(p_type)), '\\s+', ' ', 'g') AS class_name, regexp_replace(regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM part")
@@ -360,79 +391,71 @@ def json_lists(spark, d):
 # Rule cascades ---------------------------------------------------------------------------------------------
 
 
-def _cascade(name: str, cascade, table: str, keep: str, before=()):
-    """Register a cascade; ``before`` are cascades whose outputs it needs."""
+def _cascade(name: str, cascade, table: str, keep: str, sql: str, before=(), after=None):
+    """Register a cascade; ``before`` are cascades whose outputs it needs, ``after`` the priorities of reasons."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         df = t(spark, d, table)
         for c in before:
             df = c.apply(df)
-        return cascade.apply(df).select(*keep.split(", "), *cascade.outputs)
+        out = cascade.apply(df).select(*keep.split(", "), *cascade.outputs)
+        return out if after is None else out.withColumn("priority", rules.priority("reason", *after))
 
     run.__name__ = name
-    relation = table
-    for c in before:
-        relation = f"({c.sql(relation, '*')})"
-    query(cascade.sql(relation, keep))(run)
+    query(sql)(run)
 
 
-_cascade("scene_filter_heuristic", rules.SCENE, "fx_feat", "id")
-_cascade("scene_merge_asset", rules.SCENE_ASSET, "fx_feat", "id, disposition", (rules.SCENE,))
-_cascade("scene_merge_real_eval", rules.SCENE_EVAL, "fx_feat", "id, disposition", (rules.SCENE,))
-_cascade("background_classify", rules.BACKGROUND, "fx_feat", "id")
-_cascade("background_merge_v1", rules.BACKGROUND_V1, "fx_feat", "id, status", (rules.BACKGROUND,))
-_cascade("coco_strict_decision", rules.COCO_STRICT, "fx_feat", "id", (rules.BACKGROUND,))
-_cascade("coco_permissive_decision", rules.COCO_PERMISSIVE, "fx_feat", "id", (rules.BACKGROUND,))
-_cascade("hard_negative_filter", rules.HARD_NEGATIVE, "fx_hard", "id, cls", (rules.HARD_NEGATIVE_BASE,))
-_cascade("distractor_semantic", rules.DISTRACTOR, "fx_asset", "id, cls")
+_cascade("scene_filter_heuristic", rules.SCENE, "fx_feat", "id", f"SELECT id, disposition, reason, viewpoint FROM ({rule_sql.SCENE})")
+_cascade("scene_merge_asset", rules.SCENE_ASSET, "fx_feat", "id, disposition", rule_sql.SCENE_ASSET, (rules.SCENE,))
+_cascade("scene_merge_real_eval", rules.SCENE_EVAL, "fx_feat", "id, disposition", rule_sql.SCENE_EVAL, (rules.SCENE,))
+_cascade("background_classify", rules.BACKGROUND, "fx_feat", "id", f"SELECT id, type, status, reason FROM ({rule_sql.BACKGROUND})")
+_cascade("background_merge_v1", rules.BACKGROUND_V1, "fx_feat", "id, status", rule_sql.BACKGROUND_V1, (rules.BACKGROUND,))
+_cascade("coco_strict_decision", rules.COCO_STRICT, "fx_feat", "id", rule_sql.COCO_STRICT, (rules.BACKGROUND,))
+_cascade("coco_permissive_decision", rules.COCO_PERMISSIVE, "fx_feat", "id", rule_sql.COCO_PERMISSIVE, (rules.BACKGROUND,))
+_cascade("hard_negative_filter", rules.HARD_NEGATIVE, "fx_hard", "id, cls", rule_sql.HARD_NEGATIVE, (rules.HARD_NEGATIVE_BASE,), (rules.HARD_PRIORITY, 20))
+_cascade("distractor_semantic", rules.DISTRACTOR, "fx_asset", "id, cls", rule_sql.DISTRACTOR, (), (rules.DISTRACTOR_PRIORITY, 0))
 
 
-@query(rules.PLACES.sql("(SELECT *, CASE WHEN id % 4 = 0 THEN 'runway' ELSE 'sky' END AS mapped FROM (SELECT id, u, width + 300 AS width, height + 300 AS height FROM fx_feat))", "id"))
+@query(rule_sql.PLACES)
 def places_light_filter(spark, d):
     f = t(spark, d, "fx_feat").selectExpr("id", "u", "width + 300 as width", "height + 300 as height", "case when id % 4 = 0 then 'runway' else 'sky' end as mapped")
     return rules.PLACES.apply(f).select("id", "status", "reason")
 
 
-def _overlay_sql() -> str:
-    status, why = "status", "reason"
-    rel = rules.BACKGROUND.sql("fx_feat", "id, u, bri, upper_tex, green, dark")
-    rel = f"(SELECT *, status AS s, reason AS why FROM ({rel}))"
-    for condition, new, reason in rules.OVERLAY:
-        rel = f"(SELECT * EXCLUDE (s, why), CASE WHEN {condition} THEN '{new}' ELSE s END AS s, CASE WHEN {condition} THEN concat(why, ';{reason}') ELSE why END AS why FROM {rel})"
-    return f"SELECT id, {status}, s AS qa_status, why AS qa_reasons FROM {rel}"
-
-
-@query(_overlay_sql())
+@query(rule_sql.OVERLAY)
 def background_qa_overlay(spark, d):
-    return rules.overlay(rules.BACKGROUND.apply(t(spark, d, "fx_feat"))).select("id", "status", "qa_status", "qa_reasons")
+    return rules.overlay(rules.BACKGROUND.apply(t(spark, d, "fx_feat"))).select("id", "status", "qa_status", "qa_reasons", "background_category")
 
 
-_MASK_BAD = "('empty_mask', 'mask_too_small', 'likely_background_blob', 'mask_touches_many_borders')"
-
-
-@query(f"""WITH x AS (SELECT id, area, r, k, sam2, {rules.reasons_sql(*rules.MASK_REASONS)} AS reasons FROM fx_asset)
-SELECT id, reasons, CASE WHEN area = 0 OR (area > 0 AND r < 0.01) OR r > 0.95 OR k >= 3 THEN 'reject' WHEN reasons <> '' THEN 'review' WHEN sam2 THEN 'accept' ELSE 'review' END AS label,
-CASE WHEN area = 0 OR r < 0.01 THEN 0.0 ELSE CAST(round_even(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE - (CASE WHEN r < 0.05 THEN 0.25::DOUBLE WHEN r > 0.80 THEN 0.20::DOUBLE ELSE 0.0::DOUBLE END
-+ CASE WHEN r > 0.95 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END + 0.12::DOUBLE * k))), 3) AS DOUBLE) END AS score FROM x""")
+@query(rule_sql.MASK)
 def mask_qa(spark, d):
     return rules.mask_quality(t(spark, d, "fx_asset")).select("id", "reasons", "label", "score")
 
 
-@query(f"""SELECT id, {rules.reasons_sql(*rules.SEGMENT_REASONS)} AS reasons, CASE WHEN r > 0.95 OR k >= 3 THEN 'reject' WHEN {rules.reasons_sql(*rules.SEGMENT_REASONS)} <> '' THEN 'review' ELSE 'accept' END AS label FROM fx_asset""")
+@query(rule_sql.SEGMENT)
 def seg_mask_qa(spark, d):
     return rules.segment_quality(t(spark, d, "fx_asset")).select("id", "reasons", "label")
 
 
-@query(f"""WITH x AS (SELECT id, {rules.reasons_sql(*rules.ASSET_REJECT)} AS no, {rules.reasons_sql(*rules.ASSET_REVIEW)} AS maybe FROM fx_asset)
-SELECT id, CASE WHEN no <> '' THEN 'reject' WHEN maybe <> '' THEN 'review' ELSE 'accept' END AS auto_label, CASE WHEN no <> '' THEN no WHEN maybe <> '' THEN maybe ELSE 'auto_accept' END AS auto_reasons FROM x""")
+@query(f"SELECT id, auto_label, auto_reasons FROM ({rule_sql.ASSET})")
 def asset_qa(spark, d):
     return rules.asset_quality(t(spark, d, "fx_asset")).select("id", "auto_label", "auto_reasons")
 
 
-@query(f"""WITH x AS (SELECT id, {rules.reasons_sql(*rules.ASSET_REJECT)} AS no FROM fx_asset) SELECT reason, count(*) AS n FROM (SELECT unnest(string_split(no, ';')) AS reason FROM x) WHERE reason <> '' GROUP BY 1""")
+@query(f"SELECT reason, count(*) AS n FROM (SELECT unnest(string_split(no, ';')) AS reason FROM ({rule_sql.ASSET})) WHERE reason <> '' GROUP BY 1")
 def asset_reject_reasons(spark, d):
-    q = rules.asset_quality(t(spark, d, "fx_asset")).where("auto_label = 'reject'")
-    return metrics.reason_counts(q, "auto_reasons")
+    q = rules.asset_quality(t(spark, d, "fx_asset")).select(F.when(F.col("auto_label") == "reject", F.col("auto_reasons")).alias("why"))
+    return metrics.reason_counts(q, "why")
+
+
+@query("""SELECT id FROM (SELECT id, CASE id % 5 WHEN 0 THEN 'manual' ELSE 'coco_segmentation_mask' END AS how, CASE id % 4 WHEN 0 THEN 'no' ELSE 'True' END AS alpha, failed, area, label FROM fx_asset)
+WHERE how = 'coco_segmentation_mask' AND alpha = 'True' AND NOT failed AND area > 0 AND label IN ('accept', 'review')""")
+def technical_candidates(spark, d):
+    a = t(spark, d, "fx_asset").selectExpr(
+        "id", "case id % 5 when 0 then 'manual' else 'coco_segmentation_mask' end as extraction_method", "case id % 4 when 0 then 'no' else 'True' end as has_alpha", "failed as extraction_failed",
+        "area as mask_area_px", "label as mask_quality_label",
+    )
+    return rules.technical_candidates(a).select("id")
 
 
 @query("""WITH s AS (SELECT id, k, comps, area, r, expand, centre, inverted, CASE WHEN area = 0 THEN -1.0 ELSE 1.0::DOUBLE - CASE WHEN r > 0.60 THEN 0.55::DOUBLE WHEN r > 0.45 THEN 0.20::DOUBLE WHEN r < 0.02 THEN 0.50::DOUBLE ELSE 0.0::DOUBLE END
@@ -447,32 +470,37 @@ def best_mask(spark, d):
 
 # Annotations -----------------------------------------------------------------------------------------------
 
-_LINE_SQL = """WITH p AS (SELECT image_id, line, string_split(trim(line_text), ' ') AS tk, line_text FROM fx_label_text),
-c AS (SELECT *, TRY_CAST(tk[1] AS INT) AS cls, TRY_CAST(tk[2] AS DOUBLE) AS cx, TRY_CAST(tk[3] AS DOUBLE) AS cy, TRY_CAST(tk[4] AS DOUBLE) AS w, TRY_CAST(tk[5] AS DOUBLE) AS h FROM p),
-r AS (SELECT *, CASE WHEN starts_with(line_text, '#') OR len(tk) < 5 THEN 'malformed' WHEN cls IS NULL OR cx IS NULL OR cy IS NULL OR w IS NULL OR h IS NULL THEN 'parse_error' WHEN cls NOT IN (0, 1, 2) THEN 'class_not_exported'
-  WHEN w * 640 < 30 AND h * 480 < 30 THEN 'too_small' END AS reason FROM c)"""
-
-
-def label_lines(df: DataFrame, text: str = "line_text", classes=(0, 1, 2), width: int = 640, height: int = 480, least: int = 30) -> DataFrame:
-    """Label lines parsed, with the reason why a line is left out, or null."""
-    parts = F.split(F.trim(text), " ")
-    df = df.withColumn("n_", F.size(parts)).withColumn("cls", F.get(parts, F.lit(0)).try_cast("int"))
-    for i, c in enumerate(("cx", "cy", "w", "h")):
-        df = df.withColumn(c, F.get(parts, F.lit(i + 1)).try_cast("double"))
-    bad = F.col("cls").isNull() | F.col("cx").isNull() | F.col("cy").isNull() | F.col("w").isNull() | F.col("h").isNull()
-    small = (F.col("w") * width < least) & (F.col("h") * height < least)
-    reason = F.when(F.col(text).startswith("#") | (F.col("n_") < 5), "malformed").when(bad, "parse_error").when(~F.col("cls").isin(*classes), "class_not_exported").when(small, "too_small")
-    return df.withColumn("reason", reason).drop("n_")
+_LINE_SQL = """WITH p AS (SELECT *, string_split(trim(line_text), ' ') AS tk FROM fx_label_text WHERE trim(line_text) <> '' AND NOT starts_with(line_text, '#')),
+c AS (SELECT *, CAST(trunc(TRY_CAST(tk[1] AS DOUBLE)) AS INT) AS cls, TRY_CAST(tk[2] AS DOUBLE) AS a, TRY_CAST(tk[3] AS DOUBLE) AS b, TRY_CAST(tk[4] AS DOUBLE) AS e, TRY_CAST(tk[5] AS DOUBLE) AS f FROM p),
+v AS (SELECT *, CAST(round_even((a - e / 2) * 640, 0) AS INT) AS rx, CAST(round_even((b - f / 2) * 480, 0) AS INT) AS ry, CAST(round_even(e * 640, 0) AS INT) AS rw, CAST(round_even(f * 480, 0) AS INT) AS rh FROM c),
+o AS (SELECT *, greatest(0, least(rx, 639)) AS x, greatest(0, least(ry, 479)) AS y FROM v), k AS (SELECT *, least(rw, 640 - x) AS w, least(rh, 480 - y) AS h FROM o),
+r AS (SELECT *, CASE WHEN len(tk) < 5 THEN 'malformed_label_line' WHEN (cls + a + b + e + f) IS NULL THEN 'parse_error' WHEN cls > 2 OR cls < 0 THEN 'class_id_not_exported' WHEN least(w, h) <= 0 THEN 'clip_failed'
+  WHEN w < 30 AND h < 30 THEN 'below_min_bbox_px' END AS reason FROM k)"""
 
 
 @query(f"{_LINE_SQL} SELECT coalesce(reason, 'exported') AS reason, count(*) AS n FROM r GROUP BY 1")
 def annotation_filter_reasons(spark, d):
-    return label_lines(t(spark, d, "fx_label_text")).groupBy(F.coalesce("reason", F.lit("exported")).alias("reason")).agg(F.count("*").alias("n"))
+    return annotations.label_lines(t(spark, d, "fx_label_text")).groupBy(F.coalesce("reason", F.lit("exported")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query(f"{_LINE_SQL} SELECT image_id, cls, count(*) AS n, round(sum(w * h), 6) AS area FROM r WHERE reason IS NULL GROUP BY ALL")
+@query(f"{_LINE_SQL} SELECT image_id, cls, count(*) AS n, CAST(sum(w * h) AS BIGINT) AS area FROM r WHERE reason IS NULL GROUP BY ALL")
 def annotation_export(spark, d):
-    return label_lines(t(spark, d, "fx_label_text")).where("reason is null").groupBy("image_id", "cls").agg(F.count("*").alias("n"), F.round(F.sum(F.col("w") * F.col("h")), 6).alias("area"))
+    return annotations.label_lines(t(spark, d, "fx_label_text")).where("reason is null").groupBy("image_id", "cls").agg(F.count("*").alias("n"), F.sum(F.col("w") * F.col("h")).cast("long").alias("area"))
+
+
+_BOXES = """SELECT category, iscrowd, x + 0.25 AS x, y + 0.25 AS y, CASE WHEN l_partkey % 29 = 0 THEN NULL ELSE w + 0.5 END AS w, h + 0.5 AS h, CASE WHEN image_id % 23 = 0 THEN NULL ELSE image_width END AS image_width,
+CASE WHEN image_id % 19 = 0 THEN 0 ELSE image_height END AS image_height, image_id % 17 <> 0 AS there FROM fx_ann"""
+
+
+_WANTED = tuple(f"Brand#{i}" for i in range(1, 16))
+
+
+@query(f"""WITH a AS ({_BOXES}) SELECT CASE WHEN category NOT IN {_WANTED} THEN 'category_not_requested' WHEN iscrowd THEN 'iscrowd' WHEN w IS NULL OR w <= 0 OR h <= 0 THEN 'invalid_bbox' WHEN w < 40 AND h < 40 THEN 'bbox_too_small'
+WHEN w > 150 OR h > 150 THEN 'bbox_too_large' WHEN image_width IS NULL OR NOT there THEN 'image_missing' WHEN image_height = 0 THEN 'other' WHEN least(x, y) < 0 OR x + w - image_width > 0.5 OR y + h - image_height > 0.5 THEN 'invalid_bbox' ELSE 'exported' END AS reason,
+count(*) AS n FROM a GROUP BY 1""")
+def coco_filter_reasons(spark, d):
+    boxes = spark.sql(_BOXES.replace("FROM fx_ann", "FROM {a}"), a=t(spark, d, "fx_ann"))
+    return annotations.coco_boxes(boxes, _WANTED, 40, 150).groupBy(F.coalesce("reason", F.lit("exported")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 _GROUPS = {"person": ["Brand#11", "Brand#12"], "food": ["Brand#21", "Brand#22"], "vehicle": ["Brand#31", "Brand#32", "Brand#33"]}
@@ -482,7 +510,7 @@ def _group_sql() -> str:
     cols = []
     for n, members in _GROUPS.items():
         m = ", ".join(f"'{x}'" for x in members)
-        cols.append(f"round(sum(CASE WHEN category IN ({m}) THEN total ELSE 0.0 END), 6) AS {n}_sum, round(max(CASE WHEN category IN ({m}) THEN most ELSE 0.0 END), 6) AS {n}_max")
+        cols.append(f"round(sum(CASE WHEN category IN ({m}) THEN total ELSE 0.0 END), 6) AS {n}_sum, round(max(CASE WHEN category IN ({m}) THEN most ELSE 0.0 END), 6) AS {n}_max, round(max(CASE WHEN category IN ({m}) THEN total ELSE 0.0 END), 6) AS {n}_top")
     return ", ".join(cols)
 
 
@@ -509,6 +537,47 @@ def topk_per_category(spark, d):
     return selection.top_k(t(spark, d, "part"), "p_brand", "p_retailprice", [F.col("p_size").desc(), F.col("p_partkey")], 5, 1200.0).select("p_partkey", "selection")
 
 
+_CAPS = {"Brand#11": 40, "Brand#12": 7, "Brand#13": 1, "Brand#14": 100000}
+
+
+@query(f"""WITH c(p_brand, cap) AS (VALUES {', '.join(f"('{m}', {n})" for m, n in _CAPS.items())}),
+a AS (SELECT p_partkey, part.p_brand, cap, row_number() OVER (PARTITION BY part.p_brand ORDER BY p_size DESC, p_retailprice, p_partkey) <= greatest(1, (cap + 1) // 2) AS head FROM part JOIN c ON c.p_brand = part.p_brand),
+b AS (SELECT *, row_number() OVER (PARTITION BY p_brand, head ORDER BY {_H(11, 'p_partkey')}, p_partkey) AS dr FROM a) SELECT p_partkey, p_brand FROM b WHERE head OR dr <= cap - greatest(1, (cap + 1) // 2)""")
+def capped_select(spark, d):
+    p = t(spark, d, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
+    return selection.capped(p, "p_brand", _CAPS, [F.col("p_size").desc(), F.col("p_retailprice")], 11, "p_partkey").select("p_partkey", "p_brand")
+
+
+@query(f"""WITH a AS (SELECT p_partkey, p_brand, p_size, CASE p_brand WHEN 'Brand#11' THEN 34 WHEN 'Brand#12' THEN 33 WHEN 'Brand#13' THEN 33 END AS cap FROM part WHERE p_size > 47 OR p_brand <> 'Brand#11'),
+b AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) <= (cap + 1) // 2 AS head FROM a),
+c AS (SELECT *, row_number() OVER (PARTITION BY p_brand, head ORDER BY {_H(12, 'p_partkey')}, p_partkey) AS dr FROM b), k AS (SELECT * FROM c WHERE cap IS NOT NULL AND (head OR dr <= cap - (cap + 1) // 2)),
+r AS (SELECT *, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS rk FROM a WHERE p_partkey NOT IN (SELECT p_partkey FROM k))
+SELECT p_partkey, p_brand FROM k UNION ALL SELECT p_partkey, p_brand FROM r WHERE rk <= 100 - (SELECT count(*) FROM k)""")
+def balanced_top_up(spark, d):
+    p = t(spark, d, "part").where("p_size > 47 or p_brand <> 'Brand#11'").select("p_partkey", "p_brand", "p_size")
+    return selection.balanced_top_up(p, "p_brand", ["Brand#11", "Brand#12", "Brand#13"], 100, "p_size", 12, "p_partkey").select("p_partkey", "p_brand")
+
+
+@query("""WITH i AS (SELECT image_id, CASE image_id % 4 WHEN 0 THEN 'bird' WHEN 1 THEN 'airplane' WHEN 2 THEN 'drone' ELSE 'kite' END AS kind FROM fx_meta),
+p AS (SELECT image_id, pi, CASE pi % 3 WHEN 0 THEN 14 WHEN 1 THEN 4 ELSE 0 END AS c, CAST(confidence AS DOUBLE) AS confidence, x, y, w, h FROM fx_pred),
+s AS (SELECT p.*, i.kind, confidence * sqrt(w * h) * (1.0::DOUBLE - 0.35::DOUBLE * (abs((x + (x + w)) / 2.0::DOUBLE - 320) / 640 + abs((y + (y + h)) / 2.0::DOUBLE - 240) / 480)) AS score FROM p JOIN i ON i.image_id = p.image_id
+  WHERE kind = 'drone' OR (kind = 'bird' AND c = 14) OR (kind = 'airplane' AND c = 4)),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, pi) AS rk FROM s) WHERE rk = 1)
+SELECT i.image_id, CASE WHEN b.image_id IS NULL THEN 'center_heuristic' WHEN i.kind = 'drone' THEN 'largest_detection_fallback' ELSE 'yolo_' || i.kind END AS method, coalesce(b.confidence, 0.0) AS confidence,
+  CAST(CASE WHEN b.image_id IS NULL THEN 89 ELSE greatest(0, least(b.x, 639)) END AS INT) AS x, CAST(CASE WHEN b.image_id IS NULL THEN 67 ELSE greatest(0, least(b.y, 479)) END AS INT) AS y,
+  CAST(CASE WHEN b.image_id IS NULL THEN 461 ELSE greatest(1, least(b.w, 640 - greatest(0, least(b.x, 639)))) END AS INT) AS w, CAST(CASE WHEN b.image_id IS NULL THEN 346 ELSE greatest(1, least(b.h, 480 - greatest(0, least(b.y, 479)))) END AS INT) AS h
+FROM i LEFT JOIN b ON b.image_id = i.image_id""")
+def box_proposals(spark, d):
+    images = t(spark, d, "fx_meta").selectExpr("image_id", "case image_id % 4 when 0 then 'bird' when 1 then 'airplane' when 2 then 'drone' else 'kite' end as asset_type", "640 as width", "480 as height")
+    found = t(spark, d, "fx_pred").selectExpr("image_id", "pi", "case pi % 3 when 0 then 14 when 1 then 4 else 0 end as class_id", "cast(confidence as double) as confidence", "x as x1", "y as y1", "x + w as x2", "y + h as y2")
+    return packs.propose(images, found)
+
+
+@query("SELECT id, label, CAST(CASE WHEN label = 'accept' THEN 0 WHEN label = 'review' THEN 1 WHEN label = 'reject' THEN 2 ELSE 3 END AS INT) AS label_rank FROM fx_asset")
+def label_order(spark, d):
+    return packs.by_label(t(spark, d, "fx_asset").select("id", "label"), "label", "id")
+
+
 @query(f"""WITH a AS (SELECT p_partkey, p_brand, CASE WHEN row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) <= 4 THEN 'head' ELSE 'tail' END AS part FROM part),
 b AS (SELECT *, row_number() OVER (PARTITION BY p_brand, part ORDER BY {_H(42, 'p_partkey')}, p_partkey) AS dr FROM a) SELECT p_partkey, p_brand, part FROM b WHERE part = 'head' OR dr <= 3""")
 def quota_select(spark, d):
@@ -579,45 +648,57 @@ def eval_subsets(spark, d):
     return _split(spark, d).where("split = 'test' and subset = 'synthetic_distractor_only'").select("image_id", "subset")
 
 
-def _even_sql(rank: str, values: list, total: int) -> str:
-    base, extra = divmod(total, len(values))
-    out, upto = "CASE", 0
-    for i, v in enumerate(values):
-        upto += base + (i < extra)
-        out += f" WHEN {rank} < {upto} THEN {v!r}"
-    return out + " END"
+_AXES = {"size_px": [8, 15, 30, 60], "noise": [0, 10, 20], "blur": ["none", "mild"], "contrast": ["low", "normal"]}
 
 
-_AXES = {"size_px": [8, 15, 30, 60], "noise": [0, 10, 20], "blur": ["none", "mild"], "contrast": ["low", "normal"]}
-_DESIGN = 1205
+def _design_sql(columns: str, ranks: str) -> str:
+    """Every image of the table has a place in the design, so its size is the table's."""
+    return f"WITH n AS (SELECT count(*) AS n FROM orders), g AS (SELECT o_orderkey AS id, {ranks} FROM orders) SELECT id, {columns} FROM g CROSS JOIN n"
+
+
+def _level_sql(rank: str, values: list) -> str:
+    """The level at a place when n places are dealt out evenly: the first n mod k levels get one more."""
+    k = len(values)
+    level = f"CASE WHEN {rank} < (n % {k}) * (n // {k} + 1) THEN {rank} // (n // {k} + 1) ELSE (n % {k}) + ({rank} - (n % {k}) * (n // {k} + 1)) // greatest(n // {k}, 1) END"
+    return f"([{', '.join(repr(v) for v in values)}])[CAST({level} AS INT) + 1]"
 
 
-@query(f"SELECT id, {', '.join(_even_sql(f'r{i}', v, _DESIGN) + ' AS ' + n for i, (n, v) in enumerate(_AXES.items()))} FROM (SELECT id, {', '.join(f'row_number() OVER (ORDER BY {_H(42 + i, chr(105) + chr(100))}, id) - 1 AS r{i}' for i in range(len(_AXES)))} FROM range({_DESIGN}) x(id))")
+_RANKS = ", ".join(f"row_number() OVER (ORDER BY {_H(42 + i, 'o_orderkey')}, o_orderkey) - 1 AS r{i}" for i in range(len(_AXES)))
+
+
+@query(_design_sql(", ".join(f"{_level_sql(f'r{i}', v)} AS {n}" for i, (n, v) in enumerate(_AXES.items())), _RANKS))
 def balanced_schedule(spark, d):
-    return selection.balanced_schedule(spark.range(_DESIGN), "id", _DESIGN, _AXES, 42)
+    ids = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
+    return selection.balanced_schedule(ids, "id", ids.count(), _AXES, 42)
 
 
-@query(f"""SELECT id, CASE WHEN r < 361 THEN 'positive' WHEN r < 722 THEN 'negative' ELSE 'mixed' END AS subset FROM (SELECT id, row_number() OVER (ORDER BY {_H(5, 'id')}, id) - 1 AS r FROM range({_DESIGN}) x(id))""")
+@query(_design_sql("""CASE WHEN r0 < CAST(trunc(n * 0.3::DOUBLE) AS BIGINT) + CASE WHEN n - 2 * CAST(trunc(n * 0.3::DOUBLE) AS BIGINT) - CAST(trunc(n * 0.4::DOUBLE) AS BIGINT) > 0 THEN 1 ELSE 0 END THEN 'positive'
+WHEN r0 < 2 * CAST(trunc(n * 0.3::DOUBLE) AS BIGINT) + least(2, n - 2 * CAST(trunc(n * 0.3::DOUBLE) AS BIGINT) - CAST(trunc(n * 0.4::DOUBLE) AS BIGINT)) THEN 'negative' ELSE 'mixed' END AS subset""", f"row_number() OVER (ORDER BY {_H(5, 'o_orderkey')}, o_orderkey) - 1 AS r0"))
 def subset_assignment(spark, d):
-    return selection.assign_by_ratio(spark.range(_DESIGN), "id", _DESIGN, {"positive": 0.3, "negative": 0.3, "mixed": 0.4}, 5)
+    ids = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
+    return selection.assign_by_ratio(ids, "id", ids.count(), {"positive": 0.3, "negative": 0.3, "mixed": 0.4}, 5)
 
 
 _PICK = lambda seed, what, n: f"CAST(('0x' || substr(sha256(concat_ws('|', '{seed}', CAST(id AS VARCHAR), '{what}')), 1, 8)) AS BIGINT) % {n}"
 
 
 @query(f"""WITH p AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS k FROM part), s AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS k FROM supplier),
-g AS (SELECT id, {_PICK(42, 'bg', '(SELECT count(*) FROM part)')} AS bk, {_PICK(42, 'asset', '(SELECT count(*) FROM supplier)')} AS ak FROM range(3600) x(id))
-SELECT id, printf('img_%06d', id) AS image_id, p_partkey AS background_id, s_suppkey AS asset_id FROM g JOIN p ON p.k = bk JOIN s ON s.k = ak""")
+x AS (SELECT DISTINCT l_orderkey AS id FROM lineitem),
+g AS (SELECT id, {_PICK(42, 'bg', '(SELECT count(*) FROM part)')} AS bk, {_PICK(42, 'asset', '(SELECT count(*) FROM supplier)')} AS ak, {_PICK(42, 'size', 4)} AS zk, {_PICK(42, 'noise', 3)} AS nk FROM x)
+SELECT id, concat('img_', lpad(CAST(id AS VARCHAR), CAST(greatest(6, len(CAST(id AS VARCHAR))) AS INT), '0')) AS image_id, p_partkey AS background_id, s_suppkey AS asset_id, ([8, 15, 30, 60])[zk + 1] AS drone_size_px, ([0, 10, 20])[nk + 1] AS noise_sigma
+FROM g JOIN p ON p.k = bk JOIN s ON s.k = ak""")
 def generation_plan(spark, d):
-    from pyspark.sql import Window
-
     pools = {"bg": ("part", "p_partkey", "background_id"), "asset": ("supplier", "s_suppkey", "asset_id")}
-    plan = spark.range(3600).withColumn("image_id", F.format_string("img_%06d", F.col("id")))
+    ids = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("id")).distinct()
+    plan = ids.withColumn("image_id", F.concat(F.lit("img_"), F.lpad(F.col("id").cast("string"), F.greatest(F.lit(6), F.length(F.col("id").cast("string"))), "0")))
     for what, (name, key, out) in pools.items():
-        pool = t(spark, d, name).select(F.col(key).alias(out), (F.row_number().over(Window.orderBy(key)) - 1).alias("k_" + what))
+        pool = selection.ranked(t(spark, d, name).select(F.col(key).alias(out)), [], [out], "k_")
+        # One number; the pool itself is joined by its place.
         size = F.broadcast(pool.agg(F.count("*").alias("n_" + what)))
-        plan = plan.crossJoin(size).withColumn("k_" + what, selection.pick(42, "id", what, F.col("n_" + what))).join(pool, "k_" + what)
-    return plan.select("id", "image_id", "background_id", "asset_id")
+        plan = plan.crossJoin(size).withColumn("k_" + what, selection.pick(42, "id", what, F.col("n_" + what)) + 1).join(pool.withColumnRenamed("k_", "k_" + what), "k_" + what)
+    sizes, noise = F.array(*[F.lit(x) for x in (8, 15, 30, 60)]), F.array(*[F.lit(x) for x in (0, 10, 20)])
+    level = lambda levels, what, n: F.element_at(levels, (selection.pick(42, "id", what, n) + 1).cast("int"))
+    return plan.select("id", "image_id", "background_id", "asset_id", level(sizes, "size", 4).alias("drone_size_px"), level(noise, "noise", 3).alias("noise_sigma"))
 
 
 @query(f"""WITH a AS (SELECT image_id AS id, drone_size_px AS w, gx, gy, unnest(generate_series(1, 50)) AS attempt FROM fx_meta WHERE image_id % 10 = 1),
@@ -658,7 +739,7 @@ def report_min_med_max(spark, d):
     return metrics.spread(t(spark, d, "fx_ann"), F.greatest("w", "h"), ["category"])
 
 
-@query(f"SELECT disposition AS before, final_disposition AS after, count(*) AS n FROM ({rules.SCENE_ASSET.sql('(' + rules.SCENE.sql('fx_feat', '*') + ')', 'id, disposition')}) GROUP BY ALL")
+@query(f"SELECT disposition AS before, final_disposition AS after, count(*) AS n FROM ({rule_sql.SCENE_ASSET}) GROUP BY ALL")
 def transition_counts(spark, d):
     return metrics.transitions(rules.SCENE_ASSET.apply(rules.SCENE.apply(t(spark, d, "fx_feat"))), "disposition", "final_disposition")
 
@@ -716,7 +797,7 @@ _SCORES = f"WITH s AS (SELECT i.vec_id, p.vec_id AS prompt, concat('group_', CAS
 
 
 @query(f"""{_SCORES}, b AS (SELECT vec_id, grp, max(s) AS s, arg_max(prompt, (s, -prompt)) AS prompt FROM s GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, grp) AS rk FROM b)
-SELECT a.vec_id, a.grp AS first_group, round(a.s, 6) AS first_score, a.prompt AS first_prompt, c.grp AS second_group, round(c.s, 6) AS second_score, round(a.s - c.s, 6) AS margin FROM r a JOIN r c ON c.vec_id = a.vec_id AND a.rk = 1 AND c.rk = 2""")
+SELECT a.vec_id, a.grp AS first_group, round(a.s, 6) AS first_score, a.prompt AS first_prompt, c.grp AS second_group, round(c.s, 6) AS second_score, c.prompt AS second_prompt, round(a.s - c.s, 6) AS margin FROM r a JOIN r c ON c.vec_id = a.vec_id AND a.rk = 1 AND c.rk = 2""")
 def clip_group_scores(spark, d):
     return metrics.group_scores(_prompt_scores(spark, d), "vec_id", "grp", "s", "prompt")
 
@@ -728,9 +809,14 @@ def clip_suitability(spark, d):
     return s.groupBy("vec_id").agg(F.round(pick("prompt < 4") - pick("prompt >= 4"), 6).alias("suitability"))
 
 
+@query("SELECT source, lang, max(doc_id) AS doc_id, arg_max(n_chars, doc_id) AS n_chars FROM documents GROUP BY source, lang")
+def last_of_source(spark, d):
+    return dedup.keep_last(t(spark, d, "documents").select("source", "lang", "doc_id", "n_chars"), ["source", "lang"], ["doc_id"])
+
+
 @query("SELECT text, max(doc_id) AS doc_id FROM documents GROUP BY text")
 def exact_dedup_keep_last(spark, d):
-    return t(spark, d, "documents").groupBy("text").agg(F.max("doc_id").alias("doc_id"))
+    return dedup.keep_last(t(spark, d, "documents").select("text", "doc_id"), ["text"], ["doc_id"])
 
 
 # Joins and validation --------------------------------------------------------------------------------------
@@ -771,6 +857,70 @@ def pack_validation(spark, d):
     return relations.checks(_qa(spark, d), _CHECKS, ["path"])
 
 
+_CANDIDATES = """SELECT concat('in/', CAST(id AS VARCHAR(20)), '.jpg') AS original_path, CASE WHEN id % 2 = 0 THEN concat('out/c', CAST(id AS VARCHAR(20)), '.png') ELSE '' END AS clip_output_path, CASE WHEN id % 5 = 0 THEN '' ELSE concat('out/', CAST(id AS VARCHAR(20)), '.jpg') END AS output_path,
+'field' AS places365_category, CASE id % 3 WHEN 0 THEN 'cloudy_sky' WHEN 1 THEN ' ' ELSE 'clear_upper_sky' END AS mapped_background_type, u AS upper_sky_ratio, 'good' AS clip_good_prompt, 'bad' AS clip_bad_prompt, green AS clip_suitability_score,
+CASE WHEN id % 7 = 0 THEN 'reject' ELSE 'accept' END AS clip_filter_status FROM fx_feat"""
+
+
+@query(f"""WITH c AS (SELECT * REPLACE (coalesce(nullif(clip_output_path, ''), output_path) AS output_path, CASE WHEN trim(mapped_background_type) = '' THEN 'sky_with_natural_landscape' ELSE mapped_background_type END AS mapped_background_type) FROM ({_CANDIDATES}) WHERE clip_filter_status = 'accept'),
+f AS (SELECT *, parse_filename(CASE WHEN output_path = '' THEN original_path ELSE output_path END) AS file, row_number() OVER (ORDER BY mapped_background_type, clip_suitability_score DESC, upper_sky_ratio DESC, original_path) AS n FROM c)
+SELECT concat('p365_bg_', lpad(CAST(n AS VARCHAR), CAST(greatest(4, len(CAST(n AS VARCHAR))) AS INT), '0'), '_', substr(sha256(file), 1, 6)) AS candidate_id, original_path, output_path, places365_category, mapped_background_type, upper_sky_ratio, clip_good_prompt, clip_bad_prompt,
+clip_suitability_score, '' AS decision, mapped_background_type AS final_category, '' AS notes FROM f""")
+def review_manifest(spark, d):
+    return packs.review_manifest(spark.sql(_CANDIDATES.replace("FROM fx_feat", "FROM {f}"), f=t(spark, d, "fx_feat")))
+
+
+@query(f"""WITH m AS ({_REVIEWED}), w AS (SELECT event_id, lower(trim(decision)) AS e, coalesce(nullif(trim(final_category), ''), nullif(trim(mapped_background_type), ''), '') AS final_category FROM m),
+x AS (SELECT event_id, CASE WHEN e IN ('', 'nan', 'none') THEN '' WHEN e IN ('accept', 'yes', 'y', 'keep', 'approved') THEN 'accept' WHEN e IN ('reject', 'no', 'n', 'drop', 'rejected') THEN 'reject' ELSE e END AS decision, final_category FROM w)
+SELECT *, CASE WHEN decision NOT IN ('', 'accept', 'reject') THEN 'decision' WHEN decision = 'accept' AND final_category = '' THEN 'final_category' END AS invalid FROM x""")
+def applied_decisions(spark, d):
+    m = spark.sql(_REVIEWED.replace("FROM events", "FROM {events}"), events=t(spark, d, "events"))
+    return packs.applied_decisions(m).select("event_id", "decision", "final_category", "invalid")
+
+
+_EXPORT = f"SELECT doc_id AS id, label, extraction_failed, CASE WHEN doc_id % 13 = 0 THEN 'shared/path' ELSE path END AS path FROM ({QA_LABELS_SQL})"
+
+
+@query(f"""WITH x AS ({_EXPORT}), l AS (SELECT DISTINCT path AS there FROM x WHERE id % 6 <> 1 OR path = 'shared/path'),
+s AS (SELECT x.*, CASE WHEN extraction_failed THEN 'skipped_extraction_failed' WHEN label IS NULL OR label <> 'accept' THEN 'skipped_label' WHEN there IS NULL THEN 'skipped_missing_file' END AS stop FROM x LEFT JOIN l ON l.there = x.path)
+SELECT export_status, count(*) AS n FROM (SELECT CASE WHEN stop IS NOT NULL THEN stop WHEN row_number() OVER (PARTITION BY path, stop ORDER BY id) = 1 THEN 'exported' ELSE 'skipped_duplicate_path' END AS export_status FROM s) GROUP BY 1""")
+def export_approved(spark, d):
+    rows = _qa(spark, d).select(F.col("doc_id").alias("id"), "label", "extraction_failed", F.when(F.col("doc_id") % 13 == 0, "shared/path").otherwise(F.col("path")).alias("path"))
+    listing = rows.where("id % 6 <> 1 or path = 'shared/path'").select("path")
+    return packs.export_counts(packs.export_approved(rows, listing))
+
+
+_PACK = """SELECT doc_id % 1000 AS background_id, concat('f', CAST(doc_id % 997 AS VARCHAR(20)), '.png') AS file_name, concat('images/', CAST(doc_id AS VARCHAR(20))) AS path, CASE WHEN doc_id % 9 = 0 THEN 'review' ELSE 'Accept' END AS qa_final_label,
+doc_id AS asset_id, CASE WHEN doc_id % 10 = 3 THEN 'target' ELSE 'distractor' END AS class_group, CASE WHEN doc_id % 10 = 4 THEN NULL ELSE 'bird ' END AS class_name, doc_id % 8 <> 0 AS there FROM documents"""
+_REPEATED = lambda c: f"SELECT 'duplicate_{c}' AS check, 'error' AS level, coalesce(CAST(sum(n) AS BIGINT), 0) AS n FROM (SELECT count(*) AS n FROM p GROUP BY {c} HAVING count(*) > 1)"
+
+
+@query(f"""WITH p AS ({_PACK}) SELECT 'not_accepted' AS check, 'error' AS level, count(*) FILTER (WHERE qa_final_label <> 'Accept') AS n FROM p UNION ALL SELECT 'missing_file', 'error', count(*) FILTER (WHERE NOT there) FROM p
+UNION ALL {_REPEATED('background_id')} UNION ALL {_REPEATED('file_name')} UNION ALL SELECT 'below_min_count', 'warning', CASE WHEN count(*) < 5000 THEN count(*) ELSE 0 END FROM p""")
+def sky_pack_validation(spark, d):
+    p = spark.sql(_PACK.replace("FROM documents", "FROM {d}"), d=t(spark, d, "documents"))
+    return packs.sky_pack_checks(p.drop("there"), p.where("there").select("path"), 5000)
+
+
+@query(f"""WITH p AS ({_PACK}) SELECT 'missing_file' AS check, 'error' AS level, count(*) FILTER (WHERE NOT there) AS n FROM p UNION ALL SELECT 'unexpected_group', 'error', count(*) FILTER (WHERE class_group = 'target') FROM p
+UNION ALL SELECT 'unexpected_class', 'error', count(*) FILTER (WHERE class_name IS NULL) FROM p UNION ALL SELECT 'not_accepted', 'warning', count(*) FILTER (WHERE qa_final_label <> 'Accept') FROM p
+UNION ALL {_REPEATED('asset_id')} UNION ALL {_REPEATED('path')} UNION ALL SELECT 'empty_pack', 'error', 0 FROM (SELECT 1)""")
+def asset_pack_validation(spark, d):
+    p = spark.sql(_PACK.replace("FROM documents", "FROM {d}"), d=t(spark, d, "documents"))
+    return packs.asset_pack_checks(p.drop("there"), p.where("there").select("path"), "distractor", "bird")
+
+
+@query("SELECT 'pool' AS check, count(*) AS n FROM fx_asset UNION ALL SELECT c, (SELECT count(*) FROM fx_asset WHERE cls = c) FROM (VALUES ('bird'), ('airplane'), ('balloon')) v(c)")
+def pool_validation(spark, d):
+    return packs.pool_checks(t(spark, d, "fx_asset"), "cls", ["bird", "airplane", "balloon"])
+
+
+@query("SELECT user_id, max(ts) AS last_ts, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1")
+def last_event(spark, d):
+    e = t(spark, d, "events").withColumn("position", F.struct("ts", "event_id"))
+    return relations.last_of(e, "user_id", "event_type", "position").join(e.groupBy("user_id").agg(F.max("ts").alias("last_ts")), "user_id")
+
+
 @query("""SELECT p.page_id, CASE WHEN b.doc_id IS NOT NULL THEN 'first' WHEN c.doc_id IS NOT NULL THEN 'second' END AS resolved FROM pages p LEFT JOIN (SELECT doc_id FROM labels WHERE quality = 1) b ON b.doc_id = p.page_id LEFT JOIN (SELECT doc_id FROM labels WHERE quality = 0) c ON c.doc_id = p.page_id""")
 def path_resolution(spark, d):
     there = t(spark, d, "labels").select(F.concat(F.when(F.col("quality") == 1, "good/").otherwise("bad/"), F.col("doc_id").cast("string")).alias("path"))

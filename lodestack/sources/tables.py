@@ -7,8 +7,6 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SPLITS = {"train": "train", "val": "val", "valid": "val", "validation": "val", "test": "test"}
-
 
 def csv_table(spark: SparkSession, path: str, schema: str | None = None, required: list[str] | None = None, keep_strings: bool = False) -> DataFrame:
     """A CSV with header.  Blank cells are null, or with ``keep_strings`` empty text; missing required columns raise."""
@@ -49,6 +47,38 @@ def label_files(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.regexp_extract("path", r"([^/]+)\.txt$", 1).alias("stem"), split.alias("split"), F.col("value").alias("line_text"))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    found = jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
+
+
+def split_folders(spark: SparkSession, root: str, splits: list[str]) -> list[tuple[str, str, str]]:
+    """(split, images, labels) of the requested splits that are there, each pair of folders once.
+
+    A split lies in ``<split>/images`` and ``<split>/labels``, or in ``images/<split>`` and ``labels/<split>``; val and valid
+    stand for each other.
+    """
+    out: list[tuple[str, str, str]] = []
+    for split in splits:
+        wanted = split.strip()
+        names = [wanted] + [n for n in ("val", "valid") if wanted in ("val", "valid") and n != wanted]
+        pairs = [(n, *p) for n in names for p in ((f"{root}/{n}/images", f"{root}/{n}/labels"), (f"{root}/images/{n}", f"{root}/labels/{n}"))]
+        found = next((p for p in pairs if _exists(spark, p[1]) and _exists(spark, p[2])), None)
+        if found and found not in out:
+            out.append(found)
+    return out
+
+
+def resolved_classes(lines: DataFrame, names: dict[int, str], wanted: list[str] | None = None, class_id: str = "cls") -> DataFrame:
+    """``class_name`` of label lines; null for numbers without a name or of classes that are not wanted.  The list is small."""
+    from ..operators.packs import class_filter
+
+    kept = set(class_filter(list(names.values()), wanted))
+    table = [F.lit(x) for i, n in names.items() if n in kept for x in (i, n)]
+    return lines.withColumn("class_name", F.element_at(F.create_map(*table), F.col(class_id)) if table else F.lit(None).cast("string"))
+
+
 def label_path(image_path):
     """The label file of an image: folder ``images`` becomes ``labels``, the suffix ``.txt``."""
     return F.regexp_replace(F.regexp_replace(image_path, "/images/", "/labels/"), r"\.[A-Za-z]+$", ".txt")
@@ -91,3 +121,35 @@ def listing(spark: SparkSession, path: str, pattern: str = "*.{png,jpg,jpeg,PNG,
 def write_by(df: DataFrame, path: str, *keys: str) -> None:
     """A folder for each value of the keys."""
     df.write.mode("overwrite").partitionBy(*keys).parquet(path)
+
+
+def write_columns(df: DataFrame, path: str, columns: list[str]) -> None:
+    """A CSV with header and exactly these columns in this order, replacing what is there; missing ones raise."""
+    lost = [c for c in columns if c not in df.columns]
+    if lost:
+        raise ValueError(f"the table lacks columns {lost}")
+    df.select(*columns).write.mode("overwrite").option("header", True).csv(path)
+
+
+def export_names(df: DataFrame, folder: str, source: str, key: str, out: str = "export_path") -> DataFrame:
+    """``out``: a path in each row's folder that no other row of the same file name has: the name itself for the least key, for others the key before it."""
+    from ..operators.selection import ranked
+
+    name = F.regexp_extract(source, r"([^/\\\\]*)$", 1)
+    placed = ranked(df.withColumn("name_", name), [folder, "name_"], [key], "n_")
+    safe = F.when(F.col("n_") == 1, F.col("name_")).otherwise(F.concat(F.col(key).cast("string"), F.lit("_"), "name_"))
+    return placed.withColumn(out, F.concat(F.col(folder), F.lit("/"), safe)).drop("name_", "n_")
+
+
+def dataset_yaml(root: str, names: dict[int, str], splits: tuple[str, ...] = ("train", "val", "test")) -> str:
+    """The text of a training set's description."""
+    lines = [f"path: {root}", *[f"{s}: images/{s}" for s in splits], f"nc: {len(names)}", "names:", *[f"  {i}: {n}" for i, n in sorted(names.items())]]
+    return "\n".join(lines) + "\n"
+
+
+def write_lists(df: DataFrame, path: str, image: str = "image_path", split: str = "split") -> None:
+    """A folder of text files for each split with one image path a line, in natural order within files."""
+    from ..functions.scalars import natural_key
+
+    rows = df.select(F.col(split).alias("split"), F.col(image).alias("value"))
+    rows.repartition("split").sortWithinPartitions("split", natural_key(F.col("value"))).write.mode("overwrite").partitionBy("split").text(path)

@@ -10,7 +10,7 @@ from lodestack.operators import dedup, matching, metrics, models, selection
 from lodestack.plans import rules
 from lodestack.sources import tables
 
-SCENE = "u double, l double, cy double, bottom double, area_ratio double, max_dim_ratio double"
+SCENE = "u double, l double, cy double, bottom double, area_ratio double, max_dim_ratio double, cls string"
 
 
 @pytest.mark.parametrize(
@@ -27,7 +27,7 @@ SCENE = "u double, l double, cy double, bottom double, area_ratio double, max_di
     ],
 )
 def test_scene_rules_at_their_thresholds(spark, row, want):
-    out = rules.SCENE.apply(spark.createDataFrame([row], SCENE)).first()
+    out = rules.SCENE.apply(spark.createDataFrame([(*row, "kite")], SCENE)).first()
     assert (out.disposition, out.reason, out.viewpoint) == want
 
 
