@@ -38,8 +38,9 @@ RECALL = 0.998
 #: Bands of runs.  A band is the shingle at which a run begins, itself the least of its stretch, and one more least value; so runs
 #: that overlap in a text do not meet.  Runs at similarity 0.8 that begin alike meet with probability 0.992; equal ones need no band.
 RUN_BANDS = 3
-#: Copies of a run that are compared in one task; more are counted by aggregations.
-HOT = 4096
+#: Copies of a run that one task compares at once: with at most 26 stretches a copy and some 64 bytes of arrays for each, about 100 MB.
+#: More copies take the way of ``_verbatim_hot``, with the same result.
+HOT = 1 << 16
 #: Words that are hashed at once, unless one text has more.
 WORDS = 100_000
 
@@ -106,25 +107,27 @@ def segment_shingles(h: np.ndarray, value: np.ndarray, starts: np.ndarray, lengt
 
 
 class Sketcher:
-    """Band keys: least values of hashed shingles under random affine maps."""
+    """Band keys: least values of hashed shingles under random affine maps, of 32 bits each."""
 
     def __init__(self, bands: int, rows: int, seed: int):
         rng = np.random.default_rng(seed)
         self.bands, self.rows = bands, rows
-        self.a = rng.integers(1, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.b = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
+        self.a = rng.integers(0, 1 << 31, bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+        self.b = rng.integers(0, 1 << 32, bands * rows, dtype=np.uint32)
         self.names = _mix(rng.integers(0, 1 << 63, bands, dtype=np.uint64))
 
     def keys(self, value: np.ndarray, first: np.ndarray) -> np.ndarray:
         """A row of band keys for each of the sets that begin at ``first``."""
-        least = np.empty((len(first), len(self.a)), np.uint64)
+        value = (value >> np.uint64(32)).astype(np.uint32)
+        least = np.empty((len(first), len(self.a)), np.uint32)
         for j in range(len(self.a)):
             least[:, j] = np.minimum.reduceat(value * self.a[j] + self.b[j], first)
         return self._joined(least)
 
     def square_keys(self, value: np.ndarray) -> np.ndarray:
         """The same of sets of equal size, one in each row."""
-        least = np.empty((len(value), len(self.a)), np.uint64)
+        value = (value >> np.uint64(32)).astype(np.uint32)
+        least = np.empty((len(value), len(self.a)), np.uint32)
         for j in range(len(self.a)):
             least[:, j] = (value * self.a[j] + self.b[j]).min(1)
         return self._joined(least)
