@@ -274,9 +274,9 @@ def _details(wanted: DataFrame, k: int, min_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = WordHashes()
         for b in batches:
-            starts_of, words_in, classes_of, sets_of = (b.column(n) for n in ("starts", "words", "classes", "sets"))
+            starts_of, words_in, classes_of, sets_of, copies_of = (b.column(n) for n in ("starts", "words", "classes", "sets", "copies"))
             edges = starts_of.offsets.to_numpy() - starts_of.offsets[0].as_py()
-            all_starts, all_words, all_classes = (c.flatten().to_numpy() for c in (starts_of, words_in, classes_of))
+            all_starts, all_words, all_classes, all_copies = (c.flatten().to_numpy() for c in (starts_of, words_in, classes_of, copies_of))
             all_sets = sets_of.flatten().to_numpy(zero_copy_only=False)
             begin, held = 0, ([], [], [], [])
 
@@ -287,9 +287,9 @@ def _details(wanted: DataFrame, k: int, min_words: int) -> DataFrame:
                 return pa.RecordBatch.from_arrays(
                     [
                         pa.array(all_classes[rows]), b.column("place").take(own), b.column("doc").take(own), pa.array(np.concatenate(held[0]).astype(np.int32)),
-                        _lists(held[1], np.where(wants_set, sizes, 0), wants_set, pa.int64()), _lists(held[2], np.where(wants_set, 0, sizes), ~wants_set, pa.int32()),
+                        _lists(held[1], np.where(wants_set, sizes, 0), wants_set, pa.int64()), _lists(held[2], np.where(wants_set, 0, sizes), ~wants_set, pa.int32()), pa.array(all_copies[rows]),
                     ],
-                    names=["cls", "place", "doc", "start", "sh", "stretches"],
+                    names=["cls", "place", "doc", "start", "sh", "stretches", "n"],
                 )
 
             for i, text in enumerate(b.column("text")):
@@ -319,7 +319,7 @@ def _details(wanted: DataFrame, k: int, min_words: int) -> DataFrame:
                 yield batch(b.num_rows)
 
     doc = wanted.schema["doc"].dataType.simpleString()
-    return wanted.mapInArrow(run, f"cls long, place binary, doc {doc}, start int, sh array<long>, stretches array<int>")
+    return wanted.mapInArrow(run, f"cls long, place binary, doc {doc}, start int, sh array<long>, stretches array<int>, n int")
 
 
 def _short(place: bytes) -> int:
@@ -519,10 +519,10 @@ def copied_spans(source: DataFrame, bands: int, threshold: float, k: int, min_wo
         first = scratch.stage(places.groupBy("cls", "met").agg(F.min(F.struct("doc", "place", "start")).alias("first"), F.max("words").alias("words")), "first")
 
         # Their texts once more: shingles of met classes, stretches around repeated runs.
-        sets = first.where("met").select(F.col("first.place").alias("p"), F.col("first.start").alias("start"), "words", "cls", F.lit(True).alias("sh"))
-        copied = places.where("run and n > 1").select(F.col("place").alias("p"), "start", "words", "cls", F.lit(False).alias("sh"))
-        wants = sets.unionByName(copied).groupBy("p").agg(F.collect_list(F.struct("start", "words", "cls", "sh")).alias("w"))
-        wants = scratch.stage(wants.select("p", F.col("w.start").alias("starts"), F.col("w.words").alias("words"), F.col("w.cls").alias("classes"), F.col("w.sh").alias("sets")), "wants")
+        sets = first.where("met").select(F.col("first.place").alias("p"), F.col("first.start").alias("start"), "words", "cls", F.lit(True).alias("sh"), F.lit(0).alias("n"))
+        copied = places.where("run and n > 1").select(F.col("place").alias("p"), "start", "words", "cls", F.lit(False).alias("sh"), F.col("n").cast("int").alias("n"))
+        wants = sets.unionByName(copied).groupBy("p").agg(F.collect_list(F.struct("start", "words", "cls", "sh", "n")).alias("w"))
+        wants = scratch.stage(wants.select("p", F.col("w.start").alias("starts"), F.col("w.words").alias("words"), F.col("w.cls").alias("classes"), F.col("w.sh").alias("sets"), F.col("w.n").alias("copies")), "wants")
         asked = Maybe(wants.select("p")).of(heads, "place").join(wants, F.col("place") == F.col("p")).drop("p")
         details = scratch.stage(_details(asked, k, min_words), "details")
 
@@ -540,8 +540,7 @@ def copied_spans(source: DataFrame, bands: int, threshold: float, k: int, min_wo
         edge = F.when(F.col("run") & F.col("near"), _edge(run_words(min_words) - k + 1, threshold)).otherwise(0)
         spans = spans.select("place", (F.col("start") + edge).alias("a"), (F.col("start") + F.col("words") - edge).alias("z"), _short_column("original.place").alias("source"))
         if within_lines:
-            again = details.where("stretches is not null").join(known.select("cls", "n"), "cls")
-            spans = spans.unionByName(_verbatim(again, min_words, scratch))
+            spans = spans.unionByName(_verbatim(details.where("stretches is not null"), min_words, scratch))
         held = spans.groupBy("place").agg(F.collect_list(F.struct("a", "z", "source")).alias("spans"))
         both = held.join(twice.select(F.col("place").alias("p"), "first"), F.col("place") == F.col("p"), "full")
         columns = [F.col(f"spans.{c}").alias(c) for c in ("a", "z", "source")]
