@@ -701,20 +701,13 @@ def generation_plan(spark, d):
     return plan.select("id", "image_id", "background_id", "asset_id", level(sizes, "size", 4).alias("drone_size_px"), level(noise, "noise", 3).alias("noise_sigma"))
 
 
-@query(f"""WITH a AS (SELECT image_id AS id, drone_size_px AS w, gx, gy, unnest(generate_series(1, 50)) AS attempt FROM fx_meta WHERE image_id % 10 = 1),
+@query(f"""WITH a AS (SELECT image_id AS id, drone_size_px AS w, gx, gy, unnest(generate_series(1, 50)) AS attempt FROM fx_meta),
 b AS (SELECT *, CAST(('0x' || substr(sha256(concat_ws('|', '8', CAST(id AS VARCHAR), CAST(attempt AS VARCHAR), 'x')), 1, 8)) AS BIGINT) % 561 AS px, CAST(('0x' || substr(sha256(concat_ws('|', '8', CAST(id AS VARCHAR), CAST(attempt AS VARCHAR), 'y')), 1, 8)) AS BIGINT) % 321 AS py FROM a),
 c AS (SELECT *, greatest(0, least(px + w, gx + 60) - greatest(px, gx)) * greatest(0, least(py + w, gy + 60) - greatest(py, gy)) AS i FROM b),
 e AS (SELECT *, i / CAST(w * w + 3600 - i AS DOUBLE) <= 0.05 AND sqrt((px + w / 2 - gx - 30) * (px + w / 2 - gx - 30) + (py + w / 2 - gy - 30) * (py + w / 2 - gy - 30)) >= 20 AS good FROM c),
 f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY good DESC, CASE WHEN good THEN attempt ELSE -attempt END) AS rk FROM e)
 SELECT id AS image_id, CAST(attempt AS INT) AS attempt, px, py FROM f WHERE rk = 1""")
 def placement_sampling(spark, d):
-    m = t(spark, d, "fx_meta").where("image_id % 10 = 1").withColumn("s", F.lit(60))
-    return selection.rejection_placement(m, "image_id", 8, (0, 560), (0, 320), "drone_size_px", ("gx", "gy", "s", "s"))
-
-
-@query()
-def placement_sampling_all(spark, d):
-    """Every image; the SQL of ``placement_sampling`` holds a tenth of them."""
     m = t(spark, d, "fx_meta").withColumn("s", F.lit(60))
     return selection.rejection_placement(m, "image_id", 8, (0, 560), (0, 320), "drone_size_px", ("gx", "gy", "s", "s"))
 

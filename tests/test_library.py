@@ -221,7 +221,7 @@ def test_every_image_gets_a_placement(spark):
 
     d = "/root/testdata/sf0.001"
     images = registry.t(spark, d, "fx_meta").select("image_id", "drone_size_px", "gx", "gy").collect()
-    got = {r.image_id: (r.attempt, r.px, r.py) for r in registry.queries()["placement_sampling_all"](spark, d).collect()}
+    got = {r.image_id: (r.attempt, r.px, r.py) for r in registry.queries()["placement_sampling"](spark, d).collect()}
     assert len(got) == len(images)
     for i, w, gx, gy in images:
         if None in (w, gx, gy):
