@@ -89,29 +89,32 @@ def _prefixes(members: DataFrame, threshold: float) -> DataFrame:
 
 def _crowded(members: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """Links of the members of large buckets."""
-    under = scratch.stage(_prefixes(members, threshold), "prefixes")
-    several = under.groupBy("key", "part").agg(F.count("*").alias("n")).where("n > 1").select("key", "part").hint("rebalance")
-    placed = scratch.stage(under.join(several, ["key", "part"]), "placed")
+    # Buckets of near copies have most members in common: under a shingle each member stands once, whatever buckets it comes from.
+    under = scratch.stage(_prefixes(members, threshold).select("part", "cls").distinct(), "prefixes")
+    several = under.groupBy("part").agg(F.count("*").alias("n")).where("n > 1").select("part").hint("rebalance")
+    placed = scratch.stage(under.join(several, "part"), "placed")
     sets = scratch.stage(members.select("cls", "sh").dropDuplicates(["cls"]), "sets")
     links, rest = None, placed
     for turn in range(CENTRES):
-        centres = rest.groupBy("key", "part").agg(F.min("cls").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "part", "centre").hint("rebalance")
-        met = scratch.stage(rest.join(centres, ["key", "part"]).where("cls <> centre"), f"met{turn}")
+        centres = rest.groupBy("part").agg(F.min("cls").alias("centre"), F.count("*").alias("n")).where("n > 1").select("part", "centre").hint("rebalance")
+        met = scratch.stage(rest.join(centres, "part").where("cls <> centre"), f"met{turn}")
         pairs = met.select("centre", "cls").distinct()
         both = pairs.join(sets, "cls").join(sets.select(F.col("cls").alias("centre"), F.col("sh").alias("middle")), "centre").withColumn("both", F.size(F.array_intersect("sh", "middle")))
         found = scratch.stage(both.where(_reaches(threshold, "both", "size(sh)", "size(middle)")).select(F.col("centre").alias("u"), F.col("cls").alias("v")), f"found{turn}")
         links = found if links is None else links.unionByName(found)
-        rest = met.join(found.withColumnsRenamed({"u": "centre", "v": "cls"}), ["centre", "cls"], "left_anti").select("key", "part", "cls")
+        rest = met.join(found.withColumnsRenamed({"u": "centre", "v": "cls"}), ["centre", "cls"], "left_anti").select("part", "cls")
+        if rest.isEmpty():
+            break
     roots = components(links)
-    known = scratch.stage(placed.join(roots, F.col("cls") == F.col("node"), "left").select("key", "part", "cls", F.coalesce("root", "cls").alias("root")), "known")
-    apart = known.groupBy("key", "part").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z")
-    apart = scratch.stage(apart.select("key", "part", F.ceil(F.col("n") / TILE).alias("tiles")), "apart")
+    known = scratch.stage(placed.join(roots, F.col("cls") == F.col("node"), "left").select("part", "cls", F.coalesce("root", "cls").alias("root")), "known")
+    apart = known.groupBy("part").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z")
+    apart = scratch.stage(apart.select("part", F.ceil(F.col("n") / TILE).alias("tiles")), "apart")
     if apart.isEmpty():
         return links
-    placed = known.join(apart, ["key", "part"]).withColumn("own", F.pmod(F.xxhash64("cls"), "tiles"))
+    placed = known.join(apart, "part").withColumn("own", F.pmod(F.xxhash64("cls"), "tiles"))
     tiles = placed.withColumn("every", F.explode(F.expr("sequence(0L, tiles - 1)")))
-    tiles = tiles.select("key", "part", "cls", "root", F.least("own", "every").alias("i"), F.greatest("own", "every").alias("j"))
-    return links.unionByName(_compare(tiles.join(sets, "cls"), ["key", "part", "i", "j"], threshold))
+    tiles = tiles.select("part", "cls", "root", F.least("own", "every").alias("i"), F.greatest("own", "every").alias("j"))
+    return links.unionByName(_compare(tiles.join(sets, "cls"), ["part", "i", "j"], threshold))
 
 
 def bucket_rows(postings: DataFrame, scratch: Scratch) -> DataFrame:

@@ -298,3 +298,25 @@ def test_anchors_are_the_least_places():
     for n in (1, 7, 50):
         got = paragraphs._stretch_hashes(h, n)
         assert len(got) == 201 - n and got[120] == got[10] and len(set(got.tolist())) == 201 - n - (51 - n)
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    with common.Scratch(spark, "test") as scratch:
+        staged = scratch.stage(spark.range(5), "numbers")
+        assert staged.count() == 5 and os.listdir(scratch.path.removeprefix("file://"))
+        scratch.stage(spark.range(2), "others")
+        scratch.drop("numbers")
+        assert [n.split("-")[0] for n in os.listdir(scratch.path.removeprefix("file://")) if not n.startswith(".")] == ["others"]
+    assert not os.path.exists(scratch.path.removeprefix("file://"))
+
+
+def test_filters_lose_nothing(spark):
+    rng = random.Random(10)
+    kept = spark.createDataFrame([(rng.randrange(10**6),) for _ in range(200)], "x long")
+    rows = spark.createDataFrame([(rng.randrange(10**6), "r") for _ in range(3000)] + [(r.x, "k") for r in kept.collect()] + [(None, "n")], "x long, what string")
+    maybe = common.Maybe(kept, bits=12)
+    inside, beside = maybe.of(rows, "x"), maybe.beside(rows, "x")
+    assert inside.columns == rows.columns == beside.columns and inside.count() + beside.count() == rows.count()
+    assert beside.where("what = 'k'").count() == 0 and beside.count() > 2000
