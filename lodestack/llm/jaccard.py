@@ -1,11 +1,10 @@
 """Links between similar sets that share a bucket, verified by exact Jaccard similarity.
 
-Sets come as sorted arrays of 64-bit shingle hashes.  Buckets of up to ``CROWD`` members are compared in one task.  Members of larger
-ones meet those that share one of their rarest shingles: two sets at the threshold
+Sets come as sorted arrays of 64-bit shingle hashes.  Buckets of up to ``CROWD`` members are compared in one task.  Larger
+ones are first compared with their centre, the member with the least number, by a join that Spark can split.  Members that
+the centre does not reach are compared with those that share one of their rarest shingles: two sets at the threshold
 always share one among the first few in any common order (prefix filter), and rare ones first keep the groups small.
-Each such group is first compared with a centre, its member with the least number, then what that does not reach with another one, by joins
-that Spark can split.  Only groups whose members are then in different components are compared further, component against component, in
-tiles if they are large.  No link between components is lost on either way.
+Groups that are still large are dealt out in tiles.  No link between components is lost on either way.
 """
 
 from __future__ import annotations
@@ -18,14 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Maybe, Scratch
-from .components import components
 
 #: Members that one task compares without further division.
 CROWD = 256
 #: Members of one side of a tile.
 TILE = 512
-#: Centres that a group is compared with in turn.
-CENTRES = 3
 
 
 def _reaches(threshold: float, both: str, one: str, two: str) -> F.Column:
@@ -33,45 +29,55 @@ def _reaches(threshold: float, both: str, one: str, two: str) -> F.Column:
 
 
 def _compare(rows: DataFrame, group: list[str], threshold: float) -> DataFrame:
-    """Links that join different parts of a group; members of one ``root`` are one part from the start."""
+    """Links that join different parts of a group; members that are ``near`` are one part from the start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts, part_of = None, [], {}
+        now, parts, near_part = None, [], None
         for b in batches:
             out = []
             keys = list(zip(*[b.column(g).to_pylist() for g in group]))
-            for key, cls, root, sh in zip(keys, b.column("cls").to_pylist(), b.column("root").to_pylist(), b.column("sh")):
+            for key, cls, near, sh in zip(keys, b.column("cls").to_pylist(), b.column("near").to_pylist(), b.column("sh")):
                 if key != now:
-                    now, parts, part_of = key, [], {}
+                    now, parts, near_part = key, [], None
                 own = set(sh.values.to_numpy().tolist())
                 least = threshold * len(own) * (1 - 1e-12)
-                mine = part_of.get(root)
-                if mine is None:
-                    mine = part_of[root] = ([], {root})
-                    parts.append(mine)
+                joined, left = [(cls, own)], []
                 for part in parts:
-                    if part is mine:
-                        continue
                     # Members come by size: a smaller one that cannot reach the threshold now never will.
-                    part[0][:] = [m for m in part[0] if len(m[1]) >= least]
-                    for other, theirs in reversed(part[0]):
+                    part[:] = [m for m in part if len(m[1]) >= least]
+                    if near and part is near_part:
+                        part += joined
+                        joined = part
+                        continue
+                    if not part:
+                        continue
+                    hit = None
+                    for other, theirs in reversed(part):
                         both = len(own & theirs)
                         if both >= threshold * (len(own) + len(theirs) - both):
-                            out.append((other, cls))
-                            mine[0].extend(part[0])
-                            mine[1].update(part[1])
-                            part_of.update(dict.fromkeys(part[1], mine))
-                            part[0].clear()
-                            part[1].clear()
+                            hit = other
                             break
-                parts = [p for p in parts if p[0] or p is mine]
-                mine[0].append((cls, own))
+                    if hit is None:
+                        left.append(part)
+                        continue
+                    out.append((hit, cls))
+                    if part is near_part:
+                        part += joined
+                        joined = part
+                    else:
+                        joined += part
+                if near and near_part is None:
+                    near_part = joined
+                left.append(joined)
+                if near_part is not None and not any(p is near_part for p in left):
+                    left.append(near_part)
+                parts = left
             if out:
                 uv = np.array(out, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(uv[:, 0]), pa.array(uv[:, 1])], names=["u", "v"])
 
     sorted_rows = rows.repartition(*group).sortWithinPartitions(*group, F.size("sh"), "cls")
-    return sorted_rows.select(*group, "cls", "root", "sh").mapInArrow(run, "u long, v long")
+    return sorted_rows.select(*group, "cls", "near", "sh").mapInArrow(run, "u long, v long")
 
 
 def _prefixes(members: DataFrame, threshold: float) -> DataFrame:
@@ -89,32 +95,25 @@ def _prefixes(members: DataFrame, threshold: float) -> DataFrame:
 
 def _crowded(members: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """Links of the members of large buckets."""
-    # Buckets of near copies have most members in common: under a shingle each member stands once, whatever buckets it comes from.
-    under = scratch.stage(_prefixes(members, threshold).select("part", "cls").distinct(), "prefixes")
-    several = under.groupBy("part").agg(F.count("*").alias("n")).where("n > 1").select("part").hint("rebalance")
-    placed = scratch.stage(under.join(several, "part"), "placed")
-    sets = scratch.stage(members.select("cls", "sh").dropDuplicates(["cls"]), "sets")
-    links, rest = None, placed
-    for turn in range(CENTRES):
-        centres = rest.groupBy("part").agg(F.min("cls").alias("centre"), F.count("*").alias("n")).where("n > 1").select("part", "centre").hint("rebalance")
-        met = scratch.stage(rest.join(centres, "part").where("cls <> centre"), f"met{turn}")
-        pairs = met.select("centre", "cls").distinct()
-        both = pairs.join(sets, "cls").join(sets.select(F.col("cls").alias("centre"), F.col("sh").alias("middle")), "centre").withColumn("both", F.size(F.array_intersect("sh", "middle")))
-        found = scratch.stage(both.where(_reaches(threshold, "both", "size(sh)", "size(middle)")).select(F.col("centre").alias("u"), F.col("cls").alias("v")), f"found{turn}")
-        links = found if links is None else links.unionByName(found)
-        rest = met.join(found.withColumnsRenamed({"u": "centre", "v": "cls"}), ["centre", "cls"], "left_anti").select("part", "cls")
-        if rest.isEmpty():
-            break
-    roots = components(links)
-    known = scratch.stage(placed.join(roots, F.col("cls") == F.col("node"), "left").select("part", "cls", F.coalesce("root", "cls").alias("root")), "known")
-    apart = known.groupBy("part").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z")
-    apart = scratch.stage(apart.select("part", F.ceil(F.col("n") / TILE).alias("tiles")), "apart")
-    if apart.isEmpty():
+    centres = members.groupBy("key").agg(F.min_by("sh", "cls").alias("middle"), F.min("cls").alias("centre"))
+    both = members.join(centres, "key").withColumn("both", F.size(F.array_intersect("sh", "middle")))
+    starred = scratch.stage(
+        both.select("key", "cls", "sh", "centre", _reaches(threshold, "both", "size(sh)", "size(middle)").alias("near")),
+        "starred",
+    )
+    links = starred.where("near and cls <> centre").select(F.col("centre").alias("u"), F.col("cls").alias("v"))
+    apart = starred.where("not near").select("key").distinct()
+    rest = starred.join(apart, "key", "left_semi")
+    if rest.isEmpty():
         return links
-    placed = known.join(apart, "part").withColumn("own", F.pmod(F.xxhash64("cls"), "tiles"))
+    under = scratch.stage(_prefixes(rest, threshold).join(rest.select("key", "cls", "near"), ["key", "cls"]), "prefixes")
+    groups = under.groupBy("key", "part").agg(F.count("*").alias("n"), F.min("near").alias("all_near")).where("n > 1 and not all_near")
+    groups = groups.select("key", "part", F.ceil(F.col("n") / TILE).alias("tiles"))
+    placed = under.join(groups, ["key", "part"]).withColumn("own", F.pmod(F.xxhash64("cls"), "tiles"))
     tiles = placed.withColumn("every", F.explode(F.expr("sequence(0L, tiles - 1)")))
-    tiles = tiles.select("part", "cls", "root", F.least("own", "every").alias("i"), F.greatest("own", "every").alias("j"))
-    return links.unionByName(_compare(tiles.join(sets, "cls"), ["part", "i", "j"], threshold))
+    tiles = tiles.select("key", "cls", "near", "part", F.least("own", "every").alias("i"), F.greatest("own", "every").alias("j"))
+    sides = tiles.join(rest.select("key", "cls", "sh"), ["key", "cls"])
+    return links.unionByName(_compare(sides, ["key", "part", "i", "j"], threshold))
 
 
 def bucket_rows(postings: DataFrame, scratch: Scratch) -> DataFrame:
@@ -138,7 +137,7 @@ def similar_links(members: DataFrame, threshold: float, scratch: Scratch) -> Dat
     than ``CROWD`` members.  A set without elements links with nothing.  Repeated rows do no harm.
     """
     members = scratch.stage(members.where("size(sh) > 0").select("key", "cls", "sh", "crowd"), "members")
-    plain = scratch.stage(_compare(members.where("not crowd").withColumn("root", F.col("cls")), ["key"], threshold), "plain")
+    plain = scratch.stage(_compare(members.where("not crowd").withColumn("near", F.lit(False)), ["key"], threshold), "plain")
     crowd = members.where("crowd").drop("crowd")
     if crowd.isEmpty():
         return plain
