@@ -41,8 +41,8 @@ def near_pairs(df: DataFrame, key: str, hash_col: str, most: int, within: str |
     return pairs.where(F.col("d") <= most).select("a", "b", "d").distinct()
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read back, so that rounds do not pile up."""
+def cut(df: DataFrame, name: str = "round") -> DataFrame:
+    """Written to the shared folder and read back: rounds do not pile up, and what depends on partitions is computed once."""
     spark = df.sparkSession
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
@@ -52,7 +52,7 @@ def _cut(df: DataFrame) -> DataFrame:
 
         top = "file://" + tempfile.mkdtemp(prefix="lodestack-")
         spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top.rstrip('/')}/lodestack/round-{uuid.uuid4().hex}"
+    path = f"{top.rstrip('/')}/lodestack/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -62,9 +62,9 @@ def first_fit(df: DataFrame, key: str, hash_col: str, most: int, within: str | N
 
     Order is that of ``key``, which must be unique.  Rows without a hash are on their own.
     """
-    pairs = _cut(near_pairs(df, key, hash_col, most, within).select("a", "b"))
+    pairs = cut(near_pairs(df, key, hash_col, most, within).select("a", "b"))
     settled = None  # k, rep: rows in pairs that are decided
-    open_ = _cut(pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct())
+    open_ = cut(pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct())
     while not open_.isEmpty():
         earlier = pairs.join(open_.withColumnRenamed("k", "b"), "b")
         if settled is None:
@@ -76,9 +76,9 @@ def first_fit(df: DataFrame, key: str, hash_col: str, most: int, within: str | N
             "k",
             F.when(F.col("covered").isNull(), True).when(F.col("covered"), False).when(F.col("all_done"), True).alias("rep"),
         )
-        now = _cut(now)
+        now = cut(now)
         fresh = now.where("rep is not null")
-        settled = fresh if settled is None else _cut(settled.unionByName(fresh))
+        settled = fresh if settled is None else cut(settled.unionByName(fresh))
         open_ = now.where("rep is null").select("k")
     if settled is None:
         return df.select(key, F.col(key).alias("representative"))

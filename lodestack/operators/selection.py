@@ -16,10 +16,13 @@ def ranked(df: DataFrame, groups: list[str], order: list[Column | str], out: str
     """``out``: 1, 2, 3 and so on by ``order`` within groups, none of which has to fit into one task.
 
     Rows are sorted by ranges of groups and order; a row's rank is its place in its partition and the number of its group's
-    rows in those before.  ``order`` should end with a key, so that ranks do not depend on partitions.
+    rows in those before.  ``order`` should end with a key, so that ranks do not depend on partitions.  Ranges are drawn from
+    a sample, another one each time, so places are written once and read by both sides of the join.
     """
+    from .dedup import cut
+
     sorts = [F.col(g) if isinstance(g, str) else g for g in [*groups, *order]]
-    placed = df.repartitionByRange(*sorts).sortWithinPartitions(*sorts).withColumns({"p_": F.spark_partition_id(), "m_": F.monotonically_increasing_id()})
+    placed = cut(df.repartitionByRange(*sorts).sortWithinPartitions(*sorts).withColumns({"p_": F.spark_partition_id(), "m_": F.monotonically_increasing_id()}), "places")
     counts = placed.groupBy("p_", *groups).agg(F.min("m_").alias("first_"), F.count("*").alias("here_"))
     # A row for each partition and group in it: partitions and groups together at most.
     before = F.sum("here_").over(Window.partitionBy(*groups).orderBy("p_")) - F.col("here_")

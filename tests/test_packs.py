@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 
@@ -115,6 +116,22 @@ def test_ranks_do_not_need_a_task_for_each_group(spark):
     assert sorted(r.n for r in selection.ranked(df, [], ["k"], "n").collect()) == list(range(1, 301)) and selection.ranked(df.limit(0), ["g"], ["k"], "n").count() == 0
 
 
+def test_ranks_are_gapless_when_ranges_are_drawn_anew(spark):
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.exchange.reuse": "false", "spark.sql.execution.rangeExchange.sampleSizePerPartition": "2"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(0, 5000, 1, 6)
+        got = {r.id: r.n for r in selection.ranked(df, [], [selection.chance(7, "id"), "id"], "n").collect()}
+        levels = selection.balanced_schedule(df, "id", 5000, {"size": [8, 15, 30], "blur": ["none", "mild"]}, 42).groupBy("size").count().collect()
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    drawn = sorted(range(5000), key=lambda i: hashlib.sha256(f"7|{i}".encode()).hexdigest())
+    assert got == {i: n for n, i in enumerate(drawn, 1)}
+    assert {r["size"]: r["count"] for r in levels} == {8: 1667, 15: 1667, 30: 1666}
+
+
 def test_shares_leave_the_rest_to_the_first(spark):
     got = {r.subset: r["count"] for r in selection.assign_by_ratio(spark.range(11), "id", 11, {"a": 0.3, "b": 0.3, "c": 0.4}, 1).groupBy("subset").count().collect()}
     assert got == {"a": 4, "b": 3, "c": 4}
