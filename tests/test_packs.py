@@ -124,12 +124,19 @@ def test_ranks_are_gapless_when_ranges_are_drawn_anew(spark):
         df = spark.range(0, 5000, 1, 6)
         got = {r.id: r.n for r in selection.ranked(df, [], [selection.chance(7, "id"), "id"], "n").collect()}
         levels = selection.balanced_schedule(df, "id", 5000, {"size": [8, 15, 30], "blur": ["none", "mild"]}, 42).groupBy("size").count().collect()
+        candidates = df.selectExpr(
+            "concat('in/', id, '.jpg') as original_path", "'' as clip_output_path", "concat('out/', id, '.jpg') as output_path", "'field' as places365_category", "'horizon' as mapped_background_type",
+            "id % 7 as upper_sky_ratio", "'good' as clip_good_prompt", "'bad' as clip_bad_prompt", "id % 5 as clip_suitability_score", "'accept' as clip_filter_status",
+        )
+        manifest = {r.original_path: int(r.candidate_id.split("_")[2]) for r in packs.review_manifest(candidates).collect()}
     finally:
         for k in settings:
             spark.conf.unset(k)
     drawn = sorted(range(5000), key=lambda i: hashlib.sha256(f"7|{i}".encode()).hexdigest())
     assert got == {i: n for n, i in enumerate(drawn, 1)}
     assert {r["size"]: r["count"] for r in levels} == {8: 1667, 15: 1667, 30: 1666}
+    ordered = sorted(range(5000), key=lambda i: (-(i % 5), -(i % 7), f"in/{i}.jpg"))
+    assert manifest == {f"in/{i}.jpg": n for n, i in enumerate(ordered, 1)}
 
 
 def test_shares_leave_the_rest_to_the_first(spark):
