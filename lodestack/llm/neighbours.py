@@ -53,8 +53,12 @@ def vectors_of(column: pa.Array) -> list[np.ndarray | None]:
 
 
 def _blocks(df: DataFrame, id_col: str, vector_col: str, rows: int) -> DataFrame:
-    """Rows packed in blocks: ids, vectors, int8 codes, and per vector its scale, norm and error's norm."""
+    """Rows packed in blocks: ids, vectors, int8 codes, and per vector its scale, norm and error's norm.
+
+    Vectors keep 32 bits if the column has them; all is computed in double precision.
+    """
     source = only(df, id_col, vector_col)
+    narrow = source.schema[1].dataType.simpleString() == "array<float>"
 
     def packed(key: int, dim: int, ids: list[int], vs: list[np.ndarray]) -> dict:
         x = np.array(vs)
@@ -65,7 +69,7 @@ def _blocks(df: DataFrame, id_col: str, vector_col: str, rows: int) -> DataFrame
             "block": key,
             "dim": dim,
             "ids": np.array(ids, np.int64).tobytes(),
-            "vectors": x.tobytes(),
+            "vectors": (x.astype(np.float32) if narrow else x).tobytes(),
             "codes": code.tobytes(),
             "facts": np.stack([scale, np.linalg.norm(x, axis=1), off]).tobytes(),
         }
@@ -103,11 +107,17 @@ def _inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
+def _vectors(block: dict) -> np.ndarray:
+    """A block's vectors, as they are held."""
+    rows = len(block["ids"]) // 8 * block["dim"]
+    return np.frombuffer(block["vectors"], np.float32 if len(block["vectors"]) == 4 * rows else np.float64).reshape(-1, block["dim"])
+
+
 def _tile(q: dict, c: dict, best: list[list], k: int) -> None:
     """Merge a tile's pairs into ``best``: per query (-score, id), ascending."""
     dim = q["dim"]
     qi, ci = np.frombuffer(q["ids"], np.int64), np.frombuffer(c["ids"], np.int64)
-    qx, cx = np.frombuffer(q["vectors"]).reshape(-1, dim), np.frombuffer(c["vectors"]).reshape(-1, dim)
+    qx, cx = _vectors(q), _vectors(c)
     qs, qn, qe = np.frombuffer(q["facts"]).reshape(3, -1)
     cs, cn, ce = np.frombuffer(c["facts"]).reshape(3, -1)
     qc, cc = np.frombuffer(q["codes"], np.int8).reshape(-1, dim), np.frombuffer(c["codes"], np.int8).reshape(-1, dim)
@@ -121,7 +131,7 @@ def _tile(q: dict, c: dict, best: list[list], k: int) -> None:
     floor = np.full(len(qi), -np.inf) if need >= len(ci) else -np.partition(-low, need - 1, axis=1)[:, need - 1]
     held = np.array([-b[-1][0] if len(b) == k else -np.inf for b in best])
     row, col = np.nonzero((near + bound >= np.maximum(floor, held)[:, None]) & (near > -np.inf))
-    score = _inner(qx[row], cx[col])
+    score = _inner(qx[row].astype(np.float64), cx[col].astype(np.float64))
     cuts = np.searchsorted(row, np.arange(len(qi) + 1))
     for i in range(len(qi)):
         s, e = cuts[i], cuts[i + 1]
@@ -161,7 +171,8 @@ def nearest(
         q = stage(_blocks(df.where(queries), id_col, vector_col, block_rows // 2), "queries")
     left = c.select("*", F.pmod(F.xxhash64("block"), F.lit(groups)).alias("g"))
     right = q.select(*[F.col(x).alias("q_" + x) for x in q.columns], F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("q_g"))
-    tiles = left.join(right, (F.col("g") == F.col("q_g")) & (F.col("dim") == F.col("q_dim")))
+    # Spark's estimate of the query blocks leaves their copies out, and a broadcast would bring them all to the driver.
+    tiles = left.join(right.hint("merge"), (F.col("g") == F.col("q_g")) & (F.col("dim") == F.col("q_dim")))
     names = [x.name for x in SCHEMA]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -38,6 +38,19 @@ def test_nearest_of_few(spark):
     assert neighbours.nearest(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_query_blocks_are_not_sent_through_the_driver(spark, monkeypatch):
+    plans = []
+
+    def staged(df, name, put=neighbours.stage):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return put(df, name)
+
+    monkeypatch.setattr(neighbours, "stage", staged)
+    df = table(spark, [(0, [1, 0]), (1, [0, 1]), (2, [2, 0])])
+    assert neighbours.nearest(df, F.col("vec_id") == 0).count() == 2
+    assert len(plans) == 3 and "Join" in plans[2] and "Broadcast" not in plans[2]
+
+
 def test_projections_against_brute_force(spark):
     rng = np.random.default_rng(2)
     base = rng.standard_normal((20, 16))
