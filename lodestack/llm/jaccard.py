@@ -2,7 +2,7 @@
 
 Sets come as sorted arrays of 64-bit shingle hashes.  Buckets of up to ``CROWD`` members are compared in one task.  Larger
 ones are first compared with their centre, the member with the least number, by a join that Spark can split.  Members that
-the centre does not reach are compared with those that share one of their rarest shingles: two sets at the threshold
+the centre does not reach, and those near it that the triangle inequality lets them link with, are compared with those that share one of their rarest shingles: two sets at the threshold
 always share one among the first few in any common order (prefix filter), and rare ones first keep the groups small.
 Groups that are still large are dealt out in tiles.  No link between components is lost on either way.
 """
@@ -97,13 +97,15 @@ def _crowded(members: DataFrame, threshold: float, scratch: Scratch) -> DataFram
     """Links of the members of large buckets."""
     centres = members.groupBy("key").agg(F.min_by("sh", "cls").alias("middle"), F.min("cls").alias("centre"))
     both = members.join(centres, "key").withColumn("both", F.size(F.array_intersect("sh", "middle")))
+    away = F.expr("1D - both / (size(sh) + size(middle) - both)").alias("away")
     starred = scratch.stage(
-        both.select("key", "cls", "sh", "centre", _reaches(threshold, "both", "size(sh)", "size(middle)").alias("near")),
+        both.select("key", "cls", "sh", "centre", away, _reaches(threshold, "both", "size(sh)", "size(middle)").alias("near")),
         "starred",
     )
     links = starred.where("near and cls <> centre").select(F.col("centre").alias("u"), F.col("cls").alias("v"))
-    apart = starred.where("not near").select("key").distinct()
-    rest = starred.join(apart, "key", "left_semi")
+    apart = starred.where("not near").groupBy("key").agg(F.min("away").alias("nearest"))
+    # Jaccard distance is a metric: a member that links with one apart is as far from the centre, less that link's length, at least.
+    rest = starred.join(apart, "key").where(F.expr(f"not near or away >= nearest - {1 - threshold!r}D - 1e-9D")).drop("nearest")
     if rest.isEmpty():
         return links
     under = scratch.stage(_prefixes(rest, threshold).join(rest.select("key", "cls", "near"), ["key", "cls"]), "prefixes")

@@ -254,6 +254,23 @@ def test_crowded_buckets_lose_no_link(spark, monkeypatch, tile):
     assert brute_components(n, got) == want and 3 < len(set(want)) < n - 10
 
 
+def test_near_members_out_of_reach_are_not_spread(spark, monkeypatch):
+    """Of a crowded bucket only those members meet by shingles that can link with one that the centre does not reach."""
+    asked = []
+
+    def prefixes(members, threshold, put=jaccard._prefixes):
+        asked.extend(r.cls for r in members.select("cls").collect())
+        return put(members, threshold)
+
+    monkeypatch.setattr(jaccard, "_prefixes", prefixes)
+    base = list(range(100))
+    rows = [(1, base), *[(i, [*base[:98], 1000 + i]) for i in range(2, 30)], (30, base[:84]), (31, base[:75]), (32, list(range(500, 550)))]
+    df = spark.createDataFrame([(5, i, x, True) for i, x in rows], "key long, cls long, sh array<long>, crowd boolean")
+    with common.Scratch(spark, "test") as scratch:
+        got = {tuple(sorted((r.u, r.v))) for r in jaccard.similar_links(df, 0.8, scratch).collect()}
+    assert sorted(asked) == [30, 31, 32] and (30, 31) in got and {(1, i) for i in range(2, 31)} <= got
+
+
 def test_passages_with_changed_words_and_hot_ones(spark, monkeypatch):
     """Copies join across a changed word; passages of many copies are counted by aggregations, with the same result."""
     rng = random.Random(9)
