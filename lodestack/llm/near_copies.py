@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import Maybe, Scratch, free_name, only, small_batches, stage
 from .components import components
-from .jaccard import bucket_rows, similar_links
+from .jaccard import bucket_links, bucket_rows
 from .paragraphs import RECALL, ROWS, Sketcher, WordHashes, bands_for, segment_shingles, shingle_hashes, words_of
 
 
@@ -70,7 +70,7 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
         texts = scratch.stage(_sketches(df, id_col, text_col, bands_for(threshold, recall=recall), words_per_shingle, seed), "sketches")
         met = bucket_rows(texts.select(F.explode("keys").alias("key"), "cls"), scratch)
         held = Maybe(met.select("cls")).of(texts, "cls")
-        roots = components(similar_links(met.join(_sets(held, words_per_shingle), "cls"), threshold, scratch))
+        roots = components(bucket_links(met.join(_sets(held, words_per_shingle), "cls"), threshold, scratch))
         named = roots.join(texts.select("cls", "id"), F.col("node") == F.col("cls")).select("root", "id")
         least = named.groupBy("root").agg(F.min("id").alias("least"))
         name = free_name(df, "id_")

@@ -31,16 +31,16 @@ from pyspark.sql import functions as F
 
 from .common import Maybe, Scratch, free_name, small_batches, stage
 from .components import components
-from .jaccard import bucket_rows, similar_links
+from .jaccard import bucket_links, bucket_rows
 
 ROWS = 3
 RECALL = 0.998
 #: Bands of runs.  A band is the shingle at which a run begins, itself the least of its stretch, and one more least value; so runs
 #: that overlap in a text do not meet.  Runs at similarity 0.8 that begin alike meet with probability 0.992; equal ones need no band.
 RUN_BANDS = 3
-#: Copies of a run that one task compares at once: with at most 26 stretches a copy and some 64 bytes of arrays for each, about 100 MB.
+#: Copies of a run that one task compares at once: with at most 26 stretches a copy and some 64 bytes of arrays for each, about 30 MB.
 #: More copies take the way of ``_verbatim_hot``, with the same result.
-HOT = 1 << 16
+HOT = 1 << 14
 #: Words that are hashed at once, unless one text has more.
 WORDS = 100_000
 
@@ -76,7 +76,7 @@ class WordHashes(dict):
 
     def of(self, words: list[str]) -> np.ndarray:
         """Their hashes."""
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
@@ -528,7 +528,7 @@ def copied_spans(source: DataFrame, bands: int, threshold: float, k: int, min_wo
 
         # Near copies, by components of verified links.
         members = met.join(details.where("sh is not null").select("cls", "sh").dropDuplicates(["cls"]), "cls")
-        roots = components(similar_links(members, threshold, scratch))
+        roots = components(bucket_links(members, threshold, scratch))
         linked = scratch.stage(first.join(roots, F.col("cls") == F.col("node")).select("cls", "first", "root"), "linked")
         originals = linked.groupBy("root").agg(F.min("first").alias("original"))
         near = linked.join(originals, "root").where(F.col("first") != F.col("original")).select(F.col("cls").alias("c"), "original")

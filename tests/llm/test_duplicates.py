@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -271,6 +272,47 @@ def test_near_members_out_of_reach_are_not_spread(spark, monkeypatch):
     assert sorted(asked) == [30, 31, 32] and (30, 31) in got and {(1, i) for i in range(2, 31)} <= got
 
 
+def test_arrays_and_sets_join_the_same_parts():
+    rng = random.Random(12)
+    for n in (2, 12, 60):
+        sets = sorted((sorted(rng.sample(range(26), rng.randrange(1, 25))) for _ in range(n)), key=len)
+        for near in ([False] * n, [rng.random() < 0.3 for _ in range(n)]):
+            start = [i for i in range(n) if near[i]]
+            links = [(a, b) for a in range(n) for b in range(a) if len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})]
+            want = brute_components(n, [*links, *zip(start, start[1:])])
+            for way in (jaccard._links_of_few, jaccard._links_of_many):
+                got = way(list(range(n)), near, [np.array(x, np.int64) for x in sets], 0.8)
+                assert {tuple(sorted(x, reverse=True)) for x in got} <= set(links)
+                assert brute_components(n, [*got, *zip(start, start[1:])]) == want
+    assert len(set(want)) > 3
+
+
+@pytest.mark.parametrize(("members", "elements"), [(4096, 1 << 20), (4096, 1000), (200, 1 << 20)])
+def test_only_buckets_too_large_for_a_task_are_spread(spark, monkeypatch, members, elements):
+    """A bucket of 300 near copies is compared in one task unless its members or their elements are too many; links are the same."""
+    spread = []
+
+    def crowded(rows, *more, put=jaccard._crowded):
+        spread.append(rows.count())
+        return put(rows, *more)
+
+    monkeypatch.setattr(jaccard, "_crowded", crowded)
+    monkeypatch.setattr(jaccard, "MEMBERS", members)
+    monkeypatch.setattr(jaccard, "ELEMENTS", elements)
+    rng = random.Random(13)
+    sets = [set(range(40)) for _ in range(300)]
+    for x in sets:
+        for _ in range(rng.randrange(8)):
+            x.discard(rng.randrange(40))
+            x.add(rng.randrange(100, 120))
+    want = brute_components(300, [(a, b) for a in range(300) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    df = spark.createDataFrame([(7, i, sorted(x), True) for i, x in enumerate(sets)], "key long, cls long, sh array<long>, crowd boolean")
+    with common.Scratch(spark, "test") as scratch:
+        got = [(r.u, r.v) for r in jaccard.bucket_links(df, 0.8, scratch).collect()]
+    assert brute_components(300, got) == want and 1 < len(set(want)) < 300
+    assert spread == ([] if (members, elements) == (4096, 1 << 20) else [300])
+
+
 def test_passages_with_changed_words_and_hot_ones(spark, monkeypatch):
     """Copies join across a changed word; passages of many copies are counted by aggregations, with the same result."""
     rng = random.Random(9)
