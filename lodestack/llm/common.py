@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that Arrow hands to Python at once; whole texts are long, so few.
 BATCH_ROWS = 2000
+#: Bytes of its own that a Python worker may keep between tasks.
+KEPT = 128 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -92,6 +99,45 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def own_bytes() -> int:
+    """Resident bytes of this process without mapped files; 0 where the system does not tell."""
+    try:
+        with open("/proc/self/statm") as f:
+            _, resident, shared = map(int, f.read().split()[:3])
+    except OSError:
+        return 0
+    return (resident - shared) * os.sysconf("SC_PAGE_SIZE")
+
+
+def hand_back() -> None:
+    """Return memory that is free in this process to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def tidy(run: Callable, forget: Callable[[], None] | None = None) -> Callable:
+    """``run``, a function for ``mapInArrow``, whose worker keeps at most ``KEPT`` bytes when the task ends.
+
+    Workers stay for later tasks, of other steps too, and allocators keep what the largest task took.  ``forget`` empties what
+    the worker holds from task to task, if it holds more.
+    """
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            if own_bytes() > KEPT:
+                if forget:
+                    forget()
+                hand_back()
+
+    return tidied
+
+
 class Maybe:
     """A filter of fixed size for values: rows whose value is not among them mostly go.
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Maybe, Scratch
+from .common import Maybe, Scratch, tidy
 
 #: Members of buckets whose elements are counted before one task compares them.
 CROWD = 256
@@ -112,7 +112,7 @@ def _compare(rows: DataFrame, group: list[str], threshold: float) -> DataFrame:
             yield _link_rows(out)
 
     sorted_rows = rows.repartition(*group).sortWithinPartitions(*group, F.size("sh"), "cls")
-    return sorted_rows.select(*group, "cls", "near", "sh").mapInArrow(run, "u long, v long")
+    return sorted_rows.select(*group, "cls", "near", "sh").mapInArrow(tidy(run), "u long, v long")
 
 
 def _link_rows(links: list[tuple[int, int]]) -> pa.RecordBatch:

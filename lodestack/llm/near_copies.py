@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Maybe, Scratch, free_name, only, small_batches, stage
+from .common import Maybe, Scratch, free_name, only, small_batches, stage, tidy
 from .components import components
 from .jaccard import bucket_links, bucket_rows
 from .paragraphs import RECALL, ROWS, Sketcher, WordHashes, bands_for, segment_shingles, shingle_hashes, words_of
@@ -40,7 +40,7 @@ def _sketches(df: DataFrame, id_col: str, text_col: str, bands: int, k: int, see
                 )
                 place += len(rows)
 
-    return source.mapInArrow(run, f"cls long, id {source.schema['id'].dataType.simpleString()}, text string, keys array<long>")
+    return source.mapInArrow(tidy(run), f"cls long, id {source.schema['id'].dataType.simpleString()}, text string, keys array<long>")
 
 
 def _sets(texts: DataFrame, k: int) -> DataFrame:
@@ -57,7 +57,7 @@ def _sets(texts: DataFrame, k: int) -> DataFrame:
                     sets.append(np.unique(own.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["cls", "sh"])
 
-    return texts.select("cls", "text").mapInArrow(run, "cls long, sh array<long>")
+    return texts.select("cls", "text").mapInArrow(tidy(run), "cls long, sh array<long>")
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, words_per_shingle: int = 5, recall: float = RECALL, seed: int = 13) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import SLICE_BYTES, slices
-from .common import only, small_batches, stage
+from .common import only, small_batches, stage, tidy
 from .merges import MergeTable, WordCache
 
 CACHE_WORDS = 300_000
@@ -83,12 +83,13 @@ class WordBpe:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids (little-endian, four bytes each) of texts, without special tokens added."""
-        cut = [t.lower().split() if self._plain(t) else None for t in texts]
-        self.cache.learn(dict.fromkeys(itertools.chain.from_iterable(c for c in cut if c)), self._pack)
+        plain = [self._plain(t) for t in texts]
+        # Texts are split twice: their words, held all at once, take some ten times the texts.
+        self.cache.learn(dict.fromkeys(itertools.chain.from_iterable(t.lower().split() for t, p in zip(texts, plain) if p)), self._pack)
         get = self.cache.__getitem__
         return [
-            np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if c is None else b"".join(map(get, c))
-            for t, c in zip(texts, cut)
+            b"".join(map(get, t.lower().split())) if p else np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+            for t, p in zip(texts, plain)
         ]
 
 
@@ -97,12 +98,19 @@ _held: dict[str, WordBpe] = {}
 
 def tokenizer(path: str) -> WordBpe:
     """One tokenizer for each worker process."""
+    gc.disable()  # the caches hold no cycles, and walking them takes long
     if path not in _held:
-        gc.disable()  # the caches hold no cycles, and walking them takes long
         _held[path] = WordBpe(path)
     return _held[path]
 
 
+def _forget() -> None:
+    """Empty the tokenizers' caches."""
+    for held in _held.values():
+        held.cache.clear()
+    gc.enable()
+
+
 def tokenised(df: DataFrame, path: str, end_id: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """Rows with their place (``part``, ``row``), packed ids and the start in their partition's queue."""
     small_batches(df.sparkSession)
@@ -145,7 +153,7 @@ def tokenised(df: DataFrame, path: str, end_id: int, id_col: str, text_col: str,
             T.StructField("ids", T.BinaryType()),
         ]
     )
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run, _forget), schema)
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Maybe, Scratch, free_name, small_batches, stage
+from .common import Maybe, Scratch, free_name, small_batches, stage, tidy
 from .components import components
 from .jaccard import bucket_links, bucket_rows
 
@@ -254,7 +254,7 @@ def _units(texts: DataFrame, bands: int, rows: int, k: int, seed: int, min_words
                     yield unit_rows(b, row + s, at - begins[row], np.full(len(at), length), True, _run_classes(h, at, length), keys)
 
     doc = texts.schema["doc"].dataType.simpleString()
-    return texts.select("doc", "place", "text").mapInArrow(run, f"doc {doc}, place binary, start int, words int, run boolean, cls long, keys array<long>")
+    return texts.select("doc", "place", "text").mapInArrow(tidy(run), f"doc {doc}, place binary, start int, words int, run boolean, cls long, keys array<long>")
 
 
 def _ranges(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -319,7 +319,7 @@ def _details(wanted: DataFrame, k: int, min_words: int) -> DataFrame:
                 yield batch(b.num_rows)
 
     doc = wanted.schema["doc"].dataType.simpleString()
-    return wanted.mapInArrow(run, f"cls long, place binary, doc {doc}, start int, sh array<long>, stretches array<int>, n int")
+    return wanted.mapInArrow(tidy(run), f"cls long, place binary, doc {doc}, start int, sh array<long>, stretches array<int>, n int")
 
 
 def _short(place: bytes) -> int:
@@ -397,7 +397,7 @@ def _verbatim(rows: DataFrame, n: int, scratch: Scratch) -> DataFrame:
                 yield _spans_of(row, at, copied, names[place[row[first]]], places, n)
 
     few = rows.where(F.col("n") <= HOT).repartition("cls").sortWithinPartitions("cls", "doc", "place", "start")
-    found = few.select("cls", "place", "start", "stretches").mapInArrow(run, _SPANS)
+    found = few.select("cls", "place", "start", "stretches").mapInArrow(tidy(run), _SPANS)
     hot = rows.where(F.col("n") > HOT)
     return found if hot.isEmpty() else found.unionByName(_verbatim_hot(hot, n, scratch))
 
@@ -433,7 +433,7 @@ def _verbatim_hot(rows: DataFrame, n: int, scratch: Scratch) -> DataFrame:
                 names=["cls", "slice", "h", "docs", "places", "at", "times"],
             )
 
-    packed = rows.select(*columns).mapInArrow(firsts, f"cls long, slice int, h array<int>, docs array<{kind}>, places array<binary>, at array<int>, times array<int>")
+    packed = rows.select(*columns).mapInArrow(tidy(firsts), f"cls long, slice int, h array<int>, docs array<{kind}>, places array<binary>, at array<int>, times array<int>")
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _complete_groups(batches, ["cls", "slice"]):
@@ -454,7 +454,7 @@ def _verbatim_hot(rows: DataFrame, n: int, scratch: Scratch) -> DataFrame:
                 own = pa.array(kept)
                 yield pa.RecordBatch.from_arrays([pa.array(cls[kept]), pa.array(h[kept]), flat["places"].take(own), flat["at"].take(own)], names=["cls", "h", "first", "at"])
 
-    again = packed.repartition("cls", "slice").sortWithinPartitions("cls", "slice").mapInArrow(shared, "cls long, h int, first binary, at int")
+    again = packed.repartition("cls", "slice").sortWithinPartitions("cls", "slice").mapInArrow(tidy(shared), "cls long, h int, first binary, at int")
     known = again.groupBy("cls").agg(F.collect_list(F.struct("h", "first", "at")).alias("k"))
     known = scratch.stage(known.select("cls", F.col("k.h").alias("stretches"), F.col("k.first").alias("firsts"), F.col("k.at").alias("ats")), "shared")
 
@@ -477,7 +477,7 @@ def _verbatim_hot(rows: DataFrame, n: int, scratch: Scratch) -> DataFrame:
     each = known.join(salts, "cls").select("cls", F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"), F.lit(None).cast("binary").alias("place"), F.lit(0).alias("start"), "stretches", "firsts", "ats")
     own = rows.select("cls", F.pmod(F.xxhash64("place"), F.ceil(F.col("n") / HOT)).alias("salt"), "place", "start", "stretches", F.lit(None).cast("array<binary>").alias("firsts"), F.lit(None).cast("array<int>").alias("ats"))
     grouped = each.unionByName(own).repartition("cls", "salt").sortWithinPartitions("cls", "salt", F.col("place").asc_nulls_first())
-    return grouped.select("place", "start", "stretches", "firsts", "ats").mapInArrow(spans, _SPANS)
+    return grouped.select("place", "start", "stretches", "firsts", "ats").mapInArrow(tidy(spans), _SPANS)
 
 
 def _heads(source: DataFrame, twice: DataFrame, scratch: Scratch) -> DataFrame:

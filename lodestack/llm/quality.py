@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, only, small_batches
+from .common import free_name, only, small_batches, tidy
 
 BUCKETS = 1 << 14
 FACTORS = 8
@@ -166,7 +166,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machin
                 names=["doc_id", "quality", "idx", "val"],
             )
 
-    found: pd.DataFrame = texts.mapInArrow(run, "doc_id long, quality long, idx binary, val binary").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    found: pd.DataFrame = texts.mapInArrow(tidy(run), "doc_id long, quality long, idx binary, val binary").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
     rows = [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)) for i, v in zip(found["idx"], found["val"])]
     return train(rows, found["quality"].to_numpy().astype(np.float64))
 
@@ -192,7 +192,7 @@ def score(df: DataFrame, machine: Machine, text_col: str = "text", name: str = "
                 out.append(1 / (1 + np.exp(-np.clip(z, -500, 500))))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(out) if out else [], pa.float64())], names=[*b.schema.names, name])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())]))
+    return df.mapInArrow(tidy(run), T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def classify(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

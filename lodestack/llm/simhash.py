@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, only, small_batches, stage
+from .common import free_name, only, small_batches, stage, tidy
 from .components import components
 
 PAIRWISE = 256
@@ -63,7 +63,7 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, words_per_shingle: i
             fps = [fingerprint(x, words_per_shingle, seed) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=[id_col, "fp"])
 
-    return source.mapInArrow(run, T.StructType([source.schema[id_col], T.StructField("fp", T.LongType())]))
+    return source.mapInArrow(tidy(run), T.StructType([source.schema[id_col], T.StructField("fp", T.LongType())]))
 
 
 def _links_in_list(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -132,7 +132,7 @@ def fingerprint_links(distinct: DataFrame, most: int = 2) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(uv[:, 0]), pa.array(uv[:, 1])], names=["u", "v"])
 
     many = postings.repartition("key").sortWithinPartitions("key", "fp")
-    return many.mapInArrow(run, "u long, v long")
+    return many.mapInArrow(tidy(run), "u long, v long")
 
 
 def _and_last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
