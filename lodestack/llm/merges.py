@@ -173,6 +173,119 @@ class MergeTable:
         return alive
 
 
+class PairRanks:
+    """Ranks of pairs by open addressing; keys are those of ``MergeTable``."""
+
+    def __init__(self, key: np.ndarray, rank: np.ndarray):
+        self.shift = 64 - max(4, int(len(key) * 4).bit_length())
+        self.last = (1 << (64 - self.shift)) - 1
+        self.key, self.rank = np.full(self.last + 1, -1, np.int64), np.full(self.last + 1, NONE, np.int32)
+        slot = self._slot(key)
+        while len(key):
+            free = self.key[slot] < 0
+            first = np.zeros(len(key), bool)
+            first[np.unique(slot, return_index=True)[1]] = True
+            put = free & first
+            self.key[slot[put]], self.rank[slot[put]] = key[put], rank[put]
+            key, rank, slot = key[~put], rank[~put], slot[~put] + 1 & self.last
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(self.shift)).view(np.int64)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs, NONE where a pair never merges."""
+        key = left.astype(np.int64) << 20 | right
+        slot = self._slot(key)
+        held = self.key[slot]
+        found = np.where(held == key, self.rank[slot], NONE)
+        open_ = np.flatnonzero((held != key) & (held >= 0))
+        while len(open_):
+            at = slot[open_] + 1 & self.last
+            slot[open_], held = at, self.key[at]
+            hit = held == key[open_]
+            found[open_[hit]] = self.rank[at[hit]]
+            open_ = open_[~hit & (held >= 0)]
+        return found
+
+
+class ShortWords:
+    """Merge replay for many short words: those of one length side by side, a column each.
+
+    From the longest down, every word of that many symbols makes its next merge, of least rank and then leftmost, and goes on
+    among the words with one symbol less; words without a merge are done.
+    """
+
+    #: Bytes of the longest words; a column's cost grows with the square of its length.
+    MOST = 48
+
+    def __init__(self, table: MergeTable):
+        self.table, self.ranks = table, PairRanks(table.key, table.rank)
+
+    def encode(self, raw: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids of words of 1 to ``MOST`` bytes that begin at places of ``raw``, and all ids in their order."""
+        n = np.zeros(len(lengths), np.int64)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        word, sym, rank = np.zeros(0, np.int64), np.zeros((0, 0), np.int32), np.zeros((0, 0), np.int32)
+        for length in range(int(lengths.max(initial=0)), 0, -1):
+            own = np.flatnonzero(lengths == length)
+            if len(own):
+                own_sym = self._symbols(raw, begin[own], length)
+                own_rank = self.ranks(own_sym[:-1].ravel(), own_sym[1:].ravel()).reshape(length - 1, len(own))
+                if len(word):
+                    word, sym, rank = np.concatenate((word, own)), np.concatenate((sym, own_sym), 1), np.concatenate((rank, own_rank), 1)
+                else:
+                    word, sym, rank = own, own_sym, own_rank
+            if not len(word):
+                continue
+            at = self._next(rank)
+            over = at < 0
+            if over.any():
+                n[word[over]] = length
+                done.append((word[over], sym[:, over]))
+                go = ~over
+                word, sym, rank, at = word[go], sym[:, go], rank[:, go], at[go]
+            if len(word):
+                sym, rank = self._merged(sym, rank, at)
+        first = np.cumsum(n) - n
+        ids = np.empty(int(n.sum()), "<u4")
+        for w, s in done:
+            for j, row in enumerate(s):
+                ids[first[w] + j] = row
+        return n, ids
+
+    def _symbols(self, raw: np.ndarray, begin: np.ndarray, length: int) -> np.ndarray:
+        sym = np.empty((length, len(begin)), np.int32)
+        for j in range(length):
+            sym[j] = (self.table.first if j < length - 1 else self.table.last)[raw[begin + j]]
+        return sym
+
+    def _next(self, rank: np.ndarray) -> np.ndarray:
+        """The place of each column's next merge, -1 if there is none."""
+        at, least = np.full(rank.shape[1], -1, np.int64), np.full(rank.shape[1], NONE, np.int32)
+        for j, row in enumerate(rank):
+            less = row < least
+            at[less] = j
+            np.minimum(least, row, out=least)
+        return at
+
+    def _merged(self, sym: np.ndarray, rank: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every column with the pair at its place merged."""
+        columns = np.arange(len(at))
+        made = self.table.made[rank[at, columns]]
+        left = np.empty((len(sym) - 1, len(at)), np.int32)
+        ranks = np.empty((len(rank) - 1, len(at)), np.int32)
+        for j in range(len(left)):
+            left[j] = np.where(at < j, sym[j + 1], sym[j])
+        for j in range(len(ranks)):
+            ranks[j] = np.where(at > j, rank[j], rank[j + 1])
+        left[at, columns] = made
+        c = np.flatnonzero(at > 0)
+        ranks[at[c] - 1, c] = self.ranks(left[at[c] - 1, c], made[c])
+        c = np.flatnonzero(at < len(ranks))
+        ranks[at[c], c] = self.ranks(made[c], left[at[c] + 1, c])
+        return left, ranks
+
+
 def printable_bytes() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]

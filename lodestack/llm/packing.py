@@ -16,16 +16,16 @@ partitions added up.  No source has to fit into a task; ids move once, joined to
 
 from __future__ import annotations
 
-import gc
 import itertools
 import json
 import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -34,45 +34,123 @@ from pyspark.sql import types as T
 
 from .bpe import SLICE_BYTES, slices
 from .common import only, small_batches, stage, tidy
-from .merges import MergeTable, WordCache
+from .merges import MergeTable, ShortWords
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
+#: Words that a worker takes along to its next task.
+KEPT_WORDS = 65_536
 WINDOW = 4096
 QUANTUM = 256
 
 
+def _gathered(values: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Stretches of ``values``, each from its begin on, one after another."""
+    at = np.repeat(begin - (np.cumsum(n) - n), n)
+    at += np.arange(len(at))
+    return values[at]
+
+
+class WordIds:
+    """Ids of words seen, in flat arrays.
+
+    When full, only the words met most often stay, and those of the slice at hand, which costs time but no result.
+    """
+
+    def __init__(self, most: int):
+        self.most = most
+        self.clear()
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def clear(self) -> None:
+        self.words = pa.array([], pa.string())
+        self.n = self.begin = self.met = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, "<u4")
+
+    def keep(self, most: int) -> None:
+        """Forget all but the ``most`` words met most often."""
+        if len(self) > most:
+            rows = np.argsort(-self.met, kind="stable")[:most]
+            words, met, (n, ids) = self.words.take(pa.array(rows)), self.met[rows], self.spell(rows)
+            self.clear()
+            self._add(words, n, ids, met)
+
+    def rows(self, words: pa.StringArray, times: np.ndarray, encode: Callable[[pa.StringArray], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Rows of distinct words, each met so many times more; those that are not held are encoded."""
+        at = self._find(words)
+        if len(self) + np.count_nonzero(at < 0) > self.most:
+            self.keep(self.most // 4)
+            at = self._find(words)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            fresh = words.take(pa.array(new))
+            at[new] = len(self) + np.arange(len(new))
+            self._add(fresh, *encode(fresh), np.zeros(len(new), np.int64))
+        self.met[at] += times
+        return at
+
+    def spell(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each of these rows has, and the ids one after another."""
+        n = self.n[rows]
+        return n, _gathered(self.ids, self.begin[rows], n)
+
+    def _find(self, words: pa.StringArray) -> np.ndarray:
+        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
+
+    def _add(self, words: pa.StringArray, n: np.ndarray, ids: np.ndarray, met: np.ndarray) -> None:
+        self.words = pa.concat_arrays([self.words, words])
+        self.n, self.met, self.ids = np.concatenate((self.n, n)), np.concatenate((self.met, met)), np.concatenate((self.ids, ids))
+        self.begin = np.cumsum(self.n) - self.n
+
+
 class WordBpe:
     """The tokenizer of a file, with lower case and white space dropped, for whole texts.
 
-    No token spans white space, so texts are looked up by their words.  Texts with marks that the file's
-    normaliser treats in a special way go through the ``tokenizers`` library itself.
+    No token spans white space, so texts are looked up by their words.  Texts
+    with marks that the file's normaliser treats in a special way go through the ``tokenizers`` library as they are.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.table = MergeTable.from_json(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        # A line end stands between words; no match spans it.
+        self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] + "|\n")
         self.specials = [t["content"] for t in spec["added_tokens"]]
         self.library = Tokenizer.from_file(path)
+        self.table = MergeTable.from_json(path)
+        self.short = ShortWords(self.table)
         self.odd = re.compile("[\x1c-\x1fΣİ\ud800-\udfff]")
-        self.cache = WordCache(CACHE_WORDS)
-
-    def _pack(self, chunks: list[str]) -> list[bytes]:
-        cut = [self._words(c) for c in chunks]
-        words = dict.fromkeys(itertools.chain.from_iterable(cut))
-        packed = dict(zip(words, self.table.encode([w.encode("utf-8") for w in words], "<u4")))
-        return [packed[ws[0]] if len(ws) == 1 else b"".join([packed[w] for w in ws]) for ws in cut]
-
-    def _words(self, chunk: str) -> list[str]:
-        """Matches of the pattern; letters, with a mark behind them or not, need no search."""
-        if chunk.isalpha():
-            return [chunk]
-        if chunk[-1] in ".,;:" and chunk[:-1].isalpha():
-            return [chunk[:-1], chunk[-1]]
-        return self.pattern.findall(chunk)
+        self.cache = WordIds(CACHE_WORDS)
+
+    def _pack(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, each cut by the pattern into pieces: how many of each word, and all of them."""
+        cut = pa.array(self.pattern.findall("\n".join(words.to_pylist())), pa.string()).dictionary_encode()
+        n, ids = self._replayed(cut.dictionary)
+        at, begin = cut.indices.to_numpy(), np.cumsum(n) - n
+        between = pc.equal(cut.dictionary, "\n").to_numpy(zero_copy_only=False)
+        n[between] = 0
+        upto = np.cumsum(n[at])
+        upto = np.concatenate((upto[between[at]], upto[-1:] if len(at) else [0]))
+        return np.diff(upto, prepend=0), _gathered(ids, begin[at], n[at])
+
+    def _replayed(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces: how many of each, and all of them."""
+        if not len(pieces):
+            return np.zeros(0, np.int64), np.zeros(0, "<u4")
+        bounds = np.frombuffer(pieces.buffers()[1], np.int32)[: len(pieces) + 1].astype(np.int64)
+        raw, lengths = np.frombuffer(pieces.buffers()[2], np.uint8), np.diff(bounds)
+        few = lengths <= ShortWords.MOST
+        if few.all():
+            return self.short.encode(raw, bounds[:-1], lengths)
+        n, short = self.short.encode(raw, bounds[:-1][few], lengths[few])
+        long = self.table.encode([raw[bounds[i] : bounds[i + 1]].tobytes() for i in np.flatnonzero(~few)], "<u4")
+        at = np.empty(len(pieces), np.int64)
+        at[few], at[~few] = np.arange(len(n)), len(n) + np.arange(len(long))
+        n = np.concatenate((n, [len(x) // 4 for x in long]))
+        return n[at], _gathered(np.concatenate((short, np.frombuffer(b"".join(long), "<u4"))), (np.cumsum(n) - n)[at], n[at])
 
     def _plain(self, text: str) -> bool:
         from unicodedata import is_normalized
@@ -81,16 +159,22 @@ class WordBpe:
             return not ("<|" in text or self.odd.search(text))
         return is_normalized("NFC", text) and not (self.odd.search(text) or any(s in text for s in self.specials))
 
+    def _looked_up(self, texts: list[str]) -> Iterator[bytes]:
+        """Packed ids of plain texts by their words."""
+        split = pc.utf8_split_whitespace(pa.array([t.lower() for t in texts], pa.string()))
+        words = split.values.dictionary_encode()
+        at = words.indices.to_numpy()
+        rows = self.cache.rows(words.dictionary, np.bincount(at, minlength=len(words.dictionary)), self._pack)
+        n, ids = self.cache.spell(rows[at])
+        ends = np.concatenate(([0], np.cumsum(n)))[split.offsets.to_numpy()] * ids.itemsize
+        packed = ids.tobytes()
+        return (packed[a:b] for a, b in itertools.pairwise(ends.tolist()))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids (little-endian, four bytes each) of texts, without special tokens added."""
         plain = [self._plain(t) for t in texts]
-        # Texts are split twice: their words, held all at once, take some ten times the texts.
-        self.cache.learn(dict.fromkeys(itertools.chain.from_iterable(t.lower().split() for t, p in zip(texts, plain) if p)), self._pack)
-        get = self.cache.__getitem__
-        return [
-            b"".join(map(get, t.lower().split())) if p else np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-            for t, p in zip(texts, plain)
-        ]
+        found = self._looked_up([t for t, p in zip(texts, plain) if p]) if any(plain) else iter(())
+        return [next(found) if p else np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, p in zip(texts, plain)]
 
 
 _held: dict[str, WordBpe] = {}
@@ -98,7 +182,6 @@ _held: dict[str, WordBpe] = {}
 
 def tokenizer(path: str) -> WordBpe:
     """One tokenizer for each worker process."""
-    gc.disable()  # the caches hold no cycles, and walking them takes long
     if path not in _held:
         _held[path] = WordBpe(path)
     return _held[path]
@@ -108,7 +191,6 @@ def _forget() -> None:
     """Empty the tokenizers' caches."""
     for held in _held.values():
         held.cache.clear()
-    gc.enable()
 
 
 def tokenised(df: DataFrame, path: str, end_id: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -140,6 +222,7 @@ def tokenised(df: DataFrame, path: str, end_id: int, id_col: str, text_col: str,
             )
             row += n
             yield from out.to_batches(max_chunksize=1000)
+        tok.cache.keep(KEPT_WORDS)
 
     kind = source.schema
     schema = T.StructType(

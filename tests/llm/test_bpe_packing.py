@@ -1,5 +1,7 @@
 import base64
+import cProfile
 import hashlib
+import pstats
 import random
 import zlib
 
@@ -69,6 +71,30 @@ def test_word_bpe_equals_the_library():
         assert np.frombuffer(packed, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_word_bpe_with_a_full_cache_and_words_of_all_lengths():
+    """Words are replayed by columns up to a length, and otherwise one by one; what the cache forgets is made again."""
+    rng = random.Random(11)
+    library, own = Tokenizer.from_file(WORDS), packing.WordBpe(WORDS)
+    own.cache.most = 40
+    for k in range(12):
+        some = ["".join(rng.choices("aabéthe-1ñ", k=n)) for n in (*range(1, 60), 300)] + ["a" * n for n in range(1, 60)] + ["ab" * n for n in range(1, 30)]
+        some = [" ".join(rng.choices(some, k=40)) for _ in range(20)] + ["漢" * 30, "", " \n ", "the the", f" {k}"]
+        for text, packed in zip(some, own.encode(some)):
+            assert np.frombuffer(packed, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert [own.encode(x) for x in ([], [""], [" "])] == [[], [b""], [b""]]
+    own.cache.keep(10)
+    assert len(own.cache) <= 10 and own.encode(some) == packing.WordBpe(WORDS).encode(some)
+
+
+def test_word_bpe_takes_no_call_for_each_word():
+    """Words are looked up, cut and replayed together: calls for each of them made half of the time."""
+    rng = random.Random(7)
+    words = list(dict.fromkeys(f"{rng.choice(['th', 'é', 'ou'])}{rng.getrandbits(40):x}," for _ in range(30_000)))
+    own, profile = packing.WordBpe(WORDS), cProfile.Profile()
+    profile.runcall(own.encode, [" ".join(words[i : i + 500]) for i in range(0, len(words), 500)])
+    assert pstats.Stats(profile).total_calls < len(words)
+
+
 def check_packing(rows, pieces, window):
     library = Tokenizer.from_file(WORDS)
     by_doc, by_seq = {}, {}
