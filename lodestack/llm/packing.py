@@ -39,6 +39,8 @@ from .merges import MergeTable, ShortWords
 CACHE_WORDS = 500_000
 #: Words that a worker takes along to its next task.
 KEPT_WORDS = 65_536
+#: Words that are spelt at once.
+SPELT_WORDS = 1 << 17
 WINDOW = 4096
 QUANTUM = 256
 
@@ -165,10 +167,17 @@ class WordBpe:
         words = split.values.dictionary_encode()
         at = words.indices.to_numpy()
         rows = self.cache.rows(words.dictionary, np.bincount(at, minlength=len(words.dictionary)), self._pack)
-        n, ids = self.cache.spell(rows[at])
-        ends = np.concatenate(([0], np.cumsum(n)))[split.offsets.to_numpy()] * ids.itemsize
-        packed = ids.tobytes()
-        return (packed[a:b] for a, b in itertools.pairwise(ends.tolist()))
+        bounds = split.offsets.to_numpy()
+        del split, words
+        # Spelt some texts at a time, as places in the cache take several times the ids.
+        first = 0
+        while first < len(texts):
+            last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + SPELT_WORDS, "right")) - 1)
+            n, ids = self.cache.spell(rows[at[bounds[first] : bounds[last]]])
+            ends = np.concatenate(([0], np.cumsum(n)))[bounds[first : last + 1] - bounds[first]] * ids.itemsize
+            packed = ids.tobytes()
+            yield from (packed[a:b] for a, b in itertools.pairwise(ends.tolist()))
+            first = last
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids (little-endian, four bytes each) of texts, without special tokens added."""

@@ -86,6 +86,14 @@ def test_word_bpe_with_a_full_cache_and_words_of_all_lengths():
     assert len(own.cache) <= 10 and own.encode(some) == packing.WordBpe(WORDS).encode(some)
 
 
+def test_word_bpe_spelt_in_parts(monkeypatch):
+    some = [*texts(300, 4), "", "", "one two three"]
+    whole = packing.WordBpe(WORDS).encode(some)
+    for most in (1, 7, 100):
+        monkeypatch.setattr(packing, "SPELT_WORDS", most)
+        assert packing.WordBpe(WORDS).encode(some) == whole
+
+
 def test_word_bpe_takes_no_call_for_each_word():
     """Words are looked up, cut and replayed together: calls for each of them made half of the time."""
     rng = random.Random(7)
